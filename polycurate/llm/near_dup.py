@@ -1,8 +1,8 @@
 """Near-duplicate documents by HyperMinHash.
 
-Each document's distinct word shingles fill 128 registers: a hash picks the register, and the register keeps its least remaining
-hash as a count of leading zeros and ten mantissa bits. Bands of four registers give candidate groups. Documents with the same
-shingle set are one class from the start, and work goes on between classes:
+Each document's distinct word shingles fill 512 registers: a hash picks the register, and the register keeps its least remaining
+hash as a count of leading zeros and ten mantissa bits. Fours of them make 128 coarse registers, and bands of four coarse registers
+give candidate groups. Documents with the same shingle set are one class from the start, and work goes on between classes:
 
 1. every member of a band's group is compared with the group's least member (a star, so a group of n costs n - 1 pairs);
 2. links are confirmed on the full shingle sets and contracted to components;
@@ -10,7 +10,7 @@ shingle set are one class from the start, and work goes on between classes:
    estimates corrected for register collisions, and what the estimate leaves is confirmed on the full sets.
 
 Two linked documents (similarity 0.8) share no band with probability (1 - 0.8**4)**32, about 5e-8; the estimate's margin of 0.2
-is over five standard deviations. Documents in one component already are not compared again, and no group is capped.
+is over five standard deviations of the coarse registers; the fine ones have half the deviation and half the margin. Documents in one component already are not compared again, and no group is capped.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a row without doc_id is linked with
 nothing, has no component and is kept; repeated rows share a class; other columns are ignored; an empty table gives no rows.
@@ -27,53 +27,62 @@ from .common import discard, document_batches, text_or_empty, written
 from .components import components
 from .words import U, mixed, shingle_hashes, word_hashes
 
-REGISTER_BITS, MANTISSA_BITS, BAND_ROWS = 7, 10, 4
-REGISTERS = 1 << REGISTER_BITS
+FINE_BITS, REGISTER_BITS, MANTISSA_BITS, BAND_ROWS = 9, 7, 10, 4
+FINE, REGISTERS = 1 << FINE_BITS, 1 << REGISTER_BITS
+EMPTY = 0xFFFF
 BANDS = REGISTERS // BAND_ROWS
 #: Pairs estimated this far under the threshold are not confirmed.
-MARGIN = 0.2
+MARGIN, FINE_MARGIN = 0.2, 0.1
 #: Members of a group that one task compares with one another; larger groups are dealt in pairs of blocks.
 BLOCK = 1024
 
-PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, registers binary, fine binary"
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """128 registers of 16 bits from ascending distinct hashes; 0 where no shingle falls."""
-    first = np.searchsorted(shingles, np.arange(REGISTERS, dtype=U) << U(64 - REGISTER_BITS))
+    """The fine registers, from ascending distinct hashes. A lesser hash has a lesser code; EMPTY is where no shingle falls."""
+    first = np.searchsorted(shingles, np.arange(FINE, dtype=U) << U(64 - FINE_BITS))
     filled = np.diff(np.append(first, len(shingles))) > 0
-    rest = (shingles[first[filled]] << U(REGISTER_BITS)) >> U(11)  # the 53 bits that a double holds
+    rest = (shingles[first[filled]] << U(FINE_BITS)) >> U(11)  # the 53 bits that a double holds
     _, exponent = np.frexp(rest.astype(np.float64))
     zeros = np.minimum(53 - exponent, 62)
     shift = np.maximum(exponent - 1 - MANTISSA_BITS, 0).astype(U)
     mantissa = (rest >> shift) & U((1 << MANTISSA_BITS) - 1)
-    out = np.zeros(REGISTERS, np.uint16)
-    out[filled] = ((zeros.astype(np.int64) << MANTISSA_BITS) | mantissa.astype(np.int64)) + 1
+    out = np.full(FINE, EMPTY, np.uint16)
+    out[filled] = ((62 - zeros.astype(np.int64)) << MANTISSA_BITS) | mantissa.astype(np.int64)
     return out
 
 
+def coarse(fine: np.ndarray) -> np.ndarray:
+    """128 registers: the least of each four, with the four's own number in place of the register bits that are lost."""
+    fours = fine.reshape(-1, FINE // REGISTERS)
+    which = fours.argmin(axis=1).astype(np.uint16)
+    least = fours.min(axis=1)
+    return np.where(least == EMPTY, np.uint16(EMPTY), least ^ (which << np.uint16(4)))
+
+
 _PROBES = np.argsort(np.random.default_rng(5).random((REGISTERS, REGISTERS)), axis=1)
 
 
 def filled_registers(values: np.ndarray) -> np.ndarray:
     """Empty registers borrow from the first filled one of a fixed random order of their own."""
-    empty = np.flatnonzero(values == 0)
+    empty = np.flatnonzero(values == EMPTY)
     if len(empty) == 0 or len(empty) == REGISTERS:
         return values
     probes = _PROBES[empty]
     out = values.copy()
-    out[empty] = values[probes[np.arange(len(empty)), np.argmax(values[probes] > 0, axis=1)]]
+    out[empty] = values[probes[np.arange(len(empty)), np.argmax(values[probes] != EMPTY, axis=1)]]
     return out
 
 
 def estimated_jaccard(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Jaccard estimates of register rows, less the matches that different shingles make by chance."""
-    used = ((a > 0) | (b > 0)).sum(axis=-1)
-    same = ((a == b) & (a > 0)).sum(axis=-1)
+    used = ((a != EMPTY) | (b != EMPTY)).sum(axis=-1)
+    same = ((a == b) & (a != EMPTY)).sum(axis=-1)
     octave = np.exp2(-np.arange(40.0))
 
     def least_in(size):  # chance that a register's least hash has so many leading zeros
-        load = np.asarray(size, float)[..., None] / REGISTERS
+        load = np.asarray(size, float)[..., None] / a.shape[-1]
         return (1 - octave / 2) ** load - (1 - octave) ** load
 
     chance = (least_in(size_a) * least_in(size_b)).sum(axis=-1) / (1 << MANTISSA_BITS)
@@ -86,16 +95,18 @@ def profiles(documents: DataFrame, shingle_words: int) -> DataFrame:
     def profile(batches):
         for ids, offsets, data in document_batches(batches, 1 << 20):
             words, first = word_hashes(offsets, data)
-            counts, sums, values = [], [], []
+            counts, sums, values, fine = [], [], [], []
             for i in range(len(ids)):
                 s = shingle_hashes(words[first[i] : first[i + 1]], shingle_words)
                 counts.append(len(s))
                 sums.append((s.sum(dtype=U), mixed(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)))
-                values.append(registers(s).tobytes())
+                f = registers(s)
+                fine.append(f.tobytes())
+                values.append(coarse(f).tobytes())
             sums = np.asarray(sums, U).reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(counts, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(values, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "registers"],
+                [pa.array(ids), pa.array(counts, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(values, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "registers", "fine"],
             )
 
     return documents.mapInArrow(profile, PROFILE)
@@ -154,7 +165,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components within a band's group whose estimate is at least `least`. members: band, class_id, component, n_shingles, registers, size."""
+    """Pairs of different components within a band's group whose estimate is at least `least`. members: band, class_id, component, n_shingles, fine, size."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -163,7 +174,7 @@ def _across(members: DataFrame, least: float) -> DataFrame:
     def pairs(table: pa.Table) -> pa.Table:
         ids, comp = table.column("class_id").to_numpy(), table.column("component").to_numpy()
         size, own = table.column("n_shingles").to_numpy(), table.column("own").to_numpy()
-        rows = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        rows = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint16).reshape(-1, FINE)
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         a, b = [], []
         for i in np.flatnonzero(own == low):
@@ -184,27 +195,29 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (doc_id = component_id) for every row."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     texts = source.filter(F.col("doc_id").isNotNull())
-    profile = written(profiles(texts, shingle_words), "profiles")
-    least = percent / 100 - MARGIN
-
+    full = written(profiles(texts, shingle_words), "profiles")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = profile.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "registers")).alias("x"))
-    classes = written(classes.select(*key, F.col("x.doc_id").alias("class_id"), "x.registers"), "classes")
-    nodes = classes.groupBy("class_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = full.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "registers", "fine")).alias("x"))
+    classes = written(classes.select(*key, F.col("x.doc_id").alias("class_id"), "x.registers", "x.fine"), "classes")
+    profile = written(full.select("doc_id", *key), "sets")
+    discard(full)
+    # rows of one doc_id with different texts are one node, with the registers of one of them
+    node = lambda column: classes.groupBy("class_id").agg(F.min(F.struct("n_shingles", column)).alias("x")).select("class_id", "x.n_shingles", f"x.{column}")
+    nodes = node("registers")
 
     banded = written(bands(classes), "bands")
     groups = banded.groupBy("band").agg(F.min("class_id").alias("center"), F.max("class_id").alias("last"), F.count("*").alias("size")).filter("center < last")
     groups = written(groups, "groups")
     star = banded.join(groups.select("band", "center"), "band").filter("class_id > center").select(F.col("center").alias("a"), F.col("class_id").alias("b")).distinct()
-    star = written(_estimated(star, nodes, least), "star")
+    star = written(_estimated(star, nodes, percent / 100 - MARGIN), "star")
     links = written(confirmed(star, texts, shingle_words, percent), "links")
     found = components(links)
 
     members = banded.join(groups.select("band", "size"), "band").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     members = written(members.withColumn("component", F.coalesce("component", "class_id")), "members")
     mixed_groups = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    members = members.join(mixed_groups, "band", "left_semi").join(nodes, "class_id")
-    across = written(_across(members, least), "across")
+    members = members.join(mixed_groups, "band", "left_semi").join(node("fine"), "class_id")
+    across = written(_across(members, percent / 100 - FINE_MARGIN), "across")
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")
     more = written(confirmed(across, texts, shingle_words, percent), "more-links")
     found = components(links.union(more))
