@@ -42,7 +42,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/polycurate/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_quiet_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._polycurate_path = path

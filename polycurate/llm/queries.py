@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dup, packing, quality_rules, sharding, suffix_dedup, token_counts
+from . import conversations, decontamination, near_dup, packing, quality_crf, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -31,10 +31,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.threads(read_table(spark, sf_dir, "conversations"))
+
+
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return quality_crf.score(documents, quality_crf.train(documents, read_table(spark, sf_dir, "labels")))
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -46,7 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_sharding": op5_sharding,
+    "op6_quotation_linking": op6_quotation_linking,
+    "op7_quality_crf": op7_quality_crf,
     "op8_minhash_near_dup": op8_minhash_near_dup,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -33,13 +33,16 @@ from .words import BYTE_KEY, U, mixed
 
 ANCHOR = 16
 #: Bytes of text in a shard.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes of input that one hash range answers for.
 RANGE_BYTES = 16 << 20
 #: An anchor in more shards than this sends single windows, dealt by content; others meet in one task, a context or so from each shard.
 HOT_SHARDS = 1024
-#: Windows whose transforms are merged at once.
-MERGE_WINDOWS = 1 << 17
+#: Windows whose transforms are merged at once, and contexts that are looked at together.
+MERGE_WINDOWS, CONTEXTS = 1 << 16, 1 << 13
+#: Anchor hashes travel as their upper 48 bits: 47 of the hash and, when shards report them, a flag. A clash of hashes only sends
+#: text that repeats nowhere.
+FLAG, KEY = U(1 << 16), U(((1 << 64) - 1) ^ ((1 << 17) - 1))
 
 NO_ID = -(1 << 63)
 SHARDS = "shard long, n_bytes long, ids binary, sizes binary, text binary, gaps binary"
@@ -126,7 +129,7 @@ def lay_shards(documents: DataFrame, length: int) -> DataFrame:
     spark = documents.sparkSession
     name = f"polycurate_shards_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid.write.bucketBy(buckets, "shard").format("parquet").saveAsTable(name)
+    laid.write.bucketBy(buckets, "shard").format("parquet").option("compression", "zstd").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
@@ -138,6 +141,18 @@ def _drop(spark, name: str) -> None:
         pass
 
 
+def six(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each number."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def from_six(data) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, 2:] = part
+    return out.reshape(-1).view("<u8")
+
+
 def _rows(batches):
     for batch in batches:
         for i in range(len(batch)):
@@ -158,25 +173,25 @@ def repeating_anchors(shards: DataFrame, ranges: int, length: int, hot_shards: i
     def send(batches):
         for row in _rows(batches):
             shard = Shard(row, length)
-            h = shard.hashes()
+            h = shard.hashes() & KEY
             order = np.lexsort((shard.doc, h))
             h, doc = h[order], shard.ids[shard.doc[order]]
             new = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
             several = np.zeros(len(new), bool)
             if len(new):
                 several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
-            h = (h[new] & ~U(1)) | several.astype(U)  # the lowest bit tells of two documents within the shard
+            h = h[new] | several.astype(U) * FLAG  # the flag tells of two documents within the shard
             part = ((h >> U(33)) % U(ranges)).astype(np.int64)
-            out = [(int(k), row["shard"], h[p].tobytes()) for k, p in _split(np.argsort(part, kind="stable"), part)]
+            out = [(int(k), row["shard"], six(h[p])) for k, p in _split(np.argsort(part, kind="stable"), part)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["part", "shard", "hashes"])
 
     def find(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b.as_buffer(), U) for b in table.column("hashes")]
+        blobs = [from_six(b.as_buffer()) for b in table.column("hashes")]
         shard = np.repeat(table.column("shard").to_numpy(), [len(b) for b in blobs])
         h = np.concatenate(blobs)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h & KEY, kind="stable")
         h, shard = h[order], shard[order]
-        several, h = (h & U(1)) == 1, h & ~U(1)
+        several, h = (h & FLAG) > 0, h & KEY
         new = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
         count = np.diff(np.append(new, len(h)))
         # two shards hold different documents, unless rows of one doc_id lie in both: that only sends more than is needed
@@ -187,7 +202,7 @@ def repeating_anchors(shards: DataFrame, ranges: int, length: int, hot_shards: i
         out = []
         for x in (False, True):
             rows = np.flatnonzero(hot == x)
-            out += [(s, x, h[p].tobytes()) for s, p in _split(rows[np.argsort(shard[rows], kind="stable")], shard)]
+            out += [(s, x, six(h[p])) for s, p in _split(rows[np.argsort(shard[rows], kind="stable")], shard)]
         return pa.table({"shard": pa.array([o[0] for o in out], pa.int64()), "hot": pa.array([o[1] for o in out], pa.bool_()), "hashes": pa.array([o[2] for o in out], pa.binary())})
 
     sent = shards.mapInArrow(send, "part long, shard long, hashes binary")
@@ -203,8 +218,8 @@ def contexts(row: dict, length: int) -> dict[str, np.ndarray]:
     """
     shard = Shard(row, length)
     span, width = length - ANCHOR, 2 * length - ANCHOR
-    h = shard.hashes() & ~U(1)
-    plain, hot = (np.unique(np.concatenate([np.frombuffer(b, U) for b in row[k]] or [np.zeros(0, U)])) for k in ("plain", "hot"))
+    h = shard.hashes() & KEY
+    plain, hot = (np.unique(np.concatenate([from_six(b) for b in row[k]] or [np.zeros(0, U)])) for k in ("plain", "hot"))
     first, last = shard.windows()
     is_hot, is_plain = np.isin(h, hot), np.isin(h, plain)
     a = np.flatnonzero(is_plain & (last >= first))
@@ -223,7 +238,7 @@ def contexts(row: dict, length: int) -> dict[str, np.ndarray]:
     text[(column < lo[:, None]) | (column >= hi[:, None] + length)] = 0
     key = np.concatenate([h[a], np.zeros(len(start), U)])
     if len(start):
-        key[len(a) :] = _row_hashes(text[len(a) :, :length])
+        key[len(a) :] = _row_hashes(text[len(a) :, :length]) & KEY
     return {"base": base, "lo": lo, "hi": hi, "doc": doc, "text": text, "key": key, "shard": shard}
 
 
@@ -247,6 +262,15 @@ def distinct_rows(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([chosen, odd]), number
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(column: pa.ChunkedArray, sizes: list[int], kind) -> np.ndarray:
+    parts = [np.frombuffer(pa.decompress(b.as_buffer(), size, codec="zstd"), kind) for b, size in zip(column, sizes, strict=True)]
+    return np.concatenate(parts)
+
+
 def least(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(out, groups, values)
@@ -267,29 +291,24 @@ def send_contexts(joined: DataFrame, ranges: int, length: int) -> DataFrame:
             out = []
             for k, p in _split(np.argsort(part, kind="stable"), part):
                 q = chosen[p]
-                out.append((k, row["shard"], p.astype(np.uint32).tobytes(), c["key"][q].tobytes(), c["lo"][q].astype(np.uint8).tobytes(), c["hi"][q].astype(np.uint8).tobytes(), doc[p].tobytes(), c["text"][q].tobytes()))
+                out.append((k, row["shard"], p.astype(np.uint32).tobytes(), six(c["key"][q]), c["lo"][q].astype(np.uint8).tobytes(), c["hi"][q].astype(np.uint8).tobytes(), squeezed(doc[p]), squeezed(c["text"][q])))
             kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 6)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["part", "shard", "numbers", "keys", "lo", "hi", "docs", "text"])
 
     return joined.mapInArrow(send, "part long, shard long, numbers binary, keys binary, lo binary, hi binary, docs binary, text binary")
 
 
-def merged_range(table: pa.Table, length: int) -> pa.Table:
-    """(shard, numbers, at, docs): windows of the shards' contexts for which a smaller doc_id exists elsewhere."""
-    column = lambda name, kind: np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table.column(name)])
-    number, key, lo, hi, doc = (column(n, k) for n, k in (("numbers", np.uint32), ("keys", U), ("lo", np.uint8), ("hi", np.uint8), ("docs", np.int64)))
-    lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-    shard = np.repeat(table.column("shard").to_numpy(), [len(b.as_buffer()) // 4 for b in table.column("numbers")])
-    text = column("text", np.uint8).reshape(len(number), -1)
-    chosen, same = distinct_rows({"text": text, "key": key, "lo": lo, "hi": hi})
+def least_starts(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, nth, doc_id): windows of contexts for which a smaller doc_id exists than the row's own. The rows hold whole anchors."""
+    key, lo, hi, doc, text = c["key"], c["lo"], c["hi"], c["doc"], c["text"]
+    chosen, same = distinct_rows(c)
     lowest = least(doc, same, len(chosen))
     count = hi[chosen] - lo[chosen] + 1
     begin = np.cumsum(count) - count  # of each distinct context's windows
     found = np.repeat(lowest, count)
-    # a context whose anchor has no other context repeats nothing but itself; the others' transforms are merged
+    # an anchor with one distinct context repeats nothing but that; the others' transforms are merged
     _, anchor, contexts_of = np.unique(key[chosen], return_inverse=True, return_counts=True)
-    several = contexts_of[anchor] > 1
-    rows = np.flatnonzero(several)
+    rows = np.flatnonzero(contexts_of[anchor] > 1)
     row = np.repeat(rows, count[rows])
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
     place = anchor[row] * 256 + lo[chosen[row]] + nth  # equal windows have one anchor at one place
@@ -304,12 +323,34 @@ def merged_range(table: pa.Table, length: int) -> pa.Table:
         group = equal_windows(windows)
         found[begin[r] + k] = least(lowest[r], group, int(group.max()) + 1)[group]
         at = to
-    # for every row of every shard: its windows whose least doc_id is smaller than the least in its own shard
-    mine = np.repeat(np.arange(len(number)), count[same])
+    mine = np.repeat(np.arange(len(key)), count[same])
     nth = np.arange(len(mine)) - np.repeat(np.cumsum(count[same]) - count[same], count[same])
     best = found[begin[same[mine]] + nth]
     less = best < doc[mine]
-    mine, nth, best = mine[less], nth[less], best[less]
+    return mine[less], nth[less], best[less]
+
+
+def merged_range(table: pa.Table, length: int) -> pa.Table:
+    """(shard, numbers, nth, docs): windows of the shards' contexts for which a smaller doc_id exists elsewhere."""
+    column = lambda name, kind: np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table.column(name)])
+    number, lo, hi = column("numbers", np.uint32), column("lo", np.uint8).astype(np.int64), column("hi", np.uint8).astype(np.int64)
+    key = np.concatenate([from_six(b.as_buffer()) for b in table.column("keys")])
+    sizes = [len(b.as_buffer()) // 4 for b in table.column("numbers")]
+    width = 2 * length - ANCHOR
+    doc = unsqueezed(table.column("docs"), [8 * n for n in sizes], np.int64)
+    text = unsqueezed(table.column("text"), [width * n for n in sizes], np.uint8).reshape(-1, width)
+    shard = np.repeat(table.column("shard").to_numpy(), sizes)
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order])) + 1
+    found, at = [], 0
+    while at < len(order):  # whole anchors, about CONTEXTS rows at a time
+        cut = np.searchsorted(edges, at + CONTEXTS)
+        to = int(edges[cut]) if cut < len(edges) else len(order)
+        rows = order[at:to]
+        mine, nth, best = least_starts({"key": key[rows], "lo": lo[rows], "hi": hi[rows], "doc": doc[rows], "text": text[rows]}, length)
+        found.append((rows[mine], nth, best))
+        at = to
+    mine, nth, best = (np.concatenate([f[i] for f in found]) for i in range(3))
     out = [(s, number[mine[p]].tobytes(), nth[p].astype(np.uint8).tobytes(), best[p].tobytes()) for s, p in _split(np.argsort(shard[mine], kind="stable"), shard[mine])]
     kinds = (pa.int64(), *(pa.binary(),) * 3)
     return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["shard", "numbers", "nth", "docs"])
@@ -348,7 +389,7 @@ def _repeats(documents: DataFrame, length: int, hot_shards: int) -> DataFrame:
     ranges = max(1, -(-total // RANGE_BYTES))
     known = written(repeating_anchors(shards, ranges, length, hot_shards), "anchors")
     joined = shards.join(known.hint("shuffle_hash"), "shard")
-    found = send_contexts(joined, 4 * ranges, length).groupBy("part").applyInArrow(lambda t: merged_range(t, length), "shard long, numbers binary, nth binary, docs binary")
+    found = send_contexts(joined, 2 * ranges, length).groupBy("part").applyInArrow(lambda t: merged_range(t, length), "shard long, numbers binary, nth binary, docs binary")
     found = written(found.groupBy("shard").agg(F.collect_list(F.struct("numbers", "nth", "docs")).alias("found")), "found")
     return shards.join(known.hint("shuffle_hash"), "shard", "left").join(found.hint("shuffle_hash"), "shard", "left")
 
