@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import document_batches, task_number, text_or_empty, written
+from .common import slices, task_number, text_or_empty, written
 from .interleave import equal_windows
 from .words import BYTE_KEY, U, mixed
 
@@ -45,7 +46,7 @@ MERGE_WINDOWS, CONTEXTS = 1 << 16, 1 << 13
 FLAG, KEY = U(1 << 16), U(((1 << 64) - 1) ^ ((1 << 17) - 1))
 
 NO_ID = -(1 << 63)
-SHARDS = "shard long, n_bytes long, ids binary, sizes binary, text binary, gaps binary"
+SHARDS = "shard long, n_bytes long, ids binary, sizes binary, text binary, gaps binary, rest binary"
 
 
 def run_hashes(data: np.ndarray, n: int = ANCHOR) -> np.ndarray:
@@ -110,21 +111,34 @@ class Shard:
         return first, last
 
 
-def lay_shards(documents: DataFrame, length: int) -> DataFrame:
-    """documents as shards, with the places of their anchors."""
+def packed_columns(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def lay_shards(documents: DataFrame, length: int, with_rest: bool = False) -> DataFrame:
+    """documents as shards, with the places of their anchors; `with_rest` keeps their other columns too."""
+
+    rest = [c for c in documents.columns if c not in ("doc_id", "text")] if with_rest else []
 
     def lay(batches):
         number = task_number() << 32
-        for ids, offsets, data in document_batches(batches, SHARD_BYTES):
-            at = [anchors(data[a:b], length) + a for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            gaps = np.diff(np.concatenate(at) if at else np.zeros(0, np.int64), prepend=0).astype("<u4")
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": number, "n_bytes": len(data), "ids": ids.astype(np.int64).tobytes(), "sizes": np.diff(offsets).astype(np.int64).tobytes(), "text": data.tobytes(), "gaps": gaps.tobytes()}],
-                schema=pa.schema([("shard", pa.int64()), ("n_bytes", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "text", "gaps"))]),
-            )
-            number += 1
-
-    source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"))
+        for batch in batches:
+            done = 0
+            for ids, offsets, data in slices(batch.column("doc_id"), batch.column("text"), SHARD_BYTES):
+                at = [anchors(data[a:b], length) + a for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                gaps = np.diff(np.concatenate(at) if at else np.zeros(0, np.int64), prepend=0).astype("<u4")
+                row = {"shard": number, "n_bytes": len(data), "ids": ids.astype(np.int64).tobytes(), "sizes": np.diff(offsets).astype(np.int64).tobytes(), "text": data.tobytes(), "gaps": gaps.tobytes()}
+                if rest:
+                    row["rest"] = packed_columns(batch.select(["rest"]).slice(done, len(ids)))
+                done += len(ids)
+                kinds = [("shard", pa.int64()), ("n_bytes", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "text", "gaps", "rest"))]
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
+                number += 1
+
+    source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] * bool(rest))
     laid = source.mapInArrow(lay, SHARDS)
     spark = documents.sparkSession
     name = f"polycurate_shards_{uuid.uuid4().hex}"
@@ -205,7 +219,7 @@ def repeating_anchors(shards: DataFrame, ranges: int, length: int, hot_shards: i
             out += [(s, x, six(h[p])) for s, p in _split(rows[np.argsort(shard[rows], kind="stable")], shard)]
         return pa.table({"shard": pa.array([o[0] for o in out], pa.int64()), "hot": pa.array([o[1] for o in out], pa.bool_()), "hashes": pa.array([o[2] for o in out], pa.binary())})
 
-    sent = shards.mapInArrow(send, "part long, shard long, hashes binary")
+    sent = shards.drop("rest").mapInArrow(send, "part long, shard long, hashes binary")
     found = sent.groupBy("part").applyInArrow(find, "shard long, hot boolean, hashes binary")
     return found.groupBy("shard").agg(F.collect_list(F.when(~F.col("hot"), F.col("hashes"))).alias("plain"), F.collect_list(F.when(F.col("hot"), F.col("hashes"))).alias("hot"))
 
@@ -382,13 +396,13 @@ def removed_bytes(row: dict, length: int) -> tuple[Shard, np.ndarray]:
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _repeats(documents: DataFrame, length: int, hot_shards: int) -> DataFrame:
+def _repeats(documents: DataFrame, length: int, hot_shards: int, with_rest: bool = False) -> DataFrame:
     """Shards with what tells which of their bytes go."""
-    shards = lay_shards(documents, length)
+    shards = lay_shards(documents, length, with_rest)
     total = shards.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     ranges = max(1, -(-total // RANGE_BYTES))
     known = written(repeating_anchors(shards, ranges, length, hot_shards), "anchors")
-    joined = shards.join(known.hint("shuffle_hash"), "shard")
+    joined = shards.drop("rest").join(known.hint("shuffle_hash"), "shard")
     found = send_contexts(joined, 2 * ranges, length).groupBy("part").applyInArrow(lambda t: merged_range(t, length), "shard long, numbers binary, nth binary, docs binary")
     found = written(found.groupBy("shard").agg(F.collect_list(F.struct("numbers", "nth", "docs")).alias("found")), "found")
     return shards.join(known.hint("shuffle_hash"), "shard", "left").join(found.hint("shuffle_hash"), "shard", "left")
@@ -412,13 +426,21 @@ def repeats_report(documents: DataFrame, length: int = 50, hot_shards: int = HOT
 
 
 def remaining_texts(documents: DataFrame, length: int = 50, hot_shards: int = HOT_SHARDS) -> DataFrame:
-    """(doc_id, text) without the removed bytes; characters of which a part goes, go whole."""
+    """documents, in all their columns, with what is left of each text; characters of which a part goes, go whole."""
+    names = documents.columns
+    kinds = {f.name: f.dataType for f in documents.schema.fields} | {"doc_id": LongType(), "text": StringType()}
+    schema = StructType([StructField(n, kinds[n]) for n in names])
 
     def keep(batches):
         for row in _rows(batches):
             shard, gone = removed_bytes(row, length)
-            ids = [None if i == NO_ID else i for i in shard.ids.tolist()]
-            texts = [shard.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(shard.ends[:-1].tolist(), shard.ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return _repeats(documents, length, hot_shards).mapInArrow(keep, "doc_id long, text string")
+            columns = {
+                "doc_id": pa.array([None if i == NO_ID else i for i in shard.ids.tolist()], pa.int64()),
+                "text": pa.array([shard.data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(shard.ends[:-1].tolist(), shard.ends[1:].tolist(), strict=True)], pa.string()),
+            }
+            if row["rest"] is not None:
+                rest = pa.ipc.open_stream(row["rest"]).read_next_batch().column("rest")
+                columns |= {rest.type.field(i).name: rest.field(i) for i in range(rest.type.num_fields)}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    return _repeats(documents, length, hot_shards, True).mapInArrow(keep, schema)
