@@ -46,9 +46,10 @@ def _packed_windows(hashes: Column, n: Column, bits: Column) -> Column:
     return F.when(n >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """doc_id and the measurements that the rules read."""
+def measured(documents: DataFrame, carried: Column | None = None) -> DataFrame:
+    """doc_id and the measurements that the rules read; `carried` goes along as the column `carried`."""
     text = text_or_empty()
+    carried = F.lit(None).cast("int") if carried is None else carried
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     base = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -56,9 +57,10 @@ def measured(documents: DataFrame) -> DataFrame:
         lines.alias("lines"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
+        carried.alias("carried"),
     )
     counted = base.select(
-        "doc_id", "n_symbols", "n_upper",
+        "doc_id", "n_symbols", "n_upper", "carried",
         F.size("words").alias("n"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
@@ -83,13 +85,24 @@ def measured(documents: DataFrame) -> DataFrame:
     # a word belongs to the last repeated window that starts before it: gaps beyond three words are not covered
     spans = F.zip_with("at", F.slice("at", F.lit(2), F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long"))))
     covered = F.aggregate(spans, F.lit(0).cast("long"), lambda total, x: total + x)
-    return at.select("doc_id", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"), "n_upper")
+    return at.select("doc_id", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"), "n_upper", "carried")
 
 
 def ledger(documents: DataFrame) -> DataFrame:
     """doc_id, the measurements and `fail_bits`: bit i is set where rule i fails."""
+    return _with_bits(measured(documents)).drop("carried")
+
+
+def kept_documents(documents: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
+    """The rows of documents, in all their columns, that a policy keeps. Measured and filtered in one pass, without a join."""
+    rows = _with_bits(measured(documents, F.struct(*[F.col(f"`{c}`") for c in documents.columns])))
+    # the numbered rows keep the optimizer from pushing the verdict below the measurements, which would repeat them inside each lambda
+    decided = apply_policy(rows, version).withColumn("row", F.monotonically_increasing_id())
+    return decided.filter(F.col("kept") & (F.col("row") >= 0)).select("carried.*")
+
+
+def _with_bits(rows: DataFrame) -> DataFrame:
     bits = F.lit(0)
-    rows = measured(documents)
     for i, (_, test) in enumerate(RULES):
         bits = bits + F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0))
     return rows.withColumn("fail_bits", bits.cast("int"))
