@@ -1,16 +1,17 @@
 """Near-duplicate documents by HyperMinHash.
 
-Each document's distinct word shingles fill 512 registers: a hash picks the register, and the register keeps its least remaining
-hash as a count of leading zeros and ten mantissa bits. Fours of them make 128 coarse registers, and bands of four coarse registers
-give candidate groups. Documents with the same shingle set are one class from the start, and work goes on between classes:
+Each document's distinct word shingles fill registers: a hash picks the register, and the register keeps its least remaining hash
+as a count of leading zeros and ten mantissa bits. There are 128 coarse registers, whose bands of four give candidate groups, and
+16,384 fine ones, of which only the filled are stored. Documents with the same shingle set are one class from the start, and work
+goes on between classes:
 
 1. every member of a band's group is compared with the group's least member (a star, so a group of n costs n - 1 pairs);
 2. links are confirmed on the full shingle sets and contracted to components;
 3. in groups that still hold several components, members of different components are compared by their registers, with Jaccard
    estimates corrected for register collisions, and what the estimate leaves is confirmed on the full sets.
 
-Two linked documents (similarity 0.8) share no band with probability (1 - 0.8**4)**32, about 5e-8; the estimate's margin of 0.2
-is over five standard deviations of the coarse registers; the fine ones have half the deviation and half the margin. Documents in one component already are not compared again, and no group is capped.
+Two linked documents (similarity 0.8) share no band with probability (1 - 0.8**4)**32, about 5e-8; the estimates' margins are over
+five standard deviations. Documents in one component already are not compared again, and no group is capped.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a row without doc_id is linked with
 nothing, has no component and is kept; repeated rows share a class; other columns are ignored; an empty table gives no rows.
@@ -27,38 +28,43 @@ from .common import discard, document_batches, text_or_empty, written
 from .components import components
 from .words import U, mixed, shingle_hashes, word_hashes
 
-FINE_BITS, REGISTER_BITS, MANTISSA_BITS, BAND_ROWS = 9, 7, 10, 4
-FINE, REGISTERS = 1 << FINE_BITS, 1 << REGISTER_BITS
+FINE_BITS, REGISTER_BITS, MANTISSA_BITS, BAND_ROWS = 14, 7, 10, 4
+REGISTERS = 1 << REGISTER_BITS
 EMPTY = 0xFFFF
 BANDS = REGISTERS // BAND_ROWS
-#: Pairs estimated this far under the threshold are not confirmed.
-MARGIN, FINE_MARGIN = 0.2, 0.1
+#: Pairs whose coarse estimate lies this far under the threshold are not confirmed; for fine estimates, this much and so many
+#: shingles, since in small sets two shingles of one register weigh more.
+MARGIN, FINE_MARGIN, FINE_SHINGLES = 0.2, 0.03, 2.5
 #: Members of a group that one task compares with one another; larger groups are dealt in pairs of blocks.
 BLOCK = 1024
 
 PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, registers binary, fine binary"
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """The fine registers, from ascending distinct hashes. A lesser hash has a lesser code; EMPTY is where no shingle falls."""
-    first = np.searchsorted(shingles, np.arange(FINE, dtype=U) << U(64 - FINE_BITS))
-    filled = np.diff(np.append(first, len(shingles))) > 0
-    rest = (shingles[first[filled]] << U(FINE_BITS)) >> U(11)  # the 53 bits that a double holds
+def register_codes(shingles: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(filled registers, their 16-bit codes) from ascending distinct hashes. A lesser hash has a lesser code."""
+    register = (shingles >> U(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(register, prepend=-1))
+    rest = (shingles[first] << U(bits)) >> U(11)  # the 53 bits that a double holds
     _, exponent = np.frexp(rest.astype(np.float64))
-    zeros = np.minimum(53 - exponent, 62)
+    zeros = np.minimum(53 - exponent, 62).astype(np.int64)
     shift = np.maximum(exponent - 1 - MANTISSA_BITS, 0).astype(U)
     mantissa = (rest >> shift) & U((1 << MANTISSA_BITS) - 1)
-    out = np.full(FINE, EMPTY, np.uint16)
-    out[filled] = ((62 - zeros.astype(np.int64)) << MANTISSA_BITS) | mantissa.astype(np.int64)
+    return register[first], ((62 - zeros) << MANTISSA_BITS) | mantissa.astype(np.int64)
+
+
+def registers(shingles: np.ndarray) -> np.ndarray:
+    """The coarse registers; EMPTY is where no shingle falls."""
+    filled, codes = register_codes(shingles, REGISTER_BITS)
+    out = np.full(REGISTERS, EMPTY, np.uint16)
+    out[filled] = codes
     return out
 
 
-def coarse(fine: np.ndarray) -> np.ndarray:
-    """128 registers: the least of each four, with the four's own number in place of the register bits that are lost."""
-    fours = fine.reshape(-1, FINE // REGISTERS)
-    which = fours.argmin(axis=1).astype(np.uint16)
-    least = fours.min(axis=1)
-    return np.where(least == EMPTY, np.uint16(EMPTY), least ^ (which << np.uint16(4)))
+def fine_registers(shingles: np.ndarray) -> np.ndarray:
+    """The filled fine registers in order, each as its number and its code."""
+    filled, codes = register_codes(shingles, FINE_BITS)
+    return ((filled << 16) | codes).astype(np.uint32)
 
 
 _PROBES = np.argsort(np.random.default_rng(5).random((REGISTERS, REGISTERS)), axis=1)
@@ -75,20 +81,39 @@ def filled_registers(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimated_jaccard(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of register rows, less the matches that different shingles make by chance."""
-    used = ((a != EMPTY) | (b != EMPTY)).sum(axis=-1)
-    same = ((a == b) & (a != EMPTY)).sum(axis=-1)
+def chance_matches(size_a: np.ndarray, size_b: np.ndarray, count: int) -> np.ndarray:
+    """Chance that different shingles leave the same code in a register, of `count` registers."""
     octave = np.exp2(-np.arange(40.0))
 
     def least_in(size):  # chance that a register's least hash has so many leading zeros
-        load = np.asarray(size, float)[..., None] / a.shape[-1]
+        load = np.asarray(size, float)[..., None] / count
         return (1 - octave / 2) ** load - (1 - octave) ** load
 
-    chance = (least_in(size_a) * least_in(size_b)).sum(axis=-1) / (1 << MANTISSA_BITS)
+    return (least_in(size_a) * least_in(size_b)).sum(axis=-1) / (1 << MANTISSA_BITS)
+
+
+def estimated_jaccard(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of coarse register rows, less the matches that different shingles make by chance."""
+    used = ((a != EMPTY) | (b != EMPTY)).sum(axis=-1)
+    same = ((a == b) & (a != EMPTY)).sum(axis=-1)
+    chance = chance_matches(size_a, size_b, REGISTERS)
     return (same / np.maximum(used, 1) - chance) / (1 - chance)
 
 
+def fine_estimates(one: np.ndarray, others: list[np.ndarray], size: int, sizes: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of one document's fine registers with those of others, corrected in the same way."""
+    code = np.full(1 << FINE_BITS, EMPTY, np.uint16)
+    code[one >> 16] = one & 0xFFFF
+    laid = np.concatenate(others)
+    lengths = np.fromiter(map(len, others), np.int64, len(others))
+    begin = np.cumsum(lengths) - lengths
+    mine = code[laid >> 16]
+    same = np.add.reduceat((mine == (laid & 0xFFFF)).astype(np.int64), begin)
+    both = np.add.reduceat((mine != EMPTY).astype(np.int64), begin)
+    chance = chance_matches(size, sizes, 1 << FINE_BITS) * both / np.maximum(len(one) + lengths - both, 1)
+    return (same / (len(one) + lengths - both) - chance) / (1 - chance)
+
+
 def profiles(documents: DataFrame, shingle_words: int) -> DataFrame:
     """doc_id, number of shingles, a 128-bit hash of the shingle set, registers."""
 
@@ -100,9 +125,8 @@ def profiles(documents: DataFrame, shingle_words: int) -> DataFrame:
                 s = shingle_hashes(words[first[i] : first[i + 1]], shingle_words)
                 counts.append(len(s))
                 sums.append((s.sum(dtype=U), mixed(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)))
-                f = registers(s)
-                fine.append(f.tobytes())
-                values.append(coarse(f).tobytes())
+                fine.append(fine_registers(s).tobytes())
+                values.append(registers(s).tobytes())
             sums = np.asarray(sums, U).reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(counts, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(values, pa.binary()), pa.array(fine, pa.binary())],
@@ -112,17 +136,23 @@ def profiles(documents: DataFrame, shingle_words: int) -> DataFrame:
     return documents.mapInArrow(profile, PROFILE)
 
 
+_SALT = (np.arange(BANDS, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15)
+
+
+def band_keys(coarse_rows: np.ndarray) -> np.ndarray:
+    """(rows, BANDS): each band's four registers and its number, as one hash."""
+    full = np.vstack([filled_registers(r) for r in coarse_rows]) if len(coarse_rows) else coarse_rows
+    return mixed(full.reshape(-1, BANDS, BAND_ROWS).copy().view(U)[:, :, 0] ^ _SALT)
+
+
 def bands(classes: DataFrame) -> DataFrame:
     """(band, class_id): one row for each band of each class."""
-    salt = (np.arange(BANDS, dtype=U) + U(1)) * U(0x9E3779B97F4A7C15)
 
     def band(batches):
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            full = np.vstack([filled_registers(r) for r in rows]) if len(rows) else rows
-            keys = mixed(full.reshape(-1, BANDS, BAND_ROWS).copy().view(U)[:, :, 0] ^ salt)
             ids = np.repeat(batch.column("class_id").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(ids)], names=["band", "class_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(rows).ravel().astype(np.int64)), pa.array(ids)], names=["band", "class_id"])
 
     return classes.select("class_id", "registers").mapInArrow(band, "band long, class_id long")
 
@@ -165,7 +195,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components within a band's group whose estimate is at least `least`. members: band, class_id, component, n_shingles, fine, size."""
+    """Pairs of different components within a band's group that may reach `least`. members: band, class_id, component, n_shingles, registers, fine, size."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -174,15 +204,21 @@ def _across(members: DataFrame, least: float) -> DataFrame:
     def pairs(table: pa.Table) -> pa.Table:
         ids, comp = table.column("class_id").to_numpy(), table.column("component").to_numpy()
         size, own = table.column("n_shingles").to_numpy(), table.column("own").to_numpy()
-        rows = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint16).reshape(-1, FINE)
+        rows = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        fine = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("fine")]
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        keys = band_keys(rows)
+        this = int(np.flatnonzero((keys == np.int64(table.column("band")[0].as_py()).astype(U)).all(axis=0))[0])
         a, b = [], []
         for i in np.flatnonzero(own == low):
             other = np.flatnonzero((own == high) & (comp != comp[i]) & ((ids > ids[i]) if low == high else np.ones(len(ids), bool)))
             ratio = np.minimum(size[other], size[i]) / np.maximum(size[other], size[i])
             other = other[ratio >= least]
+            other = other[~(keys[other, :this] == keys[i, :this]).any(axis=1)]  # a pair belongs to the first band that it shares
+            other = other[estimated_jaccard(rows[i][None, :], rows[other], size[i], size[other]) >= least - MARGIN] if len(other) else other
             if len(other):
-                near = other[estimated_jaccard(rows[i][None, :], rows[other], size[i], size[other]) >= least]
+                close = least - FINE_MARGIN - FINE_SHINGLES / np.maximum(size[other], size[i])
+                near = other[fine_estimates(fine[i], [fine[k] for k in other], size[i], size[other]) >= close]
                 a.append(np.minimum(ids[near], ids[i]))
                 b.append(np.maximum(ids[near], ids[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -202,7 +238,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     profile = written(full.select("doc_id", *key), "sets")
     discard(full)
     # rows of one doc_id with different texts are one node, with the registers of one of them
-    node = lambda column: classes.groupBy("class_id").agg(F.min(F.struct("n_shingles", column)).alias("x")).select("class_id", "x.n_shingles", f"x.{column}")
+    node = lambda *columns: classes.groupBy("class_id").agg(F.min(F.struct("n_shingles", *columns)).alias("x")).select("class_id", "x.*")
     nodes = node("registers")
 
     banded = written(bands(classes), "bands")
@@ -216,8 +252,8 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     members = banded.join(groups.select("band", "size"), "band").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     members = written(members.withColumn("component", F.coalesce("component", "class_id")), "members")
     mixed_groups = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    members = members.join(mixed_groups, "band", "left_semi").join(node("fine"), "class_id")
-    across = written(_across(members, percent / 100 - FINE_MARGIN), "across")
+    members = members.join(mixed_groups, "band", "left_semi").join(node("registers", "fine"), "class_id")
+    across = written(_across(members, percent / 100), "across")
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")
     more = written(confirmed(across, texts, shingle_words, percent), "more-links")
     found = components(links.union(more))
