@@ -22,15 +22,17 @@ from .training import fold, labelled_texts, sample_ids
 from .words import U, mixed, prefix_sums, span_hashes
 
 #: Most confirmed toxic and most unlabelled documents that a fit reads.
-MOST_POSITIVE, MOST_UNLABELLED = 2_000, 4_000
+MOST_POSITIVE, MOST_UNLABELLED = 3_000, 6_000
 #: Words in fewer documents of the sample are no features.
 LEAST_DOCUMENTS = 6
 #: Features are the words whose shares among positive and unlabelled documents differ by so many standard deviations.
 LEAST_DEVIATIONS = 4.0
-STEPS, RATE, DECAY = 300, 0.05, 1e-4
+STEPS, RATE, DECAY = 800, 0.05, 1e-4
 THRESHOLD = 0.3
 #: Bytes of the beginnings of longer words that are features too.
 PREFIXES = (4, 5, 6, 7, 8)
+#: Hash buckets in which features are counted before they are chosen; a power of two.
+BUCKETS = 1 << 21
 #: Weights nearer to zero than this are left out when scoring.
 LEAST_WEIGHT = 0.02
 
@@ -87,11 +89,39 @@ class WordModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    encoded = [t.encode() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
-    h, doc = letter_runs(offsets, np.frombuffer(b"".join(encoded), np.uint8))
-    return features(doc, h)
+def _chunks(texts: list[str], of: int = 1 << 20):
+    """(first document, pairs of document and feature) of about `of` bytes of text at a time."""
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held < of):
+            held += len(texts[to])
+            to += 1
+        encoded = [t.encode() for t in texts[at:to]]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
+        h, doc = letter_runs(offsets, np.frombuffer(b"".join(encoded), np.uint8))
+        doc, h = features(doc, h)
+        yield doc + at, h
+        at = to
+
+
+def _deviations(among: np.ndarray, count: np.ndarray, n: tuple[int, int]) -> np.ndarray:
+    """How far apart the shares among positive and unlabelled documents lie, in standard deviations; 0 for rare ones."""
+    share = count / sum(n)
+    deviation = (among / n[0] - (count - among) / n[1]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    return np.where(count >= LEAST_DOCUMENTS, np.abs(deviation), 0)
+
+
+def _selected(texts: list[str], n: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) pairs of the features that tell. A first pass counts by hash bucket, so memory does not grow with the words."""
+    among, count = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for doc, h in _chunks(texts):
+        bucket = (h >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+        count += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
+        among += np.bincount(bucket[doc < n[0]], minlength=BUCKETS).astype(np.int32)
+    open_ = _deviations(among, count, n) >= LEAST_DEVIATIONS
+    kept = [(doc[k], h[k]) for doc, h in _chunks(texts) for k in [open_[(h >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]]]
+    return tuple(np.concatenate([x[i] for x in kept]) for i in (0, 1))
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float) -> WordModel:
@@ -99,12 +129,10 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> WordModel:
     if not positive or not unlabelled or not 0 < prior < 1:
         return WordModel(np.zeros(0, U), np.zeros(0), -30.0)
     n = (len(positive), len(unlabelled))
-    doc, h = _sparse(positive + unlabelled)
+    doc, h = _selected(positive + unlabelled, n)
     words, column, count = np.unique(h, return_inverse=True, return_counts=True)
     among = np.bincount(column[doc < n[0]], minlength=len(words))
-    share = count / sum(n)
-    deviation = (among / n[0] - (count - among) / n[1]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    use = (count >= LEAST_DOCUMENTS) & (np.abs(deviation) >= LEAST_DEVIATIONS)
+    use = _deviations(among, count, n) >= LEAST_DEVIATIONS
     number = np.cumsum(use) - 1
     keep = use[column]
     doc, column, words = doc[keep], number[column[keep]], words[use]
