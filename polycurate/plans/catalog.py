@@ -1,10 +1,526 @@
-"""Every query of the reference's operators, with the equivalent SQL."""
+"""Every query of the reference's operators, as (spark, sf_dir) -> DataFrame; oracles.py has the equivalent SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scores as S
+from ..functions import text as T
+from ..functions import udfs
+from ..operators import cascade, sampling, similarity
+from ..sources import io
+from ..streaming import serving
+from . import views
+from .oracles import ORACLES as ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _measured(s: SparkSession, d: str) -> DataFrame:
+    return views.with_metrics(views.qa(s, d), views.LATIN)
+
+
+def _rules() -> list[cascade.Rule]:
+    c = F.col
+    return [
+        ("Q < 3 tokens", c("q_tokens") < 3), ("A < 5 tokens", c("a_tokens") < 5), ("A > 400 tokens", c("a_tokens") > 400),
+        ("A repetition > 0.5", c("a_repetition") > 0.5),
+        *[(f"[{lang}] answer script mismatch", (c("subset") == lang) & ~c("a_script_ok")) for lang in views.LATIN],
+    ]
+
+
+# --- cleaning cascade and text functions
+
+
+@query
+def clean_drop_report(s, d):
+    rows = cascade.with_drop_reason(_measured(s, d), _rules()).filter("drop_reason is not null")
+    return rows.groupBy(F.col("drop_reason").alias("reason"), "subset").agg(F.count("*").alias("n"))
+
+
+@query
+def clean_survivors(s, d):
+    rows = cascade.with_drop_reason(_measured(s, d), _rules()).filter("drop_reason is null")
+    return rows.select(F.col("ID").alias("id"), "subset", "q_tokens", "a_tokens", r6("a_repetition").alias("a_repetition"))
+
+
+@query
+def token_stats(s, d):
+    return _measured(s, d).select(F.col("ID").alias("id"), "q_tokens", "a_tokens")
+
+
+@query
+def script_ok_rates(s, d):
+    rate = lambda c: r6(F.avg(F.col(c).cast("double")))
+    return _measured(s, d).groupBy("subset").agg(F.count("*").alias("n"), rate("q_script_ok").alias("q_rate"), rate("a_script_ok").alias("a_rate"))
+
+
+@query
+def repetition_ratio(s, d):
+    return _measured(s, d).select(F.col("ID").alias("id"), r6("a_repetition").alias("a_repetition"))
+
+
+@query
+def strip_noise(s, d):
+    return io.table(s, d, "pages").select("page_id", F.md5(T.strip_noise(F.col("html"))).alias("text_md5"))
+
+
+@query
+def clean_whitespace(s, d):
+    return io.table(s, d, "pages").select("page_id", F.md5(T.clean_whitespace(F.col("html"))).alias("text_md5"))
+
+
+@query
+def nfc_normalise(s, d):
+    return io.table(s, d, "documents").select("doc_id", F.md5(udfs.nfc("text")).alias("text_md5"))
+
+
+@query
+def script_heuristic(s, d):
+    rows = s.createDataFrame([(1, "abc", "Aka_Gha"), (2, "123", "Lug_Uga"), (3, "ሰላም", "Amh_Eth"), (4, "abc", "Amh_Eth"), (5, "123", "Swa_Ken")], "i int, t string, s string")
+    return rows.select("i", T.script_present(F.col("t"), F.col("s")).alias("ok"))
+
+
+@query
+def exact_dedup_first(s, d):
+    return sampling.first_of_group(views.qa(s, d), T.row_hash(F.col("input"), F.col("output")), "ord").select(F.col("ID").alias("id"), "subset")
+
+
+@query
+def dup_groups_all(s, d):
+    rows = views.qa(s, d).select(F.col("ID").alias("id"), T.row_hash(F.col("input"), F.col("output"), separator="|||").alias("h"))
+    return rows.join(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h").select("id", "n")
+
+
+@query
+def hash_separator(s, d):
+    i, o = F.col("input"), F.col("output")
+    return views.qa(s, d).groupBy(T.row_hash(i, o).alias("plain"), T.row_hash(i, o, separator="|||").alias("separated")).agg(F.count("*").alias("n"))
+
+
+@query
+def pii_flags(s, d):
+    t = F.col("text")
+    return io.table(s, d, "documents").select("doc_id", t.rlike(T.PHONE).alias("phone"), t.rlike(T.EMAIL).alias("email"), t.rlike(T.TITLED_NAME).alias("titled_name"))
+
+
+@query
+def unsafe_flags(s, d):
+    return views.qa(s, d).groupBy("subset").agg(F.count("*").alias("n"), F.count_if(T.flag_unsafe(F.col("output"))).alias("unsafe"))
+
+
+@query
+def tag_normalise(s, d):
+    tags = ["Swa_Ken", " twi ", "swa_ken", "Eng", "KISWAHILI", "Amh_Eth", "amh", "eng_uga", "xx", "eng_kenya"]
+    rows = s.createDataFrame(list(enumerate(tags, 1)), "i int, tag string")
+    return rows.select("i", "tag", T.normalise_tag(F.col("tag")).alias("fixed"))
+
+
+@query
+def change_log(s, d):
+    i, o = F.col("input"), F.col("output")
+    rows = views.qa(s, d)
+    first = rows.groupBy(T.row_hash(i, o).alias("h")).agg(F.min("ord").alias("first"))
+    rows = rows.withColumn("h", T.row_hash(i, o)).join(first, "h").withColumn("again", F.col("ord") > F.col("first"))
+    tidy = T.strip(F.regexp_replace(i, T.WIDE_SPACE, " "))
+    cut = lambda c: F.substring(c, 1, 120)
+    own = ~F.col("again")
+    return cascade.change_log(rows, "ID", [
+        ("REMOVED_DUPLICATE", F.col("again"), cut(i), F.lit("DROPPED")),
+        ("TEXT_NORMALISED_INPUT", own & (tidy != i), cut(i), cut(tidy)),
+        ("QUARANTINE_PII", own & F.concat_ws(" ", i, o).rlike(T.EMAIL), cut(i), F.lit("QUARANTINED")),
+    ])
+
+
+@query
+def quarantine_split(s, d):
+    return views.qa(s, d).groupBy("subset", F.col("output").rlike(T.EMAIL).alias("quarantined")).agg(F.count("*").alias("n"))
+
+
+@query
+def prompts(s, d):
+    q = F.col("input")
+    return views.qa(s, d).select(F.col("ID").alias("id"), F.md5(T.answer_prompt(q, F.col("subset"))).alias("answer_md5"), F.md5(T.serving_prompt(q, F.col("subset"))).alias("serving_md5"))
+
+
+@query
+def imputed_model_text(s, d):
+    return io.table(s, d, "conversations").select("conv_id", "turn", F.md5(T.model_text(F.col("text"))).alias("text_md5"))
+
+
+@query
+def turn_pairs(s, d):
+    return views.turn_pairs(s, d).select("conv_id", "turn", F.md5("input").alias("q_md5"), F.md5("output").alias("a_md5"))
+
+
+@query
+def synthetic_source(s, d):
+    return io.synthetic_rows(s, "train").select("ID", "subset")
+
+
+@query
+def parameters_join(s, d):
+    parameters = io.parameter_table(s, {"min_a": 20}, {"de": {"min_a": 50}, "fr": {"min_a": 80}})
+    rows = _measured(s, d).join(F.broadcast(parameters), "subset", "left")  # one row for each language
+    return rows.groupBy("subset").agg(F.count("*").alias("n"), F.count_if(F.col("a_tokens") < F.coalesce("min_a", F.lit(20))).alias("short"))
+
+
+@query
+def decoding_overlay(s, d):
+    base = F.create_map(F.lit("beams"), F.lit(4.0), F.lit("penalty"), F.lit(1.0))
+    rows = s.createDataFrame([("en", {}), ("de", {"beams": 2.0, "penalty": 1.3}), ("fr", {"penalty": 1.1})], "lang string, own map<string,double>")
+    pick = lambda key: F.coalesce(F.try_element_at("own", F.lit(key)), base[key])
+    return rows.select("lang", pick("beams").cast("int").alias("beams"), pick("penalty").alias("penalty"))
+
+
+# --- profile
+
+
+@query
+def lang_counts(s, d):
+    return io.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query
+def source_counts(s, d):
+    return io.table(s, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+
+
+@query
+def languages_present(s, d):
+    wanted = s.createDataFrame([("de",), ("fr",), ("it",)], "lang string")
+    return wanted.join(io.table(s, d, "documents").select("lang").distinct(), "lang", "left_semi")
+
+
+@query
+def length_stats(s, d):
+    measures = [(f"{x}_{name}", F.round(f(F.col(f"{x}_tokens")), 1)) for x in "qa" for name, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("p95", lambda c: F.percentile(c, 0.95)))]
+    return _measured(s, d).groupBy("subset").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in measures])
+
+
+@query
+def imbalance(s, d):
+    counts = io.table(s, d, "documents").groupBy("lang").agg(F.count("*").cast("double").alias("n"))
+    over = Window.partitionBy(F.lit(0))
+    return counts.select("lang", "n", F.round(100.0 * F.col("n") / F.sum("n").over(over), 2).alias("pct"), F.round(F.col("n") / F.max("n").over(over), 3).alias("ratio"))
+
+
+@query
+def temperature_shares(s, d):
+    counts = io.table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return counts.select("lang", r6(S.tempered(F.col("n"), 5.0, Window.partitionBy(F.lit(0)))).alias("share"))
+
+
+@query
+def length_histogram(s, d):
+    rows = _measured(s, d).select(F.col("q_tokens").cast("double").alias("q"))
+    ends = rows.agg(F.min("q").alias("lo"), F.max("q").alias("hi"))
+    place = F.least(F.floor((F.col("q") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 40)), F.lit(39)).cast("int")
+    return rows.join(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))  # ends is one row
+
+
+@query
+def missing_values(s, d):
+    names = ["doc_id", "text", "lang", "source"]
+    wide = io.table(s, d, "documents").agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+    return wide.unpivot([], names, "column_name", "missing")
+
+
+@query
+def vocab_overlap(s, d):
+    words = views.qa(s, d).select((F.col("ID") % 5 == 0).alias("val"), F.explode(T.tokens(F.lower("input"))).alias("w"))
+    held = words.groupBy("w").agg(F.bool_or("val").alias("val"), F.bool_or(~F.col("val")).alias("train")).filter("val")
+    return held.agg(F.count("*").alias("val_words"), F.count_if("train").alias("common"), F.round(100.0 * F.count_if("train") / F.count("*"), 2).alias("pct"))
+
+
+@query
+def multiset_overlap(s, d):
+    rows = views.predictions(s, d)
+    counts = lambda c, n: rows.select("subset", F.explode(T.tokens(F.col(c))).alias("w")).groupBy("subset", "w").agg(F.count("*").alias(n))
+    return counts("prediction", "x").join(counts("input", "y"), ["subset", "w"]).groupBy("subset").agg(F.sum(F.least("x", "y")).alias("common"))
+
+
+# --- similarity
+
+
+@query
+def shingle_jaccard_edges(s, d):
+    rows = similarity.shingle_rows(views.qa(s, d).select(F.col("ID").alias("key"), F.col("subset").alias("group"), "input"), "key", "group", F.col("input"), 5)
+    return similarity.similar_pairs(rows, 0.85).select("a", "b", r6("jaccard").alias("jaccard"))
+
+
+@query
+def near_dup_greedy(s, d):
+    rows = similarity.near_duplicates(views.qa(s, d), "ord", "subset", F.col("input"), 0.85)
+    return rows.select(F.col("key").alias("id"), F.col("group").alias("subset"), "kept")
+
+
+@query
+def near_dup_rate_by_lang(s, d):
+    rows = similarity.near_duplicates(views.qa(s, d), "ord", "subset", F.col("input"), 0.85)
+    return rows.groupBy(F.col("group").alias("subset")).agg(F.count("*").alias("n"), r6(F.avg((~F.col("kept")).cast("double"))).alias("near_dup_rate"))
+
+
+def _augmented(s, d):
+    return io.table(s, d, "benchmark").select("item_id", F.col("text").alias("input"), F.col("text").alias("output"), F.lit("en").alias("subset"))
+
+
+def _new_augmented(s, d):
+    """Augmented rows that no original of their language resembles."""
+    shingled = lambda rows, key: similarity.shingle_rows(rows.select(F.col(key).alias("key"), F.col("subset").alias("group"), "input"), "key", "group", F.col("input"), 5)
+    rows = _augmented(s, d)
+    hit = similarity.similar_across(shingled(rows, "item_id"), shingled(views.qa(s, d), "ID"), 0.85).select(F.col("a").alias("item_id")).distinct()
+    return rows.join(hit, "item_id", "left_anti")
+
+
+@query
+def aug_vs_original_antijoin(s, d):
+    return _new_augmented(s, d).select("item_id")
+
+
+@query
+def cosine_pairs_gt_090(s, d):
+    vectors = sampling.simple_sample(io.table(s, d, "embeddings").select("vec_id", "embedding"), 1000, "vec_id", "eda")
+    return similarity.block_cosine_pairs(vectors, "vec_id", "embedding", 0.9).agg(F.count("*").alias("pairs"))
+
+
+# --- gates and diagnosis
+
+
+def _ratio_ok():
+    return T.length_ratio(F.col("input"), F.col("output")).between(0.5, 20)
+
+
+@query
+def length_ratio_gate(s, d):
+    return views.qa(s, d).select(F.col("ID").alias("id"), _ratio_ok().alias("ok"))
+
+
+def gates():
+    return [("length_ratio", _ratio_ok()), ("language_id", F.col("a_script_ok")), ("toxicity", F.coalesce(F.col("tox") < 0.5, F.lit(True))), ("semantic_relevance", S.at_least(F.col("qa_cos"), 0.0))]
+
+
+@query
+def gate_funnel(s, d):
+    return cascade.gate_funnel(views.diagnostic(s, d), gates())
+
+
+def _summary(s, d):
+    rate = lambda c: r6(F.avg(F.col(c).cast("double")))
+    part = lambda c, p: F.percentile(c, p)
+    return views.diagnostic(s, d).groupBy(F.col("subset").alias("language")).agg(
+        F.count("*").alias("n"), rate("q_script_ok").alias("q_script_ok_rate"), rate("a_script_ok").alias("a_script_ok_rate"),
+        rate("qa_cos").alias("qa_cos_mean"), r6(part("qa_cos", 0.5)).alias("qa_cos_median"), r6(part("qa_cos", 0.1)).alias("qa_cos_p10"),
+        part("q_tokens", 0.5).alias("q_tokens_median"), part("a_tokens", 0.5).alias("a_tokens_median"), rate("a_repetition").alias("a_repetition_mean"),
+    )
+
+
+@query
+def diagnostic_summary(s, d):
+    return _summary(s, d)
+
+
+@query
+def issue_classification(s, d):
+    c = F.col
+    tests = [("answer-script mismatch", c("a_script_ok_rate") < 0.8), ("low coherence", c("qa_cos_median") < 0.4), ("repetitive answers", c("a_repetition_mean") > 0.2)]
+    return _summary(s, d).select("language", cascade.issues(tests).alias("issues"))
+
+
+@query
+def worst20_per_lang(s, d):
+    rows = sampling.per_group(views.diagnostic(s, d).filter("qa_cos is not null"), "subset", 20, [F.col("qa_cos"), F.col("ord")])
+    return rows.select(F.col("ID").alias("id"), "subset", r6("qa_cos").alias("qa_cos"))
+
+
+# --- selection and mixing
+
+
+@query
+def seed_topk(s, d):
+    c = F.col
+    good = (c("subset") == "en") & c("q_script_ok") & c("a_script_ok") & S.at_least(c("qa_cos"), 0.0)
+    rows = views.diagnostic(s, d).filter(good & c("q_tokens").between(5, 80) & c("a_tokens").between(10, 200) & (c("a_repetition") < 0.2))
+    return sampling.top(rows, 40, [c("qa_cos").desc(), c("ord")]).select(c("ID").alias("id"), r6("qa_cos").alias("qa_cos"))
+
+
+@query
+def per_group_topn(s, d):
+    c = F.col
+    rows = views.diagnostic(s, d).filter(c("a_script_ok") & c("a_tokens").between(10, 250) & c("qa_cos").isNotNull())
+    wanted = T.lookup(c("subset"), {"de": 3, "en": 10, "fr": 5}, F.lit(0))
+    rows = sampling.per_group(rows, "subset", 2 * wanted, [c("qa_cos").desc(), c("ord")])
+    return rows.select(c("ID").alias("id"), "subset", r6("qa_cos").alias("qa_cos"))
+
+
+@query
+def stratified_sample(s, d):
+    return sampling.stratified(views.qa(s, d).select("ID", "subset"), "subset", 25, "ID", 42).select(F.col("ID").alias("id"), "subset")
+
+
+@query
+def simple_sample(s, d):
+    return sampling.simple_sample(views.qa(s, d).select("ID"), 100, "ID", 7).select(F.col("ID").alias("id"))
+
+
+@query
+def quota_backfill(s, d):
+    return sampling.quota_and_backfill(views.qa(s, d).select("ID", "subset"), "subset", 150, "ID", 42).select(F.col("ID").alias("id"), "subset")
+
+
+@query
+def hash_shuffle(s, d):
+    rows = views.qa(s, d).select(F.col("ID").alias("id"))
+    return sampling.ranked(rows, None, [sampling.draw(3, "id"), F.col("id")], "place").select("id", F.col("place").cast("long").alias("place"))
+
+
+@query
+def ratio_mix(s, d):
+    rows = sampling.mixed_by_ratio(views.qa(s, d).select(F.col("ID").alias("id"), "subset"), "subset", {"de": 1.7, "en": 0.5, "es": 2.0}, "id", 42)
+    return rows.groupBy("id", "subset").agg(F.count("*").alias("copies"))
+
+
+@query
+def fallback_ids(s, d):
+    rows = views.qa(s, d).select(F.when(F.col("ID") % 3 != 0, F.col("ID")).alias("id"), "ord")
+    return sampling.fallback_ids(rows, "id", [F.col("ord")])
+
+
+# --- evaluation
+
+
+def _rouge(s, d):
+    rows = views.predictions(s, d)
+    scored = rows.select("ID", "subset", udfs.rouge_scores(T.rouge_tokens(F.col("prediction")), T.rouge_tokens(F.col("reference"))).alias("r"))
+    return scored.select("ID", "subset", "r.*")
+
+
+def _by_language(rows, column, name):
+    totals = rows.cube("subset").agg(F.grouping("subset").alias("g"), F.count("*").alias("n"), r6(F.avg(column)).alias(name))
+    return totals.select(F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("subset")).alias("language"), "n", name)
+
+
+@query
+def rouge1_by_lang(s, d):
+    return _by_language(_rouge(s, d), "rouge1", "rouge1_f1")
+
+
+@query
+def rougeL_by_lang(s, d):  # noqa: N802
+    return _by_language(_rouge(s, d), "rougeL", "rougeL_f1")
+
+
+@query
+def chrf_pairs(s, d):
+    words = T.tokens(F.col("input"))
+    shorter = F.array_join(F.filter(words, lambda w, i: (i + 1) % 5 != 0), " ")
+    return views.qa(s, d).select(F.col("ID").alias("id"), r6(udfs.chrf("input", shorter)).alias("chrf"))
+
+
+@query
+def sentence_chrf_pairs(s, d):
+    words = T.tokens(F.col("input"))
+    shorter = F.array_join(F.filter(words, lambda w, i: (i + 1) % 5 != 0), " ")
+    return views.qa(s, d).select(F.col("ID").alias("id"), r6(udfs.sentence_chrf("input", shorter)).alias("chrf"))
+
+
+@query
+def judge_parse(s, d):
+    replies = ['{"overall": 4.5}', '{"accuracy": 4, "completeness": 2}', "4.5 / 5", "n/a", "I give it 4 of 5", 'so: {"overall": 2, "x": 1} 5', "{oops} 2"]
+    literal = s.createDataFrame([(-i, r) for i, r in enumerate(replies, 1)], "i long, reply string")
+    rows = io.table(s, d, "events").select(F.col("event_id").alias("i"), F.col("props").alias("reply")).union(literal)
+    return rows.groupBy(S.judge_score(F.col("reply")).alias("score")).agg(F.count("*").alias("n"), F.min("i").alias("first_i"))
+
+
+@query
+def composite_score(s, d):
+    v = F.col("vec_id")
+    return io.table(s, d, "embeddings").select("vec_id", F.round(S.composite((v % 11) / 10.0, (v % 7) / 6.0, (v % 6) + 0.5), 4).alias("score"))
+
+
+@query
+def argmax_grid(s, d):
+    grid = sampling.grid(s, beams=[1, 2, 4], penalty=[0.8, 1.0, 1.2])
+    scored = io.table(s, d, "documents").select("lang").distinct().join(F.broadcast(grid))  # nine rows for each language
+    scored = scored.withColumn("score", F.when(F.col("lang") == "en", F.col("beams").cast("double")).otherwise(F.col("penalty") * 2))
+    return sampling.best_of_grid(scored, "lang", "score").select("lang", "beams", "penalty")
+
+
+@query
+def submission(s, d):
+    rows = io.submission(views.predictions(s, d).withColumn("prediction", F.md5("prediction")))
+    return rows
+
+
+# --- merge
+
+
+def _merged(s, d):
+    original = views.qa(s, d).select(F.col("ID").cast("string").alias("id"), "input", "output", "subset", F.lit("original").alias("source"), "ord")
+    added = _new_augmented(s, d).select(F.concat(F.lit("b"), "item_id").alias("id"), "input", "output", "subset", F.lit("benchmark").alias("source"), (1_000_000_000 + F.col("item_id")).alias("ord"))
+    return original.unionByName(added).dropna(subset=["input", "output", "subset"])
+
+
+@query
+def merge_provenance(s, d):
+    return _merged(s, d).select("id", "subset", "source")
+
+
+@query
+def lang_source_pivot(s, d):
+    return _merged(s, d).groupBy("subset").pivot("source", ["benchmark", "original"]).count().na.fill(0)
+
+
+@query
+def cap_prefer_original(s, d):
+    return sampling.capped(_merged(s, d), "subset", {"en": 620, "de": 50}, F.col("source") == "original", [F.col("ord")]).select("id", "subset", "source")
+
+
+# --- serving
+
+
+@query
+def request_metrics(s, d):
+    return serving.metrics(views.requests(s, d)).withColumn("avg_latency_ms", F.round("avg_latency_ms", 4))
+
+
+@query
+def rate_limit_windows(s, d):
+    return serving.over_limit(views.requests(s, d), "ip_hash", 1).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def feedback_flags(s, d):
+    return serving.flagged(views.feedback(s, d)).select("question_id", "rating", "flagged")
+
+
+@query
+def feedback_totals(s, d):
+    return serving.feedback_totals(views.feedback(s, d))
+
+
+@query
+def pause_windows(s, d):
+    return serving.pauses(serving.flagged(views.feedback(s, d))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query
+def retention(s, d):
+    return serving.retained(io.table(s, d, "events"), F.lit("2024-01-30 00:00:00").cast("timestamp"), 10).select("event_id")
+
+
+@query
+def ip_anonymise(s, d):
+    return io.table(s, d, "events").select("user_id", T.anonymised_ip(F.col("user_id").cast("string")).alias("ip_hash")).distinct()
