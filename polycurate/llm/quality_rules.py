@@ -67,7 +67,9 @@ def measured(documents: DataFrame, carried: Column | None = None) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     ).withColumn("bits", F.length(F.bin(F.col("n").cast("long"))))
-    sorted_windows = counted.withColumn("windows", _packed_windows(F.col("hashes"), F.col("n"), F.col("bits")))
+    # the row number keeps the optimizer from pushing a filter on the results below this column, which would repeat it inside each lambda
+    windows = F.when(F.monotonically_increasing_id() >= 0, _packed_windows(F.col("hashes"), F.col("n"), F.col("bits")))
+    sorted_windows = counted.withColumn("windows", windows)
 
     def same(x: Column, y: Column) -> Column:
         """Equal windows: equal upper bits, then equal words."""
@@ -96,9 +98,7 @@ def ledger(documents: DataFrame) -> DataFrame:
 def kept_documents(documents: DataFrame, version: int = CURRENT_POLICY) -> DataFrame:
     """The rows of documents, in all their columns, that a policy keeps. Measured and filtered in one pass, without a join."""
     rows = _with_bits(measured(documents, F.struct(*[F.col(f"`{c}`") for c in documents.columns])))
-    # the numbered rows keep the optimizer from pushing the verdict below the measurements, which would repeat them inside each lambda
-    decided = apply_policy(rows, version).withColumn("row", F.monotonically_increasing_id())
-    return decided.filter(F.col("kept") & (F.col("row") >= 0)).select("carried.*")
+    return apply_policy(rows, version).filter("kept").select("carried.*")
 
 
 def _with_bits(rows: DataFrame) -> DataFrame:
