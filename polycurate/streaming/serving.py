@@ -17,11 +17,11 @@ LATENESS = "10 minutes"
 
 
 def request_events(df: DataFrame, question: Column, language: Column, latency: Column, client: Column, ts: Column) -> DataFrame:
-    return df.select(question.cast("string").alias("question_id"), language.alias("language"), F.bround(latency, 1).alias("latency_ms"), anonymised_ip(client.cast("string")).alias("ip_hash"), ts.alias("ts"))
+    return df.select(question.cast("string").alias("question_id"), language.alias("language"), F.bround(latency, 1).alias("latency_ms"), anonymised_ip(client.cast("string")).alias("ip_hash"), ts.cast("timestamp").alias("ts"))
 
 
 def feedback_events(df: DataFrame, question: Column, rating: Column, comment: Column, ts: Column) -> DataFrame:
-    return df.select(question.cast("string").alias("question_id"), rating.cast("int").alias("rating"), comment.alias("comment"), (rating <= LOW_RATING).alias("flagged"), ts.alias("ts"))
+    return df.select(question.cast("string").alias("question_id"), rating.cast("int").alias("rating"), comment.alias("comment"), (rating <= LOW_RATING).alias("flagged"), ts.cast("timestamp").alias("ts"))
 
 
 def flagged(feedback: DataFrame) -> DataFrame:
