@@ -83,6 +83,7 @@ def document_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES
     """`slices` of a mapInArrow iterator over (doc_id, text)."""
     for batch in batches:
         yield from slices(batch.column("doc_id"), batch.column("text"), limit)
+        pa.default_memory_pool().release_unused()  # workers are kept and reused
 
 
 def task_number() -> int:

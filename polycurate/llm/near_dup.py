@@ -118,7 +118,7 @@ def profiles(documents: DataFrame, shingle_words: int) -> DataFrame:
     """doc_id, number of shingles, a 128-bit hash of the shingle set, registers."""
 
     def profile(batches):
-        for ids, offsets, data in document_batches(batches, 1 << 20):
+        for ids, offsets, data in document_batches(batches, 1 << 18):
             words, first = word_hashes(offsets, data)
             counts, sums, values, fine = [], [], [], []
             for i in range(len(ids)):
