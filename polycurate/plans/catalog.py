@@ -292,8 +292,7 @@ def aug_vs_original_antijoin(s, d):
 
 @query
 def cosine_pairs_gt_090(s, d):
-    vectors = sampling.simple_sample(io.table(s, d, "embeddings").select("vec_id", "embedding"), 1000, "vec_id", "eda")
-    return similarity.block_cosine_pairs(vectors, "vec_id", "embedding", 0.9).agg(F.count("*").alias("pairs"))
+    return similarity.count_cosine_pairs(io.table(s, d, "embeddings"), "vec_id", "embedding", 0.9)
 
 
 # --- gates and diagnosis
