@@ -2,10 +2,12 @@
 
 1. Lines are parsed into quote levels (the number of leading `>` marks). Lines of level 0 are a message's own content; runs of
    lines of one level are quoted passages. A line that only announces a quote ("... wrote:") belongs to it.
-2. Each passage, and each of its lines of three words or more, is normalised (lower case, letters and digits) and hashed. The
-   same is done with the own content of the messages of conversations that hold quotes; of equal passages in a conversation the
-   first message is the original. Both sides are unique before they are joined, so a passage that many messages share makes
-   one row for each quote.
+2. Each passage, and each of its lines and sentences of three words or more, is normalised (lower case, letters and digits) and
+   hashed. The same is done with the own content, lines and sentences of the messages of conversations that hold quotes; of equal
+   passages in a conversation the first message is the original. Both sides are unique before they are joined, so a passage
+   that many messages share makes one row for each quote. A passage without an equal before it (trimmed, or wrapped anew) links
+   to the first message whose own content has its words in a row: windows of up to three words give the candidates, those of the
+   passage's rarest window, and each is confirmed by containment of the whole passage.
 3. A message replies to the original that most of its shallowest linked passages come from (the later one on a tie). Originals
    lie before the reply. Paths to the roots are built by pointer doubling, and messages are ordered by path: each after what it
    replies to, replies to one message by turn.
@@ -27,8 +29,11 @@ from .common import discard, text_or_empty, written
 MARKS = "^[ \\t]*(?:>[ \\t]?)+"
 #: How lines that announce a quote end.
 ANNOUNCES = "(?i)(?:wrote|writes|schrieb|écrit|escribió)[^\\p{L}\\p{N}]*:[ \\t\\r]*$"
-#: Lines of fewer words are not linked on their own.
+SENTENCE_ENDS = "…|\\.{2,}|[.!?。！？]+(?=[^\\p{L}\\p{N}]|$)"
+#: Quoted lines and sentences of fewer words are not linked on their own, only as a whole passage.
 LEAST_WORDS = 3
+#: Words of the windows by which candidates are found for passages without an equal.
+WINDOW_WORDS = 3
 #: Root turns that share a chunk of the order.
 CHUNK = 1024
 BROADCAST_ROWS = 100_000
@@ -54,15 +59,15 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.withColumn("content", F.when(F.col("has_quotes"), stripped).otherwise(F.col("text")))
 
 
-def _units(text: Column, lines: Column) -> Column:
-    """Hashes of a normalised passage and of its lines of enough words, each once; none for a passage without words."""
-    whole = F.array(normalised(text))
-    each = F.filter(F.transform(lines, normalised), lambda x: F.size(F.split(x, " ")) >= LEAST_WORDS)
-    return F.transform(F.array_distinct(F.filter(F.concat(whole, each), lambda x: x != "")), lambda x: F.xxhash64(x))
+def _units(text: Column, lines: Column, least: int) -> Column:
+    """A normalised passage and those of its lines and sentences that have enough words, each once; none for a passage without words."""
+    parts = F.transform(F.concat(lines, F.split(text, SENTENCE_ENDS)), normalised)
+    parts = F.filter(parts, lambda x: F.size(F.split(x, " ")) >= least)
+    return F.array_distinct(F.filter(F.concat(F.array(normalised(text)), parts), lambda x: x != ""))
 
 
 def quoted_units(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, unit): hashes of the passages that each message quotes."""
+    """(conv_id, turn, level, passage, unit): the normalised passages that each message quotes, and their hashes."""
     quoting = rows.filter("has_quotes and conv_id is not null and turn is not null")
     level = lambda i: F.coalesce(F.get(F.col("lines"), i)["level"], F.lit(-1))
     begins = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (level(i) > 0) & (level(i) != level(i - 1)))
@@ -70,7 +75,39 @@ def quoted_units(rows: DataFrame) -> DataFrame:
     runs = runs.select("conv_id", "turn", "lines", "edges", F.explode("begins").alias("begin"))
     end = F.element_at("edges", (F.array_position("edges", F.col("begin")) + 1).cast("int"))
     passage = runs.select("conv_id", "turn", F.get(F.col("lines"), F.col("begin"))["level"].alias("level"), F.transform(F.slice("lines", F.col("begin") + 1, end - F.col("begin")), lambda x: x["text"]).alias("texts"))
-    return passage.select("conv_id", "turn", "level", F.explode(_units(F.array_join("texts", " "), F.col("texts"))).alias("unit")).distinct()
+    units = passage.select("conv_id", "turn", "level", F.explode(_units(F.array_join("texts", " "), F.col("texts"), LEAST_WORDS)).alias("passage"))
+    return units.distinct().withColumn("unit", F.xxhash64("passage"))
+
+
+def _windows(words: Column, size: int) -> Column:
+    """Hashes of the windows of `size` words, each once; none where there are fewer."""
+    each = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))
+    return F.when(F.size(words) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+
+def containing(passages: DataFrame, messages: DataFrame) -> DataFrame:
+    """(conv_id, unit, within): the least turn of a message of the conversation whose text has the passage's words in a row.
+
+    passages: conv_id, unit, passage, each once; messages: conv_id, turn, text, normalised.
+    """
+    n = F.size("words")
+    wanted = passages.withColumn("words", F.split("passage", " ")).withColumn("short", n <= WINDOW_WORDS)
+    own = F.coalesce(*[F.when(n == k, _windows(F.col("words"), k)) for k in range(1, WINDOW_WORDS)], _windows(F.col("words"), WINDOW_WORDS))
+    wanted = written(wanted.select("conv_id", "unit", "short", F.explode(own).alias("window")), "windows")
+    texts = messages.groupBy("conv_id", "text").agg(F.min("turn").alias("turn"))
+    texts = written(texts.withColumn("message", F.monotonically_increasing_id()), "texts")
+    every = F.concat(*[_windows(F.col("words"), k) for k in range(1, WINDOW_WORDS + 1)])
+    index = texts.withColumn("words", F.split("text", " ")).select("conv_id", "turn", "message", F.explode(every).alias("window"))
+    index = written(index.join(wanted.select("conv_id", "window").distinct(), ["conv_id", "window"], "left_semi"), "index")
+    counts = index.groupBy("conv_id", "window").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    rarest = wanted.join(counts, ["conv_id", "window"], "left").groupBy("conv_id", "unit", "short").agg(
+        F.bool_and(F.col("n").isNotNull()).alias("all_known"), F.min(F.struct("n", "window", "first")).alias("x"))
+    rarest = written(rarest.filter("all_known").select("conv_id", "unit", "short", "x.window", "x.first"), "rarest")
+    candidates = rarest.filter("not short").join(index.select("conv_id", "window", "message", "turn"), ["conv_id", "window"]).select("conv_id", "unit", "message", "turn")
+    both = candidates.join(passages.select("conv_id", "unit", "passage"), ["conv_id", "unit"]).join(texts.select("message", "text"), "message")
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    long = both.filter(F.contains(spaced("text"), spaced("passage"))).groupBy("conv_id", "unit").agg(F.min("turn").alias("within"))
+    return rarest.filter("short").select("conv_id", "unit", F.col("first").alias("within")).union(long)
 
 
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,9 +115,17 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     quoted = written(quoted_units(rows), "quoted")
     talks = quoted.select("conv_id").distinct()
     originals = rows.filter("turn is not null").join(talks, "conv_id", "left_semi")
-    originals = originals.select("conv_id", "turn", F.explode(_units(F.regexp_replace("content", "\n", " "), F.split("content", "\n"))).alias("unit"))
-    first = originals.groupBy("conv_id", "unit").agg(F.min("turn").alias("original"))
+    units = originals.select("conv_id", "turn", F.explode(_units(F.regexp_replace("content", "\n", " "), F.split("content", "\n"), 1)).alias("passage"))
+    first = units.groupBy("conv_id", F.xxhash64("passage").alias("unit")).agg(F.min("turn").alias("original"))
     linked = quoted.join(first, ["conv_id", "unit"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
+    linked = written(linked, "linked")
+    missing = linked.filter("original is null").select("conv_id", "unit", "passage").distinct()
+    if missing.limit(1).count():
+        missing = written(missing, "missing")
+        texts = originals.join(missing.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", normalised(F.col("content")).alias("text"))
+        within = containing(missing, texts.filter("text <> ''"))
+        linked = linked.join(within, ["conv_id", "unit"], "left")
+        linked = linked.withColumn("original", F.coalesce("original", F.when(F.col("within") < F.col("turn"), F.col("within"))))
     counts = linked.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted"), F.count("original").alias("n_linked"))
     votes = linked.filter("original is not null").groupBy("conv_id", "turn", "level", "original").agg(F.count("*").alias("n"))
     parents = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "original")).alias("x")).select("conv_id", "turn", F.col("x.original").alias("parent_turn"))
