@@ -14,7 +14,8 @@ Two linked documents (similarity 0.8) share no band with probability (1 - 0.8**4
 five standard deviations. Documents in one component already are not compared again, and no group is capped.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a row without doc_id is linked with
-nothing, has no component and is kept; repeated rows share a class; other columns are ignored; an empty table gives no rows.
+nothing, has no component and is kept; repeated rows share a class; rows of one doc_id with different texts are linked; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, document_batches, text_or_empty, written
+from .common import discard, slices, text_or_empty, written
 from .components import components
 from .words import U, mixed, shingle_hashes, word_hashes
 
@@ -38,7 +39,7 @@ MARGIN, FINE_MARGIN, FINE_SHINGLES = 0.2, 0.03, 2.5
 #: Members of a group that one task compares with one another; larger groups are dealt in pairs of blocks.
 BLOCK = 1024
 
-PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, registers binary, fine binary"
+PROFILE = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, registers binary, fine binary"
 
 
 def register_codes(shingles: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +116,27 @@ def fine_estimates(one: np.ndarray, others: list[np.ndarray], size: int, sizes:
 
 
 def profiles(documents: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, number of shingles, a 128-bit hash of the shingle set, registers."""
+    """doc_id, text_key, number of shingles, a 128-bit hash of the shingle set, registers."""
 
     def profile(batches):
-        for ids, offsets, data in document_batches(batches, 1 << 18):
-            words, first = word_hashes(offsets, data)
-            counts, sums, values, fine = [], [], [], []
-            for i in range(len(ids)):
-                s = shingle_hashes(words[first[i] : first[i + 1]], shingle_words)
-                counts.append(len(s))
-                sums.append((s.sum(dtype=U), mixed(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)))
-                fine.append(fine_registers(s).tobytes())
-                values.append(registers(s).tobytes())
-            sums = np.asarray(sums, U).reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(counts, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(values, pa.binary()), pa.array(fine, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "registers", "fine"],
-            )
+        for batch in batches:
+            keys, at = batch.column("text_key"), 0
+            for ids, offsets, data in slices(batch.column("doc_id"), batch.column("text"), 1 << 18):
+                words, first = word_hashes(offsets, data)
+                counts, sums, values, fine = [], [], [], []
+                for i in range(len(ids)):
+                    s = shingle_hashes(words[first[i] : first[i + 1]], shingle_words)
+                    counts.append(len(s))
+                    sums.append((s.sum(dtype=U), mixed(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U)))
+                    fine.append(fine_registers(s).tobytes())
+                    values.append(registers(s).tobytes())
+                sums = np.asarray(sums, U).reshape(-1, 2).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), keys.slice(at, len(ids)), pa.array(counts, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(values, pa.binary()), pa.array(fine, pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "registers", "fine"],
+                )
+                at += len(ids)
+            pa.default_memory_pool().release_unused()  # workers are kept and reused
 
     return documents.mapInArrow(profile, PROFILE)
 
@@ -157,12 +162,14 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("class_id", "registers").mapInArrow(band, "band long, class_id long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    wanted = pairs.hint("shuffle_hash")
-    right = texts.join(wanted, texts["doc_id"] == wanted["b"]).select("a", "b", F.col("text").alias("text_b"))
-    left = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    both = right.join(left, right["a"] == left["doc_id"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets reach the threshold. A class's text is that of its doc_id with its text_key."""
+    heads = classes.select("class_id", "doc_id", "text_key")
+    wanted = pairs.join(heads.withColumnRenamed("class_id", "b"), "b").hint("shuffle_hash")
+    right = texts.join(wanted, ["doc_id", "text_key"]).select("a", "b", F.col("text").alias("text_b"))
+    starts = pairs.select(F.col("a").alias("class_id")).distinct().join(heads, "class_id").withColumnRenamed("class_id", "a")
+    left = texts.join(starts.hint("shuffle_hash"), ["doc_id", "text_key"]).select("a", F.col("text").alias("text_a"))
+    both = right.join(left, "a").select("a", "b", "text_a", "text_b")
 
     def sets(column):
         column = column.cast(pa.large_binary())
@@ -229,38 +236,46 @@ def _across(members: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links), kept (doc_id = component_id) for every row."""
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    text = text_or_empty()
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     texts = source.filter(F.col("doc_id").isNotNull())
     full = written(profiles(texts, shingle_words), "profiles")
     key = ["set_a", "set_b", "n_shingles"]
-    classes = full.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "registers", "fine")).alias("x"))
-    classes = written(classes.select(*key, F.col("x.doc_id").alias("class_id"), "x.registers", "x.fine"), "classes")
+    classes = full.filter("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "text_key", "registers", "fine")).alias("x"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class_id"), *key, "x.*"), "classes")
     profile = written(full.select("doc_id", *key), "sets")
     discard(full)
-    # rows of one doc_id with different texts are one node, with the registers of one of them
-    node = lambda *columns: classes.groupBy("class_id").agg(F.min(F.struct("n_shingles", *columns)).alias("x")).select("class_id", "x.*")
-    nodes = node("registers")
 
     banded = written(bands(classes), "bands")
     groups = banded.groupBy("band").agg(F.min("class_id").alias("center"), F.max("class_id").alias("last"), F.count("*").alias("size")).filter("center < last")
     groups = written(groups, "groups")
     star = banded.join(groups.select("band", "center"), "band").filter("class_id > center").select(F.col("center").alias("a"), F.col("class_id").alias("b")).distinct()
-    star = written(_estimated(star, nodes, percent / 100 - MARGIN), "star")
-    links = written(confirmed(star, texts, shingle_words, percent), "links")
+    star = written(_estimated(star, classes, percent / 100 - MARGIN), "star")
+    links = written(confirmed(star, classes, texts, shingle_words, percent), "links")
     found = components(links)
 
     members = banded.join(groups.select("band", "size"), "band").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     members = written(members.withColumn("component", F.coalesce("component", "class_id")), "members")
     mixed_groups = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    members = members.join(mixed_groups, "band", "left_semi").join(node("registers", "fine"), "class_id")
+    members = members.join(mixed_groups, "band", "left_semi").join(classes.select("class_id", "n_shingles", "registers", "fine"), "class_id")
     across = written(_across(members, percent / 100), "across")
     across = written(across.join(star, ["a", "b"], "left_anti"), "across")
-    more = written(confirmed(across, texts, shingle_words, percent), "more-links")
-    found = components(links.union(more))
-
-    by_class = classes.select(*key, "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    by_class = by_class.select(*key, F.coalesce("component", "class_id").alias("component_id"))
-    known = profile.select("doc_id", *key).join(by_class, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    more = written(confirmed(across, classes, texts, shingle_words, percent), "more-links")
+    unlike = profile.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y").select("doc_id")
+    unlike = written(unlike, "unlike")
+    own = profile.join(unlike, "doc_id").join(classes.select(*key, "class_id"), key).select("doc_id", "class_id")
+    ties = own.join(own.groupBy("doc_id").agg(F.min("class_id").alias("a")), "doc_id").select("a", F.col("class_id").alias("b")).filter("a < b").distinct()
+    found = components(links.union(more).union(ties))
+
+    by_class = classes.select(*key, "class_id", "doc_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+    by_class = by_class.select(*key, "doc_id", F.coalesce("component", "class_id").alias("component"))
+    least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_class = by_class.join(least, "component").select(*key, "component_id")
+    known = profile.select("doc_id", *key).join(by_class, key, "left").select("doc_id", "n_shingles", "component_id")
+    if unlike.limit(1).count():  # a blank row of such a document goes with its other rows
+        shared = known.join(unlike, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("shared"))
+        known = known.join(shared, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "shared").alias("component_id"))
+    known = known.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = source.filter(F.col("doc_id").isNull())
     nameless = profiles(nameless, shingle_words).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return known.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
