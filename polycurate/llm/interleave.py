@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Windows of one shard: its columns stay in the processor's cache.
+#: Windows of one transform: its columns stay in the processor's cache. Shards with fewer share a transform.
 SHARD = 16_384
 
 
@@ -51,14 +51,21 @@ def merge(shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return place, block
 
 
-def equal_windows(windows: np.ndarray, shard: int = SHARD) -> np.ndarray:
-    """Number of the group of equal windows that each window belongs to; windows is (n, length) of bytes."""
+def equal_windows(windows: np.ndarray, shard: int = SHARD, sources: np.ndarray | None = None) -> np.ndarray:
+    """Number of the group of equal windows that each window belongs to; windows is (n, length) of bytes.
+
+    sources, ascending, tells which shard each window comes from: a transform is of whole shards, of as many as make `shard` windows.
+    """
     n = len(windows)
     if not n:
         return np.zeros(0, np.int64)
-    parts = [transform(windows[at : at + shard]) for at in range(0, n, shard)]
+    ends = np.arange(1, n + 1) if sources is None else np.append(np.flatnonzero(np.diff(sources)) + 1, n)
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(int(ends[min(np.searchsorted(ends, cuts[-1] + shard), len(ends) - 1)]))
+    parts = [transform(windows[at:to]) for at, to in zip(cuts, cuts[1:], strict=False)]
     place, block = merge([columns for columns, _ in parts])
-    order = np.concatenate([order + at for (_, order), at in zip(parts, range(0, n, shard), strict=True)])
+    order = np.concatenate([order + at for (_, order), at in zip(parts, cuts, strict=False)])
     group = np.empty(n, np.int64)
     group[order[place]] = block
     return group

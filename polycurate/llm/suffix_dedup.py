@@ -3,14 +3,16 @@
 A byte goes if it is covered by a string of `length` bytes that also starts in a document with a smaller doc_id.
 
 1. Documents are laid into shards of bounded size: a bucketed table, so later joins by shard move only what is joined to it.
+   Shard numbers are chosen so that a task's shards fall into few buckets, hence into few files.
 2. Each window of `length` bytes has an anchor: the least-hashed run of ANCHOR bytes in it. Equal windows have equal anchors at
    equal places, so a window can only repeat where its anchor does. Shards send their distinct anchor hashes to hash ranges and
    learn which of them repeat. Nothing is lost here: this only spares the transforms the text that repeats nowhere.
 3. For each repeating anchor a shard sends the bytes around it that its windows cover, once for each distinct context, to the
-   range of the anchor. There the shards' transforms are merged by interleave refinement; intervals of windows with a
-   common prefix of `length` bytes give the least doc_id at which each window starts. Contexts that agree byte for byte are one
-   from the start. The windows of anchors that very many shards share travel alone, dealt by their content.
-4. Shards learn for which windows a smaller doc_id exists elsewhere, and mark the bytes.
+   range of the anchor. There each shard's windows of the range get a transform (small shards share one with their neighbours),
+   and the transforms are merged by interleave refinement; intervals of windows with a common prefix of `length` bytes give the
+   least doc_id at which each window starts. Contexts that agree byte for byte are one from the start. The windows of anchors
+   that very many shards share travel alone, dealt by their content.
+4. Shards learn for which runs of windows a smaller doc_id exists elsewhere, and mark the bytes.
 
 Defined cases: null, empty and short texts keep all their bytes; a null doc_id counts as the smallest; repeated rows of one
 doc_id are one document and remove nothing from each other; other columns are ignored; an empty table gives no rows.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import uuid
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ ANCHOR = 16
 SHARD_BYTES = 1 << 20
 #: Bytes of input that one hash range answers for.
 RANGE_BYTES = 16 << 20
+#: Buckets, and so files, that the shards of one task are dealt to.
+SPREAD = 4
 #: An anchor in more shards than this sends single windows, dealt by content; others meet in one task, a context or so from each shard.
 HOT_SHARDS = 1024
 #: Windows whose transforms are merged at once, and contexts that are looked at together.
@@ -78,6 +83,33 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
+def spark_hashes(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of each long (Murmur3, 32 bits), by which tables are bucketed."""
+    u = np.uint32
+    turned = lambda v, r: (v << u(r)) | (v >> u(32 - r))
+    h, x = np.full(len(x), seed, u), x.astype(U)
+    for half in (x & U(0xFFFFFFFF), x >> U(32)):
+        h = turned(h ^ turned(half.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+    h = (h ^ u(8)) * u(1)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).astype(np.int32)
+
+
+def shard_numbers(task: int, buckets: int):
+    """Distinct numbers for the shards of a task that fall into at most SPREAD buckets, in turn."""
+    targets = sorted({(task * SPREAD + k) % buckets for k in range(SPREAD)})
+    waiting: dict[int, list[int]] = {t: [] for t in targets}
+    at = task << 32
+    for target in cycle(targets):
+        while not waiting[target]:
+            tried = np.arange(at, at + 4 * buckets, dtype=np.int64)
+            bucket, at = spark_hashes(tried) % buckets, at + len(tried)
+            for t in targets:
+                waiting[t] += tried[bucket == t].tolist()
+        yield waiting[target].pop()
+
+
 class Shard:
     """A row of the shard table, with the anchors of all its documents."""
 
@@ -85,7 +117,7 @@ class Shard:
         self.ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
         self.data = np.frombuffer(row["text"], np.uint8)
         self.ends = np.concatenate([[0], np.cumsum(sizes)])
-        self.at = np.cumsum(np.frombuffer(row["gaps"], "<u4").astype(np.int64)) if row["gaps"] else np.zeros(0, np.int64)
+        self.at = np.cumsum(np.frombuffer(row["gaps"], "<u4").astype(np.int64)) if len(row["gaps"]) else np.zeros(0, np.int64)
         self.doc = np.searchsorted(self.ends, self.at, "right") - 1
         self.length = length
 
@@ -122,27 +154,27 @@ def lay_shards(documents: DataFrame, length: int, with_rest: bool = False) -> Da
     """documents as shards, with the places of their anchors; `with_rest` keeps their other columns too."""
 
     rest = [c for c in documents.columns if c not in ("doc_id", "text")] if with_rest else []
+    spark = documents.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def lay(batches):
-        number = task_number() << 32
+        numbers = shard_numbers(task_number(), buckets)
         for batch in batches:
             done = 0
             for ids, offsets, data in slices(batch.column("doc_id"), batch.column("text"), SHARD_BYTES):
                 at = [anchors(data[a:b], length) + a for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 gaps = np.diff(np.concatenate(at) if at else np.zeros(0, np.int64), prepend=0).astype("<u4")
-                row = {"shard": number, "n_bytes": len(data), "ids": ids.astype(np.int64).tobytes(), "sizes": np.diff(offsets).astype(np.int64).tobytes(), "text": data.tobytes(), "gaps": gaps.tobytes()}
+                row = {"shard": next(numbers), "n_bytes": len(data), "ids": ids.astype(np.int64).tobytes(), "sizes": np.diff(offsets).astype(np.int64).tobytes(), "text": data.tobytes(), "gaps": gaps.tobytes()}
                 if rest:
                     row["rest"] = packed_columns(batch.select(["rest"]).slice(done, len(ids)))
                 done += len(ids)
                 kinds = [("shard", pa.int64()), ("n_bytes", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "text", "gaps", "rest"))]
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema(kinds))
-                number += 1
+            pa.default_memory_pool().release_unused()  # workers are kept and reused
 
     source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] * bool(rest))
     laid = source.mapInArrow(lay, SHARDS)
-    spark = documents.sparkSession
     name = f"polycurate_shards_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid.write.bucketBy(buckets, "shard").format("parquet").option("compression", "zstd").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
@@ -168,9 +200,13 @@ def from_six(data) -> np.ndarray:
 
 
 def _rows(batches):
+    """Rows as dicts; binary values are buffers of the batch, not copies."""
     for batch in batches:
+        whole = [pa.types.is_binary(kind) or pa.types.is_large_binary(kind) for kind in batch.schema.types]
         for i in range(len(batch)):
-            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            yield {name: c[i].as_buffer() if plain else c[i].as_py() for name, c, plain in zip(batch.schema.names, batch.columns, whole, strict=True)}
+        del batch
+        pa.default_memory_pool().release_unused()  # workers are kept and reused
 
 
 def _split(order: np.ndarray, keys: np.ndarray):
@@ -312,9 +348,9 @@ def send_contexts(joined: DataFrame, ranges: int, length: int) -> DataFrame:
     return joined.mapInArrow(send, "part long, shard long, numbers binary, keys binary, lo binary, hi binary, docs binary, text binary")
 
 
-def least_starts(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, nth, doc_id): windows of contexts for which a smaller doc_id exists than the row's own. The rows hold whole anchors."""
-    key, lo, hi, doc, text = c["key"], c["lo"], c["hi"], c["doc"], c["text"]
+def least_starts(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, nth), ascending: windows of contexts for which a smaller doc_id exists than the row's own. The rows hold whole anchors."""
+    key, lo, hi, doc, text, shard = c["key"], c["lo"], c["hi"], c["doc"], c["text"], c["shard"]
     chosen, same = distinct_rows(c)
     lowest = least(doc, same, len(chosen))
     count = hi[chosen] - lo[chosen] + 1
@@ -333,19 +369,20 @@ def least_starts(c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.
         to = len(row) if at + MERGE_WINDOWS >= len(row) else int(np.searchsorted(place, place[at + MERGE_WINDOWS], "left"))
         to = to if to > at else int(np.searchsorted(place, place[at], "right"))
         r, k = row[at:to], nth[at:to]
+        by_shard = np.argsort(shard[chosen[r]], kind="stable")
+        r, k = r[by_shard], k[by_shard]
         windows = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)[chosen[r], lo[chosen[r]] + k]
-        group = equal_windows(windows)
+        group = equal_windows(windows, sources=shard[chosen[r]])
         found[begin[r] + k] = least(lowest[r], group, int(group.max()) + 1)[group]
         at = to
     mine = np.repeat(np.arange(len(key)), count[same])
     nth = np.arange(len(mine)) - np.repeat(np.cumsum(count[same]) - count[same], count[same])
-    best = found[begin[same[mine]] + nth]
-    less = best < doc[mine]
-    return mine[less], nth[less], best[less]
+    less = found[begin[same[mine]] + nth] < doc[mine]
+    return mine[less], nth[less]
 
 
 def merged_range(table: pa.Table, length: int) -> pa.Table:
-    """(shard, numbers, nth, docs): windows of the shards' contexts for which a smaller doc_id exists elsewhere."""
+    """(shard, numbers, nth, runs): runs of windows of the shards' contexts for which a smaller doc_id exists elsewhere."""
     column = lambda name, kind: np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table.column(name)])
     number, lo, hi = column("numbers", np.uint32), column("lo", np.uint8).astype(np.int64), column("hi", np.uint8).astype(np.int64)
     key = np.concatenate([from_six(b.as_buffer()) for b in table.column("keys")])
@@ -361,13 +398,16 @@ def merged_range(table: pa.Table, length: int) -> pa.Table:
         cut = np.searchsorted(edges, at + CONTEXTS)
         to = int(edges[cut]) if cut < len(edges) else len(order)
         rows = order[at:to]
-        mine, nth, best = least_starts({"key": key[rows], "lo": lo[rows], "hi": hi[rows], "doc": doc[rows], "text": text[rows]}, length)
-        found.append((rows[mine], nth, best))
+        mine, nth = least_starts({"key": key[rows], "lo": lo[rows], "hi": hi[rows], "doc": doc[rows], "text": text[rows], "shard": shard[rows]}, length)
+        new = np.flatnonzero((np.diff(mine, prepend=-1) != 0) | (np.diff(nth, prepend=-1) != 1))  # most runs are all of a context
+        found.append((rows[mine[new]], nth[new], np.diff(np.append(new, len(mine)))))
         at = to
-    mine, nth, best = (np.concatenate([f[i] for f in found]) for i in range(3))
-    out = [(s, number[mine[p]].tobytes(), nth[p].astype(np.uint8).tobytes(), best[p].tobytes()) for s, p in _split(np.argsort(shard[mine], kind="stable"), shard[mine])]
+    mine, nth, run = (np.concatenate([f[i] for f in found]) for i in range(3))
+    out = [(s, number[mine[p]].tobytes(), nth[p].astype(np.uint8).tobytes(), run[p].astype(np.uint8).tobytes()) for s, p in _split(np.argsort(shard[mine], kind="stable"), shard[mine])]
     kinds = (pa.int64(), *(pa.binary(),) * 3)
-    return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["shard", "numbers", "nth", "docs"])
+    del text, key, found
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["shard", "numbers", "nth", "runs"])
 
 
 def removed_bytes(row: dict, length: int) -> tuple[Shard, np.ndarray]:
@@ -381,13 +421,15 @@ def removed_bytes(row: dict, length: int) -> tuple[Shard, np.ndarray]:
             doc = least(c["doc"], number, len(chosen))
             count = c["hi"] - c["lo"] + 1
             begin_of = np.cumsum(count[chosen]) - count[chosen]
-            bound = np.repeat(doc, count[chosen])  # the least doc_id at which each window of each distinct context starts
+            edges = np.zeros(int(count[chosen].sum()) + 1, np.int64)  # of the runs that start earlier elsewhere
             for found in row["found"] or []:
                 at = begin_of[np.frombuffer(found["numbers"], np.uint32)] + np.frombuffer(found["nth"], np.uint8)
-                np.minimum.at(bound, at, np.frombuffer(found["docs"], np.int64))
+                np.add.at(edges, at, 1)
+                np.add.at(edges, at + np.frombuffer(found["runs"], np.uint8), -1)
+            earlier = np.cumsum(edges) > 0
             each = np.repeat(np.arange(len(number)), count)
             nth = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            hit = bound[begin_of[number[each]] + nth] < c["doc"][each]
+            hit = earlier[begin_of[number[each]] + nth] | (doc[number] < c["doc"])[each]
             start = c["base"][each[hit]] + c["lo"][each[hit]] + nth[hit]
             gone += np.bincount(start, minlength=len(gone)) - np.bincount(start + length, minlength=len(gone))
     return shard, np.cumsum(gone)[:-1] > 0
@@ -403,8 +445,8 @@ def _repeats(documents: DataFrame, length: int, hot_shards: int, with_rest: bool
     ranges = max(1, -(-total // RANGE_BYTES))
     known = written(repeating_anchors(shards, ranges, length, hot_shards), "anchors")
     joined = shards.drop("rest").join(known.hint("shuffle_hash"), "shard")
-    found = send_contexts(joined, 2 * ranges, length).groupBy("part").applyInArrow(lambda t: merged_range(t, length), "shard long, numbers binary, nth binary, docs binary")
-    found = written(found.groupBy("shard").agg(F.collect_list(F.struct("numbers", "nth", "docs")).alias("found")), "found")
+    found = send_contexts(joined, 2 * ranges, length).groupBy("part").applyInArrow(lambda t: merged_range(t, length), "shard long, numbers binary, nth binary, runs binary")
+    found = written(found.groupBy("shard").agg(F.collect_list(F.struct("numbers", "nth", "runs")).alias("found")), "found")
     return shards.join(known.hint("shuffle_hash"), "shard", "left").join(found.hint("shuffle_hash"), "shard", "left")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -107,6 +108,18 @@ def test_equal_windows_are_grouped():
         for g, w in zip(group, windows, strict=True):
             by[g].add(w.tobytes())
         assert all(len(v) == 1 for v in by.values()) and len(by) == len({w.tobytes() for w in windows})
+        sources = np.sort(draw.integers(0, 30, len(windows)))
+        again = equal_windows(windows, shard, sources)
+        assert len(set(zip(group.tolist(), again.tolist(), strict=True))) == len(by) == len(set(again.tolist()))
+
+
+def test_shards_of_a_task_fall_into_few_buckets(spark):
+    for buckets in (1, 3, 51):
+        for task in (0, 7):
+            numbers = list(islice(suffix_dedup.shard_numbers(task, buckets), 40))
+            rows = spark.createDataFrame([(n,) for n in numbers], "n long").selectExpr("n", f"pmod(hash(n), {buckets}) as bucket").collect()
+            assert len(set(numbers)) == 40 and {n >> 32 for n in numbers} == {task}
+            assert {r.bucket for r in rows} == {(task * suffix_dedup.SPREAD + k) % buckets for k in range(suffix_dedup.SPREAD)}
 
 
 def removed(rows, length=50):
