@@ -8,15 +8,16 @@ OP2 = """with b as (select item_id, list_filter(regexp_split_to_array(lower(text
 d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents),
 bi as (select item_id, w, len(w) as n, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ') || ' .'] end as s from b where len(w) > 0),
 di as (select doc_id, w, case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) else [array_to_string(w, ' ') || ' .'] end as s from d where len(w) > 0),
-bp as (select item_id, n, unnest(s) as g, unnest(range(0, len(s))) as p from bi), dp as (select doc_id, unnest(s) as g, unnest(range(0, len(s))) as p from di),
-seeds as (select distinct doc_id, greatest(dp.p - bp.p, 0) as start, n from dp join bp using (g)),
-wd as (select doc_id, start, n, list_slice(w, start + 1, start + n) as v from seeds join di using (doc_id)),
-ws as (select doc_id, start, n, case when len(v) >= 5 then list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' ')) else [array_to_string(v, ' ') || ' .'] end as s from wd where len(v) > 0),
+sizes as (select distinct n, unnest(s) as g from bi), dp as (select doc_id, unnest(s) as g, unnest(range(0, len(s))) as p from di),
+-- every window of n words that holds a shingle of an item of n words; the similarity of all others is 0
+starts as (select distinct doc_id, n, unnest(range(p - greatest(n - 5, 0), p + 1)) as start from dp join sizes using (g)),
+wd as (select doc_id, start, n, list_slice(w, greatest(start, 0) + 1, start + n) as v from starts join di using (doc_id)),
+ws as (select doc_id, start, n, len(v) as words, case when len(v) >= 5 then list_transform(range(1, len(v) - 3), lambda i: array_to_string(v[i:i + 4], ' ')) else [array_to_string(v, ' ') || ' .'] end as s from wd where len(v) > 0),
 wg as (select doc_id, start, n, g, count(*) as x from (select doc_id, start, n, unnest(s) as g from ws) group by all),
 bg as (select item_id, n, g, count(*) as y from (select item_id, n, unnest(s) as g from bi) group by all),
 c as (select doc_id, start, n, item_id, sum(least(x, y)) as common from wg join bg using (n, g) group by all),
-sim as (select c.doc_id, c.item_id, c.start, c.n, common::double / (len(ws.s) + len(bi.s) - common) as similarity from c join ws using (doc_id, start, n) join bi on bi.item_id = c.item_id)
-select doc_id, item_id, similarity, start::int as start_word, n::int as n_words from sim where similarity >= 0.8 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
+sim as (select c.doc_id, c.item_id, c.start, words, common::double / (len(ws.s) + len(bi.s) - common) as similarity from c join ws using (doc_id, start, n) join bi on bi.item_id = c.item_id)
+select doc_id, item_id, similarity, greatest(start, 0)::int as start_word, words::int as n_words from sim where similarity >= 0.8 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
 
 OP4 = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) as i from d)),
