@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,16 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own if driver and executors are one process, else an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="polycurate-checkpoints-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """df written and read again: its lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/polycurate/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet in the shared folder and read again: its lineage ends here, and a lost executor costs no recomputation.
+
+    The files are deleted when the driver exits; `discard` deletes them earlier.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/polycurate/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_quiet_delete, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._polycurate_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind DataFrames made by `settled`, once nothing reads them any more."""
+    for df in frames:
+        delete_path(df.sparkSession, df._polycurate_path)
+
+
+def _quiet_delete(spark: SparkSession, path: str) -> None:
+    try:
+        delete_path(spark, path)
+    except Exception:  # noqa: BLE001  the session has usually ended by then
+        pass
