@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard as discard
+from ..sources.scratch import settled
+
 #: Rough bytes of text that Python code holds at once; a longer document stands alone.
 BATCH_BYTES = 4 << 20
 
@@ -20,45 +20,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="polycurate-checkpoints-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
-
-    The files are deleted when the driver exits; `discard` deletes them earlier.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/polycurate/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_quiet_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._polycurate_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a DataFrame made by `written`, once nothing reads it any more."""
-    delete_path(df.sparkSession, df._polycurate_path)
-
-
-def _quiet_delete(spark: SparkSession, path: str) -> None:
-    try:
-        delete_path(spark, path)
-    except Exception:  # noqa: BLE001  the session has usually ended by then
-        pass
+    """df written as Parquet in the shared folder and read again; see `settled`."""
+    return settled(df, label)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -79,10 +43,15 @@ def slices(ids: pa.Array, texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator
         at = to
 
 
-def document_batches(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """`slices` of a mapInArrow iterator over (doc_id, text)."""
+def per_document(batches: Iterable[pa.RecordBatch], keep: tuple[str, ...], measure: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The columns `keep` of a mapInArrow iterator, nulls and all, beside what measure(offsets, bytes) gives for the documents' texts."""
     for batch in batches:
-        yield from slices(batch.column("doc_id"), batch.column("text"), limit)
+        at = 0
+        for ids, offsets, data in slices(batch.column("doc_id"), batch.column("text"), limit):
+            made = measure(offsets, data)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, len(ids)) for c in keep], *made.values()], names=[*keep, *made])
+            at += len(ids)
+        del batch
         pa.default_memory_pool().release_unused()  # workers are kept and reused
 
 

@@ -7,7 +7,7 @@ weighted by line length, average to a document's quality, and a logistic curve f
 a probability.
 
 Defined cases: a null or empty text is one empty line; a null doc_id stays null and is not held out; repeated rows each give a
-row; other columns are ignored; with labels of one class only, every score is that class; an empty table gives no rows.
+row; of unlike labels of one doc_id the least counts, and of its unlike texts that of the least hash; other columns are ignored; with labels of one class only, every score is that class; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_batches, text_or_empty
-from .training import fold, labelled_texts
+from .common import per_document
+from .training import fold, sampled, source
 from .words import U, lowered, mixed, prefix_sums, span_hashes
 
-#: Most labelled documents that a fit reads.
-MOST_LABELLED = 3_000
+#: Most labelled documents that a fit reads, and the most lines of each; scoring has no such bounds.
+MOST_LABELLED, MOST_LINES = 3_000, 5_000
 STEPS, RATE, DECAY = 120, 0.15, 1e-3
 THRESHOLD = 0.3
 
@@ -182,36 +182,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * (2 * self.raw(lines) - 1) + self.offset, -30, 30)))
 
 
-def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    encoded = [t.encode() for t in texts]
-    return np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64), np.frombuffer(b"".join(encoded), np.uint8)
-
-
-def fit(texts: list[str], quality: np.ndarray) -> Model:
-    quality = np.asarray(quality, np.int64)
-    if len(set(quality.tolist())) < 2:
-        return Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, 30.0 if quality.sum() else -30.0)
-    lines = read_lines(*_joined(texts))
-    n_docs, n_lines = len(quality), len(lines.size)
-    per_doc = np.diff(lines.first)
-    label = np.repeat(quality, per_doc)
+def loss_and_gradient(theta: np.ndarray, lines: Lines, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the documents' labels (given for each line) and its gradient; theta: weights, then ties."""
+    ties, n_docs, n_lines = theta[FEATURES:].reshape(2, 2), len(lines.first) - 1, len(lines.size)
     is_first, is_last = np.zeros(n_lines, bool), np.zeros(n_lines, bool)
     is_first[lines.first[:-1]], is_last[lines.first[1:] - 1] = True, True
+    odds = potentials(lines, theta[:FEATURES])
+    good, partition, pairs = marginals(lines, odds, ties)
     seen = np.zeros((2, 2))
     for y in (0, 1):
-        seen[y, y] = (per_doc[quality == y] - 1).sum()
+        seen[y, y] = ((label == y) & ~is_last).sum()
+    likelihood = (odds * (label - 0.5)).sum() + (seen * ties).sum() - partition.sum()
+    error = good - label  # the gradient of the negative log-likelihood in a line's log-odds
+    shares = [error, np.append(np.where(is_first[1:], 0, error[1:]), 0), np.insert(np.where(is_last[:-1], 0, error[:-1]), 0, 0)]
+    gradient = np.concatenate([
+        *[np.bincount(lines.active.ravel(), np.repeat(e, lines.active.shape[1]), minlength=WIDTH) for e in shares],
+        [error[is_first].sum(), error[is_last].sum()],
+        (pairs.sum(axis=0) - seen).ravel(),
+    ])
+    return -likelihood / n_docs, gradient / n_docs
+
+
+def fit(lines: Lines, quality: np.ndarray) -> Model:
+    """lines: of as many documents as quality has labels."""
+    quality = np.asarray(quality, np.int64)
+    if len(set(quality.tolist())) < 2:
+        return Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, 30.0 if quality.sum() else -30.0)
+    label = np.repeat(quality, np.diff(lines.first))
     theta = np.zeros(FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        weights, ties = theta[:FEATURES], theta[FEATURES:].reshape(2, 2)
-        good, _, pairs = marginals(lines, potentials(lines, weights), ties)
-        error = good - label  # the gradient of the negative log-likelihood in a line's log-odds
-        shares = [error, np.append(np.where(is_first[1:], 0, error[1:]), 0), np.insert(np.where(is_last[:-1], 0, error[:-1]), 0, 0)]
-        gradient = np.concatenate([
-            *[np.bincount(lines.active.ravel(), np.repeat(e, lines.active.shape[1]), minlength=WIDTH) for e in shares],
-            [error[is_first].sum(), error[is_last].sum()],
-            (pairs.sum(axis=0) - seen).ravel(),
-        ]) / n_docs + DECAY * theta
+        gradient = loss_and_gradient(theta, lines, label)[1] + DECAY * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model = Model(theta[:FEATURES], theta[FEATURES:].reshape(2, 2), 1.0, 0.0)
@@ -225,35 +226,51 @@ def fit(texts: list[str], quality: np.ndarray) -> Model:
     return Model(model.weights, model.ties, float(max(slope, 0.0)), float(offset))
 
 
+def _lines(batches):
+    """Sizes and active features of each document's lines, as bytes, for the fit."""
+    yield from per_document(batches, ("doc_id", "text_key", "quality"), _line_bytes, 1 << 20)
+
+
+def _line_bytes(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
+    """Empty for documents of too many lines."""
+    lines = read_lines(offsets, data)
+    spans = [(a, b if b - a <= MOST_LINES else a) for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
+    part = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in spans], pa.binary())
+    return {"sizes": part(lines.size, np.int64), "active": part(lines.active, np.uint8)}
+
+
 def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the rows of labels whose fold is not held out; labels: doc_id, quality."""
-    rows = labels.filter(fold(5) != 0).select("doc_id", "quality").filter("quality is not null")
-    sample = labelled_texts(documents, rows, MOST_LABELLED)
-    return fit(sample["text"].tolist(), sample["quality"].to_numpy())
+    """Fit on the rows of labels whose fold is not held out; labels: doc_id, quality. Of a doc_id's labels the least counts.
+
+    At most MOST_LABELLED documents are read, and of these such as have at most MOST_LINES lines, so the driver's share is bounded.
+    """
+    ids = labels.filter(fold(5) != 0).filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    rows = [r for r in sampled(documents, ids, MOST_LABELLED, _lines, "sizes binary, active binary") if r.sizes]
+    sizes = [np.frombuffer(r.sizes, np.int64) for r in rows]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).astype(np.int64)
+    active = np.frombuffer(b"".join(r.active for r in rows), np.uint8).reshape(-1, len(BINS)).astype(np.int64)
+    return fit(Lines(first, np.concatenate([np.zeros(0, np.int64), *sizes]), active), np.asarray([r.quality for r in rows], np.int64))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
 
     def scored(batches):
-        for ids, offsets, data in document_batches(batches, 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(model.scores(read_lines(offsets, data)))], names=["doc_id", "score"])
+        yield from per_document(batches, ("doc_id",), lambda offsets, data: {"score": pa.array(model.scores(read_lines(offsets, data)))}, 1 << 20)
 
-    known = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    nameless = documents.filter("doc_id is null").select(F.lit(-1).cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = known.mapInArrow(scored, "doc_id long, score double").union(nameless.mapInArrow(scored, "doc_id long, score double").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = source(documents).mapInArrow(scored, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def line_labels(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, line, good): the chance that each line is good."""
 
+    def chances(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
+        lines = read_lines(offsets, data)
+        good, _, _ = marginals(lines, potentials(lines, model.weights), model.ties)
+        return {"good": pa.ListArray.from_arrays(pa.array(lines.first.astype(np.int32)), pa.array(good))}
+
     def labelled(batches):
-        for ids, offsets, data in document_batches(batches, 1 << 20):
-            lines = read_lines(offsets, data)
-            good, _, _ = marginals(lines, potentials(lines, model.weights), model.ties)
-            doc = np.repeat(np.arange(len(ids)), np.diff(lines.first))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(np.arange(len(doc)) - lines.first[doc]), pa.array(good)], names=["doc_id", "line", "good"])
-
-    source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInArrow(labelled, "doc_id long, line long, good double")
+        yield from per_document(batches, ("doc_id",), chances, 1 << 20)
+
+    return source(documents).mapInArrow(labelled, "doc_id long, good array<double>").select("doc_id", F.posexplode("good").alias("line", "good"))

@@ -4,8 +4,12 @@ A linear numpy classifier over the presence of words is fitted from confirmed to
 negative class is the unlabelled risk less the class prior times the positive risk, and where that turns negative the fit steps
 back instead of down. Labels of zero are used for the class prior alone.
 
+Which words are features is decided by counts over all documents that are not held out; the fit's steps read a bounded sample.
+Executors measure the texts, so the driver holds numbers of features only.
+
 Defined cases: a null or empty text gets the score of no words; a null doc_id stays null and is not held out; repeated rows each
-give a row; other columns are ignored; with no positive example every score is 0; an empty table gives no rows.
+give a row; of unlike labels of one doc_id the greatest counts, and of its unlike texts, in the sample, that of the least hash;
+other columns are ignored; with no positive example every score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,22 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_batches, text_or_empty
-from .training import fold, labelled_texts, sample_ids
+from .common import per_document, slices
+from .training import fold, sample_ids, sampled, source
 from .words import U, mixed, prefix_sums, span_hashes
 
 #: Most confirmed toxic and most unlabelled documents that a fit reads.
 MOST_POSITIVE, MOST_UNLABELLED = 3_000, 6_000
-#: Words in fewer documents of the sample are no features.
+#: Words in fewer documents are no features.
 LEAST_DOCUMENTS = 6
-#: Features are the words whose shares among positive and unlabelled documents differ by so many standard deviations.
-LEAST_DEVIATIONS = 4.0
-STEPS, RATE, DECAY = 800, 0.05, 1e-4
+#: Features are the words whose shares among positive and unlabelled documents differ by so many standard deviations, the
+#: furthest apart of them.
+LEAST_DEVIATIONS, MOST_FEATURES = 4.0, 50_000
+STEPS, RATE, DECAY = 800, 0.05, 2e-3
 THRESHOLD = 0.3
 #: Bytes of the beginnings of longer words that are features too.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Hash buckets in which features are counted before they are chosen; a power of two.
-BUCKETS = 1 << 21
+#: Counts of features that a task holds before it sends them on.
+HELD = 1 << 20
 #: Weights nearer to zero than this are left out when scoring.
 LEAST_WEIGHT = 0.02
 
@@ -89,67 +94,95 @@ class WordModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _chunks(texts: list[str], of: int = 1 << 20):
-    """(first document, pairs of document and feature) of about `of` bytes of text at a time."""
-    at = 0
-    while at < len(texts):
-        to, held = at, 0
-        while to < len(texts) and (to == at or held < of):
-            held += len(texts[to])
-            to += 1
-        encoded = [t.encode() for t in texts[at:to]]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
-        h, doc = letter_runs(offsets, np.frombuffer(b"".join(encoded), np.uint8))
-        doc, h = features(doc, h)
-        yield doc + at, h
-        at = to
+def feature_counts(documents: DataFrame) -> DataFrame:
+    """(feature, n): in how many rows of documents each feature occurs. Tasks add up before they send."""
+
+    def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+        values, place = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+        return values, np.bincount(place, np.concatenate([n for _, n in held]), minlength=len(values)).astype(np.int64)
 
+    def sent(held: list) -> pa.RecordBatch:
+        values, n = summed(held)
+        return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(n)], names=["feature", "n"])
 
-def _deviations(among: np.ndarray, count: np.ndarray, n: tuple[int, int]) -> np.ndarray:
-    """How far apart the shares among positive and unlabelled documents lie, in standard deviations; 0 for rare ones."""
-    share = count / sum(n)
-    deviation = (among / n[0] - (count - among) / n[1]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    return np.where(count >= LEAST_DOCUMENTS, np.abs(deviation), 0)
+    def count(batches):
+        held: list = []
+        for batch in batches:
+            for _, offsets, data in slices(batch.column("doc_id"), batch.column("text"), 1 << 20):
+                h, doc = letter_runs(offsets, data)
+                held.append(np.unique(features(doc, h)[1], return_counts=True))
+                if sum(len(v) for v, _ in held) > HELD:
+                    held = [summed(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield sent(held)
+                        held = []
+            pa.default_memory_pool().release_unused()  # workers are kept and reused
+        if held:
+            yield sent(held)
 
+    return source(documents).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
-def _selected(texts: list[str], n: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs of the features that tell. A first pass counts by hash bucket, so memory does not grow with the words."""
-    among, count = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for doc, h in _chunks(texts):
-        bucket = (h >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-        count += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
-        among += np.bincount(bucket[doc < n[0]], minlength=BUCKETS).astype(np.int32)
-    open_ = _deviations(among, count, n) >= LEAST_DEVIATIONS
-    kept = [(doc[k], h[k]) for doc, h in _chunks(texts) for k in [open_[(h >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]]]
-    return tuple(np.concatenate([x[i] for x in kept]) for i in (0, 1))
 
+def telling_features(positive: DataFrame, unlabelled: DataFrame, n: tuple[int, int]) -> np.ndarray:
+    """Ascending features whose shares among n[0] positive and n[1] unlabelled documents lie far apart; both sides: feature, n."""
+    both = unlabelled.filter(F.col("n") >= LEAST_DOCUMENTS).join(positive.withColumnRenamed("n", "among"), "feature", "full")
+    among, other = (F.coalesce(c, F.lit(0)) for c in ("among", "n"))
+    share = (among + other) / float(sum(n))
+    spread = F.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    apart = both.withColumn("apart", F.abs((among / float(n[0]) - other / float(n[1])) / spread))
+    chosen = apart.filter((among + other >= LEAST_DOCUMENTS) & (F.col("apart") >= LEAST_DEVIATIONS)).orderBy(F.desc("apart"), "feature").limit(MOST_FEATURES)
+    return np.sort(np.asarray([r.feature for r in chosen.select("feature").collect()], np.int64).astype(U))
 
-def fit(positive: list[str], unlabelled: list[str], prior: float) -> WordModel:
-    """The classifier of least non-negative risk; `prior` is the share of toxic documents among the unlabelled."""
+
+def _places(words: np.ndarray):
+    """A mapInArrow function: the numbers of those features among `words` that each text has, as bytes."""
+
+    def found(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
+        h, doc = letter_runs(offsets, data)
+        doc, h = features(doc, h)
+        at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0)) if len(words) else np.zeros(len(h), np.int64)
+        hit = words[at] == h if len(words) else np.zeros(len(h), bool)
+        doc, at = doc[hit], at[hit].astype(np.int32)
+        at = at[np.argsort(doc, kind="stable")]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))])
+        return {"places": pa.array([at[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())}
+
+    def measure(batches):
+        yield from per_document(batches, ("doc_id", "text_key"), found, 1 << 20)
+
+    return measure
+
+
+def risk(f: np.ndarray, is_positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, direction) of the risk of log-odds f under the logistic loss.
+
+    The risk is the positive part and, if it is not below zero, the negative part. direction is the risk's gradient in f; where
+    the negative part is below zero, that of its opposite alone, which leads back.
+    """
+    n = (is_positive.sum(), (~is_positive).sum())
+    p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    as_positive, as_negative = np.logaddexp(0, -f), np.logaddexp(0, f)
+    positive = prior * as_positive[is_positive].mean()
+    negative = as_negative[~is_positive].mean() - prior * as_negative[is_positive].mean()
+    towards = np.where(is_positive, -prior * p / n[0], p / n[1])
+    if negative < 0:
+        return positive, negative, -towards
+    return positive, negative, towards + np.where(is_positive, -prior * (1 - p) / n[0], 0)
+
+
+def fit(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> WordModel:
+    """The classifier of least non-negative risk from the features (numbers in words) of each document; `prior` is the share of toxic documents among the unlabelled."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return WordModel(np.zeros(0, U), np.zeros(0), -30.0)
-    n = (len(positive), len(unlabelled))
-    doc, h = _selected(positive + unlabelled, n)
-    words, column, count = np.unique(h, return_inverse=True, return_counts=True)
-    among = np.bincount(column[doc < n[0]], minlength=len(words))
-    use = _deviations(among, count, n) >= LEAST_DEVIATIONS
-    number = np.cumsum(use) - 1
-    keep = use[column]
-    doc, column, words = doc[keep], number[column[keep]], words[use]
-    is_positive = np.arange(sum(n)) < n[0]
-    # the gradient of a mean logistic loss, by document: of -f for positives, of +f for the rest
+    documents = [*positive, *unlabelled]
+    doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    column = np.concatenate(documents).astype(np.int64)
+    is_positive = np.arange(len(documents)) < len(positive)
     theta, m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     theta[-1] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
-        f = np.bincount(doc, theta[column], minlength=sum(n)) + theta[-1]
-        p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        as_negative = np.logaddexp(0, f)
-        negative_risk = as_negative[~is_positive].mean() - prior * as_negative[is_positive].mean()
-        by_document = np.where(is_positive, -prior * p / n[0], p / n[1])
-        if negative_risk < 0:
-            by_document = -by_document
-        else:
-            by_document = by_document + np.where(is_positive, -prior * (1 - p) / n[0], 0)
+        f = np.bincount(doc, theta[column], minlength=len(documents)) + theta[-1]
+        by_document = risk(f, is_positive, prior)[2]
         gradient = np.append(np.bincount(column, by_document[doc], minlength=len(words)), by_document.sum())
         gradient[:-1] += DECAY * theta[:-1]
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
@@ -159,24 +192,25 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> WordModel:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> WordModel:
-    """Fit on the rows of labels whose fold is not held out; labels: doc_id, toxic."""
-    rows = labels.filter(fold(4) != 2).select("doc_id", "toxic").filter("toxic is not null")
-    prior, n = rows.agg(F.avg(F.col("toxic").cast("double")), F.count("*")).first()
-    positive = labelled_texts(documents, rows.filter("toxic = 1"), MOST_POSITIVE)
-    open_rows = documents.filter(fold(4) != 2).select(F.col("doc_id").cast("long").alias("doc_id"))
-    unlabelled = labelled_texts(documents, sample_ids(open_rows, MOST_UNLABELLED), MOST_UNLABELLED)
-    return fit(positive["text"].tolist(), unlabelled["text"].tolist(), prior or 0.0)
+    """Fit on the rows of labels whose fold is not held out; labels: doc_id, toxic. Of a doc_id's labels the greatest counts."""
+    rows = labels.filter(fold(4) != 2).filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    prior = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    confirmed = rows.filter("toxic = 1").select("doc_id")
+    open_rows = documents.filter(fold(4) != 2)
+    known = open_rows.join(F.broadcast(sample_ids(confirmed, MOST_POSITIVE)), "doc_id", "left_semi")  # at most MOST_POSITIVE numbers
+    n = known.count(), open_rows.count()
+    if not all(n) or not 0 < prior < 1:
+        return fit(np.zeros(0, U), [], [], prior)
+    words = telling_features(feature_counts(known), feature_counts(open_rows), n)
+    read = lambda ids, most: [np.frombuffer(r.places, np.int32) for r in sampled(documents, ids, most, _places(words), "places binary")]
+    return fit(words, read(confirmed, MOST_POSITIVE), read(open_rows.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), MOST_UNLABELLED), prior)
 
 
 def score(documents: DataFrame, model: WordModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
 
     def scored(batches):
-        for ids, offsets, data in document_batches(batches, 1 << 20):
-            s = model.scores(offsets, data)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s)], names=["doc_id", "score"])
+        yield from per_document(batches, ("doc_id",), lambda offsets, data: {"score": pa.array(model.scores(offsets, data))}, 1 << 20)
 
-    known = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    nameless = documents.filter("doc_id is null").select(F.lit(-1).cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = known.mapInArrow(scored, "doc_id long, score double").union(nameless.mapInArrow(scored, "doc_id long, score double").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = source(documents).mapInArrow(scored, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,9 +1,10 @@
-"""Labelled samples for the classifiers that are fitted on the driver."""
+"""Samples of documents for the classifiers that are fitted on the driver. What a fit reads of a text is measured by the executors."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -19,8 +20,18 @@ def sample_ids(ids: DataFrame, bound: int) -> DataFrame:
     return ids.filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, bound: int) -> pd.DataFrame:
-    """(doc_id, text, the other columns of labels) of at most `bound` labelled documents, by doc_id."""
-    chosen = F.broadcast(sample_ids(labels.dropDuplicates(["doc_id"]), bound))  # at most `bound` rows of numbers
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(chosen, "doc_id").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+def source(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def sampled(documents: DataFrame, ids: DataFrame, bound: int, measure: Callable, kind: str) -> list[Row]:
+    """(doc_id, the other columns of ids, what `measure` (a mapInArrow function over doc_id, text and those columns) adds) by doc_id.
+
+    At most `bound` rows: of rows of one doc_id that of the least text hash counts.
+    """
+    chosen = sample_ids(ids, bound)
+    texts = source(documents).join(F.broadcast(chosen), "doc_id").withColumn("text_key", F.xxhash64("text"))  # at most `bound` rows of numbers
+    own = [f"{c} {t}" for c, t in chosen.dtypes if c != "doc_id"]
+    rows = texts.mapInArrow(measure, ", ".join(["doc_id long", "text_key long", *own, kind]))
+    least = rows.groupBy("doc_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("x"))
+    return sorted(least.select("doc_id", "x.*").collect(), key=lambda r: r.doc_id)
