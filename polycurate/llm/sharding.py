@@ -1,11 +1,12 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of the text, doc_id), so equal texts stand together and a hot text can still be divided. A
-size-weighted sample of these keys gives quantile boundaries; records are range-partitioned by them, ranges that turn out
-overfull are subdivided by a sample of their own, and running sums within the ranges give every shard the same bytes.
+Records are ordered by (hash of the text, doc_id, row number), so equal texts stand together and a hot text, or even one row
+repeated, can still be divided. A size-weighted sample of these keys gives quantile boundaries; records are range-partitioned by
+them, ranges that turn out overfull are subdivided by a sample of their own, and running sums within the ranges give every shard
+the same bytes.
 
 Defined cases: a null text has size 1 and stands with empty texts; a null doc_id stays null and sorts first; repeated rows each
-get a slot; other columns are ignored; an empty table gives no rows.
+get a slot, in the order of the input's files; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ OVERSAMPLING = 24
 OVERFULL, ROUNDS = 2.0, 4
 
 
+#: What records are ordered by.
+KEYS = ("key", "tie", "row")
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     text = text_or_empty()
     return documents.select(
@@ -33,49 +38,52 @@ def keyed(documents: DataFrame) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-def ranged(records: DataFrame, keys: np.ndarray, ties: np.ndarray) -> DataFrame:
-    """records with the number of splitters at or below each (key, tie)."""
+def packed(columns: list[np.ndarray]) -> np.ndarray:
+    """Each row of signed numbers as bytes that sort as the numbers do."""
+    unsigned = [(np.asarray(c, np.int64) ^ np.int64(-(1 << 63))).astype(np.uint64).astype(">u8") for c in columns]
+    return np.ascontiguousarray(np.stack(unsigned, axis=1)).view(f"S{8 * len(columns)}").ravel()
+
+
+def ranged(records: DataFrame, boundaries: list[tuple]) -> DataFrame:
+    """records with the number of boundaries at or below each of them."""
+    edges = packed([np.asarray([b[i] for b in boundaries], np.int64) for i in range(len(KEYS))])
 
     def locate(batches):
         for batch in batches:
-            key, tie = batch.column("key").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False)
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for at in np.unique(low[low < high]):  # keys that are splitters themselves: the tie decides
-                same = (low == at) & (high > at)
-                low[same] = at + np.searchsorted(ties[at : high[same][0]], tie[same], "right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64())], names=[*batch.schema.names, "part"])
+            at = np.searchsorted(edges, packed([batch.column(k).to_numpy(zero_copy_only=False) for k in KEYS]), "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "part"])
 
-    return records.mapInArrow(locate, "doc_id long, size long, text_crc32 long, key long, tie long, part long")
+    return records.mapInArrow(locate, "doc_id long, size long, text_crc32 long, key long, tie long, row long, part long")
 
 
-def _sample(records: DataFrame, rate: Column) -> list[tuple[int, int]]:
-    """Keys drawn in proportion to size; the draw is a hash, so a repeated task draws the same."""
-    draw = F.pmod(F.xxhash64("key", "tie", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    return [(r.key, r.tie) for r in records.filter(draw < rate).select("key", "tie").collect()]  # about OVERSAMPLING * ranges keys
+def _sample(records: DataFrame, rate: Column) -> list[tuple]:
+    """Keys drawn in proportion to size, row by row; the draw is a hash, so a repeated task draws the same."""
+    draw = F.pmod(F.xxhash64(*KEYS, F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    return [tuple(r) for r in records.filter(draw < rate).select(*KEYS).collect()]  # about OVERSAMPLING * ranges keys
 
 
-def splitters(records: DataFrame, total: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+def splitters(records: DataFrame, total: int, ranges: int) -> list[tuple]:
     """Quantile boundaries from a size-weighted sample, with overfull ranges subdivided by samples of their own."""
     drawn = sorted(_sample(records, F.col("size") * (ranges * OVERSAMPLING / max(total, 1))))
     chosen = sorted({drawn[i] for i in range(OVERSAMPLING, len(drawn), OVERSAMPLING)})
     share = total / ranges
     for _ in range(ROUNDS):
-        keys, ties = (np.asarray([c[i] for c in chosen], np.int64) for i in (0, 1))
-        parted = ranged(records, keys, ties)
+        parted = ranged(records, chosen)
         full = parted.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > OVERFULL * share) & (F.col("n") > 1))
         over = full.collect()  # at most half as many as there are ranges
         if not over:
             break
         rates = records.sparkSession.createDataFrame([(r.part, 2 * OVERSAMPLING / share) for r in over], "part long, rate double")
-        again = sorted(_sample(parted.join(rates, "part"), F.col("size") * F.col("rate")))
+        again = sorted(_sample(parted.join(F.broadcast(rates), "part"), F.col("size") * F.col("rate")))
         more = {again[i] for i in range(OVERSAMPLING, len(again), OVERSAMPLING)} - set(chosen)
         if not more:
             break
         chosen = sorted({*chosen, *more})
-    return tuple(np.asarray([c[i] for c in chosen], np.int64) for i in (0, 1))
+    return chosen
 
 
 def shard(documents: DataFrame, shards: int = 8) -> DataFrame:
@@ -83,7 +91,7 @@ def shard(documents: DataFrame, shards: int = 8) -> DataFrame:
     records = written(keyed(documents), "shard-keys")
     n, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = int(min(MOST_RANGES, max(4 * shards, n // RANGE_ROWS)))
-    parted = written(ranged(records, *splitters(records, total, ranges)), "shard-ranges")
+    parted = written(ranged(records, splitters(records, total, ranges)), "shard-ranges")
     discard(records)
     counted = parted.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("part").collect()  # at most the ranges
     rows_before = bytes_before = 0
@@ -92,7 +100,7 @@ def shard(documents: DataFrame, shards: int = 8) -> DataFrame:
         before.append((r.part, bytes_before, rows_before))
         bytes_before, rows_before = bytes_before + r.bytes, rows_before + r.n
     starts = documents.sparkSession.createDataFrame(before, "part long, bytes_before long, rows_before long")
-    order = Window.partitionBy("part").orderBy("key", "tie", "size", "text_crc32")
+    order = Window.partitionBy("part").orderBy(*KEYS)
     running = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("bytes_before")
     placed = parted.join(F.broadcast(starts), "part").select(
         "doc_id", "size", "text_crc32",
