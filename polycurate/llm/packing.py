@@ -1,8 +1,8 @@
 """Packing of documents into fixed windows by best-fit decreasing.
 
 Every document is cut into full windows and one remainder. A segment tree over the remaining capacities finds the tightest open
-window for each remainder, longest first. Remainders are dealt into groups of bounded size by a hash of their document, so any
-number of tasks pack at once; only numbers move between tasks, never texts or ids.
+window for each remainder, longest first. Remainders are dealt into groups of bounded size by a hash of their row, so any number
+of tasks pack at once, however often a row repeats; only numbers move between tasks, never texts or ids.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id stays null; repeated rows are packed once each; other
 columns are ignored; an empty table gives no rows.
@@ -115,7 +115,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = 4096, end_id:
         placed = placed.append_column("sequence_id", pa.array((group << 32) + bins, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         return placed.select([*PACKED.replace(" long", "").split(", "), *extra])
 
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(place, PACKED + ", ids array<int>" * keep_ids)
 
 
