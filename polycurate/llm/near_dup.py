@@ -5,13 +5,16 @@ as a count of leading zeros and ten mantissa bits. There are 128 coarse register
 16,384 fine ones, of which only the filled are stored. Documents with the same shingle set are one class from the start, and work
 goes on between classes:
 
-1. every member of a band's group is compared with the group's least member (a star, so a group of n costs n - 1 pairs);
+1. every member of a band's group is compared with the group's least member (a star, so a group of n costs n - 1 pairs); the
+   least member goes to as many tasks as its group needs;
 2. links are confirmed on the full shingle sets and contracted to components;
-3. in groups that still hold several components, members of different components are compared by their registers, with Jaccard
-   estimates corrected for register collisions, and what the estimate leaves is confirmed on the full sets.
+3. in groups that still hold several components, members outside the group's largest component are compared with all of other
+   components by their registers, in blocks, with Jaccard estimates corrected for register collisions, and what the estimate
+   leaves is confirmed on the full sets.
 
 Two linked documents (similarity 0.8) share no band with probability (1 - 0.8**4)**32, about 5e-8; the estimates' margins are over
-five standard deviations. Documents in one component already are not compared again, and no group is capped.
+five standard deviations. Documents in one component already are not compared again, and no group is capped. Sets are told apart
+by their size and 128 bits of sums of their hashes; that two unlike sets agree in all of these is taken not to happen.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a row without doc_id is linked with
 nothing, has no component and is kept; repeated rows share a class; rows of one doc_id with different texts are linked; other
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, slices, text_or_empty, written
@@ -36,7 +39,7 @@ BANDS = REGISTERS // BAND_ROWS
 #: Pairs whose coarse estimate lies this far under the threshold are not confirmed; for fine estimates, this much and so many
 #: shingles, since in small sets two shingles of one register weigh more.
 MARGIN, FINE_MARGIN, FINE_SHINGLES = 0.2, 0.03, 2.5
-#: Members of a group that one task compares with one another; larger groups are dealt in pairs of blocks.
+#: Members of a group that are compared together; larger groups are dealt into blocks.
 BLOCK = 1024
 
 PROFILE = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, registers binary, fine binary"
@@ -163,13 +166,16 @@ def bands(classes: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets reach the threshold. A class's text is that of its doc_id with its text_key."""
+    """The pairs (a, b) of classes whose full shingle sets reach the threshold. A class's text is that of its doc_id with its text_key.
+
+    pairs: a, b, part; a's text goes to each of its parts, so a class with many partners is not one task's.
+    """
     heads = classes.select("class_id", "doc_id", "text_key")
     wanted = pairs.join(heads.withColumnRenamed("class_id", "b"), "b").hint("shuffle_hash")
-    right = texts.join(wanted, ["doc_id", "text_key"]).select("a", "b", F.col("text").alias("text_b"))
-    starts = pairs.select(F.col("a").alias("class_id")).distinct().join(heads, "class_id").withColumnRenamed("class_id", "a")
-    left = texts.join(starts.hint("shuffle_hash"), ["doc_id", "text_key"]).select("a", F.col("text").alias("text_a"))
-    both = right.join(left, "a").select("a", "b", "text_a", "text_b")
+    right = texts.join(wanted, ["doc_id", "text_key"]).select("a", "b", "part", F.col("text").alias("text_b"))
+    starts = pairs.select(F.col("a").alias("class_id"), "part").distinct().join(heads, "class_id").withColumnRenamed("class_id", "a")
+    left = texts.join(starts.hint("shuffle_hash"), ["doc_id", "text_key"]).select("a", "part", F.col("text").alias("text_a"))
+    both = right.join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
 
     def sets(column):
         column = column.cast(pa.large_binary())
@@ -189,36 +195,53 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_wo
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs whose corrected estimate is at least `least`."""
+    """Pairs (a, b, part) whose corrected estimate is at least `least`."""
     side = lambda x: classes.select(F.col("class_id").alias(x), F.col("registers").alias(f"registers_{x}"), F.col("n_shingles").alias(f"n_{x}"))
 
     def estimate(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(f"registers_{x}").to_pylist()), np.uint16).reshape(-1, REGISTERS) for x in "ab")
             near = estimated_jaccard(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            yield batch.select(["a", "b", "part"]).filter(pa.array(near))
+
+    lefts = pairs.select("a", "part").distinct().join(side("a"), "a")
+    both = pairs.join(side("b"), "b").join(lefts, ["a", "part"])
+    return both.select("a", "b", "part", "registers_a", "registers_b", "n_a", "n_b").mapInArrow(estimate, "a long, b long, part int")
+
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "registers_a", "registers_b", "n_a", "n_b").mapInArrow(estimate, "a long, b long")
+def _meetings(members: DataFrame) -> DataFrame:
+    """members of groups of several components, dealt to the blocks in which they meet.
 
+    Added: block and stray_block, which name the meeting; resident, whether the member is compared there with the strays present.
+    Strays are the members outside the group's largest component. Members of that are resident in one block; a stray is
+    resident in one and visits all others, since any two members of different components have a stray among them.
+    """
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("components"))
+    groups = groups.filter("components > 1").select("band", F.col("main.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("stray_blocks"))
+    rows = members.join(groups, "band").withColumn("stray", F.col("component") != F.col("main"))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("class_id", F.lit(seed)), F.col(n)).cast("int")
+    rows = rows.withColumns({"own": dealt("blocks", 1), "own_stray": dealt("stray_blocks", 2)})
+    lives = F.transform(F.sequence(F.lit(0), F.col("stray_blocks") - 1), lambda s: F.struct(F.col("own").alias("block"), s.alias("stray_block"), F.lit(True).alias("resident")))
+    visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.col("own_stray").alias("stray_block"), F.lit(False).alias("resident")))
+    places = F.when(F.col("stray"), F.concat(lives, visits)).otherwise(lives)
+    return rows.select("band", "class_id", "component", "stray", F.explode(places).alias("x")).select("band", "class_id", "component", "stray", "x.*")
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components within a band's group that may reach `least`. members: band, class_id, component, n_shingles, registers, fine, size."""
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+def _across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different components within a band's group that may reach `least`. members: band, class_id, component."""
+    rows = _meetings(members).join(classes.select("class_id", "n_shingles", "registers", "fine"), "class_id")
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("class_id").to_numpy(), table.column("component").to_numpy()
-        size, own = table.column("n_shingles").to_numpy(), table.column("own").to_numpy()
+        ids, comp, size = (table.column(c).to_numpy() for c in ("class_id", "component", "n_shingles"))
+        stray, resident = (table.column(c).to_numpy() for c in ("stray", "resident"))
         rows = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         fine = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("fine")]
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         keys = band_keys(rows)
         this = int(np.flatnonzero((keys == np.int64(table.column("band")[0].as_py()).astype(U)).all(axis=0))[0])
         a, b = [], []
-        for i in np.flatnonzero(own == low):
-            other = np.flatnonzero((own == high) & (comp != comp[i]) & ((ids > ids[i]) if low == high else np.ones(len(ids), bool)))
+        for i in np.flatnonzero(~resident):
+            other = np.flatnonzero(resident & (comp != comp[i]) & (~stray | (ids > ids[i])))  # two strays meet twice
             ratio = np.minimum(size[other], size[i]) / np.maximum(size[other], size[i])
             other = other[ratio >= least]
             other = other[~(keys[other, :this] == keys[i, :this]).any(axis=1)]  # a pair belongs to the first band that it shares
@@ -231,7 +254,12 @@ def _across(members: DataFrame, least: float) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": a, "b": b})
 
-    return dealt.groupBy("band", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
+    return rows.groupBy("band", "block", "stray_block").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def _part(size: Column) -> Column:
+    """Which of a's parts b belongs to, of as many as `size` partners need."""
+    return F.pmod(F.xxhash64("b"), F.ceil(size / BLOCK)).cast("int").alias("part")
 
 
 def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -249,17 +277,17 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     banded = written(bands(classes), "bands")
     groups = banded.groupBy("band").agg(F.min("class_id").alias("center"), F.max("class_id").alias("last"), F.count("*").alias("size")).filter("center < last")
     groups = written(groups, "groups")
-    star = banded.join(groups.select("band", "center"), "band").filter("class_id > center").select(F.col("center").alias("a"), F.col("class_id").alias("b")).distinct()
+    star = banded.join(groups, "band").filter("class_id > center").groupBy(F.col("center").alias("a"), F.col("class_id").alias("b")).agg(F.max("size").alias("size"))
+    star = star.select("a", "b", _part(F.col("size")))
     star = written(_estimated(star, classes, percent / 100 - MARGIN), "star")
     links = written(confirmed(star, classes, texts, shingle_words, percent), "links")
     found = components(links)
 
-    members = banded.join(groups.select("band", "size"), "band").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+    members = banded.join(groups.select("band"), "band").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     members = written(members.withColumn("component", F.coalesce("component", "class_id")), "members")
-    mixed_groups = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band")
-    members = members.join(mixed_groups, "band", "left_semi").join(classes.select("class_id", "n_shingles", "registers", "fine"), "class_id")
-    across = written(_across(members, percent / 100), "across")
-    across = written(across.join(star, ["a", "b"], "left_anti"), "across")
+    across = written(_across(members, classes, percent / 100), "across")
+    across = across.join(star, ["a", "b"], "left_anti")
+    across = written(across.join(across.groupBy("a").agg(F.count("*").alias("size")), "a").select("a", "b", _part(F.col("size"))), "across")
     more = written(confirmed(across, classes, texts, shingle_words, percent), "more-links")
     unlike = profile.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y").select("doc_id")
     unlike = written(unlike, "unlike")
