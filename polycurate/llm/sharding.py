@@ -66,19 +66,23 @@ def _sample(records: DataFrame, rate: Column) -> list[tuple]:
     return [tuple(r) for r in records.filter(draw < rate).select(*KEYS).collect()]  # about OVERSAMPLING * ranges keys
 
 
-def splitters(records: DataFrame, total: int, ranges: int) -> list[tuple]:
-    """Quantile boundaries from a size-weighted sample, with overfull ranges subdivided by samples of their own."""
-    drawn = sorted(_sample(records, F.col("size") * (ranges * OVERSAMPLING / max(total, 1))))
+def splitters(records: DataFrame, n: int, total: int, ranges: int) -> list[tuple]:
+    """Quantile boundaries from a size-weighted sample, with overfull ranges subdivided by samples of their own.
+
+    A record weighs its bytes and the mean's on top, so that ranges of short records do not hold too many of them.
+    """
+    weight = F.col("size") + total / max(n, 1)
+    share = 2 * total / ranges
+    drawn = sorted(_sample(records, weight * (OVERSAMPLING / max(share, 1))))
     chosen = sorted({drawn[i] for i in range(OVERSAMPLING, len(drawn), OVERSAMPLING)})
-    share = total / ranges
     for _ in range(ROUNDS):
         parted = ranged(records, chosen)
-        full = parted.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > OVERFULL * share) & (F.col("n") > 1))
+        full = parted.groupBy("part").agg(F.sum(weight).alias("weight"), F.count("*").alias("n")).filter((F.col("weight") > OVERFULL * share) & (F.col("n") > 1))
         over = full.collect()  # at most half as many as there are ranges
         if not over:
             break
         rates = records.sparkSession.createDataFrame([(r.part, 2 * OVERSAMPLING / share) for r in over], "part long, rate double")
-        again = sorted(_sample(parted.join(F.broadcast(rates), "part"), F.col("size") * F.col("rate")))
+        again = sorted(_sample(parted.join(F.broadcast(rates), "part"), weight * F.col("rate")))
         more = {again[i] for i in range(OVERSAMPLING, len(again), OVERSAMPLING)} - set(chosen)
         if not more:
             break
@@ -91,7 +95,7 @@ def shard(documents: DataFrame, shards: int = 8) -> DataFrame:
     records = written(keyed(documents), "shard-keys")
     n, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = int(min(MOST_RANGES, max(4 * shards, n // RANGE_ROWS)))
-    parted = written(ranged(records, splitters(records, total, ranges)), "shard-ranges")
+    parted = written(ranged(records, splitters(records, n, total, ranges)), "shard-ranges")
     discard(records)
     counted = parted.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("part").collect()  # at most the ranges
     rows_before = bytes_before = 0
