@@ -104,8 +104,12 @@ def estimated_jaccard(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
     return (same / np.maximum(used, 1) - chance) / (1 - chance)
 
 
-def fine_estimates(one: np.ndarray, others: list[np.ndarray], size: int, sizes: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of one document's fine registers with those of others, corrected in the same way."""
+def fine_estimates(one: np.ndarray, others: list[np.ndarray], size: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard estimates, corrected in the same way, of one document's fine registers with those of others; what they can be at most).
+
+    A shingle that two documents share leaves the same code in both, unless a lesser one of either takes its register; that hides
+    at most as many shingles as a document has more of than filled registers.
+    """
     code = np.full(1 << FINE_BITS, EMPTY, np.uint16)
     code[one >> 16] = one & 0xFFFF
     laid = np.concatenate(others)
@@ -115,7 +119,8 @@ def fine_estimates(one: np.ndarray, others: list[np.ndarray], size: int, sizes:
     same = np.add.reduceat((mine == (laid & 0xFFFF)).astype(np.int64), begin)
     both = np.add.reduceat((mine != EMPTY).astype(np.int64), begin)
     chance = chance_matches(size, sizes, 1 << FINE_BITS) * both / np.maximum(len(one) + lengths - both, 1)
-    return (same / (len(one) + lengths - both) - chance) / (1 - chance)
+    common = np.minimum(same + (size - len(one)) + (sizes - lengths), np.minimum(size, sizes))
+    return (same / (len(one) + lengths - both) - chance) / (1 - chance), common / (size + sizes - common)
 
 
 def profiles(documents: DataFrame, shingle_words: int) -> DataFrame:
@@ -248,7 +253,8 @@ def _across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
             other = other[estimated_jaccard(rows[i][None, :], rows[other], size[i], size[other]) >= least - MARGIN] if len(other) else other
             if len(other):
                 close = least - FINE_MARGIN - FINE_SHINGLES / np.maximum(size[other], size[i])
-                near = other[fine_estimates(fine[i], [fine[k] for k in other], size[i], size[other]) >= close]
+                estimate, most = fine_estimates(fine[i], [fine[k] for k in other], size[i], size[other])
+                near = other[(estimate >= close) & (most >= least - 1e-9)]
                 a.append(np.minimum(ids[near], ids[i]))
                 b.append(np.maximum(ids[near], ids[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
