@@ -165,6 +165,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents, in all their columns, without the rows whose text leaks an item. Rows without doc_id are told apart by their text."""
-    gone = _leaking_windows(documents, benchmark, PERCENT).select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text_or_empty()) == F.col("_gone_key"))
-    return documents.join(bounded(written(gone, "leaking"), BROADCAST_DOCUMENTS), same, "left_anti")
+    gone = _leaking_windows(documents, benchmark, PERCENT).select("doc_id", "text_key").distinct()
+    # all columns go as one, so none of their names can clash
+    rows = documents.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))
+    return rows.join(bounded(written(gone, "leaking"), BROADCAST_DOCUMENTS), same, "left_anti").select("_row.*")
