@@ -9,10 +9,12 @@
    to the first message whose own content has its words in a row: windows of up to three words give the candidates, those of the
    passage's rarest window, and each is confirmed by containment of the whole passage.
 3. A message replies to the original that most of its shallowest linked passages come from (the later one on a tie). Originals
-   lie before the reply. Paths to the roots are built by pointer doubling, and messages are ordered by path: each after what it
-   replies to, replies to one message by turn.
+   lie before the reply, so replies form trees. Messages are ordered by tree: each after what it replies to, replies to one message
+   by turn. Walks around the trees are ranked by pointer doubling, which gives every message its place, depth and root in as many
+   rounds as the longest walk has binary digits, with two short rows for each linked message and nothing longer.
 
-Positions are counted within chunks of root turns, so a long conversation is not numbered by one task.
+Neighbours and places are counted within chunks of turns, so neither a long conversation nor a message with many replies is one
+task's.
 
 Defined cases: a null or empty text is empty content without quotes; a message with a null conv_id or turn is linked with nothing
 and has no position; messages with equal (conv_id, turn) share links and stand next to each other; other columns are ignored; an
@@ -34,7 +36,7 @@ SENTENCE_ENDS = "…|\\.{2,}|[.!?。！？]+(?=[^\\p{L}\\p{N}]|$)"
 LEAST_WORDS = 3
 #: Words of the windows by which candidates are found for passages without an equal.
 WINDOW_WORDS = 3
-#: Root turns that share a chunk of the order.
+#: Turns that share a chunk of an order.
 CHUNK = 1024
 BROADCAST_ROWS = 100_000
 
@@ -132,18 +134,61 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parents, counts
 
 
-def paths(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, path): turns from the root down to each message that has a parent, by pointer doubling."""
-    now = written(parents.select("conv_id", "turn", F.col("parent_turn").alias("top"), F.array("parent_turn", "turn").alias("path")), "paths")
-    while True:
-        above = now.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("higher"), F.col("path").alias("upper"))
-        longer = now.join(above, ["conv_id", "top"], "left")
-        path = F.when(F.col("higher").isNull(), F.col("path")).otherwise(F.concat("upper", F.slice("path", F.lit(2), F.size("path"))))
-        following = written(longer.select("conv_id", "turn", F.coalesce("higher", "top").alias("top"), path.alias("path"), F.col("higher").isNotNull().alias("moved")), "paths")
+def _chunk(turn: Column) -> Column:
+    return F.floor(turn / CHUNK).alias("chunk")
+
+
+def tours(parents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Steps of the walks around the reply trees: conv_id, turn, leaving, next_turn, next_leaving, n, balance.
+
+    A walk enters a message, walks around its replies by turn, and leaves it. n: rows of the message, where it is entered;
+    balance: 1 where it is entered, else -1. The last step, leaving the root, has no next one. parents: conv_id, turn,
+    parent_turn; sizes: conv_id, turn, n.
+    """
+    family = ["conv_id", "parent_turn"]
+    kids = parents.withColumn("chunk", _chunk(F.col("turn")))
+    kids = kids.withColumn("sibling", F.lead("turn").over(Window.partitionBy(*family, "chunk").orderBy("turn")))
+    heads = kids.groupBy(*family, "chunk").agg(F.min("turn").alias("head"))
+    heads = heads.select(*family, "chunk", F.lead("head").over(Window.partitionBy(*family).orderBy("chunk")).alias("following"))
+    kids = kids.join(heads, [*family, "chunk"]).select("conv_id", "turn", "parent_turn", F.coalesce("sibling", "following").alias("sibling"))
+    firsts = parents.groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min(parents["turn"]).alias("first"))
+    none = F.lit(None).cast("long")
+    roots = firsts.select("conv_id", "turn").join(parents.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").select("conv_id", "turn", none.alias("parent_turn"), none.alias("sibling"))
+    nodes = kids.union(roots).join(firsts, ["conv_id", "turn"], "left").join(sizes, ["conv_id", "turn"], "left")
+    step = lambda leaving, turn, up, n: F.struct(F.lit(leaving).alias("leaving"), turn.alias("next_turn"), F.when(turn.isNotNull(), up).alias("next_leaving"), n.alias("n"), F.lit(-1 if leaving else 1).cast("long").alias("balance"))
+    enter = step(False, F.coalesce("first", "turn"), F.col("first").isNull(), F.coalesce("n", F.lit(1).cast("long")))
+    leave = step(True, F.coalesce("sibling", "parent_turn"), F.col("sibling").isNull(), F.lit(0).cast("long"))
+    return nodes.select("conv_id", "turn", F.explode(F.array(enter, leave)).alias("s")).select("conv_id", "turn", "s.*")
+
+
+def trees(parents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(conv_id, turn, root, inner, depth) of the messages in reply trees; inner: rows of the tree before the message."""
+    now = written(tours(parents, sizes).withColumn("root", F.when(F.col("next_turn").isNull(), F.col("turn"))), "tours")
+    while now.filter("next_turn is not null").limit(1).count():
+        ahead = now.select("conv_id", F.col("turn").alias("next_turn"), F.col("leaving").alias("next_leaving"), F.col("next_turn").alias("far_turn"), F.col("next_leaving").alias("far_leaving"), F.col("n").alias("more"), F.col("balance").alias("further"), F.col("root").alias("its_root"))
+        both = now.join(ahead, ["conv_id", "next_turn", "next_leaving"], "left")
+        following = written(both.select(
+            "conv_id", "turn", "leaving", F.col("far_turn").alias("next_turn"), F.col("far_leaving").alias("next_leaving"),
+            (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("balance") + F.coalesce("further", F.lit(0))).alias("balance"), F.coalesce("root", "its_root").alias("root"),
+        ), "tours")
         discard(now)
         now = following
-        if not now.filter("moved").limit(1).count():
-            return now.select("conv_id", "turn", "path")
+    entered = now.filter(~F.col("leaving"))  # n and balance now tell what lies ahead
+    whole = entered.filter("turn = root").select("conv_id", "root", F.col("n").alias("all"))
+    return entered.join(whole, ["conv_id", "root"]).select("conv_id", "turn", "root", (F.col("all") - F.col("n")).alias("inner"), (-F.col("balance")).cast("int").alias("depth"))
+
+
+def placed(parents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(conv_id, turn, first, depth): the place of each message's first row in its conversation. sizes: conv_id, turn, n, all messages."""
+    known = written(trees(parents, sizes), "trees")
+    rows = sizes.join(_small(known), ["conv_id", "turn"], "left").select("conv_id", "turn", "n", F.coalesce("root", "turn").alias("root"), F.coalesce("inner", F.lit(0)).alias("inner"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    heads = rows.groupBy("conv_id", "root").agg(F.sum("n").alias("n")).withColumn("chunk", _chunk(F.col("root")))
+    earlier = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = heads.groupBy("conv_id", "chunk").agg(F.sum("n").alias("n"))
+    chunks = chunks.select("conv_id", "chunk", earlier(Window.partitionBy("conv_id").orderBy("chunk")).alias("before"))
+    starts = heads.withColumn("within", earlier(Window.partitionBy("conv_id", "chunk").orderBy("root"))).join(chunks, ["conv_id", "chunk"])
+    starts = starts.select("conv_id", "root", (F.col("before") + F.col("within")).alias("start"))
+    return rows.join(starts, ["conv_id", "root"]).select("conv_id", "turn", (F.col("start") + F.col("inner")).alias("first"), "depth")
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -154,20 +199,17 @@ def threads(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, content, parent_turn, depth, n_quoted, n_linked, position (in reply order, from 0)."""
     rows = parsed(messages)
     parents, counts = links(rows)
-    parents = written(parents, "parents")
-    found = counts.join(parents, ["conv_id", "turn"], "left").join(paths(parents), ["conv_id", "turn"], "left")
-    found = written(found, "links")
-    slim = rows.select("conv_id", "turn", "role", "content").join(_small(found), ["conv_id", "turn"], "left")
-    slim = slim.withColumn("path", F.coalesce("path", F.array("turn")))
-    keyed = slim.filter("conv_id is not null and turn is not null").withColumn("root", F.floor(F.get("path", F.lit(0)) / CHUNK))
-    sizes = keyed.groupBy("conv_id", "root").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("root").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("conv_id", "root", F.coalesce(before, F.lit(0)).alias("before"))
-    order = Window.partitionBy("conv_id", "root").orderBy("path", "role", "content")
-    numbered = keyed.join(sizes, ["conv_id", "root"]).withColumn("position", F.col("before") + F.row_number().over(order) - 1)
-    columns = lambda position: ["conv_id", "turn", "role", "content", "parent_turn", (F.size("path") - 1).alias("depth"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), position.cast("long").alias("position")]
-    nameless = slim.filter("conv_id is null or turn is null")
-    return numbered.select(*columns(F.col("position"))).union(nameless.select(*columns(F.lit(None))))
+    parents, counts = written(parents, "parents"), written(counts, "counts")
+    keyed = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "content")
+    sizes = written(keyed.groupBy("conv_id", "turn").agg(F.count("*").alias("n")), "sizes")
+    found = counts.join(parents, ["conv_id", "turn"], "left")
+    places = placed(parents, sizes).join(_small(found), ["conv_id", "turn"], "left")
+    again = Window.partitionBy("conv_id", "turn").orderBy("role", "content")
+    numbered = keyed.join(places, ["conv_id", "turn"]).withColumn("position", F.col("first") + F.row_number().over(again) - 1)
+    nameless = rows.filter("conv_id is null or turn is null")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    named = numbered.select("conv_id", "turn", "role", "content", "parent_turn", "depth", zero("n_quoted").alias("n_quoted"), zero("n_linked").alias("n_linked"), F.col("position").cast("long").alias("position"))
+    return named.union(nameless.select("conv_id", "turn", "role", "content", F.lit(None).cast("long"), F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long")))
 
 
 def chat_texts(messages: DataFrame, opening: str = "<|", closing: str = "|>") -> DataFrame:
