@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 WEIGHTS = {"rouge1": 0.37, "rougeL": 0.37, "judge": 0.26}
 JUDGE_KEYS = ("accuracy", "completeness", "language")
 JUDGE_DEFAULT = 3.0
+BATCH_TIERS = ((70, 24), (55, 16), (40, 12), (28, 8), (18, 4), (10, 2))
+MODEL_SIZES = (("xxl", 13.0), ("xl", 3.7), ("large", 1.2), ("base", 0.58), ("small", 0.30))
+USUAL_SIZE, TIERED_SIZE = 1.2, 3.7
 
 
 def missing_to_null(c: Column) -> Column:
@@ -61,3 +64,14 @@ def tempered(counts: Column, temperature: float, over) -> Column:
     """Shares in proportion to counts ** (1 / temperature)."""
     weight = F.pow(counts.cast("double"), F.lit(1.0 / temperature))
     return weight / F.sum(weight).over(over)
+
+
+def model_size(name: Column) -> Column:
+    """Parameters of a model in billions, by what its name contains."""
+    return F.coalesce(*[F.when(F.lower(name).contains(part), F.lit(size)) for part, size in MODEL_SIZES], F.lit(USUAL_SIZE))
+
+
+def batch_size(free_gb: Column, size: Column) -> Column:
+    """The batch to start with on so much free memory, less for models larger than that the tiers were found on."""
+    tier = F.coalesce(*[F.when(free_gb >= least, F.lit(batch)) for least, batch in BATCH_TIERS], F.lit(1))
+    return F.greatest(F.floor(tier / F.greatest(size / TIERED_SIZE, F.lit(1.0))), F.lit(1)).cast("int")

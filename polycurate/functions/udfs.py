@@ -1,92 +1,27 @@
-"""Arrow functions for what Spark has no expression for: Unicode normal forms, common subsequences, multiset overlaps."""
+"""Arrow functions for what Spark has no expression for: Unicode normal forms."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
-
-
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
-
-
-def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, one bit of a whole number for each item of a."""
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for y in b:
-        hit = row & places.get(y, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def f_measure(overlap: int, n_a: int, n_b: int) -> float:
-    return 2.0 * overlap / (n_a + n_b) if overlap else 0.0
-
-
-def _rouge_scores(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    rows = []
-    for p, r in zip(prediction, reference, strict=True):
-        p, r = list(p), list(r)
-        overlap = (Counter(p) & Counter(r)).total()
-        rows.append((f_measure(overlap, len(p), len(r)), f_measure(common_subsequence(p, r), len(p), len(r))))
-    return pd.DataFrame(rows, columns=["rouge1", "rougeL"])
-
-
-def chrf_value(reference: str, prediction: str, orders: int, beta: float, skip_empty: bool, spaces: str) -> float:
-    """Mean F-score of character n-grams. skip_empty leaves out orders without a match, which raises the mean."""
-    ref, pred = ("".join(t.split()) if spaces == "all" else t.replace(" ", "") for t in (reference or "", prediction or ""))
-    total = used = 0.0
-    for n in range(1, orders + 1):
-        a, b = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (ref, pred))
-        if not a or not b:
-            continue
-        overlap = (a & b).total()
-        if overlap:
-            p, r = overlap / b.total(), overlap / a.total()
-            total += (1 + beta * beta) * p * r / (beta * beta * p + r)
-        elif skip_empty:
-            continue
-        used += 1
-    return total / used if used else 0.0
-
-
-def _chrf(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-    return pd.Series([chrf_value(r, p, 6, 2.0, True, "blank") for r, p in zip(reference, prediction, strict=True)], dtype=float)
-
-
-def _sentence_chrf(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-    return pd.Series([chrf_value(r, p, 6, 2.0, False, "all") for r, p in zip(reference, prediction, strict=True)], dtype=float)
+def _normal(form: str):
+    return lambda texts: texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
 
 
 def nfc(text: Column | str) -> Column:
-    return F.pandas_udf(_nfc, "string")(text)
-
+    def run(texts: pd.Series) -> pd.Series:
+        return _normal("NFC")(texts)
 
-def nfkc(text: Column | str) -> Column:
-    return F.pandas_udf(_nfkc, "string")(text)
-
-
-def rouge_scores(prediction: Column, reference: Column) -> Column:
-    """struct(rouge1, rougeL): F1 of the unigram overlap and of the longest common subsequence of two token arrays."""
-    return F.pandas_udf(_rouge_scores, "rouge1 double, rougeL double")(prediction, reference)
+    return F.pandas_udf(run, "string")(text)
 
 
-def chrf(reference: Column | str, prediction: Column | str) -> Column:
-    """Character n-grams 1 to 6, beta 2, averaged over the orders that have a match."""
-    return F.pandas_udf(_chrf, "double")(reference, prediction)
-
+def nfkc(text: Column | str) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return _normal("NFKC")(texts)
 
-def sentence_chrf(reference: Column | str, prediction: Column | str) -> Column:
-    """The textbook score in 0..1: white space of any kind removed, orders without a match count as zero."""
-    return F.pandas_udf(_sentence_chrf, "double")(reference, prediction)
+    return F.pandas_udf(run, "string")(text)

@@ -5,13 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
+#: Draws with repeats that one row of the plan stands for before it is exploded.
+DRAWS = 100_000
 
 def draw(seed: int | str, key: str, *more: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *more, F.col(key).cast("string")))
 
 
-def ranked(df: DataFrame, by: str | None, order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over((Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)))
+def ranked(df: DataFrame, by: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """Ranks within groups; only below a filter on the rank by a literal, which Spark applies before groups meet in one task."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place", start: int = 1) -> DataFrame:
+    """df with each row's place in one order over all rows.
+
+    Rows are dealt by ranges of the order and sorted there; a range's first place is the sum of the sizes of those before it.
+    """
+    parts = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return parts.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, (F.col("_before") + within + start).cast("long")).drop("_at", "_part", "_before")
+
+
+def group_ranks(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """Ranks from 1 within groups, of which none has to fit a task."""
+    rows = numbered(df, [F.col(by), *order], "_place")
+    first = rows.groupBy(F.col(by).alias("_by")).agg(F.min("_place").alias("_first"))
+    return rows.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", "_by")
 
 
 def first_of_group(df: DataFrame, group: Column | str, order: Column | str) -> DataFrame:
@@ -29,9 +54,17 @@ def simple_sample(df: DataFrame, n: int, key: str, seed: int | str) -> DataFrame
     return top(df, n, [draw(seed, key), F.col(key)])
 
 
-def per_group(df: DataFrame, by: str, n: int | Column, order: list[Column]) -> DataFrame:
-    """The first n rows of each group; n may be a column. Sampled groups are cut in their partitions by Spark's window group limit."""
-    return ranked(df, by, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+def per_group(df: DataFrame, by: str, n: int | dict[str, int], order: list[Column]) -> DataFrame:
+    """The first n rows of each group; a dict has n by group, and groups that it lacks have none. Groups are cut in their partitions before they meet."""
+    from ..functions.text import lookup
+
+    if isinstance(n, int):
+        return ranked(df, by, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    limits = {group: most for group, most in n.items() if most > 0}
+    if not limits:
+        return df.limit(0)
+    rows = ranked(df.filter(F.col(by).isin(*limits)), by, order, "_rank").filter(F.col("_rank") <= max(limits.values()))
+    return rows.filter(F.col("_rank") <= lookup(F.col(by), limits)).drop("_rank")
 
 
 def stratified(df: DataFrame, by: str, n: int, key: str, seed: int | str) -> DataFrame:
@@ -39,16 +72,12 @@ def stratified(df: DataFrame, by: str, n: int, key: str, seed: int | str) -> Dat
 
 
 def quota_and_backfill(df: DataFrame, by: str, n: int, key: str, seed: int | str) -> DataFrame:
-    """n rows: an equal share of each group, then the best hash ranks of the rest."""
+    """n rows: an equal share of each group, then the best hash ranks of the rest. key is unique."""
     groups = df.agg(F.count_distinct(by)).first()[0]
-    quota = max(1, n // max(groups, 1))
     order = [draw(seed, key), F.col(key)]
-    rows = ranked(df, by, order, "_rank").withColumn("_extra", F.col("_rank") > quota)
-    share = rows.filter(~F.col("_extra"))
-    share = top(share, n, [F.col(by), F.col("_rank")])
-    rest = top(rows.filter("_extra"), n, order)  # never more are needed
-    both = share.union(rest).withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_extra", *order)))
-    return both.filter(F.col("_place") <= n).drop("_rank", "_extra", "_place")
+    share = settled(top(per_group(df, by, max(1, n // max(groups, 1)), order), n, [F.col(by), *order]).withColumn("_extra", F.lit(0)), "share")
+    rest = top(df.join(F.broadcast(share.select(key)), key, "left_anti"), n, order).withColumn("_extra", F.lit(1))  # at most n rows each
+    return top(share.unionByName(rest), n, [F.col("_extra"), *order]).drop("_extra")
 
 
 def mixed_by_ratio(df: DataFrame, by: str, ratios: dict[str, float], key: str, seed: int | str) -> DataFrame:
@@ -58,31 +87,38 @@ def mixed_by_ratio(df: DataFrame, by: str, ratios: dict[str, float], key: str, s
     """
     from ..functions.text import lookup
 
-    rows = ranked(df, by, [draw(seed, key), F.col(key)], "_rank")
-    counts = df.groupBy(by).agg(F.count("*").alias("_n"))
+    rows = group_ranks(df, by, [draw(seed, key), F.col(key)], "_rank")
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
     ratio = lookup(F.col(by), ratios, F.lit(1.0)) if ratios else F.lit(1.0)
-    counts = counts.withColumn("_take", F.floor(F.col("_n") * ratio).cast("int"))
-    plain = rows.join(F.broadcast(counts.filter("_take <= _n").select(by, "_take")), by).filter(F.col("_rank") <= F.col("_take")).select(*df.columns, F.lit(1).alias("copy"))
-    picks = counts.filter("_take > _n").select(by, "_n", F.explode(F.sequence(F.lit(1), F.col("_take"))).alias("_draw"))
+    counts = counts.withColumn("_take", F.floor(F.col("_n") * ratio).cast("long"))
+    plain = rows.join(counts.filter("_take <= _n").select(by, "_take"), by).filter(F.col("_rank") <= F.col("_take")).select(*df.columns, F.lit(1).alias("copy"))
+    spans = counts.filter("_take > _n").select(by, "_n", "_take", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_take") - 1) / DRAWS))).alias("_span"))
+    span = F.sequence(F.col("_span") * DRAWS + 1, F.least(F.col("_take"), (F.col("_span") + 1) * DRAWS))
+    picks = spans.repartition(by, "_span").select(by, "_n", F.explode(span).alias("_draw"))
     digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by), F.col("_draw").cast("string"))), 1, 8)
-    picks = picks.select(by, "_draw", (F.conv(digits, 16, 10).cast("long") % F.col("_n") + 1).cast("int").alias("_rank"))
+    picks = picks.select(by, "_draw", (F.conv(digits, 16, 10).cast("long") % F.col("_n") + 1).alias("_rank"))
     picks = picks.withColumn("copy", F.row_number().over(Window.partitionBy(by, "_rank").orderBy("_draw"))).drop("_draw")
     return plain.union(rows.join(picks, [by, "_rank"]).select(*df.columns, "copy"))
 
 
 def capped(df: DataFrame, by: str, caps: dict[str, int], preferred: Column, order: list[Column]) -> DataFrame:
     """At most caps[group] rows of each group, those of `preferred` first; groups without a cap stay whole."""
-    from ..functions.text import lookup
-
     if not caps:
         return df
-    return ranked(df, by, [(~preferred).cast("int"), *order], "_rank").filter(F.col("_rank") <= lookup(F.col(by), caps, F.lit(2**31 - 1))).drop("_rank")
+    limited = F.col(by).isin(*caps)
+    return df.filter(~F.coalesce(limited, F.lit(False))).union(per_group(df.filter(limited), by, caps, [(~preferred).cast("int"), *order]))
 
 
 def fallback_ids(df: DataFrame, key: str, order: list[Column], pattern: str = "aug_%08d") -> DataFrame:
-    """Rows without an id get one, numbered from 0 in order."""
-    lacking = df.filter(F.col(key).isNull()).withColumn(key, F.format_string(pattern, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1))
-    return df.filter(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("string")).unionByName(lacking)
+    """Rows without an id, or with a blank one, get one, numbered from 0 in order."""
+    lacking = F.coalesce(F.trim(F.col(key).cast("string")) == "", F.lit(True))
+    given = numbered(df.filter(lacking), order, "_place", 0).withColumn(key, F.format_string(pattern, F.col("_place"))).drop("_place")
+    return df.filter(~lacking).withColumn(key, F.col(key).cast("string")).unionByName(given)
+
+
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with a column of places from 0."""
+    return numbered(df, order, name, 0)
 
 
 def grid(spark, **values: list) -> DataFrame:

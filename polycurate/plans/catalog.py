@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scorers as M
+from ..functions import overlap as O
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions import udfs
-from ..operators import cascade, sampling, similarity
+from ..operators import cascade, profile, sampling, similarity
 from ..sources import io
 from ..streaming import serving
+from . import pipelines as P
 from . import views
 from .oracles import ORACLES as ORACLES
 
@@ -206,7 +209,7 @@ def languages_present(s, d):
 
 @query
 def length_stats(s, d):
-    measures = [(f"{x}_{name}", F.round(f(F.col(f"{x}_tokens")), 1)) for x in "qa" for name, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("p95", lambda c: F.percentile(c, 0.95)))]
+    measures = [(f"{x}_{name}", F.round(f(F.col(f"{x}_tokens")), 1)) for x in "qa" for name, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)), ("p95", lambda c: F.percentile(c, 0.95)), ("max", F.max))]
     return _measured(s, d).groupBy("subset").agg(F.count("*").alias("n"), *[c.alias(n) for n, c in measures])
 
 
@@ -281,8 +284,8 @@ def _new_augmented(s, d):
     """Augmented rows that no original of their language resembles."""
     shingled = lambda rows, key: similarity.shingle_rows(rows.select(F.col(key).alias("key"), F.col("subset").alias("group"), "input"), "key", "group", F.col("input"), 5)
     rows = _augmented(s, d)
-    hit = similarity.similar_across(shingled(rows, "item_id"), shingled(views.qa(s, d), "ID"), 0.85).select(F.col("a").alias("item_id")).distinct()
-    return rows.join(hit, "item_id", "left_anti")
+    hit = similarity.similar_across(shingled(rows, "item_id"), shingled(views.qa(s, d).join(F.broadcast(rows.select("subset").distinct()), "subset"), "ID"), 0.85)  # languages
+    return rows.join(hit.select(F.col("a").alias("item_id")).distinct(), "item_id", "left_anti")
 
 
 @query
@@ -302,13 +305,17 @@ def _ratio_ok():
     return T.length_ratio(F.col("input"), F.col("output")).between(0.5, 20)
 
 
+def _measured_ratio_ok():
+    return (F.greatest("a_tokens", F.lit(1)) / F.greatest("q_tokens", F.lit(1))).between(0.5, 20)
+
+
 @query
 def length_ratio_gate(s, d):
     return views.qa(s, d).select(F.col("ID").alias("id"), _ratio_ok().alias("ok"))
 
 
 def gates():
-    return [("length_ratio", _ratio_ok()), ("language_id", F.col("a_script_ok")), ("toxicity", F.coalesce(F.col("tox") < 0.5, F.lit(True))), ("semantic_relevance", S.at_least(F.col("qa_cos"), 0.0))]
+    return [("length_ratio", _measured_ratio_ok()), ("language_id", F.col("a_script_ok")), ("toxicity", F.coalesce(F.col("tox") < 0.5, F.lit(True))), ("semantic_relevance", S.at_least(F.col("qa_cos"), 0.0))]
 
 
 @query
@@ -317,25 +324,19 @@ def gate_funnel(s, d):
 
 
 def _summary(s, d):
-    rate = lambda c: r6(F.avg(F.col(c).cast("double")))
-    part = lambda c, p: F.percentile(c, p)
-    return views.diagnostic(s, d).groupBy(F.col("subset").alias("language")).agg(
-        F.count("*").alias("n"), rate("q_script_ok").alias("q_script_ok_rate"), rate("a_script_ok").alias("a_script_ok_rate"),
-        rate("qa_cos").alias("qa_cos_mean"), r6(part("qa_cos", 0.5)).alias("qa_cos_median"), r6(part("qa_cos", 0.1)).alias("qa_cos_p10"),
-        part("q_tokens", 0.5).alias("q_tokens_median"), part("a_tokens", 0.5).alias("a_tokens_median"), rate("a_repetition").alias("a_repetition_mean"),
-    )
+    rows = views.diagnostic(s, d)
+    return P.summary_of(rows, P.near_dup_rates(views.qa(s, d), None))
 
 
 @query
 def diagnostic_summary(s, d):
-    return _summary(s, d)
+    names = ("q_script_ok_rate", "a_script_ok_rate", "q_lang_ok_rate", "a_lang_ok_rate", "qa_cos_mean", "qa_cos_median", "qa_cos_p10", "a_repetition_mean", "near_dup_rate")
+    return _summary(s, d).select("language", "n", "q_tokens_median", "a_tokens_median", *[r6(F.col(n)).alias(n) for n in names])
 
 
 @query
 def issue_classification(s, d):
-    c = F.col
-    tests = [("answer-script mismatch", c("a_script_ok_rate") < 0.8), ("low coherence", c("qa_cos_median") < 0.4), ("repetitive answers", c("a_repetition_mean") > 0.2)]
-    return _summary(s, d).select("language", cascade.issues(tests).alias("issues"))
+    return P.issues_of(_summary(s, d))
 
 
 @query
@@ -359,8 +360,7 @@ def seed_topk(s, d):
 def per_group_topn(s, d):
     c = F.col
     rows = views.diagnostic(s, d).filter(c("a_script_ok") & c("a_tokens").between(10, 250) & c("qa_cos").isNotNull())
-    wanted = T.lookup(c("subset"), {"de": 3, "en": 10, "fr": 5}, F.lit(0))
-    rows = sampling.per_group(rows, "subset", 2 * wanted, [c("qa_cos").desc(), c("ord")])
+    rows = sampling.per_group(rows, "subset", {"de": 6, "en": 20, "fr": 10}, [c("qa_cos").desc(), c("ord")])
     return rows.select(c("ID").alias("id"), "subset", r6("qa_cos").alias("qa_cos"))
 
 
@@ -382,7 +382,7 @@ def quota_backfill(s, d):
 @query
 def hash_shuffle(s, d):
     rows = views.qa(s, d).select(F.col("ID").alias("id"))
-    return sampling.ranked(rows, None, [sampling.draw(3, "id"), F.col("id")], "place").select("id", F.col("place").cast("long").alias("place"))
+    return sampling.numbered(rows, [sampling.draw(3, "id"), F.col("id")]).select("id", "place")
 
 
 @query
@@ -400,39 +400,39 @@ def fallback_ids(s, d):
 # --- evaluation
 
 
-def _rouge(s, d):
-    rows = views.predictions(s, d)
-    scored = rows.select("ID", "subset", udfs.rouge_scores(T.rouge_tokens(F.col("prediction")), T.rouge_tokens(F.col("reference"))).alias("r"))
-    return scored.select("ID", "subset", "r.*")
+def _rouge(s, d, score):
+    rows = views.predictions(s, d).withColumns({"_p": T.once(T.rouge_tokens(F.col("prediction"))), "_r": T.once(T.rouge_tokens(F.col("reference")))})
+    return rows.select("subset", score(F.col("_p"), F.col("_r")).alias("f"))
 
 
-def _by_language(rows, column, name):
-    totals = rows.cube("subset").agg(F.grouping("subset").alias("g"), F.count("*").alias("n"), r6(F.avg(column)).alias(name))
+def _by_language(rows, name):
+    totals = rows.cube("subset").agg(F.grouping("subset").alias("g"), F.count("*").alias("n"), r6(F.avg("f")).alias(name))
     return totals.select(F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("subset")).alias("language"), "n", name)
 
 
 @query
 def rouge1_by_lang(s, d):
-    return _by_language(_rouge(s, d), "rouge1", "rouge1_f1")
+    return _by_language(_rouge(s, d, O.rouge1), "rouge1_f1")
 
 
 @query
 def rougeL_by_lang(s, d):  # noqa: N802
-    return _by_language(_rouge(s, d), "rougeL", "rougeL_f1")
+    return _by_language(_rouge(s, d, O.rouge_l), "rougeL_f1")
+
+
+def _thinned(c, n=5):
+    """Every nth word left out."""
+    return F.array_join(F.filter(T.tokens(c), lambda w, i: (i + 1) % n != 0), " ")
 
 
 @query
 def chrf_pairs(s, d):
-    words = T.tokens(F.col("input"))
-    shorter = F.array_join(F.filter(words, lambda w, i: (i + 1) % 5 != 0), " ")
-    return views.qa(s, d).select(F.col("ID").alias("id"), r6(udfs.chrf("input", shorter)).alias("chrf"))
+    return views.qa(s, d).select(F.col("ID").alias("id"), r6(O.chrf(F.col("input"), _thinned(F.col("input")))).alias("chrf"))
 
 
 @query
 def sentence_chrf_pairs(s, d):
-    words = T.tokens(F.col("input"))
-    shorter = F.array_join(F.filter(words, lambda w, i: (i + 1) % 5 != 0), " ")
-    return views.qa(s, d).select(F.col("ID").alias("id"), r6(udfs.sentence_chrf("input", shorter)).alias("chrf"))
+    return views.qa(s, d).select(F.col("ID").alias("id"), r6(O.sentence_chrf(F.col("input"), _thinned(F.col("input")))).alias("chrf"))
 
 
 @query
@@ -523,3 +523,151 @@ def retention(s, d):
 @query
 def ip_anonymise(s, d):
     return io.table(s, d, "events").select("user_id", T.anonymised_ip(F.col("user_id").cast("string")).alias("ip_hash")).distinct()
+
+
+# --- operators of single stages, on scores and translations made up by rule
+
+
+@query
+def clean_totals(s, d):
+    return cascade.kept_totals(cascade.with_drop_reason(_measured(s, d), _rules()))
+
+
+@query
+def clean_counts(s, d):
+    rows = io.table(s, d, "documents").select(F.when(F.col("doc_id") % 9 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("input"), "text", F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("subset"))
+    return io.clean_counts(rows, ("input", "text", "subset"))
+
+
+@query
+def utf8_anomalies(s, d):
+    return io.table(s, d, "documents").agg(F.count("*").alias("n"), F.count_if(T.encoding_anomaly(F.col("text"))).alias("anomalies"))
+
+
+@query
+def clean_log(s, d):
+    """All kinds of changes of the first cleaning."""
+    tags = T.lookup(F.col("subset"), {"en": "eng", "de": "swahili", "fr": "Amh_Eth"}, F.lit("nowhere"))
+    _, _, log = P.clean_first_generation(views.qa(s, d).select("ID", "ord", "input", "output", tags.alias("subset")), "train")
+    return log.select("row_id", "split", "change_type", F.md5("original_value").alias("old_md5"), F.md5("new_value").alias("new_md5"))
+
+
+@query
+def batch_tiers(s, d):
+    rows = s.createDataFrame([(g, m) for g in (80, 60, 45, 30, 20, 12, 4) for m in ("mt0-XXL", "mt0-xl", "mt5-large", "mt5-base", "mt5-small", "other")], "free_gb int, model string")
+    size = S.model_size(F.col("model"))
+    return rows.select("free_gb", "model", size.alias("size_b"), S.batch_size(F.col("free_gb"), size).alias("batch"))
+
+
+@query
+def l2_norms(s, d):
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3))
+    v = S.l2_normalised(scaled)
+    return io.table(s, d, "embeddings").select("vec_id", r6(S.dot(v, v)).alias("norm"), r6(F.get(v, F.lit(0))).alias("first"))
+
+
+@query
+def mean_confidence(s, d):
+    p = F.array_repeat(F.col("value") / 100.0, (F.col("event_id") % 4).cast("int"))
+    return io.table(s, d, "events").select("event_id", r6(S.mean_confidence(p)).alias("confidence"))
+
+
+@query
+def language_accepted(s, d):
+    rows = views.detections(views.qa(s, d)).withColumn("subset", T.lookup(F.col("subset"), {"en": "Eng_Uga", "de": "Aka_Gha", "fr": "Swa_Ken"}, F.lit("other")))
+    code = F.when(F.col("ord") % 7 == 0, F.lit(None).cast("string")).otherwise(T.lookup(F.col("subset"), {"Eng_Uga": "en", "Aka_Gha": "ak"}, F.lit("sw")))
+    found = M.detected(F.substring("input", 1, (F.col("ord") % 40).cast("int")), code, F.col("q_lang_conf"))
+    ok = M.language_accepted(found["code"], found["confidence"], M.codes_of(F.col("subset"), M.ACCEPTED_CODES))
+    return rows.select(F.col("ID").alias("id"), found["code"].alias("code"), r6(found["confidence"]).alias("confidence"), ok.alias("ok"))
+
+
+@query
+def language_gate(s, d):
+    rows = views.qa(s, d).withColumn("tag", T.lookup(F.col("subset"), {"en": "Eng", "de": "Swa_Eas", "fr": "Amh_Eth"}, F.lit("Eng_Ken")))
+    code = F.when(F.col("ord") % 4 == 0, F.lit("en")).when(F.col("ord") % 4 == 1, F.lit("sw"))
+    asked = M.detector_input(F.col("input"))
+    return rows.select(F.col("ID").alias("id"), F.length(asked).alias("asked"), M.language_consistent(F.col("input"), F.col("tag"), code).alias("ok"))
+
+
+@query
+def toxicity_gate(s, d):
+    rows = io.table(s, d, "labels").select("doc_id", M.toxic_probability(F.when(F.col("toxic") == 1, F.lit("Toxic")).otherwise(F.lit("neutral")), (F.col("doc_id") % 10) / 10.0).alias("q"), F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 4) / 4.0).alias("a"))
+    return rows.select("doc_id", r6("q").alias("q"), M.free_of_toxicity(F.col("q"), F.col("a")).alias("ok"))
+
+
+@query
+def stage1_drops(s, d):
+    """The second cleaning's drops, near duplicates last."""
+    rows = views.diagnostic(s, d).withColumn("subset", F.when(F.col("subset") == "en", F.lit("Eng_Gha")).otherwise(F.lit("Lug_Uga")))
+    _, dropped = P.clean_second_generation(rows)
+    return dropped.groupBy(F.col("drop_reason").alias("reason"), "subset").agg(F.count("*").alias("n"))
+
+
+@query
+def english_seeds(s, d):
+    rows = views.diagnostic(s, d).withColumn("subset", F.when(F.col("subset") == "en", F.lit("Eng_Ken")).otherwise(F.col("subset")))
+    return P.english_seeds(rows, 10, least=0.0).select(F.col("ID").alias("id"), r6("qa_cos").alias("qa_cos"))
+
+
+@query
+def transfer_topn(s, d):
+    rows = views.qa(s, d).withColumns({"rel": 0.5 + (F.col("ord") % 50) / 100.0, "code": F.when(F.col("ord") % 3 == 0, F.lit("en")).otherwise(F.lit("sw")), "conf": (F.col("ord") % 10) / 10.0})
+    out = P.transferred(rows.withColumn("rel", F.col("rel") + F.col("ord") / 1e9), 40, "Swa_Ken", "Eng_Gha", F.col("rel"), (F.col("code"), F.col("conf")))
+    return out.select(F.md5("input").alias("input_md5"), "subset", "aug_method", r6("semantic_preserved").alias("kept_meaning"))
+
+
+@query
+def forward_translation(s, d):
+    """English rows to two languages; the translation is every fifth word left out."""
+    rows = views.qa(s, d).select("input", F.substring("output", 1, 200).alias("output"), F.lit("Eng_Ken").alias("subset")).filter(F.length("input") < 400)
+    thin = lambda df, text, output: df.withColumn(output, F.when(F.col("target_code") == "swh_Latn", _thinned(F.col(text))).otherwise(_thinned(F.col(text), 3)))
+    made = P.forward_translations(rows, thin, {"Swa_Ken": "swh_Latn", "Lug_Uga": "lug_Latn", "Eng_Uga": "eng_Latn"}, 0.7, {"Lug_Uga": 0.55})
+    return made.groupBy("subset", "source", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5")).agg(F.count("*").alias("n"))
+
+
+@query
+def back_translation(s, d):
+    """Rows that are not English, there and back; the translations add a word, the paraphrase is the text itself."""
+    rows = views.qa(s, d).withColumn("subset", T.lookup(F.col("subset"), {"en": "Eng_Ken", "de": "Swa_Ken"}, F.lit("Lug_Uga")))
+    rows = rows.select(F.when(F.col("ID") % 10 != 0, F.col("ID")).alias("ID"), "ord", "input", "output", "subset")
+    via = lambda df, text, output: df.withColumn(output, F.concat_ws(" ", text, F.substring("target_code", 1, 3)))
+    made = P.paraphrased_back(rows, via, M.ColumnScorer("_english"), {"Swa_Ken": "swh_Latn", "Lug_Uga": "lug_Latn", "Eng_Ken": "eng_Latn"})
+    return made.groupBy("ID", "subset", "source", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5")).agg(F.count("*").alias("n"))
+
+
+@query
+def training_prompts(s, d):
+    rows = P.training_rows(views.qa(s, d), ("de", "fr"))
+    return sampling.positions(rows.select("ord", "prompt", "output"), [F.col("ord")], "val_index").select("val_index", F.md5("prompt").alias("prompt_md5"), F.md5("output").alias("output_md5"))
+
+
+@query
+def prediction_dump(s, d):
+    rows = P.prediction_dump(views.predictions(s, d), 60, phase=2, step=300, epoch=1.5)
+    return rows.select("phase", "global_step", "epoch", F.col("ID").alias("id"), "subset", r6("rouge1").alias("rouge1"), r6("rougeL").alias("rougel"), "reference_chars", "prediction_chars")
+
+
+@query
+def judge_means(s, d):
+    reply = F.when(F.col("ID") % 5 == 0, F.lit("n/a")).otherwise(F.format_string('{"overall": %d}', F.col("ID") % 5))
+    return views.qa(s, d).withColumn("score", S.judge_score(reply)).groupBy("subset").agg(F.bround(F.avg("score"), 3).alias("score"), F.count("*").alias("n"))
+
+
+@query
+def agreement_alpha(s, d):
+    rows = io.table(s, d, "events").select(F.floor(F.col("event_id") / 4).alias("unit"), (1 + (F.col("event_id") * 7 + F.floor(F.col("value")).cast("long")) % 5).alias("rating"))
+    both = [profile.agreement(rows, "unit", "rating", m).select(F.lit(m).alias("metric"), r6("alpha").alias("alpha")) for m in ("interval", "nominal")]
+    return both[0].union(both[1])
+
+
+@query
+def rouge_drop(s, d):
+    now = s.createDataFrame([("en", 0.30), ("de", 0.25), ("fr", 0.40)], "language string, rouge double")
+    before = s.createDataFrame([("en", 0.36), ("de", 0.29), ("fr", 0.38)], "language string, rouge double")
+    return profile.regressed(now, before, "language", "rouge")
+
+
+@query
+def monthly_flags(s, d):
+    rows = serving.flagged(views.feedback(s, d)).withColumns({"category": F.concat(F.lit("c"), (F.col("question_id").cast("long") % 3).cast("string")), "status": F.when(F.col("rating") == 1, "open").otherwise("closed")})
+    return serving.monthly_flags(rows).withColumn("month", F.col("month").cast("timestamp_ntz"))

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries of the catalog. RE2 spellings stand where Spark has Java's."""
+"""DuckDB SQL for the queries of the catalog. RE2 spellings stand where Spark has Java's; the patterns in them are fixed values."""
 
 from __future__ import annotations
 
@@ -18,13 +18,14 @@ m as (select *, len(qt) as q_tokens, len(att) as a_tokens,
 d as (select *, coalesce(q_share >= 0.6, false) as q_script_ok, coalesce(a_share >= 0.6, false) as a_script_ok from m)"""
 DIAGNOSTIC = f"""{METRICS},
 cosines as (select a.vec_id as id, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) as qa_cos
-  from embeddings a join embeddings b on b.vec_id = (a.vec_id + 1) % 500),
-g as (select d.*, l.toxic::double as tox, c.qa_cos from d left join labels l on l.doc_id = d.id left join cosines c on c.id = d.id)"""
+  from embeddings a join embeddings b on b.vec_id = (a.vec_id + 1) % (select count(*) from embeddings)),
+g as (select d.*, ord % 7 <> 0 and (ord % 10) / 10.0 + 0.1 >= 0.5 as q_lang_ok, ord % 5 <> 0 and (ord % 8) / 8.0 + 0.3 >= 0.5 as a_lang_ok, l.toxic::double as tox, c.qa_cos from d left join labels l on l.doc_id = d.id left join cosines c on c.id = d.id)"""
 REASON = """case when q_tokens < 3 then 'Q < 3 tokens' when a_tokens < 5 then 'A < 5 tokens' when a_tokens > 400 then 'A > 400 tokens'
   when a_repetition > 0.5 then 'A repetition > 0.5' when not a_script_ok then '[' || subset || '] answer script mismatch' end"""
 DRAW = "md5('{seed}|' || {key}::varchar)"
 SHINGLES = "case when t = '' then [] when length(t) < 5 then [t] else list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) end"
 FIRST_LINES = f"{QA}, low as (select *, {BLANK.format(chr(39).join(['regexp_replace(lower(input), ', '[\\s\\x0b]+', ', ', ' ', ', ', 'g', ')']))} as t from qa), sh as (select *, {SHINGLES} as s from low)"
+SHINGLED = FIRST_LINES.removeprefix(f"{QA}, ")
 PREDICTIONS = f"""{QA}, w as (select id, subset, input, output as reference, {TOKENS.format('output')} as words from qa),
 p as (select id, subset, input, reference, array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: i % 5 <> 0), lambda i: words[i]), ' ') as prediction from w)"""
 REQUESTS = "r as (select event_id::varchar as question_id, event_type as language, round_even(value, 1) as latency_ms, substr(sha256(user_id::varchar), 1, 16) as ip_hash, ts from events)"
@@ -37,12 +38,39 @@ hit as (select distinct a.item_id from ash a join sh o on o.subset = a.subset
 merged as (select id::varchar as id, input, output, subset, 'original' as source, id as ord from qa
   union all select 'b' || item_id, input, output, subset, 'benchmark', 1000000000 + item_id from aug where item_id not in (select item_id from hit))"""
 
-LENGTHS = "count(*) as n, round(avg(q_tokens), 1) as q_mean, round(quantile_cont(q_tokens, 0.5), 1) as q_median, round(quantile_cont(q_tokens, 0.95), 1) as q_p95, round(avg(a_tokens), 1) as a_mean, round(quantile_cont(a_tokens, 0.5), 1) as a_median, round(quantile_cont(a_tokens, 0.95), 1) as a_p95"
+LENGTHS = "count(*) as n, round(avg(q_tokens), 1) as q_mean, round(quantile_cont(q_tokens, 0.5), 1) as q_median, round(quantile_cont(q_tokens, 0.95), 1) as q_p95, max(q_tokens) as q_max, max(a_tokens) as a_max, round(avg(a_tokens), 1) as a_mean, round(quantile_cont(a_tokens, 0.5), 1) as a_median, round(quantile_cont(a_tokens, 0.95), 1) as a_p95"
 SUMMARY = """select subset as language, count(*) as n, round(avg(q_script_ok::int), 6) as q_script_ok_rate, round(avg(a_script_ok::int), 6) as a_script_ok_rate,
+  round(avg(q_lang_ok::int), 6) as q_lang_ok_rate, round(avg(a_lang_ok::int), 6) as a_lang_ok_rate,
   round(avg(qa_cos), 6) as qa_cos_mean, round(quantile_cont(qa_cos, 0.5), 6) as qa_cos_median, round(quantile_cont(qa_cos, 0.1), 6) as qa_cos_p10,
   quantile_cont(q_tokens, 0.5)::double as q_tokens_median, quantile_cont(a_tokens, 0.5)::double as a_tokens_median, round(avg(a_repetition), 6) as a_repetition_mean from g group by 1"""
+#: The rows of table {rows} (id, subset, s: shingles) that an earlier kept row of their language resembles: edges by later row, folded in order.
+GREEDY = """edges as (select a.id as a, b.id as b from {rows} a join {rows} b on a.subset = b.subset and a.id < b.id and len(a.s) between {t} * len(b.s) - 1e-9 and len(b.s) / {t} + 1e-9
+    where len(list_intersect(a.s, b.s))::double / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= {t}),
+  gone as (select distinct unnest(list_reduce(list([a, b] order by b, a), lambda gone, e: case when list_contains(gone, e[1]) then gone else list_append(gone, e[2]) end, []::bigint[])) as id from edges)"""
 KEPT_GATES = "a_tokens::double / greatest(q_tokens, 1) between 0.5 and 20"
 
+THINNED = "array_to_string(list_transform(list_filter(range(1, len({0}) + 1), lambda i: i % {1} <> 0), lambda i: {0}[i]), ' ')"
+#: From table cp (id, r, h: texts without white space): matches of each order that both texts have, and the averages' F2.
+SENTENCE_CHRF = """k as (select id, r, h, unnest(range(1, 7)) as k from cp),
+  gr as (select id, k, g, count(*) as n from (select id, k, unnest(list_transform(range(1, length(r) - k + 2), lambda i: substr(r, i, k))) as g from k where length(r) >= k) group by 1, 2, 3),
+  gh as (select id, k, g, count(*) as n from (select id, k, unnest(list_transform(range(1, length(h) - k + 2), lambda i: substr(h, i, k))) as g from k where length(h) >= k) group by 1, 2, 3),
+  o as (select id, k, sum(least(gr.n, gh.n))::double as c from gr join gh using (id, k, g) group by 1, 2),
+  pr as (select k.id, avg(coalesce(c, 0) / (length(h) - k + 1)) as p, avg(coalesce(c, 0) / (length(r) - k + 1)) as q from k left join o using (id, k) where least(length(r), length(h)) >= k group by 1),
+  alike as (select cp.id, coalesce(case when p + q > 0 then 5 * p * q / (4 * p + q) end, 0) as f from cp left join pr using (id))"""
+SQUEEZED = "regexp_replace({0}, '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', '', 'g')"
+TAG_CODES = {"Eng_Uga": ["en"], "Eng_Gha": ["en"], "Eng_Eth": ["en"], "Eng_Ken": ["en"], "Aka_Gha": ["tw", "ak"], "Lug_Uga": ["lg"], "Swa_Ken": ["sw"], "Amh_Eth": ["am"]}
+PII = "(regexp_matches({0}, '\\b[\\+]?[(]?[0-9]{{1,4}}[)]?[-\\s\\./0-9]{{7,}}\\b') or regexp_matches({0}, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+') or regexp_matches({0}, '\\b(Mr|Mrs|Ms|Dr|Prof)\\.?\\s+[A-Z][a-z]+\\b'))"
+UNSAFE = "regexp_matches({0}, '(?i)take\\s+\\d+\\s+(tablets?|pills?|mg)\\s+at\\s+once|do\\s+not\\s+go\\s+to\\s+(a\\s+)?(doctor|hospital|clinic)|abort\\s+using\\s+[a-z\\s]+at\\s+home|self[-\\s]medicate\\s+with')"
+
+
+def noise_stripped(column: str) -> str:
+    """nfc, then without tags, addresses and citations, wide spaces narrowed, ends stripped."""
+    out = f"nfc_normalize({column})"
+    for pattern, by in (("<[^>]+>", ""), ("https?://[^\\s\\x0b]+|www\\.[^\\s\\x0b]+", ""), ("\\[\\[?\\d+\\]?\\]", ""), ("[\\s\\x0b]{2,}", " "), ("^[\\s\\x0b]+|[\\s\\x0b]+$", "")):
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return out
+
+
 ORACLES: dict[str, str] = {
     "clean_drop_report": f"with {METRICS}, x as (select subset, {REASON} as reason from d) select reason, subset, count(*) as n from x where reason is not null group by 1, 2",
     "clean_survivors": f"with {METRICS} select id, subset, q_tokens, a_tokens, round(a_repetition, 6) as a_repetition from d where {REASON} is null",
@@ -75,17 +103,20 @@ ORACLES: dict[str, str] = {
       from sh a join sh b on a.subset = b.subset and a.id < b.id and len(a.s) between 0.85 * len(b.s) - 1e-9 and len(b.s) / 0.85 + 1e-9
       where len(list_intersect(a.s, b.s))::double / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.85""",
     "aug_vs_original_antijoin": f"with {MERGED} select item_id from aug where item_id not in (select item_id from hit)",
-    "cosine_pairs_gt_090": f"""with v as (select vec_id, embedding from embeddings order by {DRAW.format(seed='eda', key='vec_id')}, vec_id limit 1000)
-      select count(*) as pairs from v a join v b on a.vec_id < b.vec_id where list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) > 0.9""",
+    "cosine_pairs_gt_090": "select count(*) as pairs from embeddings a join embeddings b on a.vec_id < b.vec_id where list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) > 0.9",
     "length_ratio_gate": f"with {METRICS} select id, {KEPT_GATES} as ok from d",
     "gate_funnel": f"""with {DIAGNOSTIC}, x as (select *, {KEPT_GATES} as g1, a_script_ok as g2, coalesce(tox < 0.5, true) as g3, coalesce(qa_cos >= 0.0, false) as g4 from g),
       l as (select subset as language, 'length_ratio' as gate, true as reached, g1 as ok from x union all select subset, 'language_id', g1, g1 and g2 from x
         union all select subset, 'toxicity', g1 and g2, g1 and g2 and g3 from x union all select subset, 'semantic_relevance', g1 and g2 and g3, g1 and g2 and g3 and g4 from x)
       select gate, language, count(*) filter (reached) as total, count(*) filter (ok) as passing, count(*) filter (reached) - count(*) filter (ok) as failing,
         round_even(count(*) filter (ok)::double / count(*) filter (reached), 4) as pass_rate from l group by 1, 2 having count(*) filter (reached) > 0""",
-    "diagnostic_summary": f"with {DIAGNOSTIC} {SUMMARY}",
-    "issue_classification": f"""with {DIAGNOSTIC}, s as ({SUMMARY}) select language, coalesce(nullif(array_to_string(list_filter([
-        case when a_script_ok_rate < 0.8 then 'answer-script mismatch' end, case when qa_cos_median < 0.4 then 'low coherence' end, case when a_repetition_mean > 0.2 then 'repetitive answers' end], lambda x: x is not null), '; '), ''), 'looks healthy') as issues from s""",
+    "near_dup_greedy": f"with {FIRST_LINES}, {GREEDY.format(rows='sh', t=0.85)} select id, subset, id not in (select id from gone) as kept from sh",
+    "near_dup_rate_by_lang": f"with {FIRST_LINES}, {GREEDY.format(rows='sh', t=0.85)} select subset, count(*) as n, round(avg((id in (select id from gone))::int), 6) as near_dup_rate from sh group by 1",
+    "diagnostic_summary": f"with {DIAGNOSTIC}, {SHINGLED}, {GREEDY.format(rows='sh', t=0.85)}, su as ({SUMMARY}), nd as (select subset, avg((id in (select id from gone))::int) as rate from sh group by 1) select su.*, round(rate, 6) as near_dup_rate from su join nd on nd.subset = su.language",
+    "issue_classification": f"""with {DIAGNOSTIC}, {SHINGLED}, {GREEDY.format(rows='sh', t=0.85)}, s as ({SUMMARY}), nd as (select subset, avg((id in (select id from gone))::int) as rate from sh group by 1)
+      select language, coalesce(nullif(array_to_string(list_filter([case when a_script_ok_rate < 0.8 then 'answer-script mismatch' end, case when a_lang_ok_rate < 0.6 then 'answer-language mismatch' end,
+        case when qa_cos_median < 0.4 then 'low coherence' end, case when rate > 0.15 then 'high duplication' end, case when a_repetition_mean > 0.2 then 'repetitive answers' end], lambda x: x is not null), '; '), ''), 'looks healthy') as issues
+      from s join nd on nd.subset = s.language""",
     "worst20_per_lang": f"with {DIAGNOSTIC} select id, subset, round(qa_cos, 6) as qa_cos from g where qa_cos is not null qualify row_number() over (partition by subset order by qa_cos, ord) <= 20",
     "seed_topk": f"with {DIAGNOSTIC} select id, round(qa_cos, 6) as qa_cos from g where subset = 'en' and q_script_ok and a_script_ok and qa_cos >= 0.0 and q_tokens between 5 and 80 and a_tokens between 10 and 200 and a_repetition < 0.2 order by qa_cos desc, ord limit 40",
     "per_group_topn": f"with {DIAGNOSTIC}, t(lang, n) as (values ('de', 3), ('en', 10), ('fr', 5)) select id, subset, round(qa_cos, 6) as qa_cos from g join t on t.lang = subset where a_script_ok and a_tokens between 10 and 250 and qa_cos is not null qualify row_number() over (partition by subset order by qa_cos desc, ord) <= 2 * n",
@@ -143,4 +174,60 @@ ORACLES: dict[str, str] = {
     "imputed_model_text": f"select conv_id, turn, md5(coalesce(nullif({BLANK.format('text')}, ''), ' ')) as text_md5 from conversations",
     "decoding_overlay": "with p(lang, beams, penalty) as (values ('en', 4, 1.0), ('de', 2, 1.3), ('fr', 4, 1.1)) select lang, beams, penalty from p",
     "hash_shuffle": f"with {QA} select id, row_number() over (order by md5('3|' || id::varchar), id) as place from qa",
+    "rougeL_by_lang": f"""with {PREDICTIONS}, t as (select subset, len(regexp_extract_all(lower(prediction), '[\\p{{L}}\\p{{N}}_]+')) as a, len(regexp_extract_all(lower(reference), '[\\p{{L}}\\p{{N}}_]+')) as b from p),
+      -- a prediction is its reference without some words, so all its tokens are the longest common subsequence
+      s as (select subset, coalesce(2.0 * a / nullif(a + b, 0), 0) as f from t) select coalesce(subset, 'OVERALL') as language, count(*) as n, round(avg(f), 6) as rougeL_f1 from s group by grouping sets ((subset), ())""",
+    "sentence_chrf_pairs": f"""with {QA}, w as (select id, input, {TOKENS.format('input')} as w from qa), cp as (select id, {SQUEEZED.format('input')} as r, {SQUEEZED.format(THINNED.format('w', 5))} as h from w), {SENTENCE_CHRF} select id, round(f, 6) as chrf from alike""",
+    "clean_totals": f"with {METRICS}, x as (select {REASON} as reason from d) select count(*) as n_before, count(*) filter (reason is null) as n_after, count(reason) as n_dropped, round_even(100.0 * count(*) filter (reason is null) / count(*), 1) as pct_kept from x",
+    "clean_counts": f"with x as (select doc_id % 9 <> 0 and {BLANK.format('text')} <> '' and doc_id % 11 <> 0 as filled from documents) select count(*) as n, count(*) filter (coalesce(filled, false)) as kept, count(*) filter (not coalesce(filled, false)) as dropped from x",
+    "utf8_anomalies": "select count(*) as n, count(*) filter (decode(encode(text)) <> text) as anomalies from documents",
+    "clean_log": f"""with {QA}, x as (select id, ord, input, output, case subset when 'en' then 'eng' when 'de' then 'swahili' when 'fr' then 'Amh_Eth' else 'nowhere' end as tag from qa),
+      f as (select *, row_number() over (partition by md5(input || output) order by ord) as rn, {noise_stripped('input')} as ni, {noise_stripped('output')} as no, case tag when 'eng' then 'Eng_Uga' when 'swahili' then 'Swa_Ken' when 'Amh_Eth' then tag end as fixed from x),
+      l as (select id, 'REMOVED_DUPLICATE' as change_type, substr(input, 1, 120) as o, 'DROPPED' as n from f where rn > 1
+        union all select id, 'TEXT_NORMALISED_INPUT', substr(input, 1, 120), substr(ni, 1, 120) from f where rn = 1 and ni <> input
+        union all select id, 'TEXT_NORMALISED_OUTPUT', substr(output, 1, 120), substr(no, 1, 120) from f where rn = 1 and no <> output
+        union all select id, 'QUARANTINE_PII', substr(ni, 1, 120), 'QUARANTINED' from f where rn = 1 and ({PII.format('ni')} or {PII.format('no')})
+        union all select id, 'FLAGGED_UNSAFE_ANSWER', substr(no, 1, 200), 'FLAGGED' from f where rn = 1 and {UNSAFE.format('no')}
+        union all select id, 'SUBSET_TAG_FIXED', tag, fixed from f where rn = 1 and fixed <> tag
+        union all select id, 'QUARANTINE_INVALID_SUBSET', tag, 'QUARANTINED' from f where rn = 1 and fixed is null)
+      select id as row_id, 'train' as split, change_type, md5(o) as old_md5, md5(n) as new_md5 from l""",
+    "batch_tiers": """with r as (select unnest([80, 60, 45, 30, 20, 12, 4]) as free_gb), m as (select * from (values ('mt0-XXL', 13.0), ('mt0-xl', 3.7), ('mt5-large', 1.2), ('mt5-base', 0.58), ('mt5-small', 0.3), ('other', 1.2)) v(model, size_b))
+      select free_gb, model, size_b::double as size_b, greatest(1, floor(case when free_gb >= 70 then 24 when free_gb >= 55 then 16 when free_gb >= 40 then 12 when free_gb >= 28 then 8 when free_gb >= 18 then 4 when free_gb >= 10 then 2 else 1 end / greatest(1.0, size_b::double / 3.7)))::int as batch from r, m""",
+    "l2_norms": "with v as (select vec_id, vec_id % 3 as k, embedding, sqrt(list_sum(list_transform(embedding, lambda x: (x::double * (vec_id % 3)) ** 2))) as norm from embeddings) select vec_id, case when k = 0 then 0.0 else 1.0 end as norm, case when k = 0 then 0.0 else round(embedding[1]::double * k / norm, 6) end as first from v",
+    "mean_confidence": "select event_id, round(case when event_id % 4 = 0 then 0.85 else value / 100.0 end, 6) as confidence from events",
+    "language_accepted": f"""with {QA}, x as (select id, ord, case subset when 'en' then 'Eng_Uga' when 'de' then 'Aka_Gha' when 'fr' then 'Swa_Ken' else 'other' end as tag, substr(input, 1, (ord % 40)::int) as t, (ord % 10) / 10.0 + 0.1 as conf from qa),
+      c as (select *, case when ord % 7 = 0 then null when tag = 'Eng_Uga' then 'en' when tag = 'Aka_Gha' then 'ak' else 'sw' end as raw, length({BLANK.format('t')}) >= 5 as long from x),
+      u as (select id, tag, case when long and raw is not null then raw else 'und' end as code, case when long and raw is not null then conf else 0.0 end as confidence from c)
+      select id, code, round(confidence::double, 6) as confidence, coalesce(confidence >= 0.5 and case tag when 'Eng_Uga' then code = 'en' when 'Aka_Gha' then code in ('tw', 'ak') when 'Swa_Ken' then code = 'sw' else false end, false) as ok from u""",
+    "language_gate": f"""with {QA}, x as (select id, input, case subset when 'en' then 'Eng' when 'de' then 'Swa_Eas' when 'fr' then 'Amh_Eth' else 'Eng_Ken' end as tag, case ord % 4 when 0 then 'en' when 1 then 'sw' end as code from qa)
+      select id, least(length(input), 200)::int as asked, case tag when 'Amh_Eth' then regexp_matches(input, '[\\x{{1200}}-\\x{{137F}}]') when 'Eng_Ken' then true else regexp_matches(input, '[a-zA-Z]') end
+        and coalesce(case tag when 'Eng' then code = 'en' when 'Swa_Eas' then code = 'sw' when 'Amh_Eth' then code = 'am' end, true) as ok from x""",
+    "toxicity_gate": "with x as (select doc_id, case when toxic = 1 then (doc_id % 10) / 10.0 else 1 - (doc_id % 10) / 10.0 end as q, case when doc_id % 3 <> 0 then (doc_id % 4) / 4.0 end as a from labels) select doc_id, round(q::double, 6) as q, q < 0.5 and coalesce(a < 0.5, true) as ok from x",
+    "stage1_drops": f"""with {DIAGNOSTIC}, e as (select id, case subset when 'en' then 'Eng_Gha' else 'Lug_Uga' end as subset, input, case when q_tokens < 3 then 'Q < 3 tokens' when a_tokens < 5 then 'A < 5 tokens' when a_tokens > 400 then 'A > 400 tokens' when a_repetition > 0.5 then 'A repetition > 0.5'
+        when not a_script_ok then '[' || case subset when 'en' then 'Eng_Gha' else 'Lug_Uga' end || '] answer script mismatch' when subset = 'en' and qa_cos < 0.15 then '[Eng_Gha] cosine < 0.15' when subset <> 'en' and qa_cos < 0.1 then '[Lug_Uga] cosine < 0.1' end as reason from g),
+      low as (select id, subset, {BLANK.format(chr(39).join(['regexp_replace(lower(input), ', '[\\s\\x0b]+', ', ', ' ', ', ', 'g', ')']))} as t from e where reason is null), sh as (select *, {SHINGLES} as s from low), {GREEDY.format(rows='sh', t=0.88)}
+      select reason, subset, count(*) as n from e where reason is not null group by 1, 2 union all select 'near-duplicates within language', subset, count(*) from sh where id in (select id from gone) group by 2""",
+    "english_seeds": f"with {DIAGNOSTIC} select id, round(qa_cos, 6) as qa_cos from g where subset = 'en' and q_script_ok and a_script_ok and q_lang_ok and a_lang_ok and qa_cos >= 0 and q_tokens between 5 and 80 and a_tokens between 10 and 200 and a_repetition < 0.2 order by qa_cos desc, ord limit 20",
+    "transfer_topn": f"""with {METRICS}, x as (select *, 0.5 + (ord % 50) / 100.0 + ord / 1e9 as rel from d)
+      select md5(input) as input_md5, 'Swa_Ken' as subset, 'crosslingual_from_Eng_Gha' as aug_method, round(rel::double, 6) as kept_meaning from x where q_script_ok and a_script_ok and q_tokens between 3 and 100 and a_tokens between 5 and 300
+        and ord % 3 <> 0 and (ord % 10) / 10.0 >= 0.4 and length({BLANK.format('output')}) >= 5 and rel >= 0.55 order by rel desc, input limit 40""",
+    "forward_translation": f"""with {QA}, e as (select id, input, substr(output, 1, 200) as output from qa where length(input) < 400), t as (select e.*, l.* from e, (values ('Swa_Ken', 5, 0.7), ('Lug_Uga', 3, 0.55)) l(tag, every, least)),
+      w as (select *, row_number() over () as nr, {TOKENS.format('input')} as iw, {TOKENS.format('output')} as ow from t),
+      m as (select *, {THINNED.format('iw', 'every')} as ti, {THINNED.format('ow', 'every')} as tt from w), cp as (select nr as id, {SQUEEZED.format('input')} as r, {SQUEEZED.format('ti')} as h from m), {SENTENCE_CHRF}
+      select tag as subset, 'forward_mt' as source, md5(ti) as input_md5, md5(tt) as output_md5, count(*) as n from m join alike on alike.id = m.nr where f >= least and ti <> '' and tt <> '' group by all""",
+    "back_translation": f"""with {QA}, x as (select *, case subset when 'en' then 'Eng_Ken' when 'de' then 'Swa_Ken' else 'Lug_Uga' end as tag from qa)
+      select case when id % 10 <> 0 then id::varchar else 'nan' end || '_bt' as "ID", tag as subset, 'back_bt' as source, md5({BLANK.format("(input || ' eng ' || case tag when 'Swa_Ken' then 'swh' else 'lug' end)")}) as input_md5, md5(output) as output_md5, count(*) as n from x where tag <> 'Eng_Ken' group by all""",
+    "training_prompts": f"""with {QA}, x as (select ord, {BLANK.format('input')} as q, {BLANK.format('output')} as a, subset from qa where subset in ('de', 'fr'))
+      select row_number() over (order by ord) - 1 as val_index, md5('Question: ' || q || chr(10) || 'Answer in ' || subset || ':') as prompt_md5, md5(a) as output_md5 from x""",
+    "prediction_dump": f"""with {PREDICTIONS}, r as (select *, row_number() over (partition by subset order by {DRAW.format(seed=42, key='id')}, id) > greatest(1, 60 // (select count(distinct subset) from p)) as extra from p),
+      t as (select id, subset, {BLANK.format('reference')} as ref, {BLANK.format('prediction')} as pred from r order by extra, {DRAW.format(seed=42, key='id')}, id limit 60),
+      n as (select *, len(regexp_extract_all(lower(pred), '[a-z0-9]+')) as a, len(regexp_extract_all(lower(ref), '[a-z0-9]+')) as b from t)
+      select 2 as phase, 300 as global_step, 1.5::double as epoch, id, subset, round(coalesce(2.0 * a / nullif(a + b, 0), 0), 6) as rouge1, round(coalesce(2.0 * a / nullif(a + b, 0), 0), 6) as rougel, length(ref)::int as reference_chars, length(pred)::int as prediction_chars from n""",
+    "judge_means": f"with {QA} select subset, round_even(avg(case when id % 5 = 0 then 3.0 else id % 5 end), 3) as score, count(*) as n from qa group by 1",
+    "agreement_alpha": """with r as (select row_number() over () as i, event_id // 4 as u, 1 + (event_id * 7 + floor(value)::bigint) % 5 as v from events), m as (select u, count(*) as m from r group by 1 having count(*) > 1),
+      k as (select r.*, m.m from r join m using (u)), seen as (select sum((a.v - b.v) ** 2 / (a.m - 1)) as i, sum((a.v <> b.v)::int / (a.m - 1)::double) as n from k a join k b on a.u = b.u and a.i <> b.i),
+      c as (select v, count(*)::double as c from k group by 1), t as (select count(*)::double as n from k), far as (select sum(x.c * y.c * (x.v - y.v) ** 2) as i, sum(x.c * y.c * (x.v <> y.v)::int) as n from c x, c y)
+      select 'interval' as metric, round(1 - seen.i / (far.i / (t.n - 1)), 6) as alpha from seen, far, t union all select 'nominal', round(1 - seen.n / (far.n / (t.n - 1)), 6) from seen, far, t""",
+    "rouge_drop": "select * from (values ('en', 0.36::double, 0.30::double, true), ('de', 0.29, 0.25, false), ('fr', 0.38, 0.40, false)) v(language, before, now, paused)",
+    "monthly_flags": f"with {FEEDBACK} select date_trunc('month', ts)::timestamp as month, 'c' || (question_id::bigint % 3) as category, case when rating = 1 then 'open' else 'closed' end as status, count(*) as n from f where flagged group by all",
 }

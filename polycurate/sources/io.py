@@ -6,7 +6,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -66,16 +66,24 @@ def require_columns(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
 
 
 def read_external(spark: SparkSession, folder: str) -> tuple[DataFrame | None, dict[str, str]]:
-    """(clean rows of all CSV files of a folder, in the order of their names; what is wrong with the others)."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.csv")
+    """(clean rows of all CSV files of a folder, in the order of their names; what is wrong with the others).
+
+    A file that lacks columns, or cannot be opened or read to its end, is left out and reported; the others are read.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.csv*")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
     union, wrong = None, {}
     for name in sorted(str(x.getPath()) for x in found):
-        rows = read_csv(spark, name)
-        if lacking := missing_columns(rows, ("input", "output", "subset")):
-            wrong[name] = f"lacks {', '.join(lacking)}"
+        try:
+            rows = read_csv(spark, name)
+            if lacking := missing_columns(rows, ("input", "output", "subset")):
+                wrong[name] = f"lacks {', '.join(lacking)}"
+                continue
+            rows.write.format("noop").mode("overwrite").save()
+        except Exception as error:  # noqa: BLE001  whatever a file does, the others are read
+            wrong[name] = f"cannot be read: {type(error).__name__}"
             continue
-        stem = F.lit(PurePosixPath(name).stem)
+        stem = F.lit(PurePosixPath(name).name.split(".csv")[0])
         rows = rows.withColumn("source", F.coalesce(F.col("source"), stem) if "source" in rows.columns else stem)
         rows = clean_rows(rows, ("input", "output", "subset")).select("input", "output", "subset", "source")
         union = rows if union is None else union.unionByName(rows)
@@ -91,6 +99,14 @@ def clean_rows(df: DataFrame, keys: tuple[str, ...] = ("input", "output", "subse
     return df
 
 
+def clean_counts(df: DataFrame, keys: tuple[str, ...] = ("input", "output", "subset")) -> DataFrame:
+    """One row: how many rows `clean_rows` is given, keeps and drops."""
+    filled = F.lit(True)
+    for k in keys:
+        filled = filled & F.coalesce(T.strip(F.col(k).cast("string")) != "", F.lit(False))
+    return df.agg(F.count("*").alias("n"), F.count_if(filled).alias("kept"), F.count_if(~filled).alias("dropped"))
+
+
 def synthetic_rows(spark: SparkSession, split: str, n: int = 500) -> DataFrame:
     """Placeholder rows, the languages in turn."""
     i = F.col("id")
@@ -144,11 +160,30 @@ def write_embeddings(df: DataFrame, path: str, key: str, vectors: dict[str, Colu
     return df.sparkSession.read.parquet(path)
 
 
-def training_export(tokenised: DataFrame, ids: str = "input_ids", labels: str = "labels") -> DataFrame:
+def tokenised(df: DataFrame, tokenizer_path: str, prompt: str = "prompt", target: str = "output", max_prompt: int = 256, max_target: int = 384) -> DataFrame:
+    """df with input_ids and labels: token ids of two texts, cut to their greatest lengths. Each worker loads the tokenizer once."""
+
+    def encode(batches):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        for frame in batches:
+            ids = lambda column, most: [e.ids[:most] for e in tokenizer.encode_batch(frame[column].fillna("").tolist())]  # noqa: B023, E731
+            yield frame.assign(input_ids=ids(prompt, max_prompt), labels=ids(target, max_target))
+
+    kinds = [StructField(n, ArrayType(IntegerType())) for n in ("input_ids", "labels")]
+    return df.mapInPandas(encode, StructType([*df.schema.fields, *kinds]))
+
+
+def training_export(examples: DataFrame, ids: str = "input_ids", labels: str = "labels") -> DataFrame:
     """Examples with neither inputs nor labels empty."""
-    return tokenised.filter((F.size(ids) > 0) & (F.size(labels) > 0))
+    return examples.filter((F.size(ids) > 0) & (F.size(labels) > 0))
 
 
 def submission(predictions: DataFrame) -> DataFrame:
     p = F.col("prediction")
     return predictions.select("ID", p.alias("TargetRLF1"), p.alias("TargetR1F1"), p.alias("TargetLLM"))
+
+
+def write_submission(predictions: DataFrame, path: str) -> None:
+    write_csv(submission(predictions), path)

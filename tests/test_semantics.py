@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from polycurate.functions import overlap as O
 from polycurate.functions import scores as S
 from polycurate.functions import text as T
-from polycurate.functions import udfs
-from polycurate.operators import cascade, sampling, similarity
+from polycurate.operators import cascade, profile, sampling, similarity
 from polycurate.sources import io
 
 
@@ -61,10 +64,21 @@ def test_judge_and_composite(spark):
 
 def test_rouge(spark):
     amharic = "ሰላም ለዓለም"
-    row = lambda kind: spark.range(1).select(udfs.rouge_scores(T.rouge_tokens(F.lit(amharic), kind), T.rouge_tokens(F.lit(amharic), kind)).alias("r")).first().r
+    row = lambda kind: spark.range(1).select(*[f(T.rouge_tokens(F.lit(amharic), kind), T.rouge_tokens(F.lit(amharic), kind)) for f in (O.rouge1, O.rouge_l)]).first()
     assert tuple(row("unicode")) == (1.0, 1.0) and tuple(row("ascii")) == (0.0, 0.0)
 
 
+def test_rouge_equals_counting(spark):
+    draw = random.Random(6)
+    pairs = [([draw.choice("abcdé") for _ in range(draw.randint(0, 25))], [draw.choice("abcdé") for _ in range(draw.randint(0, 25))]) for _ in range(80)] + [(None, ["a"]), (["a"], None)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, p array<string>, r array<string>").repartition(3)
+    got = {x.i: (x.r1, x.rl) for x in rows.select("i", O.rouge1(F.col("p"), F.col("r")).alias("r1"), O.rouge_l(F.col("p"), F.col("r")).alias("rl")).collect()}
+    for i, (p, r) in enumerate(pairs):
+        p, r = p or [], r or []
+        both = 2 * (Counter(p) & Counter(r)).total() / max(len(p) + len(r), 1)
+        assert got[i] == pytest.approx((both, 2 * O.subsequence_length(p, r) / max(len(p) + len(r), 1)))
+
+
 def test_common_subsequence_equals_the_table():
     draw = random.Random(0)
     for _ in range(50):
@@ -73,14 +87,26 @@ def test_common_subsequence_equals_the_table():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert udfs.common_subsequence(a, b) == table[-1][-1]
+        assert O.subsequence_length(a, b) == table[-1][-1]
+
 
+def test_gram_matches_equal_counting():
+    draw = random.Random(1)
+    a, b = (["".join(draw.choice("abcé漢") for _ in range(draw.randrange(40))) for _ in range(200)] for _ in range(2))
+    got = O.gram_matches(a, b)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        for n in range(1, 7):
+            grams = lambda t: Counter(t[k : k + n] for k in range(len(t) - n + 1))  # noqa: B023, E731
+            assert got[i, n - 1] == (grams(x) & grams(y)).total()
 
-def test_chrf_skips_orders_without_a_match():
-    assert udfs.chrf_value("same text", "same text", 6, 2.0, True, "blank") == 1.0
-    assert udfs.chrf_value("ab", "ba", 6, 2.0, True, "blank") == 1.0
-    assert udfs.chrf_value("ab", "ba", 6, 2.0, False, "all") == 0.5
-    assert udfs.chrf_value("", "a", 6, 2.0, True, "blank") == 0.0
+
+def test_chrf_by_hand(spark):
+    pairs = [("same text", "same text"), ("ab", "ba"), ("", "a"), ("abcd", "ab"), ("a b\tc", "abc"), (None, "x")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, p string")
+    got = rows.select("i", O.chrf(F.col("r"), F.col("p")).alias("own"), O.sentence_chrf(F.col("r"), F.col("p")).alias("whole")).orderBy("i").collect()
+    # ab against ba: order 1 has all, order 2 nothing; abcd against ab: precision 1, recall (1/2 + 1/3) / 2
+    assert [round(r.own, 4) for r in got] == [1.0, 1.0, 0.0, round((5 * 2 / (4 * 4 + 2) + 5 / (4 * 3 + 1)) / 2, 4), round((5 * 3 / 19 + 5 / 14) / 2, 4), 0.0]
+    assert [round(r.whole, 4) for r in got] == [1.0, 0.5, 0.0, 0.4717, 1.0, 0.0]
 
 
 def dropped(spark, texts, threshold):
@@ -98,7 +124,9 @@ def test_greedy_empty_and_short(spark):
     assert dropped(spark, ["", " ", None, "abc", "abc", "abd"], 0.85) == [1, 2, 4]
 
 
-def test_greedy_equals_a_loop(spark):
+@pytest.mark.parametrize("edges", [0, 500_000])
+def test_greedy_equals_a_loop(spark, monkeypatch, edges):
+    monkeypatch.setattr(similarity, "TASK_EDGES", edges)
     draw = random.Random(5)
     texts = ["".join(draw.choice("ab ") for _ in range(draw.randint(0, 14))) for _ in range(120)]
     sets = []
@@ -112,6 +140,44 @@ def test_greedy_equals_a_loop(spark):
     assert dropped(spark, texts, 0.5) == gone
 
 
+def test_similar_across_pairs_empty_rows(spark):
+    rows = lambda texts: similarity.shingle_rows(spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "key int, group string, t string"), "key", "group", F.col("t"), 5)
+    found = similarity.similar_across(rows(["", "abcdefgh", "other words"]), rows([" ", "abcdefgh!", None]), 0.5)
+    assert sorted((r.a, r.b, round(r.jaccard, 2)) for r in found.collect()) == [(0, 0, 1.0), (1, 1, 0.8)]
+
+
+def test_places_and_ranks(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 3).cast("string").alias("g"), F.md5(F.col("id").cast("string")).alias("k")).withColumn("g", F.when(F.col("g") != "2", F.col("g")))
+    placed = sampling.numbered(rows, [F.col("k")]).orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(1, 501)) and [r.k for r in placed] == sorted(r.k for r in placed)
+    ranked = sampling.group_ranks(rows, "g", [F.col("k")], "rank").collect()
+    for g in ("0", "1", None):
+        own = sorted((r.rank, r.k) for r in ranked if r.g == g)
+        assert [x for x, _ in own] == list(range(1, len(own) + 1)) and [k for _, k in own] == sorted(k for _, k in own)
+    ids = sampling.fallback_ids(spark.createDataFrame([("a", 1), (None, 2), (" ", 3)], "id string, ord int"), "id", [F.col("ord")])
+    assert sorted(r.id for r in ids.collect()) == ["a", "aug_00000000", "aug_00000001"]
+    few = sampling.per_group(rows, "g", {"0": 2, "1": 0}, [F.col("k")]).collect()
+    assert len(few) == 2 and {r.g for r in few} == {"0"}
+
+
+def test_percentiles_and_agreement(spark):
+    draw = random.Random(2)
+    values = {g: [draw.random() for _ in range(n)] for g, n in (("a", 1), ("b", 10), ("c", 101))}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("b", float("nan"))], "g string, v double")
+    got = {r.g: (r.p10, r.p50) for r in profile.percentiles(rows, "g", "v", {"p10": 0.1, "p50": 0.5}).collect()}
+    for g, vs in values.items():
+        assert got[g] == pytest.approx(tuple(np.quantile(vs, [0.1, 0.5])))
+    # a published example: four raters, twelve units, alpha 0.743 (nominal) and 0.849 (interval)
+    raters = ["1 2 3 3 2 1 4 1 2 . . .", "1 2 3 3 2 2 4 1 2 5 . 3", ". 3 3 3 2 3 4 2 2 5 1 .", "1 2 3 3 2 4 4 1 2 5 1 ."]
+    ratings = spark.createDataFrame([(u, int(v)) for line in raters for u, v in enumerate(line.split()) if v != "."], "unit int, rating int")
+    assert [round(profile.agreement(ratings, "unit", "rating", m).first().alpha, 3) for m in ("nominal", "interval")] == [0.743, 0.849]
+
+
+def test_batches_by_memory(spark):
+    rows = spark.createDataFrame([(80.0, "mt0-xxl"), (80.0, "mT0-XL"), (5.0, "base"), (10.0, "?")], "g double, m string")
+    assert [r[0] for r in rows.select(S.batch_size(F.col("g"), S.model_size(F.col("m")))).collect()] == [6, 24, 1, 2]
+
+
 def test_funnel_and_drops_account_for_every_row(spark):
     rows = spark.range(20).select("id", F.lit("en").alias("subset"), F.when(F.col("id") != 3, F.col("id")).alias("x"))
     funnel = cascade.gate_funnel(rows, [("a", F.col("x") > 5), ("b", F.col("x") % 2 == 0)]).orderBy("gate").collect()
@@ -134,8 +200,10 @@ def test_sampling_sizes(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "b.csv").write_text('input,output,subset\n"q, 1",a,en\n NA ,x,en\nNA,x,en\n')
     (tmp_path / "a.csv").write_text("input,output\n1,2\n")
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"input,output,subset\n" + b"q,a,en\n" * 20_000)[:-40])
     rows, wrong = io.read_external(spark, str(tmp_path))
-    assert sorted((r.input, r.source) for r in rows.collect()) == [("NA", "b"), ("q, 1", "b")] and list(wrong.values()) == ["lacks subset"]
+    assert sorted((r.input, r.source) for r in rows.collect()) == [("NA", "b"), ("q, 1", "b")]
+    assert [(n.rsplit("/", 1)[-1], w.split(":")[0]) for n, w in wrong.items()] == [("a.csv", "lacks subset"), ("c.csv.gz", "cannot be read")]
     union, missing = io.read_present(spark, [f"{tmp_path}/b.csv", f"{tmp_path}/none.csv"])
     assert union.count() == 3 and missing == [f"{tmp_path}/none.csv"]
     with pytest.raises(ValueError):
