@@ -23,7 +23,7 @@ RANGE_ROWS, MOST_RANGES = 20_000, 16_384
 #: Sampled keys for each range.
 OVERSAMPLING = 24
 #: A range is overfull beyond this many times its share; rounds of subdivision.
-OVERFULL, ROUNDS = 2.0, 4
+OVERFULL, ROUNDS = 1.25, 4
 
 
 #: What records are ordered by.
@@ -44,8 +44,10 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def packed(columns: list[np.ndarray]) -> np.ndarray:
     """Each row of signed numbers as bytes that sort as the numbers do."""
-    unsigned = [(np.asarray(c, np.int64) ^ np.int64(-(1 << 63))).astype(np.uint64).astype(">u8") for c in columns]
-    return np.ascontiguousarray(np.stack(unsigned, axis=1)).view(f"S{8 * len(columns)}").ravel()
+    out = np.empty((len(columns[0]), len(columns)), ">u8")
+    for i, c in enumerate(columns):
+        out[:, i] = (np.asarray(c, np.int64) ^ np.int64(-(1 << 63))).view(np.uint64)
+    return out.view(f"S{8 * len(columns)}").ravel()
 
 
 def ranged(records: DataFrame, boundaries: list[tuple]) -> DataFrame:
@@ -78,7 +80,7 @@ def splitters(records: DataFrame, n: int, total: int, ranges: int) -> list[tuple
     for _ in range(ROUNDS):
         parted = ranged(records, chosen)
         full = parted.groupBy("part").agg(F.sum(weight).alias("weight"), F.count("*").alias("n")).filter((F.col("weight") > OVERFULL * share) & (F.col("n") > 1))
-        over = full.collect()  # at most half as many as there are ranges
+        over = full.collect()  # fewer than there are ranges
         if not over:
             break
         rates = records.sparkSession.createDataFrame([(r.part, 2 * OVERSAMPLING / share) for r in over], "part long, rate double")

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from polycurate.llm import quality_rules, sharding
@@ -88,3 +89,21 @@ def test_overfull_ranges_are_subdivided(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 40).cast("int")).alias("text"))
     check_shards(sharding.shard(rows).collect())
+
+
+def test_packed_keys_sort_as_numbers():
+    draw = np.random.default_rng(3)
+    columns = [draw.integers(-3, 3, 500), draw.integers(-(2**63), 2**63 - 1, 500), draw.integers(0, 5, 500)]
+    order = np.lexsort(columns[::-1])
+    assert (np.argsort(sharding.packed(columns), kind="stable") == order).all()
+    assert len(sharding.packed([np.zeros(0, np.int64)] * 3)) == 0
+
+
+def test_ranges_hold_neighbouring_keys_and_no_more_than_their_share(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("one row again and again")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    records = sharding.written(sharding.keyed(rows.repartition(4)), "keys")
+    n, total = records.agg(F.count("*"), F.sum("size")).first()
+    parted = sharding.ranged(records, sharding.splitters(records, n, total, 32))
+    spans = parted.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct(*sharding.KEYS)).alias("low"), F.max(F.struct(*sharding.KEYS)).alias("high")).orderBy("part").collect()
+    assert all(a.high < b.low for a, b in zip(spans, spans[1:], strict=False))
+    assert max(r.n for r in spans) <= 4 * 6000 / 32
