@@ -11,7 +11,7 @@ A byte goes if it is covered by a string of `length` bytes that also starts in a
    range of the anchor. There each shard's windows of the range get a transform (small shards share one with their neighbours),
    and the transforms are merged by interleave refinement; intervals of windows with a common prefix of `length` bytes give the
    least doc_id at which each window starts. Contexts that agree byte for byte are one from the start. The windows of anchors
-   that very many shards share travel alone, dealt by their content.
+   with very many contexts travel alone, dealt by their content.
 4. Shards learn for which runs of windows a smaller doc_id exists elsewhere, and mark the bytes.
 
 Defined cases: null, empty and short texts keep all their bytes; a null doc_id counts as the smallest; repeated rows of one
@@ -42,13 +42,13 @@ SHARD_BYTES = 1 << 20
 RANGE_BYTES = 16 << 20
 #: Buckets, and so files, that the shards of one task are dealt to.
 SPREAD = 4
-#: An anchor in more shards than this sends single windows, dealt by content; others meet in one task, a context or so from each shard.
-HOT_SHARDS = 1024
+#: An anchor with more contexts than this sends single windows, dealt by content; the contexts of others meet in one task.
+HOT_CONTEXTS = 1 << 16
 #: Windows whose transforms are merged at once, and contexts that are looked at together.
 MERGE_WINDOWS, CONTEXTS = 1 << 16, 1 << 13
-#: Anchor hashes travel as their upper 48 bits: 47 of the hash and, when shards report them, a flag. A clash of hashes only sends
-#: text that repeats nowhere.
-FLAG, KEY = U(1 << 16), U(((1 << 64) - 1) ^ ((1 << 17) - 1))
+#: Anchor hashes travel as their upper 48 bits and, when shards report them, a byte: how many contexts they have in the shard, at
+#: most MOST_COUNTED, and whether in several documents. A clash of hashes only sends text that repeats nowhere.
+KEY, MOST_COUNTED = U(((1 << 64) - 1) ^ ((1 << 16) - 1)), 127
 
 NO_ID = -(1 << 63)
 SHARDS = "shard long, n_bytes long, ids binary, sizes binary, text binary, gaps binary, rest binary"
@@ -110,6 +110,17 @@ def shard_numbers(task: int, buckets: int):
         yield waiting[target].pop()
 
 
+def even_parts(n: int, partitions: int) -> np.ndarray:
+    """Numbers for n hash ranges that Spark deals evenly to its partitions; for very many, any numbers are dealt evenly enough."""
+    if n > 64 * partitions:
+        return np.arange(n)
+    tried = np.arange(64 * (n + partitions))
+    bucket = spark_hashes(tried) % partitions
+    order = np.argsort(bucket, kind="stable")
+    nth = np.arange(len(tried)) - np.searchsorted(bucket[order], bucket[order])  # within its bucket
+    return tried[order[np.argsort(nth, kind="stable")]][:n]
+
+
 class Shard:
     """A row of the shard table, with the anchors of all its documents."""
 
@@ -187,15 +198,15 @@ def _drop(spark, name: str) -> None:
         pass
 
 
-def six(h: np.ndarray) -> bytes:
-    """The upper 48 bits of each number."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+def upper(h: np.ndarray, n: int = 6) -> bytes:
+    """The upper n bytes of each number."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :]).tobytes()
 
 
-def from_six(data) -> np.ndarray:
-    part = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def from_upper(data, n: int = 6) -> np.ndarray:
+    part = np.frombuffer(data, np.uint8).reshape(-1, n)
     out = np.zeros((len(part), 8), np.uint8)
-    out[:, 2:] = part
+    out[:, 8 - n :] = part
     return out.reshape(-1).view("<u8")
 
 
@@ -217,42 +228,52 @@ def _split(order: np.ndarray, keys: np.ndarray):
             yield int(keys[part[0]]), part
 
 
-def repeating_anchors(shards: DataFrame, ranges: int, length: int, hot_shards: int = HOT_SHARDS) -> DataFrame:
-    """(shard, hot, hashes): the shard's anchors that occur in two documents anywhere; hot ones in more than hot_shards shards."""
+def anchor_counts(shard: Shard) -> np.ndarray:
+    """The shard's distinct anchor hashes, each with its byte of counts. Contexts are told apart by the anchors on either side."""
+    h = shard.hashes()
+    if not len(h):
+        return h
+    near = shard.doc[1:] == shard.doc[:-1]
+    around = mixed(np.append(U(0), np.where(near, h[:-1], U(0))) * U(0x9E3779B97F4A7C15) + np.append(np.where(near, h[1:], U(0)), U(0)))
+    both = (h & KEY) | (around >> U(48))
+    order = np.argsort(both)
+    both, doc = both[order], shard.ids[shard.doc[order]]
+    key = both & KEY
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    contexts = np.add.reduceat(np.append(True, both[1:] != both[:-1]).astype(np.int64), new)
+    several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
+    return key[new] | (np.minimum(contexts, MOST_COUNTED).astype(U) << U(9)) | (several.astype(U) << U(8))
+
+
+def repeating_anchors(shards: DataFrame, ranges: int, length: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+    """(shard, plain, hot): the shard's anchors that occur in two documents anywhere; hot ones have more than hot_contexts contexts."""
+    parts = even_parts(ranges, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches):
         for row in _rows(batches):
-            shard = Shard(row, length)
-            h = shard.hashes() & KEY
-            order = np.lexsort((shard.doc, h))
-            h, doc = h[order], shard.ids[shard.doc[order]]
-            new = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
-            several = np.zeros(len(new), bool)
-            if len(new):
-                several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
-            h = h[new] | several.astype(U) * FLAG  # the flag tells of two documents within the shard
-            part = ((h >> U(33)) % U(ranges)).astype(np.int64)
-            out = [(int(k), row["shard"], six(h[p])) for k, p in _split(np.argsort(part, kind="stable"), part)]
+            h = anchor_counts(Shard(row, length))
+            part = parts[((h >> U(33)) % U(ranges)).astype(np.int64)]
+            out = [(int(k), row["shard"], upper(h[p], 7)) for k, p in _split(np.argsort(part, kind="stable"), part)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["part", "shard", "hashes"])
 
     def find(table: pa.Table) -> pa.Table:
-        blobs = [from_six(b.as_buffer()) for b in table.column("hashes")]
+        blobs = [from_upper(b.as_buffer(), 7) for b in table.column("hashes")]
         shard = np.repeat(table.column("shard").to_numpy(), [len(b) for b in blobs])
         h = np.concatenate(blobs)
         order = np.argsort(h & KEY, kind="stable")
         h, shard = h[order], shard[order]
-        several, h = (h & FLAG) > 0, h & KEY
+        contexts, several, h = ((h >> U(9)) & U(MOST_COUNTED)).astype(np.int64), (h >> U(8)) & U(1) > 0, h & KEY
         new = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
         count = np.diff(np.append(new, len(h)))
         # two shards hold different documents, unless rows of one doc_id lie in both: that only sends more than is needed
         repeats = (count > 1) | np.logical_or.reduceat(several, new)
-        hot = np.repeat(count > hot_shards, count)
+        hot = np.repeat(np.add.reduceat(contexts, new) > hot_contexts, count)
         keep = np.repeat(repeats, count)
         h, shard, hot = h[keep], shard[keep], hot[keep]
         out = []
         for x in (False, True):
             rows = np.flatnonzero(hot == x)
-            out += [(s, x, six(h[p])) for s, p in _split(rows[np.argsort(shard[rows], kind="stable")], shard)]
+            out += [(s, x, upper(h[p])) for s, p in _split(rows[np.argsort(shard[rows], kind="stable")], shard)]
         return pa.table({"shard": pa.array([o[0] for o in out], pa.int64()), "hot": pa.array([o[1] for o in out], pa.bool_()), "hashes": pa.array([o[2] for o in out], pa.binary())})
 
     sent = shards.drop("rest").mapInArrow(send, "part long, shard long, hashes binary")
@@ -269,7 +290,7 @@ def contexts(row: dict, length: int) -> dict[str, np.ndarray]:
     shard = Shard(row, length)
     span, width = length - ANCHOR, 2 * length - ANCHOR
     h = shard.hashes() & KEY
-    plain, hot = (np.unique(np.concatenate([from_six(b) for b in row[k]] or [np.zeros(0, U)])) for k in ("plain", "hot"))
+    plain, hot = (np.unique(np.concatenate([from_upper(b) for b in row[k]] or [np.zeros(0, U)])) for k in ("plain", "hot"))
     first, last = shard.windows()
     is_hot, is_plain = np.isin(h, hot), np.isin(h, plain)
     a = np.flatnonzero(is_plain & (last >= first))
@@ -329,6 +350,7 @@ def least(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
 
 def send_contexts(joined: DataFrame, ranges: int, length: int) -> DataFrame:
     """(part, shard, n, numbers, keys, lo, hi, docs, text): distinct contexts with the least doc_id that each has in the shard."""
+    parts = even_parts(ranges, int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches):
         for row in _rows(batches):
@@ -337,11 +359,11 @@ def send_contexts(joined: DataFrame, ranges: int, length: int) -> DataFrame:
                 continue
             chosen, number = distinct_rows(c)
             doc = least(c["doc"], number, len(chosen))
-            part = ((c["key"][chosen] >> U(33)) % U(ranges)).astype(np.int64)
+            part = parts[((c["key"][chosen] >> U(33)) % U(ranges)).astype(np.int64)]
             out = []
             for k, p in _split(np.argsort(part, kind="stable"), part):
                 q = chosen[p]
-                out.append((k, row["shard"], p.astype(np.uint32).tobytes(), six(c["key"][q]), c["lo"][q].astype(np.uint8).tobytes(), c["hi"][q].astype(np.uint8).tobytes(), squeezed(doc[p]), squeezed(c["text"][q])))
+                out.append((k, row["shard"], p.astype(np.uint32).tobytes(), upper(c["key"][q]), c["lo"][q].astype(np.uint8).tobytes(), c["hi"][q].astype(np.uint8).tobytes(), squeezed(doc[p]), squeezed(c["text"][q])))
             kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 6)
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["part", "shard", "numbers", "keys", "lo", "hi", "docs", "text"])
 
@@ -385,7 +407,7 @@ def merged_range(table: pa.Table, length: int) -> pa.Table:
     """(shard, numbers, nth, runs): runs of windows of the shards' contexts for which a smaller doc_id exists elsewhere."""
     column = lambda name, kind: np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table.column(name)])
     number, lo, hi = column("numbers", np.uint32), column("lo", np.uint8).astype(np.int64), column("hi", np.uint8).astype(np.int64)
-    key = np.concatenate([from_six(b.as_buffer()) for b in table.column("keys")])
+    key = np.concatenate([from_upper(b.as_buffer()) for b in table.column("keys")])
     sizes = [len(b.as_buffer()) // 4 for b in table.column("numbers")]
     width = 2 * length - ANCHOR
     doc = unsqueezed(table.column("docs"), [8 * n for n in sizes], np.int64)
@@ -438,19 +460,19 @@ def removed_bytes(row: dict, length: int) -> tuple[Shard, np.ndarray]:
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _repeats(documents: DataFrame, length: int, hot_shards: int, with_rest: bool = False) -> DataFrame:
+def _repeats(documents: DataFrame, length: int, hot_contexts: int, with_rest: bool = False) -> DataFrame:
     """Shards with what tells which of their bytes go."""
     shards = lay_shards(documents, length, with_rest)
     total = shards.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     ranges = max(1, -(-total // RANGE_BYTES))
-    known = written(repeating_anchors(shards, ranges, length, hot_shards), "anchors")
+    known = written(repeating_anchors(shards, ranges, length, hot_contexts), "anchors")
     joined = shards.drop("rest").join(known.hint("shuffle_hash"), "shard")
     found = send_contexts(joined, 2 * ranges, length).groupBy("part").applyInArrow(lambda t: merged_range(t, length), "shard long, numbers binary, nth binary, runs binary")
     found = written(found.groupBy("shard").agg(F.collect_list(F.struct("numbers", "nth", "runs")).alias("found")), "found")
     return shards.join(known.hint("shuffle_hash"), "shard", "left").join(found.hint("shuffle_hash"), "shard", "left")
 
 
-def repeats_report(documents: DataFrame, length: int = 50, hot_shards: int = HOT_SHARDS) -> DataFrame:
+def repeats_report(documents: DataFrame, length: int = 50, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """For each document: bytes, bytes removed, maximal removed runs, SHA-256 of the bytes that stay."""
 
     def report(batches):
@@ -464,10 +486,10 @@ def repeats_report(documents: DataFrame, length: int = 50, hot_shards: int = HOT
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _repeats(documents, length, hot_shards).mapInArrow(report, REPORT)
+    return _repeats(documents, length, hot_contexts).mapInArrow(report, REPORT)
 
 
-def remaining_texts(documents: DataFrame, length: int = 50, hot_shards: int = HOT_SHARDS) -> DataFrame:
+def remaining_texts(documents: DataFrame, length: int = 50, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """documents, in all their columns, with what is left of each text; characters of which a part goes, go whole."""
     names = documents.columns
     kinds = {f.name: f.dataType for f in documents.schema.fields} | {"doc_id": LongType(), "text": StringType()}
@@ -485,4 +507,4 @@ def remaining_texts(documents: DataFrame, length: int = 50, hot_shards: int = HO
                 columns |= {rest.type.field(i).name: rest.field(i) for i in range(rest.type.num_fields)}
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return _repeats(documents, length, hot_shards, True).mapInArrow(keep, schema)
+    return _repeats(documents, length, hot_contexts, True).mapInArrow(keep, schema)

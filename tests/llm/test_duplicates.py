@@ -123,6 +123,13 @@ def test_shards_of_a_task_fall_into_few_buckets(spark):
             assert {r.bucket for r in rows} == {(task * suffix_dedup.SPREAD + k) % buckets for k in range(suffix_dedup.SPREAD)}
 
 
+def test_hash_ranges_are_dealt_evenly(spark):
+    for n, partitions in ((1, 8), (108, 51), (40, 211), (7, 1)):
+        parts = suffix_dedup.even_parts(n, partitions)
+        rows = spark.createDataFrame([(int(x),) for x in parts], "n long").selectExpr(f"pmod(hash(n), {partitions}) as bucket").groupBy("bucket").count().collect()
+        assert len(set(parts.tolist())) == n and max(r["count"] for r in rows) == -(-n // partitions)
+
+
 def removed(rows, length=50):
     first: dict[bytes, int] = {}
     key = lambda i: -(1 << 62) if i is None else i
@@ -144,12 +151,12 @@ def removed(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [1024, 1])
+@pytest.mark.parametrize("hot", [1 << 16, 1])
 def test_repeats_of_odd_rows(odd, odd_rows, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "MERGE_WINDOWS", 500)
     monkeypatch.setattr(suffix_dedup, "CONTEXTS", 100)
-    got = Counter(tuple(r) for r in suffix_dedup.repeats_report(odd, hot_shards=hot).collect())
+    got = Counter(tuple(r) for r in suffix_dedup.repeats_report(odd, hot_contexts=hot).collect())
     assert got == removed(odd_rows)
 
 
