@@ -84,16 +84,51 @@ def gram_matches(a: list[str], b: list[str], orders: int = ORDERS) -> np.ndarray
 
 def _matches(a: pa.Array, b: pa.Array) -> pa.Array:
     texts = [pc.fill_null(x, "") for x in (a, b)]
-    size = np.cumsum(np.asarray(pc.add(*[pc.utf8_length(x) for x in texts])).astype(np.int64))
-    at, parts = 0, [np.zeros((0, ORDERS), np.int64)]
-    while at < len(a):
-        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
-        parts.append(gram_matches(*[x[at:to].to_pylist() for x in texts]))
-        at = to
+    sizes = np.asarray(pc.add(*[pc.utf8_length(x) for x in texts])).astype(np.int64)
+    parts = [np.zeros((0, ORDERS), np.int64), *[gram_matches(*[x[at:to].to_pylist() for x in texts]) for at, to in _chunks(sizes)]]
     found = np.concatenate(parts)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * ORDERS, pa.int32()), pa.array(found.ravel()))
 
 
+def shingle_hashes(texts: list[str], k: int) -> list[np.ndarray]:
+    """Ascending distinct hashes of each text's runs of k characters; of a shorter text the hash of the whole, none of an empty one."""
+    points, length = _code_points(texts)
+    points, row = points + np.uint64(1), np.repeat(np.arange(len(texts)), length)
+    left, grams, rows, keys = np.cumsum(length)[row] - np.arange(len(points)), points, [], []
+    for n in range(1, k + 1):
+        used = left[: len(grams)] >= n if n == k else (length[row[: len(grams)]] == n) & (left[: len(grams)] == n)
+        rows.append(row[: len(grams)][used])
+        keys.append((grams[used] ^ (grams[used] >> np.uint64(29))) * _STEP + np.uint64(n))
+        grams = grams[:-1] * _STEP + points[n:]
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    first = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
+    return np.split(key[first], np.cumsum(np.bincount(row[first], minlength=len(texts)))[:-1]) if len(texts) else []
+
+
+def _chunks(sizes: np.ndarray):
+    """(from, to) of rows that have about CHUNK code points together."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield at, to
+        at = to
+
+
+def shingles(text: Column, k: int) -> Column:
+    """Hashes of a text's distinct runs of k characters, in order; for null none."""
+
+    def hashed(a: pa.Array) -> pa.Array:
+        a, found = pc.fill_null(a, ""), []
+        for at, to in _chunks(np.asarray(pc.utf8_length(a)).astype(np.int64)):
+            found += shingle_hashes(a[at:to].to_pylist(), k)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)))
+
+    return F.arrow_udf(hashed, "array<long>")(text)
+
+
 def _arrow(function, kind: str):
     def wrapped(a: pa.Array, b: pa.Array) -> pa.Array:
         return function(a, b)

@@ -35,13 +35,16 @@ def _measured(s: SparkSession, d: str) -> DataFrame:
     return views.with_metrics(views.qa(s, d), views.LATIN)
 
 
-def _rules() -> list[cascade.Rule]:
+def _judged(s: SparkSession, d: str) -> DataFrame:
+    """qa with `_a` (the answer's words) and drop_reason; a rule's measure is taken only where no earlier rule holds."""
     c = F.col
-    return [
+    mismatch = ~T.script_ok(c("output"), c("expected_script"))
+    rules = [
         ("Q < 3 tokens", c("q_tokens") < 3), ("A < 5 tokens", c("a_tokens") < 5), ("A > 400 tokens", c("a_tokens") > 400),
-        ("A repetition > 0.5", c("a_repetition") > 0.5),
-        *[(f"[{lang}] answer script mismatch", (c("subset") == lang) & ~c("a_script_ok")) for lang in views.LATIN],
+        ("A repetition > 0.5", T.repeated_share(c("_a")) > 0.5),
+        *[(f"[{lang}] answer script mismatch", (c("subset") == lang) & mismatch) for lang in views.LATIN],
     ]
+    return cascade.with_drop_reason(views.with_tokens(views.qa(s, d), views.LATIN), rules)
 
 
 # --- cleaning cascade and text functions
@@ -49,14 +52,13 @@ def _rules() -> list[cascade.Rule]:
 
 @query
 def clean_drop_report(s, d):
-    rows = cascade.with_drop_reason(_measured(s, d), _rules()).filter("drop_reason is not null")
-    return rows.groupBy(F.col("drop_reason").alias("reason"), "subset").agg(F.count("*").alias("n"))
+    return _judged(s, d).filter("drop_reason is not null").groupBy(F.col("drop_reason").alias("reason"), "subset").agg(F.count("*").alias("n"))
 
 
 @query
 def clean_survivors(s, d):
-    rows = cascade.with_drop_reason(_measured(s, d), _rules()).filter("drop_reason is null")
-    return rows.select(F.col("ID").alias("id"), "subset", "q_tokens", "a_tokens", r6("a_repetition").alias("a_repetition"))
+    rows = _judged(s, d).filter("drop_reason is null")
+    return rows.select(F.col("ID").alias("id"), "subset", "q_tokens", "a_tokens", r6(T.repeated_share(F.col("_a"))).alias("a_repetition"))
 
 
 @query
@@ -530,7 +532,7 @@ def ip_anonymise(s, d):
 
 @query
 def clean_totals(s, d):
-    return cascade.kept_totals(cascade.with_drop_reason(_measured(s, d), _rules()))
+    return cascade.kept_totals(_judged(s, d))
 
 
 @query

@@ -22,16 +22,20 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def with_metrics(rows: DataFrame, scripts: dict[str, str] | None = None) -> DataFrame:
-    """The native columns of a diagnostic row; each text is cut into words, and its letters are counted, once."""
-    expected = T.lookup(F.col("subset"), scripts or T.EXPECTED_SCRIPT, F.lit("LATIN") if scripts is None else F.lit("UNKNOWN"))
+    """The native columns of a diagnostic row; each text is cut into words once."""
     q, a, script = F.col("input"), F.col("output"), F.col("expected_script")
-    cut = rows.withColumn("expected_script", expected).withColumns({"_a": T.once(T.tokens(a)), "q_tokens": T.once(T.token_count(q))})
-    return cut.withColumns({
-        "a_tokens": F.size("_a"), "a_repetition": T.once(T.repeated_share(F.col("_a"))),
-        "q_script_ok": T.once(T.script_ok(q, script)), "a_script_ok": T.once(T.script_ok(a, script)),
+    return with_tokens(rows, scripts).withColumns({
+        "a_repetition": T.repeated_share(F.col("_a")), "q_script_ok": T.script_ok(q, script), "a_script_ok": T.script_ok(a, script),
     }).drop("_a")
 
 
+def with_tokens(rows: DataFrame, scripts: dict[str, str] | None = None) -> DataFrame:
+    """expected_script, token counts, and the answer's words as `_a`, for rules that are tried in turn."""
+    expected = T.lookup(F.col("subset"), scripts or T.EXPECTED_SCRIPT, F.lit("LATIN") if scripts is None else F.lit("UNKNOWN"))
+    cut = rows.withColumn("expected_script", expected).withColumns({"_a": T.once(T.tokens(F.col("output"))), "q_tokens": T.once(T.token_count(F.col("input")))})
+    return cut.withColumn("a_tokens", F.size("_a"))
+
+
 LATIN = {lang: "LATIN" for lang in ("de", "en", "es", "fr")}
 
 

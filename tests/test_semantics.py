@@ -100,6 +100,17 @@ def test_gram_matches_equal_counting():
             assert got[i, n - 1] == (grams(x) & grams(y)).total()
 
 
+def test_shingle_hashes_tell_shingles_apart(spark):
+    draw = random.Random(3)
+    texts = ["", "a", "ab", "abcd", "abcde", "aaaaaaa", None, *["".join(draw.choice("ab é漢") for _ in range(draw.randrange(12))) for _ in range(200)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    found = {r.i: (set(r.x), r.y) for r in rows.select("i", T.shingles(F.col("t")).alias("x"), O.shingles(T.single_spaced(F.col("t")), 5).alias("y")).collect()}
+    assert all(len(x) == len(y) == len(set(y)) for x, y in found.values())
+    for i in range(len(texts)):
+        x, y = found[draw.randrange(len(texts))], found[i]
+        assert len(x[0] & y[0]) == len(set(x[1]) & set(y[1]))
+
+
 def test_chrf_by_hand(spark):
     pairs = [("same text", "same text"), ("ab", "ba"), ("", "a"), ("abcd", "ab"), ("a b\tc", "abc"), (None, "x")]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, r string, p string")
