@@ -14,6 +14,8 @@ from ..sources.scratch import settled
 
 #: Rough bytes of text that Python code holds at once; a longer document stands alone.
 BATCH_BYTES = 4 << 20
+#: Rows of an Arrow batch whose texts are copied at once.
+CAST_ROWS = 4096
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,16 +33,18 @@ def text_or_empty(column: str = "text") -> Column:
 
 def slices(ids: pa.Array, texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_id, offsets, bytes) of consecutive rows, about `limit` bytes at a time; the bytes are the texts' UTF-8, one after another."""
-    keys = np.asarray(ids.fill_null(-1) if ids.null_count else ids)
-    texts = texts.cast(pa.large_binary())
-    buffers = texts.buffers()
-    ends = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    data = np.frombuffer(buffers[2], np.uint8) if len(texts) and buffers[2] is not None else np.zeros(0, np.uint8)
-    at = 0
-    while at < len(keys):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
-        yield keys[at:to], ends[at : to + 1] - ends[at], data[ends[at] : ends[to]]
-        at = to
+    for begin in range(0, len(ids), CAST_ROWS):  # a cast copies
+        own = ids.slice(begin, CAST_ROWS)
+        keys = np.asarray(own.fill_null(-1) if own.null_count else own)
+        part = texts.slice(begin, CAST_ROWS).cast(pa.large_binary())
+        buffers = part.buffers()
+        ends = np.frombuffer(buffers[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(keys):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
+            yield keys[at:to], ends[at : to + 1] - ends[at], data[ends[at] : ends[to]]
+            at = to
 
 
 def per_document(batches: Iterable[pa.RecordBatch], keep: tuple[str, ...], measure: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
