@@ -51,4 +51,38 @@ f as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words):
   + 16 * (word_chars < 2 * n_words or word_chars > 15 * n_words)::int + 32 * (100 * n_upper > 60 * word_chars)::int as fail_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, fail_bits from f"""
 
-ORACLES = {"op2_decontamination": OP2, "op4_suffix_dedup": OP4, "op8_minhash_near_dup": OP8, "op10_quality_rules": OP10}
+OP11 = """with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select r, doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select r, doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d)),
+k as (select key, max(doc_id) as last from l where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+m as (select l.*, coalesce(l.doc_id < k.last, false) as gone from l left join k using (key))
+select doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from (
+  select r, any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as kept from m group by r)"""
+
+OP12 = """with crc as (select list(c order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c from range(256) x(i))),
+o as (select conv_id, coalesce(text, '') as x, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as s, turn from conversations where conv_id is not null),
+p as (select *, row_number() over (partition by conv_id order by turn nulls first, s) as place from o),
+c as (select conv_id, conv_id - conv_id % 5 as base, count(*) as own from o group by 1),
+h as (select c.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::varchar, ''), lambda z: ascii(z)::bigint)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 9 as h from c, crc),
+k as (select h.*, least(h.h, coalesce(b.own, 0)) as taken from h left join c b on b.conv_id = h.base),
+r as (select k.conv_id, place as depth, s, x from k join p on p.conv_id = k.base where place <= h union all select k.conv_id, place - h + taken, s, x from k join p on p.conv_id = k.conv_id where place > h),
+m as (select conv_id, depth, string_agg(s, '') over (partition by conv_id order by depth) as key, strlen(x) as bytes from r union all select conv_id, 0, '', 0 from c),
+v as (select depth, key, min(conv_id) as conv_id, count(*) as n, any_value(bytes) as bytes from m group by 1, 2),
+kids as (select depth - 1 as depth, left(key, (64 * depth - 64)::bigint) as key, count(*) as n from v where depth > 0 group by 1, 2),
+w as (select v.*, coalesce(kids.n, 0) as n_children from v left join kids using (depth, key)),
+sub as (select a as depth, left(key, (64 * a)::bigint) as key, sum((n - 1) * bytes) as saved, count(*) filter (n_children = 0) as leaves from (select *, unnest(range(depth + 1)) as a from w) group by 1, 2),
+e as (select depth, key, string_agg(conv_id::varchar, ',' order by conv_id) as ids from (select * from m qualify depth = max(depth) over (partition by conv_id)) group by 1, 2)
+select w.conv_id, w.depth::bigint as depth, up.conv_id as parent_conv_id, w.n as n_convs, w.n_children, sub.leaves as n_leaves, sub.saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from w join sub using (depth, key) left join v up on up.depth = w.depth - 1 and up.key = left(w.key, (64 * w.depth - 64)::bigint) left join e on e.depth = w.depth and e.key = w.key"""
+
+OP13 = """with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as s from documents),
+h as (select doc_id, t, u, len(u) as n, [('0x' || s[i:i + 7])::bigint for i in [1, 9, 17, 25]] as h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b, t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 as plain from h),
+x as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:n], '') as suf, case when plain then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from c)
+select doc_id, n::bigint as n, form, case when not plain then length(pre) end as prefix_chars, case when not plain then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from x"""
+
+ORACLES = {
+    "op2_decontamination": OP2, "op4_suffix_dedup": OP4, "op8_minhash_near_dup": OP8, "op10_quality_rules": OP10,
+    "op11_line_dedup": OP11, "op12_prefix_trie": OP12, "op13_fill_middle": OP13,
+}
