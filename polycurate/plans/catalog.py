@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import udfs
 from ..operators import cascade, profile, sampling, similarity
 from ..sources import io
-from ..streaming import serving
+from ..streaming import limits, serving
 from . import pipelines as P
 from . import views
 from .oracles import ORACLES as ORACLES
@@ -502,6 +502,13 @@ def rate_limit_windows(s, d):
     return serving.over_limit(views.requests(s, d), "ip_hash", 1).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query
+def rate_limit_requests(s, d):
+    """Two requests of a client in six hours: the table's clients ask a few times a day."""
+    rows = limits.decided(views.requests(s, d), "ip_hash", "question_id", 2, seconds=6 * 3600)
+    return rows.select(F.col("request").cast("long").alias("event_id"), "earlier", "admitted")
+
+
 @query
 def feedback_flags(s, d):
     return serving.flagged(views.feedback(s, d)).select("question_id", "rating", "flagged")
