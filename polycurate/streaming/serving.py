@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -74,6 +76,32 @@ def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _write_batch(rows: DataFrame, folder: str, batch: int) -> None:
+    """One batch's rows in a folder of their own, so that writing the batch again replaces them."""
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch}")
+
+
+def append_feedback(stream: DataFrame, log: str, flags: str, checkpoint: str, written: Callable[[str, int], None] = lambda sink, batch: None) -> StreamingQuery:
+    """Every feedback event goes to `log`, and those that are flagged to `flags` as well.
+
+    Both sinks are keyed by the stream's batch number: a query that ends between the two writes and is started again with its
+    checkpoint replaces what the unfinished batch wrote, so each event stands in each sink once. `written` is called after each write.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        _write_batch(rows, log, batch)
+        written("log", batch)
+        _write_batch(flagged(rows), flags, batch)
+        written("flags", batch)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, folder: str, schema: str = FEEDBACK) -> DataFrame:
+    """The rows of a sink of `append_feedback`."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+
+
 def live_table(stream: DataFrame, name: str, mode: str = "complete") -> StreamingQuery:
     return stream.writeStream.format("memory").outputMode(mode).queryName(name).trigger(availableNow=True).start()
 

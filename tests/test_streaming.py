@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from polycurate import scorers
@@ -20,6 +22,32 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert spark.table("live_limits").filter("limited").count() == serving.over_limit(requests, "ip_hash", 1).filter("limited").count()
 
 
+def test_two_sinks_survive_an_end_between_their_writes(spark, small, tmp_path):
+    feedback = views.feedback(spark, small)
+    feedback.repartition(4).write.parquet(f"{tmp_path}/in")
+    ended = []
+
+    def end_once(sink, batch):
+        if sink == "log" and batch == 2 and not ended:
+            ended.append(batch)
+            raise RuntimeError("ended between the two writes")
+
+    def start():
+        stream = spark.readStream.schema(feedback.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        return serving.append_feedback(stream, f"{tmp_path}/log", f"{tmp_path}/flags", f"{tmp_path}/checkpoint", end_once)
+
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination()
+    ids = lambda rows: sorted(r.question_id for r in rows.collect())
+    assert len(ids(serving.read_batches(spark, f"{tmp_path}/log"))) > len(ids(serving.read_batches(spark, f"{tmp_path}/flags"))) > 0
+    start().awaitTermination()
+    assert ended == [2]
+    assert ids(serving.read_batches(spark, f"{tmp_path}/log")) == ids(feedback)
+    assert ids(serving.read_batches(spark, f"{tmp_path}/flags")) == ids(serving.flagged(feedback))
+    start().awaitTermination()  # nothing new
+    assert ids(serving.read_batches(spark, f"{tmp_path}/log")) == ids(feedback)
+
+
 def test_routing_and_disclaimer(spark):
     rows = spark.createDataFrame([("sw", "habari"), (None, "ሰላም"), (None, "hello"), ("xx", "hi")], "code string, text string")
     known = {"am": "Amh_Eth", "sw": "Swa_Eas", "en": "Eng"}
