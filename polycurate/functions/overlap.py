@@ -59,7 +59,7 @@ def _common_subsequences(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([subsequence_length(code[i:j].tolist(), code[k:m].tolist()) for i, j, k, m in pairs], pa.int64())
 
 
-def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all texts end to end, length of each)."""
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64), np.asarray([len(t) for t in texts], np.int64)
 
@@ -68,7 +68,7 @@ def gram_matches(a: list[str], b: list[str], orders: int = ORDERS) -> np.ndarray
     """(rows, orders): how many character n-grams, of n from 1 on, the texts of each row share."""
     sides, out = [], np.zeros((len(a), orders), np.int64)
     for texts in (a, b):
-        points, length = _code_points(texts)
+        points, length = code_points(texts)
         row = np.repeat(np.arange(len(texts)), length)
         sides.append([points + np.uint64(1), row, np.cumsum(length)[row] - np.arange(len(points)), points + np.uint64(1)])
     for n in range(1, orders + 1):
@@ -85,14 +85,14 @@ def gram_matches(a: list[str], b: list[str], orders: int = ORDERS) -> np.ndarray
 def _matches(a: pa.Array, b: pa.Array) -> pa.Array:
     texts = [pc.fill_null(x, "") for x in (a, b)]
     sizes = np.asarray(pc.add(*[pc.utf8_length(x) for x in texts])).astype(np.int64)
-    parts = [np.zeros((0, ORDERS), np.int64), *[gram_matches(*[x[at:to].to_pylist() for x in texts]) for at, to in _chunks(sizes)]]
+    parts = [np.zeros((0, ORDERS), np.int64), *[gram_matches(*[x[at:to].to_pylist() for x in texts]) for at, to in chunks(sizes)]]
     found = np.concatenate(parts)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * ORDERS, pa.int32()), pa.array(found.ravel()))
 
 
 def shingle_hashes(texts: list[str], k: int) -> list[np.ndarray]:
     """Ascending distinct hashes of each text's runs of k characters; of a shorter text the hash of the whole, none of an empty one."""
-    points, length = _code_points(texts)
+    points, length = code_points(texts)
     points, row = points + np.uint64(1), np.repeat(np.arange(len(texts)), length)
     left, grams, rows, keys = np.cumsum(length)[row] - np.arange(len(points)), points, [], []
     for n in range(1, k + 1):
@@ -107,7 +107,7 @@ def shingle_hashes(texts: list[str], k: int) -> list[np.ndarray]:
     return np.split(key[first], np.cumsum(np.bincount(row[first], minlength=len(texts)))[:-1]) if len(texts) else []
 
 
-def _chunks(sizes: np.ndarray):
+def chunks(sizes: np.ndarray):
     """(from, to) of rows that have about CHUNK code points together."""
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
@@ -121,7 +121,7 @@ def shingles(text: Column, k: int) -> Column:
 
     def hashed(a: pa.Array) -> pa.Array:
         a, found = pc.fill_null(a, ""), []
-        for at, to in _chunks(np.asarray(pc.utf8_length(a)).astype(np.int64)):
+        for at, to in chunks(np.asarray(pc.utf8_length(a)).astype(np.int64)):
             found += shingle_hashes(a[at:to].to_pylist(), k)
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)))

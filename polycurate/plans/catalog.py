@@ -18,6 +18,7 @@ from ..streaming import limits, serving
 from . import pipelines as P
 from . import views
 from .oracles import ORACLES as ORACLES
+from .oracles import SCRIPT_TEXTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -92,6 +93,12 @@ def nfc_normalise(s, d):
     return io.table(s, d, "documents").select("doc_id", F.md5(udfs.nfc("text")).alias("text_md5"))
 
 
+@query
+def dominant_script(s, d):
+    literal = s.createDataFrame([(-i, t) for i, t in enumerate(SCRIPT_TEXTS, 1)], "doc_id long, text string")
+    return io.table(s, d, "documents").select("doc_id", "text").union(literal).select("doc_id", T.dominant_script(F.col("text")).alias("script"))
+
+
 @query
 def script_heuristic(s, d):
     rows = s.createDataFrame([(1, "abc", "Aka_Gha"), (2, "123", "Lug_Uga"), (3, "ሰላም", "Amh_Eth"), (4, "abc", "Amh_Eth"), (5, "123", "Swa_Ken")], "i int, t string, s string")
@@ -402,9 +409,10 @@ def fallback_ids(s, d):
 # --- evaluation
 
 
-def _rouge(s, d, score):
-    rows = views.predictions(s, d).withColumns({"_p": T.once(T.rouge_tokens(F.col("prediction"))), "_r": T.once(T.rouge_tokens(F.col("reference")))})
-    return rows.select("subset", score(F.col("_p"), F.col("_r")).alias("f"))
+def _rouge(rows, score):
+    words = lambda c: T.once(T.normal_tokens(udfs.nfkc(F.lower(c))))
+    cut = rows.withColumns({"_p": words("prediction"), "_r": words("reference")})
+    return cut.select("subset", score(F.col("_p"), F.col("_r")).alias("f"))
 
 
 def _by_language(rows, name):
@@ -414,12 +422,12 @@ def _by_language(rows, name):
 
 @query
 def rouge1_by_lang(s, d):
-    return _by_language(_rouge(s, d, O.rouge1), "rouge1_f1")
+    return _by_language(_rouge(views.predictions(s, d), O.rouge1), "rouge1_f1")
 
 
 @query
 def rougeL_by_lang(s, d):  # noqa: N802
-    return _by_language(_rouge(s, d, O.rouge_l), "rougeL_f1")
+    return _by_language(_rouge(views.moved_predictions(s, d), O.rouge_l), "rougeL_f1")
 
 
 def _thinned(c, n=5):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from ..functions.scripts import letter_ranges
+
+#: Texts in scripts that the driver's tables lack; their ids are -1, -2 and so on.
+SCRIPT_TEXTS = ("Здоровье важно", "الصحة مهمة", "Η υγεία είναι", "健康很重要", "ጤና አስፈላጊ ነው", "स्वास्थ्य", "건강은 중요", "abcде", "abcdде", "12 34", "")
+
 BLANK = "regexp_replace({0}, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g')"
 QA = f"""qa as (
   select * from (
@@ -28,6 +33,17 @@ FIRST_LINES = f"{QA}, low as (select *, {BLANK.format(chr(39).join(['regexp_repl
 SHINGLED = FIRST_LINES.removeprefix(f"{QA}, ")
 PREDICTIONS = f"""{QA}, w as (select id, subset, input, output as reference, {TOKENS.format('output')} as words from qa),
 p as (select id, subset, input, reference, array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: i % 5 <> 0), lambda i: words[i]), ' ') as prediction from w)"""
+ROUGE_TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+#: Longest common subsequences of t(id, subset, a, b), by the bit-parallel recurrence: 62 tokens of a to a number, one step for each token of b.
+#: A row v begins with all bits set; with m, the places in a of the token, it becomes (v + (v & m)) | (v & ~m). Its zeros in the end are the length.
+SUBSEQUENCES = """
+      places as (select id, tok, list(pos order by pos) as ps from (select id, unnest(a) as tok, unnest(range(len(a))) as pos from t) group by 1, 2),
+      masks as (select places.id, tok, list_transform(range((len(a) + 61) // 62), lambda k: list_sum(list_transform(list_filter(ps, lambda x: x // 62 = k), lambda x: 1::bigint << (x % 62)::int)::hugeint[])) as m from places join t using (id)),
+      steps as (select id, list(list_transform(m, lambda x: coalesce(x, 0)::bigint) order by pos) as ms from (select id, unnest(b) as tok, unnest(range(len(b))) as pos from t) join masks using (id, tok) group by 1),
+      rows as (select id, list_reduce(list_prepend(list_transform(range((len(a) + 61) // 62), lambda k: 4611686018427387903), ms), lambda v, m: list_slice(
+        list_reduce(list_prepend([0::bigint], list_transform(range(1, len(v) + 1), lambda i: [v[i], m[i]])), lambda done, vm: list_append(
+          [(vm[1] + (vm[1] & vm[2]) + done[1]) >> 62] || done[2:], ((vm[1] + (vm[1] & vm[2]) + done[1]) & 4611686018427387903) | (vm[1] - (vm[1] & vm[2])))), 2, len(v) + 1)) as v from t join steps using (id)),
+      lcs as (select subset, len(a) as n_a, len(b) as n_b, coalesce((((len(a) + 61) // 62) * 62 - list_sum(list_transform(v, lambda x: bit_count(x)))), 0) as lcs from t left join rows using (id))"""
 REQUESTS = "r as (select event_id::varchar as question_id, event_type as language, round_even(value, 1) as latency_ms, substr(sha256(user_id::varchar), 1, 16) as ip_hash, ts from events)"
 FEEDBACK = "f as (select event_id::varchar as question_id, (1 + event_id % 5)::int as rating, (1 + event_id % 5) <= 2 as flagged, ts from events)"
 MERGED = f"""{QA}, aug as (select item_id, text as input, text as output, 'en' as subset from benchmark),
@@ -86,6 +102,12 @@ ORACLES: dict[str, str] = {
     "tag_normalise": """with t(i, tag) as (values (1, 'Swa_Ken'), (2, ' twi '), (3, 'swa_ken'), (4, 'Eng'), (5, 'KISWAHILI'), (6, 'Amh_Eth'), (7, 'amh'), (8, 'eng_uga'), (9, 'xx'), (10, 'eng_kenya')),
       v(name, fixed) as (values ('twi', 'Aka_Gha'), ('kiswahili', 'Swa_Ken'), ('eng', 'Eng_Uga'), ('amh', 'Amh_Eth'), ('eng_kenya', 'Eng_Ken'))
       select i, tag, case when tag in ('Swa_Ken', 'Amh_Eth') then tag else fixed end as fixed from t left join v on v.name = lower(trim(tag))""",
+    "dominant_script": f"""with d as (select doc_id, text from documents union all select * from (values {', '.join(f"({-i}, '{t}')" for i, t in enumerate(SCRIPT_TEXTS, 1))}) l(doc_id, text)),
+      r(low, high, script) as (values {', '.join(f"({a}, {b}, '{n}')" for a, b, n in letter_ranges())}),
+      c as (select doc_id, unicode(c) as point, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '(?s).')) as c from d) group by 1, 2),
+      s as (select doc_id, script, sum(n) as n from c join r on point between low and high group by 1, 2),
+      m as (select doc_id, case when max(n) >= 0.6 * sum(n) then arg_max(script, n) else 'MIXED' end as script from s group by 1)
+      select doc_id, coalesce(script, 'EMPTY') as script from d left join m using (doc_id)""",
     "change_log": f"""with {QA}, first as (select *, row_number() over (partition by md5(input || output) order by ord) as rn from qa),
       n as (select *, {BLANK.format(chr(39).join(['regexp_replace(input, ', '[\\s\\x0b]{2,}', ', ', ' ', ', ', 'g', ')']))} as ni from first)
       select id as row_id, 'REMOVED_DUPLICATE' as change_type, substr(input, 1, 120) as original_value, 'DROPPED' as new_value from n where rn > 1
@@ -176,9 +198,11 @@ ORACLES: dict[str, str] = {
     "imputed_model_text": f"select conv_id, turn, md5(coalesce(nullif({BLANK.format('text')}, ''), ' ')) as text_md5 from conversations",
     "decoding_overlay": "with p(lang, beams, penalty) as (values ('en', 4, 1.0), ('de', 2, 1.3), ('fr', 4, 1.1)) select lang, beams, penalty from p",
     "hash_shuffle": f"with {QA} select id, row_number() over (order by md5('3|' || id::varchar), id) as place from qa",
-    "rougeL_by_lang": f"""with {PREDICTIONS}, t as (select subset, len(regexp_extract_all(lower(prediction), '[\\p{{L}}\\p{{N}}_]+')) as a, len(regexp_extract_all(lower(reference), '[\\p{{L}}\\p{{N}}_]+')) as b from p),
-      -- a prediction is its reference without some words, so all its tokens are the longest common subsequence
-      s as (select subset, coalesce(2.0 * a / nullif(a + b, 0), 0) as f from t) select coalesce(subset, 'OVERALL') as language, count(*) as n, round(avg(f), 6) as rougeL_f1 from s group by grouping sets ((subset), ())""",
+    "rougeL_by_lang": f"""with {QA}, w as (select id, subset, output, {TOKENS.format('output')} as w from qa),
+      v as (select *, list_transform(range(1, len(w) + 1), lambda i: case i % 7 when 3 then coalesce(w[i + 1], w[i]) when 4 then w[i - 1] else w[i] end) as m from w),
+      p as (select id, subset, output, array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: i % 5 <> 0), lambda i: m[i]), ' ') as prediction from v),
+      t as (select id, subset, {ROUGE_TOKENS.format('prediction')} as a, {ROUGE_TOKENS.format('output')} as b from p), {SUBSEQUENCES}
+      select coalesce(subset, 'OVERALL') as language, count(*) as n, round(avg(coalesce(2.0 * lcs / nullif(n_a + n_b, 0), 0)), 6) as rougeL_f1 from lcs group by grouping sets ((subset), ())""",
     "sentence_chrf_pairs": f"""with {QA}, w as (select id, input, {TOKENS.format('input')} as w from qa), cp as (select id, {SQUEEZED.format('input')} as r, {SQUEEZED.format(THINNED.format('w', 5))} as h from w), {SENTENCE_CHRF} select id, round(f, 6) as chrf from alike""",
     "clean_totals": f"with {METRICS}, x as (select {REASON} as reason from d) select count(*) as n_before, count(*) filter (reason is null) as n_after, count(reason) as n_dropped, round_even(100.0 * count(*) filter (reason is null) / count(*), 1) as pct_kept from x",
     "clean_counts": f"with x as (select doc_id % 9 <> 0 and {BLANK.format('text')} <> '' and doc_id % 11 <> 0 as filled from documents) select count(*) as n, count(*) filter (coalesce(filled, false)) as kept, count(*) filter (not coalesce(filled, false)) as dropped from x",
