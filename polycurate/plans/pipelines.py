@@ -276,8 +276,8 @@ def augment(
     that are there already are not translated again. Rows that were translated forward are translated back too. df: ID, input, output, subset.
     """
 
-    def by_language(make: Callable[[], DataFrame], name: str) -> DataFrame:
-        io.write_missing_partitions(make(), f"{folder}/{name}")
+    def by_language(make: Callable[[str], DataFrame], name: str) -> DataFrame:
+        io.write_missing_partitions(make, f"{folder}/{name}", values=[tag for tag, code in codes.items() if code != ENGLISH_CODE], spark=spark)
         return spark.read.schema("ID string, input string, output string, source string, subset string").parquet(f"{folder}/{name}")
 
     def make() -> DataFrame:
@@ -285,9 +285,9 @@ def augment(
         if external is not None:
             more, _ = io.read_external(spark, external)
             base = base if more is None else base.unionByName(more, allowMissingColumns=True)
-        forward = by_language(lambda: forward_translations(base, translate, codes, least, thresholds).withColumn("ID", F.lit(None).cast("string")), "forward")
+        forward = by_language(lambda tag: forward_translations(base, translate, {tag: codes[tag]}, least, thresholds).withColumn("ID", F.lit(None).cast("string")), "forward")
         rows = sampling.settled(base.unionByName(forward).withColumn("ord", F.xxhash64("ID", "input", "output", "subset", "source")), "rows")
-        back = by_language(lambda: paraphrased_back(rows, translate, paraphrase, codes), "back")
+        back = by_language(lambda tag: paraphrased_back(rows, translate, paraphrase, {tag: codes[tag]}), "back")
         whole = rows.drop("ord").unionByName(back)
         keyed = whole.withColumn("_key", F.md5(F.concat_ws("|", F.coalesce("ID", F.lit("")), "input", "output", "subset", "source")))
         mixed = sampling.mixed_by_ratio(keyed, "subset", ratios or {}, "_key", seed)
