@@ -214,6 +214,12 @@ def _folder(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def folders_of(spark: SparkSession, path: str) -> list[str]:
+    """The folders in a folder; none where it does not exist."""
+    target, files = _folder(spark, path)
+    return sorted(str(x.getPath()) for x in files.listStatus(target) if x.isDirectory()) if files.exists(target) else []
+
+
 def _partitions(spark: SparkSession, path: str, key: str) -> dict[str, str]:
     """The partitions that a folder has: value of key -> name."""
     target, files = _folder(spark, path)
