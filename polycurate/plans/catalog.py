@@ -12,7 +12,7 @@ from ..functions import overlap as O
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions import udfs
-from ..operators import cascade, profile, sampling, similarity
+from ..operators import cascade, cosines, profile, sampling, similarity
 from ..sources import io
 from ..streaming import limits, serving
 from . import pipelines as P
@@ -304,7 +304,7 @@ def aug_vs_original_antijoin(s, d):
 
 @query
 def cosine_pairs_gt_090(s, d):
-    return similarity.count_cosine_pairs(io.table(s, d, "embeddings"), "vec_id", "embedding", 0.9)
+    return cosines.count_cosine_pairs(io.table(s, d, "embeddings"), "vec_id", "embedding", 0.9)
 
 
 # --- gates and diagnosis
