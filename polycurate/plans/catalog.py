@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from ..functions import text as T
 from ..functions import udfs
 from ..operators import cascade, cosines, profile, sampling, similarity
 from ..sources import io
+from ..sources.scratch import shared_dir
 from ..streaming import limits, serving
 from . import pipelines as P
 from . import views
@@ -348,6 +350,16 @@ def issue_classification(s, d):
     return P.issues_of(_summary(s, d))
 
 
+@query
+def either_side_gate(s, d):
+    """The first generation's gate: the question's label is its document's, the answer's that of the next document."""
+    tags = T.lookup(F.col("subset"), {"en": "Eng", "de": "Aka_Gha", "fr": "Amh_Eth"}, F.lit("Swa_Eas"))
+    answers = io.table(s, d, "labels").select((F.col("doc_id") - 1).alias("ID"), F.col("toxic").cast("double").alias("a_tox"))
+    rows = views.diagnostic(s, d).withColumn("subset", tags).join(answers, "ID", "left")
+    _, report = P.quality_gate(rows, (F.col("tox"), F.col("a_tox")), F.col("qa_cos"), relevant=0.0)
+    return report
+
+
 @query
 def worst20_per_lang(s, d):
     rows = sampling.per_group(views.diagnostic(s, d).filter("qa_cos is not null"), "subset", 20, [F.col("qa_cos"), F.col("ord")])
@@ -593,7 +605,7 @@ def mean_confidence(s, d):
 def language_accepted(s, d):
     rows = views.detections(views.qa(s, d)).withColumn("subset", T.lookup(F.col("subset"), {"en": "Eng_Uga", "de": "Aka_Gha", "fr": "Swa_Ken"}, F.lit("other")))
     code = F.when(F.col("ord") % 7 == 0, F.lit(None).cast("string")).otherwise(T.lookup(F.col("subset"), {"Eng_Uga": "en", "Aka_Gha": "ak"}, F.lit("sw")))
-    found = M.detected(F.substring("input", 1, (F.col("ord") % 40).cast("int")), code, F.col("q_lang_conf"))
+    found = M.detected(F.col("input"), code, F.col("q_lang_conf"))
     ok = M.language_accepted(found["code"], found["confidence"], M.codes_of(F.col("subset"), M.ACCEPTED_CODES))
     return rows.select(F.col("ID").alias("id"), found["code"].alias("code"), r6(found["confidence"]).alias("confidence"), ok.alias("ok"))
 
@@ -636,7 +648,7 @@ def transfer_topn(s, d):
 @query
 def forward_translation(s, d):
     """English rows to two languages; the translation is every fifth word left out."""
-    rows = views.qa(s, d).select("input", F.substring("output", 1, 200).alias("output"), F.lit("Eng_Ken").alias("subset")).filter(F.length("input") < 400)
+    rows = views.qa(s, d).select("input", "output", F.lit("Eng_Ken").alias("subset"))
     thin = lambda df, text, output: df.withColumn(output, F.when(F.col("target_code") == "swh_Latn", _thinned(F.col(text))).otherwise(_thinned(F.col(text), 3)))
     made = P.forward_translations(rows, thin, {"Swa_Ken": "swh_Latn", "Lug_Uga": "lug_Latn", "Eng_Uga": "eng_Latn"}, 0.7, {"Lug_Uga": 0.55})
     return made.groupBy("subset", "source", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5")).agg(F.count("*").alias("n"))
@@ -670,6 +682,67 @@ def judge_means(s, d):
     return views.qa(s, d).withColumn("score", S.judge_score(reply)).groupBy("subset").agg(F.bround(F.avg("score"), 3).alias("score"), F.count("*").alias("n"))
 
 
+@query
+def stage2_back_translated(s, d):
+    """Twice the target drawn, rewritten by leaving out every fifth word, filtered, cut to the target."""
+    thin = lambda df: df.withColumn("rewritten", _thinned(F.col("input")))
+    made = P.back_translations(views.qa(s, d).select("ID", "input", "output", "subset"), thin, {"en": 30, "de": 10, "fr": 10})
+    return made.select("subset", "aug_method", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"), r6("chrf_qq").alias("chrf_qq"))
+
+
+@query
+def stage4_paraphrased(s, d):
+    """Candidates' answers without every third word; how much is preserved is told by the words that both have."""
+    targets = {"en": 20, "de": 8, "fr": 8}
+    asked = P.paraphrase_candidates(views.diagnostic(s, d), targets, least=0.0)
+    made = asked.withColumn("rewritten", _thinned(F.col("output"), 3)).withColumns({"_p": T.once(T.tokens(F.col("rewritten"))), "_r": T.once(T.tokens(F.col("output")))})
+    out = P.paraphrases(made, targets, T.once(O.rouge1(F.col("_p"), F.col("_r"))))
+    return out.select("subset", "aug_method", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"), r6("chrf_aa").alias("chrf_aa"), r6("semantic_preserved").alias("semantic_preserved"))
+
+
+@query
+def first_generation(s, d):
+    """Originals, forward translations (words left out) and back translations, each language written once."""
+    tags = T.lookup(F.col("subset"), {"en": "Eng_Ken", "de": "Swa_Ken"}, F.lit("Lug_Uga"))
+    rows = views.qa(s, d).select(F.col("ID").cast("string").alias("ID"), "input", "output", tags.alias("subset"))
+    thin = lambda df, text, output: df.withColumn(output, F.when(F.col("target_code") == "swh_Latn", _thinned(F.col(text))).otherwise(_thinned(F.col(text), 7)))
+    codes = {"Swa_Ken": "swh_Latn", "Lug_Uga": "lug_Latn", "Eng_Ken": "eng_Latn"}
+    folder = f"{shared_dir(s)}/polycurate/generation-{uuid.uuid4().hex}"
+    made = P.augment(s, rows, folder, thin, M.ColumnScorer("_english"), codes, 0.7)
+    return made.groupBy("subset", "source", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5")).agg(F.count("*").alias("n"))
+
+
+@query
+def evaluation_summary(s, d):
+    """The first 300 rows; the judge's reply is the document's quality label."""
+    quality = io.table(s, d, "labels").select(F.col("doc_id").alias("ID"), F.format_string('{"overall": %d}', 1 + 4 * F.col("quality")).alias("reply"))
+    rows = views.moved_predictions(s, d).join(quality, "ID", "left").select("ID", F.col("ID").alias("ord"), F.col("reference").alias("input"), F.col("reference").alias("output"), "subset", "prediction", F.col("reply").alias("said"))
+    out = P.evaluate(rows, judge=M.ColumnScorer("said"), per_language=20, limit=300)
+    return out["summary"].select("n", *[r6(c).alias(c) for c in ("rouge1_f1", "rougeL_f1", "judge", "composite")])
+
+
+@query
+def decode_search(s, d):
+    """Which words are left out is the setting that is searched."""
+    rows = views.qa(s, d).select("ID", "subset", F.col("output").alias("reference"), T.once(T.tokens(F.col("output"))).alias("_w"))
+    cut = lambda df: df.withColumn("prediction", F.array_join(F.filter("_w", lambda w, i: (i + F.col("shift")) % F.col("every") != 0), " "))
+    best = P.decode_search(rows, cut, sampling.grid(s, every=[2, 3, 4], shift=[0, 1]), 10)
+    return best.select("subset", "every", "shift", r6("score").alias("score"))
+
+
+@query
+def answers(s, d):
+    """User turns as requests; the answer is the assistant's turn that follows."""
+    c = F.col
+    asked = views.turn_pairs(s, d).select(
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"), c("input").alias("question"), F.when(c("turn") % 4 == 0, "Lug_Uga").alias("language"), c("conv_id").alias("client"),
+        (F.length("input") / 7.0).alias("latency_ms"), F.timestamp_seconds("conv_id").alias("ts"), c("output").alias("_answer"), c("turn"),
+    )
+    made = lambda df: df.withColumns({"answer": c("_answer"), "probabilities": F.array(F.lit(0.5), 1.0 / (1 + c("turn")))})
+    out = P.answered(asked, made, [F.when(c("client") % 3 == 0, "sw")], {"am": "Amh_Eth", "sw": "Swa_Eas", "en": "Eng", "lg": "Lug_Uga"}, {"Eng": "information only", "Swa_Eas": "taarifa tu"}, "ask a professional")
+    return out.select("question_id", "language", F.md5("prompt").alias("prompt_md5"), F.md5("answer").alias("answer_md5"), r6("confidence").alias("confidence"), "disclaimer", "latency_ms", "ip_hash")
+
+
 @query
 def agreement_alpha(s, d):
     rows = io.table(s, d, "events").select(F.floor(F.col("event_id") / 4).alias("unit"), (1 + (F.col("event_id") * 7 + F.floor(F.col("value")).cast("long")) % 5).alias("rating"))

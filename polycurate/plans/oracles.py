@@ -87,6 +87,18 @@ def noise_stripped(column: str) -> str:
     return out
 
 
+#: chrF of cp(id, r, h), blanks removed, as alike(id, f).
+CHRF = """k as (select id, r, h, unnest(range(1, 7)) as k from cp),
+      gr as (select id, k, g, count(*) as n from (select id, k, unnest(list_transform(range(1, length(r) - k + 2), lambda i: substr(r, i, k))) as g from k) group by 1, 2, 3),
+      gh as (select id, k, g, count(*) as n from (select id, k, unnest(list_transform(range(1, length(h) - k + 2), lambda i: substr(h, i, k))) as g from k) group by 1, 2, 3),
+      o as (select id, k, sum(least(gr.n, gh.n))::double as c from gr join gh using (id, k, g) group by 1, 2),
+      fk as (select k.id, case when c > 0 then 5 * (c / (length(h) - k + 1)) * (c / (length(r) - k + 1)) / (4 * (c / (length(h) - k + 1)) + c / (length(r) - k + 1)) end as f from k left join o using (id, k)),
+      alike as (select id, coalesce(avg(f), 0) as f from fk group by 1)"""
+#: Predictions with some words moved and some left out.
+MOVED = f"""w as (select id, subset, output, {TOKENS.format('output')} as w from qa),
+      v as (select *, list_transform(range(1, len(w) + 1), lambda i: case i % 7 when 3 then coalesce(w[i + 1], w[i]) when 4 then w[i - 1] else w[i] end) as m from w),
+      p as (select id, subset, output, array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: i % 5 <> 0), lambda i: m[i]), ' ') as prediction from v)"""
+
 ORACLES: dict[str, str] = {
     "clean_drop_report": f"with {METRICS}, x as (select subset, {REASON} as reason from d) select reason, subset, count(*) as n from x where reason is not null group by 1, 2",
     "clean_survivors": f"with {METRICS} select id, subset, q_tokens, a_tokens, round(a_repetition, 6) as a_repetition from d where {REASON} is null",
@@ -198,11 +210,52 @@ ORACLES: dict[str, str] = {
     "imputed_model_text": f"select conv_id, turn, md5(coalesce(nullif({BLANK.format('text')}, ''), ' ')) as text_md5 from conversations",
     "decoding_overlay": "with p(lang, beams, penalty) as (values ('en', 4, 1.0), ('de', 2, 1.3), ('fr', 4, 1.1)) select lang, beams, penalty from p",
     "hash_shuffle": f"with {QA} select id, row_number() over (order by md5('3|' || id::varchar), id) as place from qa",
-    "rougeL_by_lang": f"""with {QA}, w as (select id, subset, output, {TOKENS.format('output')} as w from qa),
-      v as (select *, list_transform(range(1, len(w) + 1), lambda i: case i % 7 when 3 then coalesce(w[i + 1], w[i]) when 4 then w[i - 1] else w[i] end) as m from w),
-      p as (select id, subset, output, array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: i % 5 <> 0), lambda i: m[i]), ' ') as prediction from v),
+    "rougeL_by_lang": f"""with {QA}, {MOVED},
       t as (select id, subset, {ROUGE_TOKENS.format('prediction')} as a, {ROUGE_TOKENS.format('output')} as b from p), {SUBSEQUENCES}
       select coalesce(subset, 'OVERALL') as language, count(*) as n, round(avg(coalesce(2.0 * lcs / nullif(n_a + n_b, 0), 0)), 6) as rougeL_f1 from lcs group by grouping sets ((subset), ())""",
+    "either_side_gate": f"""with {DIAGNOSTIC}, x as (select g.*, case g.subset when 'en' then 'Eng' when 'de' then 'Aka_Gha' when 'fr' then 'Amh_Eth' else 'Swa_Eas' end as tag, n.toxic as a_tox from g left join labels n on n.doc_id = g.id + 1),
+      y as (select tag, {KEPT_GATES} as g1, case tag when 'Amh_Eth' then regexp_matches(input, '[\\x{{1200}}-\\x{{137F}}]') else regexp_matches(input, '[a-zA-Z]') end as g2, not (coalesce(tox >= 0.5, false) or coalesce(a_tox >= 0.5, false)) as g3, coalesce(qa_cos >= 0.0, false) as g4 from x),
+      l as (select tag as language, 'length_ratio' as gate, true as reached, g1 as ok from y union all select tag, 'language_id', g1, g1 and g2 from y
+        union all select tag, 'toxicity', g1 and g2, g1 and g2 and g3 from y union all select tag, 'semantic_relevance', g1 and g2 and g3, g1 and g2 and g3 and g4 from y)
+      select gate, language, count(*) filter (reached) as total, count(*) filter (ok) as passing, count(*) filter (reached) - count(*) filter (ok) as failing,
+        round_even(count(*) filter (ok)::double / count(*) filter (reached), 4) as pass_rate from l group by 1, 2 having count(*) filter (reached) > 0""",
+    "stage2_back_translated": f"""with {METRICS}, drawn as (select *, {THINNED.format('qt', '5')} as rewritten from d join (values ('en', 30), ('de', 10), ('fr', 10)) t(subset, target) using (subset) where q_tokens between 5 and 80
+        qualify row_number() over (partition by subset order by {DRAW.format(seed=42, key='id')}, id) <= 2 * target),
+      cp as (select id, replace(input, ' ', '') as r, replace(rewritten, ' ', '') as h from drawn), {CHRF}
+      select subset, 'backtranslation' as aug_method, md5(rewritten) as input_md5, md5(output) as output_md5, round(f, 6) as chrf_qq from drawn join alike using (id)
+      where f between 0.35 and 0.85 and length(rewritten) between 5 and 500 qualify row_number() over (partition by subset order by {DRAW.format(seed=42, key='id')}, id) <= target""",
+    "stage4_paraphrased": f"""with {DIAGNOSTIC}, asked as (select *, {THINNED.format('att', '3')} as rewritten from g join (values ('en', 20), ('de', 8), ('fr', 8)) t(subset, target) using (subset)
+        where q_script_ok and a_script_ok and qa_cos >= 0.0 and a_tokens between 10 and 250 and a_repetition < 0.25 qualify row_number() over (partition by subset order by qa_cos desc, ord) <= 2 * target),
+      cp as (select id, replace(output, ' ', '') as r, replace(rewritten, ' ', '') as h from asked), {CHRF},
+      mk as (select *, {TOKENS.format('rewritten')} as rt from asked join alike using (id)),
+      y as (select *, 2.0 * len(rt) / (len(rt) + a_tokens) as kept, case when len(rt) <= 4 then 0.0 else 1.0 - len(list_distinct({GRAMS.format('rt')}))::double / len({GRAMS.format('rt')}) end as again from mk)
+      select subset, 'llm_paraphrase' as aug_method, md5(input) as input_md5, md5(rewritten) as output_md5, round(f, 6) as chrf_aa, round(kept, 6) as semantic_preserved from y
+      where length(rewritten) >= 10 and f between 0.20 and 0.80 and kept >= 0.65 and len(rt) between 5 and 350 and again < 0.3 qualify row_number() over (partition by subset order by kept desc, rewritten) <= target""",
+    "first_generation": f"""with {QA}, b as (select id, {BLANK.format('input')} as input, {BLANK.format('output')} as output, case subset when 'en' then 'Eng_Ken' when 'de' then 'Swa_Ken' else 'Lug_Uga' end as tag from qa),
+      t as (select b.id, input, output, l.* from b, (values ('Swa_Ken', 5), ('Lug_Uga', 7)) l(tag, every) where b.tag = 'Eng_Ken'),
+      w as (select *, row_number() over () as nr, {TOKENS.format('input')} as iw, {TOKENS.format('output')} as ow from t),
+      m as (select *, {THINNED.format('iw', 'every')} as ti, {THINNED.format('ow', 'every')} as tt from w), cp as (select nr as id, {SQUEEZED.format('input')} as r, {SQUEEZED.format('ti')} as h from m), {SENTENCE_CHRF},
+      fw as (select tag, 'forward_mt' as source, ti as input, tt as output from m join alike on alike.id = m.nr where f >= 0.7 and ti <> '' and tt <> ''),
+      base as (select tag, 'original' as source, input, output from b union all select * from fw),
+      bw as (select *, {TOKENS.format('input')} as w from base where tag <> 'Eng_Ken'), e1 as (select *, {THINNED.format('w', '7')} as en from bw), e2 as (select *, {TOKENS.format('en')} as ew from e1),
+      bk as (select tag, 'back_bt' as source, case tag when 'Swa_Ken' then {THINNED.format('ew', '5')} else {THINNED.format('ew', '7')} end as input, output from e2),
+      u as (select * from base union all select * from bk where input <> '')
+      select tag as subset, source, md5(input) as input_md5, md5(output) as output_md5, count(*) as n from u group by all""",
+    "evaluation_summary": f"""with {QA}, {MOVED}, h as (select * from p order by id limit 300), t as (select id, subset, {ROUGE_TOKENS.format('prediction')} as a, {ROUGE_TOKENS.format('output')} as b from h), {SUBSEQUENCES},
+      sc as (select avg(coalesce(2.0 * n_a / nullif(n_a + n_b, 0), 0)) as r1, avg(coalesce(2.0 * lcs / nullif(n_a + n_b, 0), 0)) as rl, count(*) as n from lcs),
+      j as (select case when quality is null then 3.0 else 1 + 4 * quality end as score from h left join labels on doc_id = id qualify row_number() over (partition by subset order by {DRAW.format(seed=42, key='id')}, id) <= 20),
+      js as (select avg(score)::double as judge from j)
+      select n, round(r1, 6) as rouge1_f1, round(rl, 6) as rougeL_f1, round(judge, 6) as judge, round(round(0.37 * rl + 0.37 * r1 + 0.26 * (judge - 1) / 4, 5), 6) as composite from sc, js""",
+    "decode_search": f"""with {QA}, w as (select id as doc, subset, output, {TOKENS.format('output')} as w from qa qualify row_number() over (partition by subset order by {DRAW.format(seed=42, key='id')}, id) <= 10),
+      gr(ord, every, shift) as (values (0, 2, 0), (1, 2, 1), (2, 3, 0), (3, 3, 1), (4, 4, 0), (5, 4, 1)),
+      x as (select *, row_number() over () as id, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: (i - 1 + shift) % every <> 0), lambda i: w[i]), ' ') as prediction from w, gr),
+      t as (select id, subset, regexp_extract_all(lower(prediction), '[a-z0-9]+') as a, regexp_extract_all(lower(output), '[a-z0-9]+') as b from x), {SUBSEQUENCES.replace('select subset,', 'select id, subset,')},
+      s as (select x.subset, ord, every, shift, avg(coalesce(2.0 * lcs / nullif(n_a + n_b, 0), 0)) as score from lcs join x using (id) group by 1, 2, 3, 4)
+      select subset, every::bigint as every, shift::bigint as shift, round(score, 6) as score from s qualify row_number() over (partition by subset order by score desc, ord) = 1""",
+    "answers": f"""with x as (select *, lead(text) over (partition by conv_id order by turn) as answer, lead(role) over (partition by conv_id order by turn) as nr from conversations),
+      y as (select *, case when turn % 4 = 0 then 'Lug_Uga' when conv_id % 3 = 0 then 'Swa_Eas' else 'Eng' end as language from x where role = 'user' and nr = 'assistant')
+      select conv_id || '-' || turn as question_id, language, md5('Answer in ' || case language when 'Lug_Uga' then 'Luganda' when 'Swa_Eas' then 'Swahili' else 'English' end || ': ' || text) as prompt_md5, md5(answer) as answer_md5,
+        round((0.5 + 1.0::double / (1 + turn)) / 2, 6) as confidence, case language when 'Eng' then 'information only' when 'Swa_Eas' then 'taarifa tu' else 'ask a professional' end as disclaimer, round_even(length(text) / 7.0, 1)::double as latency_ms, substr(sha256(conv_id::varchar), 1, 16) as ip_hash from y""",
     "sentence_chrf_pairs": f"""with {QA}, w as (select id, input, {TOKENS.format('input')} as w from qa), cp as (select id, {SQUEEZED.format('input')} as r, {SQUEEZED.format(THINNED.format('w', 5))} as h from w), {SENTENCE_CHRF} select id, round(f, 6) as chrf from alike""",
     "clean_totals": f"with {METRICS}, x as (select {REASON} as reason from d) select count(*) as n_before, count(*) filter (reason is null) as n_after, count(reason) as n_dropped, round_even(100.0 * count(*) filter (reason is null) / count(*), 1) as pct_kept from x",
     "clean_counts": f"with x as (select doc_id % 9 <> 0 and {BLANK.format('text')} <> '' and doc_id % 11 <> 0 as filled from documents) select count(*) as n, count(*) filter (coalesce(filled, false)) as kept, count(*) filter (not coalesce(filled, false)) as dropped from x",
@@ -221,7 +274,7 @@ ORACLES: dict[str, str] = {
       select free_gb, model, size_b::double as size_b, greatest(1, floor(case when free_gb >= 70 then 24 when free_gb >= 55 then 16 when free_gb >= 40 then 12 when free_gb >= 28 then 8 when free_gb >= 18 then 4 when free_gb >= 10 then 2 else 1 end / greatest(1.0, size_b::double / 3.7)))::int as batch from r, m""",
     "l2_norms": "with v as (select vec_id, vec_id % 3 as k, embedding, sqrt(list_sum(list_transform(embedding, lambda x: (x::double * (vec_id % 3)) ** 2))) as norm from embeddings) select vec_id, case when k = 0 then 0.0 else 1.0 end as norm, case when k = 0 then 0.0 else round(embedding[1]::double * k / norm, 6) end as first from v",
     "mean_confidence": "select event_id, round(case when event_id % 4 = 0 then 0.85 else value / 100.0 end, 6) as confidence from events",
-    "language_accepted": f"""with {QA}, x as (select id, ord, case subset when 'en' then 'Eng_Uga' when 'de' then 'Aka_Gha' when 'fr' then 'Swa_Ken' else 'other' end as tag, substr(input, 1, (ord % 40)::int) as t, (ord % 10) / 10.0 + 0.1 as conf from qa),
+    "language_accepted": f"""with {QA}, x as (select id, ord, case subset when 'en' then 'Eng_Uga' when 'de' then 'Aka_Gha' when 'fr' then 'Swa_Ken' else 'other' end as tag, input as t, (ord % 10) / 10.0 + 0.1 as conf from qa),
       c as (select *, case when ord % 7 = 0 then null when tag = 'Eng_Uga' then 'en' when tag = 'Aka_Gha' then 'ak' else 'sw' end as raw, length({BLANK.format('t')}) >= 5 as long from x),
       u as (select id, tag, case when long and raw is not null then raw else 'und' end as code, case when long and raw is not null then conf else 0.0 end as confidence from c)
       select id, code, round(confidence::double, 6) as confidence, coalesce(confidence >= 0.5 and case tag when 'Eng_Uga' then code = 'en' when 'Aka_Gha' then code in ('tw', 'ak') when 'Swa_Ken' then code = 'sw' else false end, false) as ok from u""",
@@ -237,7 +290,7 @@ ORACLES: dict[str, str] = {
     "transfer_topn": f"""with {METRICS}, x as (select *, 0.5 + (ord % 50) / 100.0 + ord / 1e9 as rel from d)
       select md5(input) as input_md5, 'Swa_Ken' as subset, 'crosslingual_from_Eng_Gha' as aug_method, round(rel::double, 6) as kept_meaning from x where q_script_ok and a_script_ok and q_tokens between 3 and 100 and a_tokens between 5 and 300
         and ord % 3 <> 0 and (ord % 10) / 10.0 >= 0.4 and length({BLANK.format('output')}) >= 5 and rel >= 0.55 order by rel desc, input limit 40""",
-    "forward_translation": f"""with {QA}, e as (select id, input, substr(output, 1, 200) as output from qa where length(input) < 400), t as (select e.*, l.* from e, (values ('Swa_Ken', 5, 0.7), ('Lug_Uga', 3, 0.55)) l(tag, every, least)),
+    "forward_translation": f"""with {QA}, e as (select id, input, output from qa), t as (select e.*, l.* from e, (values ('Swa_Ken', 5, 0.7), ('Lug_Uga', 3, 0.55)) l(tag, every, least)),
       w as (select *, row_number() over () as nr, {TOKENS.format('input')} as iw, {TOKENS.format('output')} as ow from t),
       m as (select *, {THINNED.format('iw', 'every')} as ti, {THINNED.format('ow', 'every')} as tt from w), cp as (select nr as id, {SQUEEZED.format('input')} as r, {SQUEEZED.format('ti')} as h from m), {SENTENCE_CHRF}
       select tag as subset, 'forward_mt' as source, md5(ti) as input_md5, md5(tt) as output_md5, count(*) as n from m join alike on alike.id = m.nr where f >= least and ti <> '' and tt <> '' group by all""",

@@ -216,13 +216,16 @@ def clean_first_generation(df: DataFrame, split: str) -> tuple[DataFrame, DataFr
     return out.filter(~F.col("_held")).drop("_held"), out.filter("_held").drop("_held"), log
 
 
-def quality_gate(df: DataFrame, toxicity: Column, relevance: Column, language: Column | None = None, least: float = 0.5, most: float = 20.0, relevant: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(rows that pass all gates, funnel report)."""
+def quality_gate(
+    df: DataFrame, toxicity: Column | tuple[Column, Column], relevance: Column, language: Column | None = None, least: float = 0.5, most: float = 20.0, relevant: float = 0.5
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that pass all gates, funnel report). toxicity: the probabilities of question and answer, of which neither may reach the limit, or one for the row."""
+    sides = toxicity if isinstance(toxicity, tuple) else (toxicity, F.lit(None).cast("double"))
     seen = T.script_present(F.col("input"), F.col("subset"))
     gates = [
         ("length_ratio", T.length_ratio(F.col("input"), F.col("output")).between(least, most)),
         ("language_id", seen if language is None else seen & F.coalesce(language, F.lit(True))),
-        ("toxicity", toxicity < 0.5), ("semantic_relevance", S.at_least(relevance, relevant)),
+        ("toxicity", M.free_of_toxicity(*sides)), ("semantic_relevance", S.at_least(relevance, relevant)),
     ]
     return cascade.passing(df, gates), cascade.gate_funnel(df, gates)
 
