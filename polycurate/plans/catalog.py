@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,9 +12,10 @@ from ..functions import overlap as O
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions import udfs
+from ..hosted import HostedScorer
 from ..operators import cascade, cosines, profile, sampling, similarity
 from ..sources import io
-from ..sources.scratch import shared_dir
+from ..sources.scratch import scratch_folder
 from ..streaming import limits, serving
 from . import pipelines as P
 from . import views
@@ -707,8 +707,7 @@ def first_generation(s, d):
     rows = views.qa(s, d).select(F.col("ID").cast("string").alias("ID"), "input", "output", tags.alias("subset"))
     thin = lambda df, text, output: df.withColumn(output, F.when(F.col("target_code") == "swh_Latn", _thinned(F.col(text))).otherwise(_thinned(F.col(text), 7)))
     codes = {"Swa_Ken": "swh_Latn", "Lug_Uga": "lug_Latn", "Eng_Ken": "eng_Latn"}
-    folder = f"{shared_dir(s)}/polycurate/generation-{uuid.uuid4().hex}"
-    made = P.augment(s, rows, folder, thin, M.ColumnScorer("_english"), codes, 0.7)
+    made = P.augment(s, rows, scratch_folder(s, "generation"), thin, M.ColumnScorer("_english"), codes, 0.7)
     return made.groupBy("subset", "source", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5")).agg(F.count("*").alias("n"))
 
 
@@ -743,6 +742,98 @@ def answers(s, d):
     return out.select("question_id", "language", F.md5("prompt").alias("prompt_md5"), F.md5("answer").alias("answer_md5"), r6("confidence").alias("confidence"), "disclaimer", "latency_ms", "ip_hash")
 
 
+# --- sources, sinks and the boundary to models, over the tables
+
+
+@query
+def csv_roundtrip(s, d):
+    """Written as CSV and read again; cells that stand for a missing value come back as null."""
+    path = scratch_folder(s, "csv")
+    io.write_csv(views.qa(s, d).select(F.col("ID").alias("id"), "input", "output", "subset"), path)
+    rows = io.read_csv(s, path, "id long, input string, output string, subset string")
+    return rows.select("id", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"), "subset")
+
+
+@query
+def external_rows(s, d):
+    """Many files in a folder, read by one scan and cleaned."""
+    path = scratch_folder(s, "external")
+    io.write_csv(views.qa(s, d).select("input", "output", "subset", "source").repartition(8), path)
+    rows, _ = io.read_external(s, path)
+    return rows.groupBy("subset", "source", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5")).agg(F.count("*").alias("n"))
+
+
+@query
+def json_report(s, d):
+    path = scratch_folder(s, "report")
+    io.write_json_report(cascade.drop_report(_judged(s, d)), path)
+    return s.read.schema("reason string, count long, per_language map<string, long>").json(path).select("reason", F.col("count").alias("n"), F.explode("per_language").alias("subset", "n_subset"))
+
+
+@query
+def dual_sink(s, d):
+    path = scratch_folder(s, "both")
+    io.write_with_provenance(views.qa(s, d).select("input", "output", "subset", "source"), path)
+    counted = lambda rows, name: rows.groupBy("subset").agg(F.count("*").alias("n")).select(F.lit(name).alias("sink"), "subset", "n")
+    return counted(s.read.parquet(f"{path}/training"), "training").union(counted(s.read.parquet(f"{path}/provenance").filter("source is not null"), "provenance"))
+
+
+@query
+def partition_checkpoint(s, d):
+    """Two languages first, then the others; what is finished stays as it is."""
+    path = scratch_folder(s, "languages")
+    rows = views.qa(s, d).select("ID", "subset", F.md5("output").alias("output_md5"))
+    io.write_missing_partitions(lambda v: rows.filter(F.col("subset") == v).withColumn("written", F.lit(1)), path, values=["de", "fr"], spark=s)
+    io.write_missing_partitions(rows.withColumn("written", F.lit(2)), path)
+    return s.read.parquet(path).select(F.col("ID").alias("id"), "subset", "output_md5", "written")
+
+
+@query
+def cached_relevance(s, d):
+    """Each row's cosine of its vector with the next one, both from the bucketed cache."""
+    vectors = io.table(s, d, "embeddings")
+    cached = io.cached_embeddings(vectors, scratch_folder(s, "cache"), "vec_id", {"v": F.col("embedding")})
+    rows = views.qa(s, d).select(F.col("ID").alias("id"), F.col("ID").alias("vec_id"))
+    own = io.with_cached(rows, cached, "vec_id", "inner").select("id", F.col("v").alias("a"), (F.col("id") + 1).alias("vec_id"))
+    return io.with_cached(own, cached, "vec_id").select("id", r6(S.dot(F.col("a"), F.col("v"))).alias("cosine"))
+
+
+@query
+def observed_clean(s, d):
+    """What cleaning keeps, with the counts that its writing job took."""
+    rows = io.table(s, d, "documents").select(F.when(F.col("doc_id") % 9 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("input"), F.col("text").alias("output"), F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("subset"))
+    kept, counts = io.written_clean(rows, scratch_folder(s, "clean"))
+    return kept.groupBy("subset").agg(F.count("*").alias("n")).select("subset", "n", *[F.lit(counts[c]).cast("long").alias(f"all_{c}") for c in ("n", "kept", "dropped")])
+
+
+@query
+def request_log(s, d):
+    return views.requests(s, d).select(F.col("question_id").cast("long").alias("event_id"), "language", "latency_ms", "ip_hash")
+
+
+@query
+def embedding_inputs(s, d):
+    texts = [F.md5(M.prefixed(F.col(c), kind)).alias(f"{kind}_md5") for c, kind in (("input", "query"), ("output", "passage"))]
+    return views.qa(s, d).select(F.col("ID").alias("id"), *texts)
+
+
+@query
+def translated_rows(s, d):
+    """A model that adds its target's code; rows that are in the target's language already never reach it."""
+    rows = views.qa(s, d).select(F.col("ID").alias("id"), "input", "subset")
+    load = lambda: lambda target, texts: [f"{t} {target}" for t in texts]
+    made = M.translated(rows, load, "input", F.col("subset"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr"), "moved")
+    return made.select("id", F.md5("moved").alias("moved_md5"))
+
+
+@query
+def hosted_answers(s, d):
+    """A remote call that gives a prompt's number of characters; equal prompts are asked once."""
+    model = HostedScorer(lambda: lambda prompt: str(len(prompt)), scratch_folder(s, "answers"), tasks=8, per_task=4096)
+    rows = io.table(s, d, "conversations").select("conv_id", "turn", "text")
+    return model.score(rows, ["text"], "answer").select("conv_id", "turn", "answer")
+
+
 @query
 def agreement_alpha(s, d):
     rows = io.table(s, d, "events").select(F.floor(F.col("event_id") / 4).alias("unit"), (1 + (F.col("event_id") * 7 + F.floor(F.col("value")).cast("long")) % 5).alias("rating"))

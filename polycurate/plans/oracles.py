@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.scripts import letter_ranges
+from ..sources.io import MISSING
 
 #: Texts in scripts that the driver's tables lack; their ids are -1, -2 and so on.
 SCRIPT_TEXTS = ("Здоровье важно", "الصحة مهمة", "Η υγεία είναι", "健康很重要", "ጤና አስፈላጊ ነው", "स्वास्थ्य", "건강은 중요", "abcде", "abcdде", "12 34", "")
@@ -213,6 +214,20 @@ ORACLES: dict[str, str] = {
     "rougeL_by_lang": f"""with {QA}, {MOVED},
       t as (select id, subset, {ROUGE_TOKENS.format('prediction')} as a, {ROUGE_TOKENS.format('output')} as b from p), {SUBSEQUENCES}
       select coalesce(subset, 'OVERALL') as language, count(*) as n, round(avg(coalesce(2.0 * lcs / nullif(n_a + n_b, 0), 0)), 6) as rougeL_f1 from lcs group by grouping sets ((subset), ())""",
+    "csv_roundtrip": f"""with {QA}, m(v) as (values {', '.join(f"('{v}')" for v in MISSING)}) select id, md5(case when input not in (select v from m) then input end) as input_md5, md5(case when output not in (select v from m) then output end) as output_md5, subset from qa""",
+    "external_rows": f"""with {QA}, m(v) as (values {', '.join(f"('{v}')" for v in MISSING)}) select subset, source, md5({BLANK.format('input')}) as input_md5, md5({BLANK.format('output')}) as output_md5, count(*) as n from qa
+      where input not in (select v from m) and output not in (select v from m) group by all""",
+    "json_report": f"with {METRICS}, x as (select subset, {REASON} as reason from d) select reason, sum(count(*)) over (partition by reason)::bigint as n, subset, count(*) as n_subset from x where reason is not null group by reason, subset",
+    "dual_sink": f"with {QA} select 'training' as sink, subset, count(*) as n from qa group by 2 union all select 'provenance', subset, count(source) from qa group by 2",
+    "partition_checkpoint": f"with {QA} select id, subset, md5(output) as output_md5, case when subset in ('de', 'fr') then 1 else 2 end as written from qa",
+    "cached_relevance": f"""with {QA} select qa.id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 6) as cosine
+      from qa join embeddings a on a.vec_id = qa.id left join embeddings b on b.vec_id = qa.id + 1""",
+    "observed_clean": f"""with x as (select lang, doc_id % 9 <> 0 and {BLANK.format('text')} <> '' and doc_id % 11 <> 0 as filled from documents), c as (select count(*) as n, count(*) filter (coalesce(filled, false)) as kept from x)
+      select lang as subset, count(*) as n, any_value(c.n) as all_n, any_value(c.kept) as all_kept, any_value(c.n - c.kept) as all_dropped from x, c where filled group by 1""",
+    "request_log": f"with {REQUESTS} select question_id::bigint as event_id, language, latency_ms, ip_hash from r",
+    "embedding_inputs": f"with {QA} select id, md5('query: ' || input) as query_md5, md5('passage: ' || output) as passage_md5 from qa",
+    "translated_rows": f"with {QA}, x as (select *, case when id % 2 = 0 then 'en' else 'fr' end as target, coalesce(nullif({BLANK.format('input')}, ''), ' ') as t from qa) select id, md5(case when subset = target then t else t || ' ' || target end) as moved_md5 from x",
+    "hosted_answers": "select conv_id, turn, coalesce(length(text)::varchar, '') as answer from conversations",
     "either_side_gate": f"""with {DIAGNOSTIC}, x as (select g.*, case g.subset when 'en' then 'Eng' when 'de' then 'Aka_Gha' when 'fr' then 'Amh_Eth' else 'Swa_Eas' end as tag, n.toxic as a_tox from g left join labels n on n.doc_id = g.id + 1),
       y as (select tag, {KEPT_GATES} as g1, case tag when 'Amh_Eth' then regexp_matches(input, '[\\x{{1200}}-\\x{{137F}}]') else regexp_matches(input, '[a-zA-Z]') end as g2, not (coalesce(tox >= 0.5, false) or coalesce(a_tox >= 0.5, false)) as g3, coalesce(qa_cos >= 0.0, false) as g4 from x),
       l as (select tag as language, 'length_ratio' as gate, true as reached, g1 as ok from y union all select tag, 'language_id', g1, g1 and g2 from y

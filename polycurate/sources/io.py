@@ -195,7 +195,7 @@ def parameter_table(spark: SparkSession, default: dict, overrides: dict[str, dic
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_json_report(report: DataFrame, path: str) -> None:

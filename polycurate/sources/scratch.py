@@ -27,15 +27,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """The path of a new folder in the shared folder, deleted when the driver exits."""
+    path = f"{shared_dir(spark)}/polycurate/{label}-{uuid.uuid4().hex}"
+    atexit.register(_quiet_delete, spark, path)
+    return path
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage ends here, and a lost executor costs no recomputation.
 
     The files are deleted when the driver exits; `discard` deletes them earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/polycurate/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_quiet_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._polycurate_path = path
     return out
