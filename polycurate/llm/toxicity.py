@@ -4,11 +4,13 @@ A linear numpy classifier over the presence of words is fitted from confirmed to
 negative class is the unlabelled risk less the class prior times the positive risk, and where that turns negative the fit steps
 back instead of down. Labels of zero are used for the class prior alone.
 
-Which words are features is decided by counts over all documents that are not held out; the fit's steps read a bounded sample.
-Executors measure the texts, so the driver holds numbers of features only.
+Which words are features is decided by counts over all documents that are not held out. Confirmed documents are a bounded sample,
+which the driver holds as numbers of features. The unlabelled risk is that of all documents that are not held out: steps over a
+sample of them only find where to begin, then every further step sums the gradient over all of them on the executors.
 
 Defined cases: a null or empty text gets the score of no words; a null doc_id stays null and is not held out; repeated rows each
 give a row; of unlike labels of one doc_id the greatest counts, and of its unlike texts, in the sample, that of the least hash;
+a very long text is read in one piece, with a few numbers for each of its words;
 other columns are ignored; with no positive example every score is 0; an empty table gives no rows.
 """
 
@@ -21,18 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_document, slices
+from .common import discard, per_document, slices, written
 from .training import fold, sample_ids, sampled, source
 from .words import U, mixed, prefix_sums, span_hashes
 
-#: Most confirmed toxic and most unlabelled documents that a fit reads.
-MOST_POSITIVE, MOST_UNLABELLED = 3_000, 6_000
+#: Most confirmed toxic documents that a fit reads, and most unlabelled ones that its first steps read.
+MOST_POSITIVE, FIRST_UNLABELLED = 3_000, 6_000
 #: Words in fewer documents are no features.
 LEAST_DOCUMENTS = 6
 #: Features are the words whose shares among positive and unlabelled documents differ by so many standard deviations, the
 #: furthest apart of them.
 LEAST_DEVIATIONS, MOST_FEATURES = 4.0, 50_000
 STEPS, RATE, DECAY = 800, 0.05, 2e-3
+#: Steps over all unlabelled documents after those, and their rate.
+WHOLE_STEPS, WHOLE_RATE = 16, 0.02
 THRESHOLD = 0.3
 #: Bytes of the beginnings of longer words that are features too.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -170,27 +174,94 @@ def risk(f: np.ndarray, is_positive: np.ndarray, prior: float) -> tuple[float, f
     return positive, negative, towards + np.where(is_positive, -prior * (1 - p) / n[0], 0)
 
 
-def fit(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> WordModel:
-    """The classifier of least non-negative risk from the features (numbers in words) of each document; `prior` is the share of toxic documents among the unlabelled."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return WordModel(np.zeros(0, U), np.zeros(0), -30.0)
-    documents = [*positive, *unlabelled]
-    doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    column = np.concatenate(documents).astype(np.int64)
-    is_positive = np.arange(len(documents)) < len(positive)
-    theta, m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1), np.zeros(len(words) + 1)
-    theta[-1] = np.log(prior / (1 - prior))
-    for step in range(1, STEPS + 1):
-        f = np.bincount(doc, theta[column], minlength=len(documents)) + theta[-1]
-        by_document = risk(f, is_positive, prior)[2]
-        gradient = np.append(np.bincount(column, by_document[doc], minlength=len(words)), by_document.sum())
-        gradient[:-1] += DECAY * theta[:-1]
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+class Descent:
+    """Adam's steps for the weights of features and, last, the bias."""
+
+    def __init__(self, theta: np.ndarray, rate: float):
+        self.theta, self.rate, self.m, self.v, self.step = theta, rate, np.zeros(len(theta)), np.zeros(len(theta)), 0
+
+    def take(self, gradient: np.ndarray) -> None:
+        gradient = gradient.copy()
+        gradient[:-1] += DECAY * self.theta[:-1]
+        self.step += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * gradient, 0.99 * self.v + 0.01 * gradient**2
+        self.theta = self.theta - self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-8)
+
+
+class Presence:
+    """Documents as the numbers of their features."""
+
+    def __init__(self, places: list[np.ndarray]):
+        self.n = len(places)
+        self.doc = np.repeat(np.arange(self.n), [len(d) for d in places])
+        self.column = np.concatenate([np.zeros(0, np.int32), *places]).astype(np.int64)
+
+    def log_odds(self, theta: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, theta[self.column], minlength=self.n) + theta[-1]
+
+    def gathered(self, by_document: np.ndarray, width: int) -> np.ndarray:
+        """Sums of the documents' numbers by feature, and of all."""
+        return np.append(np.bincount(self.column, by_document[self.doc], minlength=width - 1), by_document.sum())
+
+
+def first_fit(width: int, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> np.ndarray:
+    """Weights and bias of least non-negative risk over documents that the driver holds."""
+    documents = Presence([*positive, *unlabelled])
+    is_positive = np.arange(documents.n) < len(positive)
+    descent = Descent(np.append(np.zeros(width), np.log(prior / (1 - prior))), RATE)
+    for _ in range(STEPS):
+        descent.take(documents.gathered(risk(documents.log_odds(descent.theta), is_positive, prior)[2], width + 1))
+    return descent.theta
+
+
+def unlabelled_sums(places: DataFrame, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """(loss as negatives, its gradient), summed over all rows of places (feature numbers as bytes). At most a number for each feature is collected."""
+    shared = places.sparkSession.sparkContext.broadcast(theta)  # MOST_FEATURES numbers
+
+    def add(batches):
+        theta, loss = shared.value, 0.0
+        total = np.zeros(len(theta))
+        for batch in batches:
+            column = batch.column("places")
+            rows = Presence([np.frombuffer(x.as_buffer(), np.int32) for x in column])
+            f = rows.log_odds(theta)
+            loss += float(np.logaddexp(0, f).sum())
+            total += rows.gathered(1 / (1 + np.exp(-np.clip(f, -30, 30))), len(theta))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], loss))], names=["feature", "x"])
+
+    sums = places.select("places").mapInArrow(add, "feature long, x double").groupBy("feature").agg(F.sum("x").alias("x")).collect()
+    shared.destroy()
+    gradient, loss = np.zeros(len(theta)), 0.0
+    for r in sums:
+        if r.feature < 0:
+            loss = r.x
+        else:
+            gradient[r.feature] = r.x
+    return loss, gradient
+
+
+def whole_fit(theta: np.ndarray, positive: list[np.ndarray], unlabelled: DataFrame, n_unlabelled: int, prior: float, steps: int = WHOLE_STEPS) -> np.ndarray:
+    """theta after further steps, each of which reads all rows of unlabelled (places)."""
+    known, descent = Presence(positive), Descent(theta, WHOLE_RATE)
+    for _ in range(steps):
+        loss, gradient = unlabelled_sums(unlabelled, descent.theta)
+        f = known.log_odds(descent.theta)
+        p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+        negative = loss / n_unlabelled - prior * np.logaddexp(0, f).mean()
+        towards = gradient / n_unlabelled - known.gathered(prior * p / known.n, len(theta))
+        descent.take(-towards if negative < 0 else towards - known.gathered(prior * (1 - p) / known.n, len(theta)))
+    return descent.theta
+
+
+def model_of(words: np.ndarray, theta: np.ndarray) -> WordModel:
     large = np.abs(theta[:-1]) >= LEAST_WEIGHT
     return WordModel(words[large], theta[:-1][large], float(theta[-1]))
 
 
+NEVER = WordModel(np.zeros(0, U), np.zeros(0), -30.0)
+
+
 def train(documents: DataFrame, labels: DataFrame) -> WordModel:
     """Fit on the rows of labels whose fold is not held out; labels: doc_id, toxic. Of a doc_id's labels the greatest counts."""
     rows = labels.filter(fold(4) != 2).filter("toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -200,10 +271,17 @@ def train(documents: DataFrame, labels: DataFrame) -> WordModel:
     known = open_rows.join(F.broadcast(sample_ids(confirmed, MOST_POSITIVE)), "doc_id", "left_semi")  # at most MOST_POSITIVE numbers
     n = known.count(), open_rows.count()
     if not all(n) or not 0 < prior < 1:
-        return fit(np.zeros(0, U), [], [], prior)
+        return NEVER
     words = telling_features(feature_counts(known), feature_counts(open_rows), n)
     read = lambda ids, most: [np.frombuffer(r.places, np.int32) for r in sampled(documents, ids, most, _places(words), "places binary")]
-    return fit(words, read(confirmed, MOST_POSITIVE), read(open_rows.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), MOST_UNLABELLED), prior)
+    positive, some = read(confirmed, MOST_POSITIVE), read(open_rows.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), FIRST_UNLABELLED)
+    if not positive or not some:
+        return NEVER
+    measured = source(open_rows).withColumn("text_key", F.lit(0).cast("long")).mapInArrow(_places(words), "doc_id long, text_key long, places binary")
+    places = written(measured.select("places"), "places")
+    theta = whole_fit(first_fit(len(words), positive, some, prior), positive, places, n[1], prior)
+    discard(places)
+    return model_of(words, theta)
 
 
 def score(documents: DataFrame, model: WordModel) -> DataFrame:

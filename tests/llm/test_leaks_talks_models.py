@@ -250,6 +250,25 @@ def test_a_score_is_the_weighted_mean_of_its_lines(spark):
     assert np.allclose([r.good for r in by_line], good) and [(r.doc_id, r.line) for r in by_line] == [(1, 0), (1, 1), (2, 0)]
 
 
+def test_risk_of_all_unlabelled_documents(spark):
+    draw = np.random.default_rng(11)
+    documents = [np.unique(draw.integers(0, 20, draw.integers(0, 9))).astype(np.int32) for _ in range(300)]
+    positive = [np.unique(draw.integers(0, 6, 5)).astype(np.int32) for _ in range(30)]
+    places = spark.createDataFrame([(d.tobytes(),) for d in documents], "places binary").repartition(5)
+    theta = draw.normal(size=21)
+    loss, gradient = toxicity.unlabelled_sums(places, theta)
+    f = np.array([theta[d].sum() + theta[-1] for d in documents])
+    p = 1 / (1 + np.exp(-f))
+    expected = np.array([sum(x for x, d in zip(p, documents, strict=True) if k in d) for k in range(20)] + [p.sum()])
+    assert np.isclose(loss, np.log1p(np.exp(f)).sum()) and np.allclose(gradient, expected)
+    # the same steps over both sides at once
+    both, is_positive, prior = toxicity.Presence([*positive, *documents]), np.arange(330) < 30, 0.3
+    descent = toxicity.Descent(theta, toxicity.WHOLE_RATE)
+    for _ in range(3):
+        descent.take(both.gathered(toxicity.risk(both.log_odds(descent.theta), is_positive, prior)[2], 21))
+    assert np.allclose(toxicity.whole_fit(theta, positive, places, 300, prior, steps=3), descent.theta)
+
+
 def test_non_negative_risk_and_its_direction():
     draw = np.random.default_rng(4)
     is_positive = np.arange(12) < 4
