@@ -15,7 +15,8 @@ A byte goes if it is covered by a string of `length` bytes that also starts in a
 4. Shards learn for which runs of windows a smaller doc_id exists elsewhere, and mark the bytes.
 
 Defined cases: null, empty and short texts keep all their bytes; a null doc_id counts as the smallest; repeated rows of one
-doc_id are one document and remove nothing from each other; other columns are ignored; an empty table gives no rows.
+doc_id are one document and remove nothing from each other; a text longer than a shard is a shard of its own; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..sources.scratch import scratch_folder
 from .common import slices, task_number, text_or_empty, written
 from .interleave import equal_windows
 from .words import BYTE_KEY, U, mixed
@@ -46,9 +48,10 @@ SPREAD = 4
 HOT_CONTEXTS = 1 << 16
 #: Windows whose transforms are merged at once, and contexts that are looked at together.
 MERGE_WINDOWS, CONTEXTS = 1 << 16, 1 << 13
-#: Anchor hashes travel as their upper 48 bits and, when shards report them, a byte: how many contexts they have in the shard, at
-#: most MOST_COUNTED, and whether in several documents. A clash of hashes only sends text that repeats nowhere.
-KEY, MOST_COUNTED = U(((1 << 64) - 1) ^ ((1 << 16) - 1)), 127
+#: Anchor hashes travel as their upper 48 bits and, when shards report them, two bytes: how many contexts they have in the shard, at
+#: most MOST_COUNTED (a shard of SHARD_BYTES has fewer), and whether in several documents. A clash of hashes only sends text that
+#: repeats nowhere.
+KEY, MOST_COUNTED = U(((1 << 64) - 1) ^ ((1 << 16) - 1)), (1 << 15) - 1
 
 NO_ID = -(1 << 63)
 SHARDS = "shard long, n_bytes long, ids binary, sizes binary, text binary, gaps binary, rest binary"
@@ -186,7 +189,8 @@ def lay_shards(documents: DataFrame, length: int, with_rest: bool = False) -> Da
     source = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_or_empty().alias("text"), *[F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] * bool(rest))
     laid = source.mapInArrow(lay, SHARDS)
     name = f"polycurate_shards_{uuid.uuid4().hex}"
-    laid.write.bucketBy(buckets, "shard").format("parquet").option("compression", "zstd").saveAsTable(name)
+    path = scratch_folder(spark, "shards")  # not in the warehouse, which may be a folder of one machine
+    laid.write.bucketBy(buckets, "shard").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
@@ -229,7 +233,7 @@ def _split(order: np.ndarray, keys: np.ndarray):
 
 
 def anchor_counts(shard: Shard) -> np.ndarray:
-    """The shard's distinct anchor hashes, each with its byte of counts. Contexts are told apart by the anchors on either side."""
+    """The shard's distinct anchor hashes, each with its counts. Contexts are told apart by the anchors on either side."""
     h = shard.hashes()
     if not len(h):
         return h
@@ -242,7 +246,7 @@ def anchor_counts(shard: Shard) -> np.ndarray:
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     contexts = np.add.reduceat(np.append(True, both[1:] != both[:-1]).astype(np.int64), new)
     several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
-    return key[new] | (np.minimum(contexts, MOST_COUNTED).astype(U) << U(9)) | (several.astype(U) << U(8))
+    return key[new] | (np.minimum(contexts, MOST_COUNTED).astype(U) << U(1)) | several.astype(U)
 
 
 def repeating_anchors(shards: DataFrame, ranges: int, length: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -253,16 +257,16 @@ def repeating_anchors(shards: DataFrame, ranges: int, length: int, hot_contexts:
         for row in _rows(batches):
             h = anchor_counts(Shard(row, length))
             part = parts[((h >> U(33)) % U(ranges)).astype(np.int64)]
-            out = [(int(k), row["shard"], upper(h[p], 7)) for k, p in _split(np.argsort(part, kind="stable"), part)]
+            out = [(int(k), row["shard"], upper(h[p], 8)) for k, p in _split(np.argsort(part, kind="stable"), part)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["part", "shard", "hashes"])
 
     def find(table: pa.Table) -> pa.Table:
-        blobs = [from_upper(b.as_buffer(), 7) for b in table.column("hashes")]
+        blobs = [from_upper(b.as_buffer(), 8) for b in table.column("hashes")]
         shard = np.repeat(table.column("shard").to_numpy(), [len(b) for b in blobs])
         h = np.concatenate(blobs)
         order = np.argsort(h & KEY, kind="stable")
         h, shard = h[order], shard[order]
-        contexts, several, h = ((h >> U(9)) & U(MOST_COUNTED)).astype(np.int64), (h >> U(8)) & U(1) > 0, h & KEY
+        contexts, several, h = ((h >> U(1)) & U(MOST_COUNTED)).astype(np.int64), h & U(1) > 0, h & KEY
         new = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
         count = np.diff(np.append(new, len(h)))
         # two shards hold different documents, unless rows of one doc_id lie in both: that only sends more than is needed
