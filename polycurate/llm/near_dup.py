@@ -18,7 +18,7 @@ by their size and 128 bits of sums of their hashes; that two unlike sets agree i
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a row without doc_id is linked with
 nothing, has no component and is kept; repeated rows share a class; rows of one doc_id with different texts are linked; other
-columns are ignored; an empty table gives no rows.
+columns are ignored; a very long text is read in one piece, and its registers have a fixed size; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ BANDS = REGISTERS // BAND_ROWS
 MARGIN, FINE_MARGIN, FINE_SHINGLES = 0.2, 0.03, 2.5
 #: Members of a group that are compared together; larger groups are dealt into blocks.
 BLOCK = 1024
+#: Classes whose keys, 16 bytes each, may be broadcast.
+BROADCAST_CLASSES = 500_000
 
 PROFILE = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, registers binary, fine binary"
 
@@ -176,6 +178,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_wo
     pairs: a, b, part; a's text goes to each of its parts, so a class with many partners is not one task's.
     """
     heads = classes.select("class_id", "doc_id", "text_key")
+    if 2 * pairs.count() <= BROADCAST_CLASSES:  # then only the texts of these classes are dealt out
+        ends = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
+        texts = texts.join(F.broadcast(heads.join(ends, "class_id").select("doc_id", "text_key")), ["doc_id", "text_key"], "left_semi")
     wanted = pairs.join(heads.withColumnRenamed("class_id", "b"), "b").hint("shuffle_hash")
     right = texts.join(wanted, ["doc_id", "text_key"]).select("a", "b", "part", F.col("text").alias("text_b"))
     starts = pairs.select(F.col("a").alias("class_id"), "part").distinct().join(heads, "class_id").withColumnRenamed("class_id", "a")
