@@ -15,7 +15,7 @@ At the threshold at most about a tenth of a window's words differ, which puts 18
 Defined cases: words are runs of letters and digits, lower-cased; null, empty and wordless texts leak nothing; a document or item
 of fewer than five words is one shingle, so only the same whole sequence matches; a null doc_id or item_id stays null; repeated
 rows of documents give one row; of windows equally similar the first counts; other columns are ignored; an empty table on either
-side gives no rows.
+side gives no rows; a very long text is cut into its shingles within its row, and only windows that may leak leave it.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: Bits by which fingerprints of similar windows may differ; one block more, half of them in each 64-bit lane.
 RADIUS = 39
 LANES = ("high", "low")
-#: Sizes up to which a side is broadcast; beyond, the same join shuffles.
-BROADCAST_SHINGLES, BROADCAST_DOCUMENTS = 1_000_000, 100_000
+#: Bytes of rows that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def word_array(text: Column) -> Column:
@@ -97,9 +97,10 @@ def common_weight(x: Column, y: Column) -> Column:
     return F.when(once(x) | once(y), F.size(F.array_intersect(x, y))).otherwise(each)
 
 
-def bounded(small: DataFrame, limit: int) -> DataFrame:
-    """small, marked for broadcast if it has at most `limit` rows, else for a shuffled hash join."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small.hint("shuffle_hash")
+def bounded(small: DataFrame, size: Column | int) -> DataFrame:
+    """small, marked for broadcast if its rows, of `size` bytes each, have at most BROADCAST_BYTES, else for a shuffled hash join."""
+    total = small.agg(F.sum(size if isinstance(size, Column) else F.lit(size))).first()[0] or 0
+    return F.broadcast(small) if total <= BROADCAST_BYTES else small.hint("shuffle_hash")
 
 
 def dense_starts(places: Column, n_shingles: Column, percent: int) -> Column:
@@ -124,12 +125,12 @@ def _leaking_windows(documents: DataFrame, benchmark: DataFrame, percent: int) -
     text = text_or_empty()
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     worded = source.select("doc_id", "text_key", word_array(F.col("text")).alias("words"))
-    met = worded.select("doc_id", "text_key", F.posexplode(shingles(F.col("words"))).alias("at", "shingle")).join(bounded(places, BROADCAST_SHINGLES), "shingle")
+    met = worded.select("doc_id", "text_key", F.posexplode(shingles(F.col("words"))).alias("at", "shingle")).join(bounded(places, 32), "shingle")
     dense = met.groupBy("doc_id", "text_key", "of", "n_shingles").agg(F.array_sort(F.collect_set("at")).alias("places"))
     dense = dense.select("doc_id", "text_key", "of", dense_starts(F.col("places"), F.col("n_shingles"), percent).alias("runs")).filter(F.size("runs") > 0)
     seeds = written(dense.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("of", "runs")).alias("seeds")), "seeds")
 
-    seeded = source.alias("d").join(bounded(seeds, BROADCAST_DOCUMENTS).alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")))
+    seeded = source.alias("d").join(bounded(seeds, 64 + 32 * F.aggregate("seeds", F.lit(0), lambda n, s: n + 1 + F.size(s["runs"]))).alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")))
     windows = seeded.select("d.doc_id", "d.text_key", "seeds", word_array(F.col("text")).alias("words"))
     windows = windows.select("doc_id", "text_key", "words", F.explode("seeds").alias("s")).select("doc_id", "text_key", "words", "s.of", F.explode("s.runs").alias("run"))
     windows = windows.select("doc_id", "text_key", "words", "of", F.explode(F.sequence("run.first", "run.last")).alias("start"))
@@ -142,10 +143,10 @@ def _leaking_windows(documents: DataFrame, benchmark: DataFrame, percent: int) -
     marked = written(marked.withColumn("item", F.monotonically_increasing_id()), "marked")  # a null item_id has a number too
     probes = windows.select("window_id", "of", "mark", F.explode(blocks(F.col("mark"))).alias("b")).select("window_id", "of", "mark", "b.*")
     index = marked.select("item", "of", "item_mark", F.explode(blocks(F.col("item_mark"))).alias("b")).select("item", "of", "item_mark", "b.*")
-    near = probes.join(bounded(index, BROADCAST_SHINGLES), ["of", "block", "value"]).filter(distance(F.col("mark"), F.col("item_mark")) <= RADIUS)
+    near = probes.join(bounded(index, 64), ["of", "block", "value"]).filter(distance(F.col("mark"), F.col("item_mark")) <= RADIUS)
     near = near.select("window_id", "item").distinct()
 
-    pairs = near.join(windows, "window_id").join(bounded(marked.drop("of", "item_mark"), BROADCAST_DOCUMENTS), "item")
+    pairs = near.join(windows, "window_id").join(bounded(marked.drop("of", "item_mark"), 64 + 8 * F.size("item_shingles")), "item")
     common = pairs.withColumn("common", common_weight(F.col("shingles"), F.col("item_shingles")))
     similar = common.withColumn("all", F.size("shingles") + F.size("item_shingles") - F.col("common")).filter(100 * F.col("common") >= percent * F.col("all"))
     return similar.select("doc_id", "text_key", "item_id", (F.col("common") / F.col("all")).alias("similarity"), "start", "n_words")
@@ -169,4 +170,4 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # all columns go as one, so none of their names can clash
     rows = documents.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))
-    return rows.join(bounded(written(gone, "leaking"), BROADCAST_DOCUMENTS), same, "left_anti").select("_row.*")
+    return rows.join(bounded(written(gone, "leaking"), 48), same, "left_anti").select("_row.*")
