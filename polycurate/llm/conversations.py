@@ -18,7 +18,7 @@ task's.
 
 Defined cases: a null or empty text is empty content without quotes; a message with a null conv_id or turn is linked with nothing
 and has no position; messages with equal (conv_id, turn) share links and stand next to each other; other columns are ignored; an
-empty table gives no rows.
+empty table gives no rows; a very long message is parsed within its row.
 """
 
 from __future__ import annotations

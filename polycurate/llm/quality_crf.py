@@ -7,7 +7,7 @@ weighted by line length, average to a document's quality, and a logistic curve f
 a probability.
 
 Defined cases: a null or empty text is one empty line; a null doc_id stays null and is not held out; repeated rows each give a
-row; of unlike labels of one doc_id the least counts, and of its unlike texts that of the least hash; other columns are ignored; with labels of one class only, every score is that class; an empty table gives no rows.
+row; of unlike labels of one doc_id the least counts, and of its unlike texts that of the least hash; other columns are ignored; with labels of one class only, every score is that class; an empty table gives no rows; a very long text is scored line by line in one worker.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import per_document
 from .training import fold, sampled, source
 from .words import U, lowered, mixed, prefix_sums, span_hashes
 
-#: Most labelled documents that a fit reads, and the most lines of each; scoring has no such bounds.
-MOST_LABELLED, MOST_LINES = 3_000, 5_000
+#: Most labelled documents that a fit reads, the most lines of each, and of all; scoring has no such bounds.
+MOST_LABELLED, MOST_LINES, MOST_LINES_IN_ALL = 3_000, 5_000, 400_000
 STEPS, RATE, DECAY = 120, 0.15, 1e-3
 THRESHOLD = 0.3
 
@@ -242,10 +242,11 @@ def _line_bytes(offsets: np.ndarray, data: np.ndarray) -> dict[str, pa.Array]:
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Fit on the rows of labels whose fold is not held out; labels: doc_id, quality. Of a doc_id's labels the least counts.
 
-    At most MOST_LABELLED documents are read, and of these such as have at most MOST_LINES lines, so the driver's share is bounded.
+    At most MOST_LABELLED documents are read, of these such as have at most MOST_LINES lines, and of these, in the order of a hash,
+    as many as have MOST_LINES_IN_ALL lines together, so the driver's share is bounded.
     """
     ids = labels.filter(fold(5) != 0).filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    rows = [r for r in sampled(documents, ids, MOST_LABELLED, _lines, "sizes binary, active binary") if r.sizes]
+    rows = [r for r in sampled(documents, ids, MOST_LABELLED, _lines, "sizes binary, active binary", ("sizes", 8 * MOST_LINES_IN_ALL)) if r.sizes]
     sizes = [np.frombuffer(r.sizes, np.int64) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).astype(np.int64)
     active = np.frombuffer(b"".join(r.active for r in rows), np.uint8).reshape(-1, len(BINS)).astype(np.int64)

@@ -5,7 +5,7 @@ of which no bit of a versioned policy is set, and `ablations` tells what each ru
 operations on the ledger's counts.
 
 Defined cases: a null or empty text has no words and fails `too_short`; a null doc_id stays null; repeated rows each give a row;
-other columns are ignored, whatever their names; an empty table gives no rows.
+other columns are ignored, whatever their names; a very long text is measured within its row; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ them, ranges that turn out overfull are subdivided by a sample of their own, and
 the same bytes.
 
 Defined cases: a null text has size 1 and stands with empty texts; a null doc_id stays null and sorts first; repeated rows each
-get a slot, in the order of the input's files; other columns are ignored; an empty table gives no rows.
+get a slot, in the order of the input's files; a very long text is one row and so lies in one shard, whatever its size; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

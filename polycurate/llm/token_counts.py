@@ -1,7 +1,7 @@
 """Token counts by the whole-token shortcut.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows each give a row; other
-columns of the input are ignored; an empty table gives no rows.
+columns of the input are ignored; a very long text is counted alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
