@@ -271,8 +271,9 @@ def multiset_overlap(s, d):
 
 @query
 def shingle_jaccard_edges(s, d):
-    rows = similarity.shingle_rows(views.qa(s, d).select(F.col("ID").alias("key"), F.col("subset").alias("group"), "input"), "key", "group", F.col("input"), 5)
-    return similarity.similar_pairs(rows, 0.85).select("a", "b", r6("jaccard").alias("jaccard"))
+    """Per row its class of equal shingle sets, how many rows are similar, and how similar the most similar other class is."""
+    rows = similarity.linked_classes(views.qa(s, d), "ID", "subset", F.col("input"), 0.85)
+    return rows.select(F.col("key").alias("id"), F.col("group").alias("subset"), "class_id", "n_links", r6("nearest").alias("nearest"))
 
 
 @query

@@ -134,9 +134,11 @@ ORACLES: dict[str, str] = {
       select least(floor((q_tokens - lo) / ((hi - lo) / 40))::int, 39) as bin, count(*) as n from d, e group by 1""",
     "missing_values": "select 'doc_id' as column_name, count(*) - count(doc_id) as missing from documents union all select 'text', count(*) - count(text) from documents union all select 'lang', count(*) - count(lang) from documents union all select 'source', count(*) - count(source) from documents",
     "vocab_overlap": f"with {QA}, v as (select distinct id % 5 = 0 as val, unnest({TOKENS.format('lower(input)')}) as w from qa) select count(*) as val_words, count(*) filter (w in (select w from v where not val)) as common, round(100.0 * count(*) filter (w in (select w from v where not val)) / count(*), 2) as pct from v where val",
-    "shingle_jaccard_edges": f"""with {FIRST_LINES} select a.id as a, b.id as b, round(len(list_intersect(a.s, b.s))::double / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) as jaccard
-      from sh a join sh b on a.subset = b.subset and a.id < b.id and len(a.s) between 0.85 * len(b.s) - 1e-9 and len(b.s) / 0.85 + 1e-9
-      where len(list_intersect(a.s, b.s))::double / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.85""",
+    "shingle_jaccard_edges": f"""with {FIRST_LINES}, so as (select id, subset, list_sort(s) as s from sh),
+      e as (select a.id as a, b.id as b, a.s = b.s as same, len(list_intersect(a.s, b.s))::double / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) as j
+        from so a join so b on a.subset = b.subset and a.id <> b.id and len(a.s) > 0 and len(a.s) between 0.85 * len(b.s) - 1e-9 and len(b.s) / 0.85 + 1e-9),
+      l as (select a, count(*) as n, max(j) filter (not same) as nearest from e where j >= 0.85 group by 1)
+      select so.id, subset, min(so.id) over (partition by subset, s) as class_id, coalesce(n, 0) as n_links, round(nearest, 6) as nearest from so left join l on l.a = so.id""",
     "aug_vs_original_antijoin": f"with {MERGED} select item_id from aug where item_id not in (select item_id from hit)",
     "cosine_pairs_gt_090": "select count(*) as pairs from embeddings a join embeddings b on a.vec_id < b.vec_id where list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::double * b.embedding[i]::double)) > 0.9",
     "length_ratio_gate": f"with {METRICS} select id, {KEPT_GATES} as ok from d",

@@ -65,9 +65,21 @@ def diagnostic(spark: SparkSession, d: str) -> DataFrame:
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """User turns with the assistant turn that follows."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").withColumns({"output": F.lead("text").over(w), "next": F.lead("role").over(w)})
-    return rows.filter("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("input"), "output")
+    rows = with_following(table(spark, d, "conversations"), "conv_id", "turn", ["text", "role"])
+    return rows.filter("role = 'user' and following.role = 'assistant'").select("conv_id", "turn", F.col("text").alias("input"), F.col("following.text").alias("output"))
+
+
+def with_following(rows: DataFrame, by: str, order: str, columns: list[str], chunk: int = 1024) -> DataFrame:
+    """rows with `following`: a struct of columns of the next row of its group, null for the last. order is a whole number.
+
+    Neighbours are found within stretches of the order; only the first row of each stretch is looked at for its whole group.
+    """
+    cut = rows.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    own = F.struct(*columns)
+    cut = cut.withColumn("_next", F.lead(own).over(Window.partitionBy(by, "_chunk").orderBy(order)))
+    heads = cut.groupBy(by, "_chunk").agg(F.min_by(own, order).alias("_head"))
+    heads = heads.select(by, "_chunk", F.lead("_head").over(Window.partitionBy(by).orderBy("_chunk")).alias("_head")).filter("_head is not null")
+    return cut.join(heads, [by, "_chunk"], "left").withColumn("following", F.coalesce("_next", "_head")).drop("_chunk", "_next", "_head")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from polycurate.functions import overlap as O
 from polycurate.functions import scores as S
 from polycurate.functions import text as T
 from polycurate.operators import cascade, profile, sampling, similarity
+from polycurate.plans import views
 from polycurate.sources import io
 
 
@@ -226,3 +227,19 @@ def test_sources(spark, tmp_path):
     io.write_csv(made, f"{tmp_path}/csv")
     io.write_json_report(made, f"{tmp_path}/json")
     assert io.read_csv(spark, f"{tmp_path}/csv").count() == 2 and spark.read.json(f"{tmp_path}/json").count() == 2
+
+
+def test_following_rows_of_long_groups(spark):
+    rows = [(c, t, f"{c}-{t}") for c, n in ((1, 50), (2, 1), (3, 7)) for t in range(0, 3 * n, 3)]
+    frame = spark.createDataFrame(rows, "c long, t long, x string").repartition(5)
+    got = {r.x: r.following and r.following.x for r in views.with_following(frame, "c", "t", ["x"], chunk=8).collect()}
+    assert got == {x: (f"{c}-{t + 3}" if (c, t + 3, f"{c}-{t + 3}") in rows else None) for c, t, x in rows}
+
+
+def test_linked_classes_count_copies(spark):
+    words = "the quick brown fox jumps over the lazy dog near the river bank today".split()
+    near = [" ".join([*words[:-1], w]) for w in ("today", "today!", "todays")]
+    texts = [near[0]] * 50 + [near[1]] * 3 + [near[2], "something else entirely, far away", "", " "]
+    rows = [(i, "en", t) for i, t in enumerate(texts)] + [(100, "de", near[0])]
+    got = {r.key: (r.class_id, r.n_links) for r in similarity.linked_classes(spark.createDataFrame(rows, "id int, g string, t string"), "id", "g", F.col("t"), 0.85).collect()}
+    assert got[7] == (0, 53) and got[51] == (50, 53) and got[53] == (53, 53) and got[54] == (54, 0) and got[100] == (100, 0) and got[56] == (55, 0)
