@@ -336,7 +336,8 @@ def gate_funnel(s, d):
 
 
 def _summary(s, d):
-    rows = views.diagnostic(s, d)
+    measures = ("subset", "q_script_ok", "a_script_ok", "q_lang_ok", "a_lang_ok", "q_tokens", "a_tokens", "a_repetition", "qa_cos")
+    rows = sampling.settled(views.diagnostic(s, d).select(*measures), "measures")  # read for totals and again for percentiles
     return P.summary_of(rows, P.near_dup_rates(views.qa(s, d), None))
 
 
