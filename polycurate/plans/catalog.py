@@ -103,8 +103,10 @@ def dominant_script(s, d):
 
 @query
 def script_heuristic(s, d):
-    rows = s.createDataFrame([(1, "abc", "Aka_Gha"), (2, "123", "Lug_Uga"), (3, "ሰላም", "Amh_Eth"), (4, "abc", "Amh_Eth"), (5, "123", "Swa_Ken")], "i int, t string, s string")
-    return rows.select("i", T.script_present(F.col("t"), F.col("s")).alias("ok"))
+    """First lines under tags of several scripts, and answers' digits alone."""
+    tags = T.lookup(F.col("subset"), {"en": "Aka_Gha", "de": "Amh_Eth", "fr": "Swa_Ken"}, F.lit("Lug_Uga"))
+    digits = F.regexp_replace("output", "[^0-9]", "")
+    return views.qa(s, d).select(F.col("ID").alias("id"), T.script_present(F.col("input"), tags).alias("ok"), T.script_present(digits, tags).alias("digits_ok"))
 
 
 @query
@@ -137,9 +139,10 @@ def unsafe_flags(s, d):
 
 @query
 def tag_normalise(s, d):
-    tags = ["Swa_Ken", " twi ", "swa_ken", "Eng", "KISWAHILI", "Amh_Eth", "amh", "eng_uga", "xx", "eng_kenya"]
-    rows = s.createDataFrame(list(enumerate(tags, 1)), "i int, tag string")
-    return rows.select("i", "tag", T.normalise_tag(F.col("tag")).alias("fixed"))
+    """Each document under a tag as it may be written, by its language and source."""
+    written = T.lookup(F.col("lang"), {"en": " Eng ", "de": "KISWAHILI", "fr": "amh_eth", "es": "Eng_Kenya"}, F.col("lang"))
+    tag = F.when(F.col("doc_id") % 5 == 0, F.col("source")).when(F.col("doc_id") % 5 == 1, F.lit("Swa_Ken")).otherwise(written)
+    return io.table(s, d, "documents").select("doc_id", tag.alias("tag"), T.normalise_tag(tag).alias("fixed"))
 
 
 @query
@@ -181,7 +184,8 @@ def turn_pairs(s, d):
 
 @query
 def synthetic_source(s, d):
-    return io.synthetic_rows(s, "train").select("ID", "subset")
+    """As many placeholder rows as there are documents."""
+    return io.synthetic_rows(s, "train", io.table(s, d, "documents").count()).select("ID", "subset")
 
 
 @query
@@ -193,10 +197,12 @@ def parameters_join(s, d):
 
 @query
 def decoding_overlay(s, d):
+    """Each document's settings: the defaults, its language's own over them."""
     base = F.create_map(F.lit("beams"), F.lit(4.0), F.lit("penalty"), F.lit(1.0))
     rows = s.createDataFrame([("en", {}), ("de", {"beams": 2.0, "penalty": 1.3}), ("fr", {"penalty": 1.1})], "lang string, own map<string,double>")
     pick = lambda key: F.coalesce(F.try_element_at("own", F.lit(key)), base[key])
-    return rows.select("lang", pick("beams").cast("int").alias("beams"), pick("penalty").alias("penalty"))
+    known = io.table(s, d, "documents").select("doc_id", "lang").join(F.broadcast(rows), "lang", "left")  # three rows
+    return known.select("doc_id", "lang", pick("beams").cast("int").alias("beams"), pick("penalty").alias("penalty"))
 
 
 # --- profile
@@ -585,9 +591,10 @@ def clean_log(s, d):
 
 @query
 def batch_tiers(s, d):
-    rows = s.createDataFrame([(g, m) for g in (80, 60, 45, 30, 20, 12, 4) for m in ("mt0-XXL", "mt0-xl", "mt5-large", "mt5-base", "mt5-small", "other")], "free_gb int, model string")
-    size = S.model_size(F.col("model"))
-    return rows.select("free_gb", "model", size.alias("size_b"), S.batch_size(F.col("free_gb"), size).alias("batch"))
+    """Events as free memory, their types as models."""
+    kind = T.lookup(F.col("event_id") % 6, {0: "mt0-XXL", 1: "mt0-xl", 2: "mt5-large", 3: "mt5-base", 4: "mt5-small"}, F.lit("other"))
+    size = S.model_size(kind)
+    return io.table(s, d, "events").select("event_id", size.alias("size_b"), S.batch_size(F.floor("value"), size).alias("batch"))
 
 
 @query
@@ -845,9 +852,11 @@ def agreement_alpha(s, d):
 
 @query
 def rouge_drop(s, d):
-    now = s.createDataFrame([("en", 0.30), ("de", 0.25), ("fr", 0.40)], "language string, rouge double")
-    before = s.createDataFrame([("en", 0.36), ("de", 0.29), ("fr", 0.38)], "language string, rouge double")
-    return profile.regressed(now, before, "language", "rouge")
+    """ROUGE-1 of the rows with even ids against that of those with odd ids."""
+    rows = views.predictions(s, d)
+    half = lambda rest: _by_language(_rouge(rows.filter(F.col("ID") % 2 == rest), O.rouge1), "rouge")
+    out = profile.regressed(half(0), half(1), "language", "rouge", 0.0001)
+    return out.select("language", r6("now").alias("now"), r6("before").alias("before"), "paused")
 
 
 @query

@@ -45,6 +45,7 @@ SUBSEQUENCES = """
         list_reduce(list_prepend([0::bigint], list_transform(range(1, len(v) + 1), lambda i: [v[i], m[i]])), lambda done, vm: list_append(
           [(vm[1] + (vm[1] & vm[2]) + done[1]) >> 62] || done[2:], ((vm[1] + (vm[1] & vm[2]) + done[1]) & 4611686018427387903) | (vm[1] - (vm[1] & vm[2])))), 2, len(v) + 1)) as v from t join steps using (id)),
       lcs as (select subset, len(a) as n_a, len(b) as n_b, coalesce((((len(a) + 61) // 62) * 62 - list_sum(list_transform(v, lambda x: bit_count(x)))), 0) as lcs from t left join rows using (id))"""
+SCRIPT_PRESENT = "case when tag = 'Amh_Eth' then regexp_matches({0}, '[\\x{{1200}}-\\x{{137F}}]') when tag in ('Aka_Gha', 'Lug_Uga', 'Swa_Eas', 'Eng') then regexp_matches({0}, '[a-zA-Z]') else true end"
 REQUESTS = "r as (select event_id::varchar as question_id, event_type as language, round_even(value, 1) as latency_ms, substr(sha256(user_id::varchar), 1, 16) as ip_hash, ts from events)"
 FEEDBACK = "f as (select event_id::varchar as question_id, (1 + event_id % 5)::int as rating, (1 + event_id % 5) <= 2 as flagged, ts from events)"
 MERGED = f"""{QA}, aug as (select item_id, text as input, text as output, 'en' as subset from benchmark),
@@ -112,9 +113,9 @@ ORACLES: dict[str, str] = {
     "dup_groups_all": f"with {QA} select id, n from (select id, count(*) over (partition by md5(input || '|||' || output)) as n from qa) where n > 1",
     "pii_flags": "select doc_id, regexp_matches(text, '\\b[\\+]?[(]?[0-9]{1,4}[)]?[-\\s\\./0-9]{7,}\\b') as phone, regexp_matches(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\\.[a-zA-Z0-9-.]+') as email, regexp_matches(text, '\\b(Mr|Mrs|Ms|Dr|Prof)\\.?\\s+[A-Z][a-z]+\\b') as titled_name from documents",
     "unsafe_flags": f"with {QA} select subset, count(*) as n, count(*) filter (regexp_matches(output, '(?i)take\\s+\\d+\\s+(tablets?|pills?|mg)\\s+at\\s+once|do\\s+not\\s+go\\s+to\\s+(a\\s+)?(doctor|hospital|clinic)|abort\\s+using\\s+[a-z\\s]+at\\s+home|self[-\\s]medicate\\s+with')) as unsafe from qa group by 1",
-    "tag_normalise": """with t(i, tag) as (values (1, 'Swa_Ken'), (2, ' twi '), (3, 'swa_ken'), (4, 'Eng'), (5, 'KISWAHILI'), (6, 'Amh_Eth'), (7, 'amh'), (8, 'eng_uga'), (9, 'xx'), (10, 'eng_kenya')),
-      v(name, fixed) as (values ('twi', 'Aka_Gha'), ('kiswahili', 'Swa_Ken'), ('eng', 'Eng_Uga'), ('amh', 'Amh_Eth'), ('eng_kenya', 'Eng_Ken'))
-      select i, tag, case when tag in ('Swa_Ken', 'Amh_Eth') then tag else fixed end as fixed from t left join v on v.name = lower(trim(tag))""",
+    "tag_normalise": """with x as (select doc_id, case doc_id % 5 when 0 then source when 1 then 'Swa_Ken' else case lang when 'en' then ' Eng ' when 'de' then 'KISWAHILI' when 'fr' then 'amh_eth' when 'es' then 'Eng_Kenya' else lang end end as tag from documents),
+      v(name, fixed) as (values ('kiswahili', 'Swa_Ken'), ('eng', 'Eng_Uga'), ('amh_eth', 'Amh_Eth'), ('eng_kenya', 'Eng_Ken'))
+      select doc_id, tag, case when tag = 'Swa_Ken' then tag else fixed end as fixed from x left join v on v.name = lower(trim(tag))""",
     "dominant_script": f"""with d as (select doc_id, text from documents union all select * from (values {', '.join(f"({-i}, '{t}')" for i, t in enumerate(SCRIPT_TEXTS, 1))}) l(doc_id, text)),
       r(low, high, script) as (values {', '.join(f"({a}, {b}, '{n}')" for a, b, n in letter_ranges())}),
       c as (select doc_id, unicode(c) as point, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '(?s).')) as c from d) group by 1, 2),
@@ -202,16 +203,17 @@ ORACLES: dict[str, str] = {
     "pause_windows": f"with {FEEDBACK}, w as (select date_trunc('day', ts) - to_days(i::int) as window_start from f, range(7) t(i) where flagged) select window_start, count(*) as n from w group by 1 having count(*) >= 5",
     "retention": "select event_id from events where ts >= timestamp '2024-01-20'",
     "ip_anonymise": "select distinct user_id, substr(sha256(user_id::varchar), 1, 16) as ip_hash from events",
-    "script_heuristic": "with t(i, t, s) as (values (1, 'abc', 'Aka_Gha'), (2, '123', 'Lug_Uga'), (3, 'ሰላም', 'Amh_Eth'), (4, 'abc', 'Amh_Eth'), (5, '123', 'Swa_Ken')) select i, case when s = 'Amh_Eth' then regexp_matches(t, '[\\x{1200}-\\x{137F}]') when s in ('Aka_Gha', 'Lug_Uga', 'Swa_Eas', 'Eng') then regexp_matches(t, '[a-zA-Z]') else true end as ok from t",
+    "script_heuristic": f"""with {QA}, x as (select id, input, regexp_replace(output, '[^0-9]', '', 'g') as digits, case subset when 'en' then 'Aka_Gha' when 'de' then 'Amh_Eth' when 'fr' then 'Swa_Ken' else 'Lug_Uga' end as tag from qa)
+      select id, {SCRIPT_PRESENT.format('input')} as ok, {SCRIPT_PRESENT.format('digits')} as digits_ok from x""",
     "nfc_normalise": "select doc_id, md5(nfc_normalize(text)) as text_md5 from documents",
-    "synthetic_source": "select format('train_{:06d}', i) as \"ID\", ['Aka_Gha', 'Amh_Eth', 'Lug_Uga', 'Swa_Eas', 'Eng'][i % 5 + 1] as subset from range(500) t(i)",
+    "synthetic_source": "select format('train_{:06d}', i) as \"ID\", ['Aka_Gha', 'Amh_Eth', 'Lug_Uga', 'Swa_Eas', 'Eng'][(i % 5 + 1)::int] as subset from (select row_number() over () - 1 as i from documents)",
     "hash_separator": f"with {QA} select md5(input || output) as plain, md5(input || '|||' || output) as separated, count(*) as n from qa group by 1, 2",
     "parameters_join": f"with {METRICS} select subset, count(*) as n, count(*) filter (a_tokens < case subset when 'de' then 50 when 'fr' then 80 else 20 end) as short from d group by 1",
     "turn_pairs": "with t as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as output, lead(role) over (partition by conv_id order by turn) as nxt from conversations) select conv_id, turn, md5(text) as q_md5, md5(output) as a_md5 from t where role = 'user' and nxt = 'assistant'",
     "languages_present": "select distinct lang from documents where lang in ('de', 'fr', 'it')",
     "multiset_overlap": f"with {PREDICTIONS}, a as (select subset, unnest({TOKENS.format('prediction')}) as w from p), b as (select subset, unnest({TOKENS.format('input')}) as w from p) select subset, sum(least(x.n, y.n))::bigint as common from (select subset, w, count(*) as n from a group by 1, 2) x join (select subset, w, count(*) as n from b group by 1, 2) y using (subset, w) group by 1",
     "imputed_model_text": f"select conv_id, turn, md5(coalesce(nullif({BLANK.format('text')}, ''), ' ')) as text_md5 from conversations",
-    "decoding_overlay": "with p(lang, beams, penalty) as (values ('en', 4, 1.0), ('de', 2, 1.3), ('fr', 4, 1.1)) select lang, beams, penalty from p",
+    "decoding_overlay": "select doc_id, lang, case lang when 'de' then 2 else 4 end as beams, (case lang when 'de' then 1.3 when 'fr' then 1.1 else 1.0 end)::double as penalty from documents",
     "hash_shuffle": f"with {QA} select id, row_number() over (order by md5('3|' || id::varchar), id) as place from qa",
     "rougeL_by_lang": f"""with {QA}, {MOVED},
       t as (select id, subset, {ROUGE_TOKENS.format('prediction')} as a, {ROUGE_TOKENS.format('output')} as b from p), {SUBSEQUENCES}
@@ -287,8 +289,8 @@ ORACLES: dict[str, str] = {
         union all select id, 'SUBSET_TAG_FIXED', tag, fixed from f where rn = 1 and fixed <> tag
         union all select id, 'QUARANTINE_INVALID_SUBSET', tag, 'QUARANTINED' from f where rn = 1 and fixed is null)
       select id as row_id, 'train' as split, change_type, md5(o) as old_md5, md5(n) as new_md5 from l""",
-    "batch_tiers": """with r as (select unnest([80, 60, 45, 30, 20, 12, 4]) as free_gb), m as (select * from (values ('mt0-XXL', 13.0), ('mt0-xl', 3.7), ('mt5-large', 1.2), ('mt5-base', 0.58), ('mt5-small', 0.3), ('other', 1.2)) v(model, size_b))
-      select free_gb, model, size_b::double as size_b, greatest(1, floor(case when free_gb >= 70 then 24 when free_gb >= 55 then 16 when free_gb >= 40 then 12 when free_gb >= 28 then 8 when free_gb >= 18 then 4 when free_gb >= 10 then 2 else 1 end / greatest(1.0, size_b::double / 3.7)))::int as batch from r, m""",
+    "batch_tiers": """with x as (select event_id, floor(value) as free_gb, (case event_id % 6 when 0 then 13.0 when 1 then 3.7 when 2 then 1.2 when 3 then 0.58 when 4 then 0.3 else 1.2 end)::double as size_b from events)
+      select event_id, size_b, greatest(1, floor(case when free_gb >= 70 then 24 when free_gb >= 55 then 16 when free_gb >= 40 then 12 when free_gb >= 28 then 8 when free_gb >= 18 then 4 when free_gb >= 10 then 2 else 1 end / greatest(1.0, size_b / 3.7)))::int as batch from x""",
     "l2_norms": "with v as (select vec_id, vec_id % 3 as k, embedding, sqrt(list_sum(list_transform(embedding, lambda x: (x::double * (vec_id % 3)) ** 2))) as norm from embeddings) select vec_id, case when k = 0 then 0.0 else 1.0 end as norm, case when k = 0 then 0.0 else round(embedding[1]::double * k / norm, 6) end as first from v",
     "mean_confidence": "select event_id, round(case when event_id % 4 = 0 then 0.85 else value / 100.0 end, 6) as confidence from events",
     "language_accepted": f"""with {QA}, x as (select id, ord, case subset when 'en' then 'Eng_Uga' when 'de' then 'Aka_Gha' when 'fr' then 'Swa_Ken' else 'other' end as tag, input as t, (ord % 10) / 10.0 + 0.1 as conf from qa),
@@ -324,6 +326,8 @@ ORACLES: dict[str, str] = {
       k as (select r.*, m.m from r join m using (u)), seen as (select sum((a.v - b.v) ** 2 / (a.m - 1)) as i, sum((a.v <> b.v)::int / (a.m - 1)::double) as n from k a join k b on a.u = b.u and a.i <> b.i),
       c as (select v, count(*)::double as c from k group by 1), t as (select count(*)::double as n from k), far as (select sum(x.c * y.c * (x.v - y.v) ** 2) as i, sum(x.c * y.c * (x.v <> y.v)::int) as n from c x, c y)
       select 'interval' as metric, round(1 - seen.i / (far.i / (t.n - 1)), 6) as alpha from seen, far, t union all select 'nominal', round(1 - seen.n / (far.n / (t.n - 1)), 6) from seen, far, t""",
-    "rouge_drop": "select * from (values ('en', 0.36::double, 0.30::double, true), ('de', 0.29, 0.25, false), ('fr', 0.38, 0.40, false)) v(language, before, now, paused)",
+    "rouge_drop": f"""with {PREDICTIONS}, t as (select id, subset, len({ROUGE_TOKENS.format('prediction')}) as a, len({ROUGE_TOKENS.format('reference')}) as b from p),
+      m as (select coalesce(subset, 'OVERALL') as language, round(avg(coalesce(2.0 * a / nullif(a + b, 0), 0)) filter (id % 2 = 0), 6) as now, round(avg(coalesce(2.0 * a / nullif(a + b, 0), 0)) filter (id % 2 = 1), 6) as before from t group by grouping sets ((subset), ()))
+      select language, now, before, before - now > 0.0001 as paused from m""",
     "monthly_flags": f"with {FEEDBACK} select date_trunc('month', ts)::timestamp as month, 'c' || (question_id::bigint % 3) as category, case when rating = 1 then 'open' else 'closed' end as status, count(*) as n from f where flagged group by all",
 }
