@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The tokens of ROUGE.
+WORDS, ASCII_WORDS = re.compile(r"\w+"), re.compile("[a-z0-9]+")
 ORDERS = 6
 BETA_SQUARED = 4.0
 #: Code points whose n-grams are counted together.
 CHUNK = 1 << 19
+#: Tokens that are compared together.
+TOKENS = 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,10 +42,19 @@ def _coded(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.asarray(pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices), *lengths
 
 
+def _by_parts(count, a: pa.Array, b: pa.Array) -> pa.Array:
+    """count(a, b) of rows with about TOKENS tokens at a time."""
+    sizes = [np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in (a, b)]
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *[count(a[at:to], b[at:to]) for at, to in chunks(sizes[0] + sizes[1], TOKENS)]]))
+
+
 def _common_tokens(a: pa.Array, b: pa.Array) -> pa.Array:
-    code, n_a, n_b = _coded(a, b)
-    rows, cut = np.arange(len(a)), int(n_a.sum())
-    return pa.array(shared_items(np.repeat(rows, n_a), code[:cut], np.repeat(rows, n_b), code[cut:], len(a)))
+    def count(a: pa.Array, b: pa.Array) -> np.ndarray:
+        code, n_a, n_b = _coded(a, b)
+        rows, cut = np.arange(len(a)), int(n_a.sum())
+        return shared_items(np.repeat(rows, n_a), code[:cut], np.repeat(rows, n_b), code[cut:], len(a))
+
+    return _by_parts(count, a, b)
 
 
 def subsequence_length(a: list, b: list) -> int:
@@ -53,10 +70,13 @@ def subsequence_length(a: list, b: list) -> int:
 
 
 def _common_subsequences(a: pa.Array, b: pa.Array) -> pa.Array:
-    code, n_a, n_b = _coded(a, b)
-    ends_a, ends_b = np.cumsum(n_a), int(n_a.sum()) + np.cumsum(n_b)
-    pairs = zip(ends_a - n_a, ends_a, ends_b - n_b, ends_b, strict=True)
-    return pa.array([subsequence_length(code[i:j].tolist(), code[k:m].tolist()) for i, j, k, m in pairs], pa.int64())
+    def count(a: pa.Array, b: pa.Array) -> np.ndarray:
+        code, n_a, n_b = _coded(a, b)
+        ends_a, ends_b = np.cumsum(n_a), int(n_a.sum()) + np.cumsum(n_b)
+        pairs = zip(ends_a - n_a, ends_a, ends_b - n_b, ends_b, strict=True)
+        return np.array([subsequence_length(code[i:j].tolist(), code[k:m].tolist()) for i, j, k, m in pairs], np.int64)
+
+    return _by_parts(count, a, b)
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,11 +127,11 @@ def shingle_hashes(texts: list[str], k: int) -> list[np.ndarray]:
     return np.split(key[first], np.cumsum(np.bincount(row[first], minlength=len(texts)))[:-1]) if len(texts) else []
 
 
-def chunks(sizes: np.ndarray):
-    """(from, to) of rows that have about CHUNK code points together."""
+def chunks(sizes: np.ndarray, most: int = CHUNK):
+    """(from, to) of rows that have about `most` code points, or whatever sizes are, together."""
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, to
         at = to
 
@@ -150,6 +170,29 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return _f1(_arrow(_common_subsequences, "long")(prediction, reference), prediction, reference)
 
 
+def rouge_words(text: str, kind: str = "unicode") -> list[str]:
+    """The tokens of a text: runs of letters, digits and _ of its lower-cased NFKC form, or of ASCII letters and digits."""
+    low = text.lower()
+    if kind == "ascii":
+        return ASCII_WORDS.findall(low)
+    return WORDS.findall(low if low.isascii() else unicodedata.normalize("NFKC", low))
+
+
+def rouge(prediction: Column, reference: Column, kind: str = "unicode", subsequences: bool = True) -> Column:
+    """struct(rouge1, rougeL) of two texts, rougeL only with `subsequences`. Texts are cut into tokens one pair at a time, so a batch holds no more than its texts."""
+
+    def scored(a: pa.Array, b: pa.Array) -> pa.Array:
+        one, long = np.zeros(len(a)), np.zeros(len(a))
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            p, r = (rouge_words(t.as_py() or "", kind) for t in (x, y))
+            if p and r:
+                one[i] = 2.0 * (Counter(p) & Counter(r)).total() / (len(p) + len(r))
+                long[i] = 2.0 * subsequence_length(p, r) / (len(p) + len(r)) if subsequences else np.nan
+        return pa.StructArray.from_arrays([pa.array(one), pa.array(long)], names=["rouge1", "rougeL"])
+
+    return _arrow(scored, "struct<rouge1: double, rougeL: double>")(prediction, reference)
+
+
 def _scored(reference: Column, prediction: Column, score) -> Column:
     """score(matches by order, length of the reference, of the prediction), each computed once."""
     both = F.struct(_arrow(_matches, "array<long>")(reference, prediction).alias("m"), F.coalesce(F.length(reference), F.lit(0)).alias("r"), F.coalesce(F.length(prediction), F.lit(0)).alias("p"))

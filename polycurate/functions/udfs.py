@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _normal(form: str):
-    return lambda texts: texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+def _normal(text: Column | str, form: str) -> Column:
+    """A text in a normal form. ASCII is in all of them, so such texts stay where they are; others are looked at one by one."""
+    text = F.col(text) if isinstance(text, str) else text
 
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((None if t is None else unicodedata.normalize(form, t) for t in (x.as_py() for x in texts)), pa.string())
+
+    other = F.when(F.char_length(text) < F.octet_length(text), text)
+    return F.coalesce(F.arrow_udf(run, "string")(other), text)
 
-def nfc(text: Column | str) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return _normal("NFC")(texts)
 
-    return F.pandas_udf(run, "string")(text)
+def nfc(text: Column | str) -> Column:
+    return _normal(text, "NFC")
 
 
 def nfkc(text: Column | str) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        return _normal("NFKC")(texts)
-
-    return F.pandas_udf(run, "string")(text)
+    return _normal(text, "NFKC")

@@ -429,10 +429,8 @@ def fallback_ids(s, d):
 # --- evaluation
 
 
-def _rouge(rows, score):
-    words = lambda c: T.once(T.normal_tokens(udfs.nfkc(F.lower(c))))
-    cut = rows.withColumns({"_p": words("prediction"), "_r": words("reference")})
-    return cut.select("subset", score(F.col("_p"), F.col("_r")).alias("f"))
+def _rouge(rows, name):
+    return rows.select("subset", O.rouge(F.col("prediction"), F.col("reference"), subsequences=name == "rougeL")[name].alias("f"))
 
 
 def _by_language(rows, name):
@@ -442,12 +440,12 @@ def _by_language(rows, name):
 
 @query
 def rouge1_by_lang(s, d):
-    return _by_language(_rouge(views.predictions(s, d), O.rouge1), "rouge1_f1")
+    return _by_language(_rouge(views.predictions(s, d), "rouge1"), "rouge1_f1")
 
 
 @query
 def rougeL_by_lang(s, d):  # noqa: N802
-    return _by_language(_rouge(views.moved_predictions(s, d), O.rouge_l), "rougeL_f1")
+    return _by_language(_rouge(views.moved_predictions(s, d), "rougeL"), "rougeL_f1")
 
 
 def _thinned(c, n=5):
@@ -854,7 +852,7 @@ def agreement_alpha(s, d):
 def rouge_drop(s, d):
     """ROUGE-1 of the rows with even ids against that of those with odd ids."""
     rows = views.predictions(s, d)
-    half = lambda rest: _by_language(_rouge(rows.filter(F.col("ID") % 2 == rest), O.rouge1), "rouge")
+    half = lambda rest: _by_language(_rouge(rows.filter(F.col("ID") % 2 == rest), "rouge1"), "rouge")
     out = profile.regressed(half(0), half(1), "language", "rouge", 0.0001)
     return out.select("language", r6("now").alias("now"), r6("before").alias("before"), "paused")
 

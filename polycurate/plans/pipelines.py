@@ -332,9 +332,8 @@ def prediction_dump(df: DataFrame, n: int = 50, phase: int = 1, step: int = 0, e
 
 def with_rouge(df: DataFrame, kind: str = "unicode") -> DataFrame:
     """df with rouge1 and rougeL of prediction and reference."""
-    words = (lambda c: T.normal_tokens(udfs.nfkc(F.lower(c)))) if kind == "unicode" else (lambda c: T.rouge_tokens(F.col(c), kind))
-    cut = df.withColumns({"_p": T.once(words("prediction")), "_r": T.once(words("reference"))})
-    return cut.withColumns({"rouge1": O.rouge1(F.col("_p"), F.col("_r")), "rougeL": O.rouge_l(F.col("_p"), F.col("_r"))}).drop("_p", "_r")
+    both = df.withColumn("_rouge", O.rouge(F.col("prediction"), F.col("reference"), kind))
+    return both.withColumns({"rouge1": F.col("_rouge.rouge1"), "rougeL": F.col("_rouge.rougeL")}).drop("_rouge")
 
 
 def means_by_language(rows: DataFrame) -> DataFrame:

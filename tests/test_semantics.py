@@ -69,6 +69,14 @@ def test_rouge(spark):
     assert tuple(row("unicode")) == (1.0, 1.0) and tuple(row("ascii")) == (0.0, 0.0)
 
 
+def test_rouge_of_texts(spark):
+    rows = [("ﬁve Sechs", "FIVE sechs"), ("", "a"), (None, None), ("b a", "a b"), ("ጤና x", "ጤና y")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, r string")
+    scores = lambda **options: [(round(x.s.rouge1, 6), round(x.s.rougeL, 6)) for x in frame.select("i", O.rouge(F.col("p"), F.col("r"), **options).alias("s")).orderBy("i").collect()]
+    assert scores() == [(1.0, 1.0), (0.0, 0.0), (0.0, 0.0), (1.0, 0.5), (0.5, 0.5)]
+    assert scores(kind="ascii")[4] == (0.0, 0.0) and scores(kind="ascii")[3] == (1.0, 0.5)
+
+
 def test_rouge_equals_counting(spark):
     draw = random.Random(6)
     pairs = [([draw.choice("abcdé") for _ in range(draw.randint(0, 25))], [draw.choice("abcdé") for _ in range(draw.randint(0, 25))]) for _ in range(80)] + [(None, ["a"]), (["a"], None)]
