@@ -50,6 +50,16 @@ def test_gate_and_selection(spark, small):
     assert len(asked) == 4 and all("Luganda" in r.prompt for r in asked)
 
 
+def test_gate_judges_both_sides(spark):
+    rows = [(i, "what helps against fever", "water and rest and a doctor", "Eng", q, a) for i, (q, a) in enumerate([(0.1, 0.2), (0.5, 0.1), (0.1, 0.9), (None, 0.2), (0.3, None), (None, 0.7), (None, None)])]
+    frame = spark.createDataFrame(rows, "ID int, input string, output string, subset string, q double, a double")
+    kept, report = P.quality_gate(frame, (F.col("q"), F.col("a")), F.lit(1.0))
+    assert sorted(r.ID for r in kept.collect()) == [0, 3, 4, 6]
+    assert report.filter("gate = 'toxicity'").first().failing == 3
+    kept, _ = P.quality_gate(frame, F.col("q"), F.lit(1.0))
+    assert sorted(r.ID for r in kept.collect()) == [0, 2, 3, 4, 5, 6]  # one probability for the row; a missing one passes
+
+
 def test_augment_and_merge(spark, small):
     rows = diagnosed(spark, small)
     shout = lambda df: df.withColumn("rewritten", F.concat_ws(" ", F.reverse(F.split("input", " "))))
