@@ -535,6 +535,33 @@ def rate_limit_requests(s, d):
     return rows.select(F.col("request").cast("long").alias("event_id"), "earlier", "admitted")
 
 
+@query
+def rate_limit_stream(s, d):
+    """The limit of `rate_limit_requests` as a stream; a request far ahead lets the watermark pass all others."""
+    folder = scratch_folder(s, "limit-stream")
+    rows = views.requests(s, d).select("ip_hash", "question_id", "ts")
+    ahead = rows.agg(F.max("ts").alias("ts")).select(F.lit("ahead").alias("ip_hash"), F.lit("ahead").alias("question_id"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"))
+    rows.union(ahead).write.parquet(f"{folder}/in")
+    stream = s.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    with limits.state_store(s):
+        made = limits.decided_stream(stream, "ip_hash", "question_id", 2, seconds=6 * 3600)
+        serving.append_log(made, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = s.read.schema(made.schema).parquet(f"{folder}/out")
+    return out.select(F.col("request").cast("long").alias("event_id"), "admitted")
+
+
+@query
+def feedback_sinks(s, d):
+    """Feedback as a stream, in its log and its flagged log."""
+    folder = scratch_folder(s, "feedback-stream")
+    rows = views.feedback(s, d)
+    rows.write.parquet(f"{folder}/in")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    serving.append_feedback(stream, f"{folder}/log", f"{folder}/flags", f"{folder}/checkpoint").awaitTermination()
+    counted = lambda name: serving.read_batches(s, f"{folder}/{name}").groupBy("rating").agg(F.count("*").alias("n")).select(F.lit(name).alias("sink"), "rating", "n")
+    return counted("log").union(counted("flags"))
+
+
 @query
 def feedback_flags(s, d):
     return serving.flagged(views.feedback(s, d)).select("question_id", "rating", "flagged")

@@ -196,6 +196,9 @@ ORACLES: dict[str, str] = {
     "source_counts": "select source, lang, count(*) as n from documents group by 1, 2",
     "request_metrics": f"with {REQUESTS} select language, count(*) as requests, round(avg(latency_ms), 4) as avg_latency_ms from r group by 1",
     "rate_limit_windows": f"with {REQUESTS} select ip_hash, date_trunc('minute', ts) as window_start, count(*) as n, count(*) > 1 as limited from r group by 1, 2",
+    "rate_limit_stream": """select a.event_id, count(b.event_id) < 2 as admitted from events a left join events b
+      on a.user_id = b.user_id and b.ts > a.ts - interval 6 hours and (b.ts < a.ts or b.ts = a.ts and b.event_id::varchar < a.event_id::varchar) group by 1""",
+    "feedback_sinks": f"with {FEEDBACK} select 'log' as sink, rating, count(*) as n from f group by 2 union all select 'flags', rating, count(*) from f where flagged group by 2",
     "rate_limit_requests": """select a.event_id, count(b.event_id) as earlier, count(b.event_id) < 2 as admitted from events a left join events b
       on a.user_id = b.user_id and b.ts > a.ts - interval 6 hours and (b.ts < a.ts or b.ts = a.ts and b.event_id::varchar < a.event_id::varchar) group by 1""",
     "feedback_flags": f"with {FEEDBACK} select question_id, rating, flagged from f where flagged",

@@ -11,9 +11,10 @@ times; a timer settles what the watermark has passed, and another drops a client
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -25,6 +26,18 @@ MINUTE = 60
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+@contextmanager
+def state_store(spark: SparkSession):
+    """The session with STATE_STORE set; streams keep what is set when they start."""
+    name, provider = STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        yield spark
+    finally:
+        spark.conf.set(name, before)
+
+
 def _requests(events: DataFrame, client: str, request: str, ts: str) -> DataFrame:
     return events.select(F.col(client).cast("string").alias("client"), F.col(request).cast("string").alias("request"), F.col(ts).cast("timestamp").alias("ts")).filter("ts is not null")
 

@@ -50,15 +50,11 @@ def test_stream_equals_table(spark, tmp_path):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     files = sorted((p for p in (tmp_path / "in").glob("part-*")), key=lambda p: p.stat().st_mtime_ns)
     assert len(files) == len(parts)
-    before = spark.conf.get(limits.STATE_STORE[0])
-    spark.conf.set(*limits.STATE_STORE)
-    try:
+    with limits.state_store(spark):
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         made = limits.decided_stream(stream, "client", "request", 5, seconds=10, lateness="1 minute")
         query = made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        spark.conf.set(limits.STATE_STORE[0], before)
     got = [(r.request, r.admitted) for r in spark.read.parquet(f"{tmp_path}/out").collect() if not r.request.startswith("end")]
     expected = {r.request: r.admitted for r in limits.decided(spark.createDataFrame(rows, SCHEMA), "client", "request", 5, seconds=10).collect()}
     assert len(got) == len(expected) == 600 and dict(got) == expected
