@@ -307,8 +307,9 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     found = components(links.union(more).union(ties))
 
     by_class = classes.select(*key, "class_id", "doc_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    by_class = by_class.select(*key, "doc_id", F.coalesce("component", "class_id").alias("component"))
-    least = by_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_class = written(by_class.select(*key, "doc_id", F.coalesce("component", "class_id").alias("component")), "by-class")
+    # written, so that the join below stands right above its exchanges and a large component can be split
+    least = written(by_class.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     by_class = by_class.join(least, "component").select(*key, "component_id")
     known = profile.select("doc_id", *key).join(by_class, key, "left").select("doc_id", "n_shingles", "component_id")
     if unlike.limit(1).count():  # a blank row of such a document goes with its other rows
