@@ -255,6 +255,8 @@ def whole_fit(theta: np.ndarray, positive: list[np.ndarray], unlabelled: DataFra
 
 
 def model_of(words: np.ndarray, theta: np.ndarray) -> WordModel:
+    """theta as a model, rounded, since sums over executors differ in their last digits from run to run."""
+    theta = np.round(theta, 6)
     large = np.abs(theta[:-1]) >= LEAST_WEIGHT
     return WordModel(words[large], theta[:-1][large], float(theta[-1]))
 
