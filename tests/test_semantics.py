@@ -251,3 +251,22 @@ def test_linked_classes_count_copies(spark):
     rows = [(i, "en", t) for i, t in enumerate(texts)] + [(100, "de", near[0])]
     got = {r.key: (r.class_id, r.n_links) for r in similarity.linked_classes(spark.createDataFrame(rows, "id int, g string, t string"), "id", "g", F.col("t"), 0.85).collect()}
     assert got[7] == (0, 53) and got[51] == (50, 53) and got[53] == (53, 53) and got[54] == (54, 0) and got[100] == (100, 0) and got[56] == (55, 0)
+
+
+def test_similar_rows_meet_by_parts(spark, monkeypatch):
+    """Against brute force; unlike texts of one small vocabulary hardly meet, and no table holds sets (all pairs that shared a rare shingle were fetched with both sets)."""
+    draw, tables, settled = random.Random(3), [], similarity.settled
+    monkeypatch.setattr(similarity, "settled", lambda df, label: tables.append((label, settled(df, label))) or tables[-1][1])
+    words = ["".join(draw.choice("abcdef") for _ in range(draw.randint(2, 5))) for _ in range(60)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(1, 60))) for _ in range(400)]
+    for t in texts[:100]:
+        at = draw.randrange(len(t))
+        texts.append(t[:at] + draw.choice(["", " ", "x", "two words"]) + t[at + draw.randint(0, 3) :])
+    rows = spark.createDataFrame([(i, "ab"[i % 2 if i < 400 else (i - 400) % 2], t) for i, t in enumerate(texts)], "id int, g string, t string")
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in (" ".join(t.split()) for t in texts)]
+    group = [r.g for r in rows.orderBy("id").collect()]
+    near = [sum(j != i and group[i] == group[j] and len(s & o) / len(s | o) >= 0.85 for j, o in enumerate(sets)) for i, s in enumerate(sets)]
+    got = {r.key: r.n_links for r in similarity.linked_classes(rows, "id", "g", F.col("t"), 0.85).collect()}
+    assert sum(near) > 100 and [got[i] for i in range(len(texts))] == near
+    assert not any("array" in t for _, df in tables for _, t in df.dtypes)
+    assert sum(df.count() for label, df in tables if label == "near") <= sum(near)
