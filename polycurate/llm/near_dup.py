@@ -5,8 +5,8 @@ as a count of leading zeros and ten mantissa bits. There are 128 coarse register
 16,384 fine ones, of which only the filled are stored. Documents with the same shingle set are one class from the start, and work
 goes on between classes:
 
-1. every member of a band's group is compared with the group's least member (a star, so a group of n costs n - 1 pairs); the
-   least member goes to as many tasks as its group needs;
+1. every member of a band's group is compared with the group's center, the member that meets most others over all of its bands
+   (a star, so a group of n costs n - 1 pairs); the center goes to as many tasks as its group needs;
 2. links are confirmed on the full shingle sets and contracted to components;
 3. in groups that still hold several components, members outside the group's largest component are compared with all of other
    components by their registers, in blocks, with Jaccard estimates corrected for register collisions, and what the estimate
@@ -172,6 +172,18 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("class_id", "registers").mapInArrow(band, "band long, class_id long")
 
 
+def centers(banded: DataFrame) -> DataFrame:
+    """(band, center, size) of bands that several classes have: the center is the class that meets most others over all of its bands.
+
+    Such a class lies in the middle of its near copies, so most of them are linked with it; with any other, fewer are, and the rest
+    is compared among itself, which grows with its square.
+    """
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(banded.join(shared, "band"), "shared-bands")
+    met = members.groupBy("class_id").agg(F.sum("size").alias("met"))
+    return members.join(met, "class_id").groupBy("band").agg(F.max(F.struct("met", "class_id"))["class_id"].alias("center"), F.first("size").alias("size"))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets reach the threshold. A class's text is that of its doc_id with its text_key.
 
@@ -286,9 +298,8 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     discard(full)
 
     banded = written(bands(classes), "bands")
-    groups = banded.groupBy("band").agg(F.min("class_id").alias("center"), F.max("class_id").alias("last"), F.count("*").alias("size")).filter("center < last")
-    groups = written(groups, "groups")
-    star = banded.join(groups, "band").filter("class_id > center").groupBy(F.col("center").alias("a"), F.col("class_id").alias("b")).agg(F.max("size").alias("size"))
+    groups = written(centers(banded), "groups")
+    star = banded.join(groups, "band").filter("class_id <> center").groupBy(F.col("center").alias("a"), F.col("class_id").alias("b")).agg(F.max("size").alias("size"))
     star = star.select("a", "b", _part(F.col("size")))
     star = written(_estimated(star, classes, percent / 100 - MARGIN), "star")
     links = written(confirmed(star, classes, texts, shingle_words, percent), "links")
@@ -297,7 +308,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     members = banded.join(groups.select("band"), "band").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     members = written(members.withColumn("component", F.coalesce("component", "class_id")), "members")
     across = written(_across(members, classes, percent / 100), "across")
-    across = across.join(star, ["a", "b"], "left_anti")
+    across = across.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     across = written(across.join(across.groupBy("a").agg(F.count("*").alias("size")), "a").select("a", "b", _part(F.col("size"))), "across")
     more = written(confirmed(across, classes, texts, shingle_words, percent), "more-links")
     unlike = profile.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x <> y").select("doc_id")

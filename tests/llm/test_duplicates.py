@@ -168,3 +168,10 @@ def test_remaining_texts_keep_their_columns(odd, odd_rows):
     assert all(r.rest == "rest" and r.source == "src" for r in rows)
     texts = {r.doc_id: r.text for r in rows}
     assert texts[8] == "" and texts[6] == "two WORDS" and len(texts[12]) < len(dict(odd_rows)[12])
+
+
+def test_centers_meet_most_others(spark):
+    """Class 7 shares a band with each of six others that share none among themselves; the least member was the center and met one other."""
+    rows = [(band, c) for band, c in enumerate([1, 2, 3, 4, 5, 6])] + [(band, 7) for band in range(6)] + [(9, 8), (10, 1), (10, 2)]
+    got = {r.band: (r.center, r["size"]) for r in near_dup.centers(spark.createDataFrame(rows, "band long, class_id long")).collect()}
+    assert {b: x for b, x in got.items() if b < 6} == {b: (7, 2) for b in range(6)} and got[10][1] == 2 and 9 not in got
