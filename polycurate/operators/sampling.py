@@ -9,6 +9,9 @@ from ..sources.scratch import settled
 
 #: Draws with repeats that one row of the plan stands for before it is exploded.
 DRAWS = 100_000
+#: Groups whose one row each may be broadcast.
+FEW_GROUPS = 10_000
+
 
 def draw(seed: int | str, key: str, *more: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *more, F.col(key).cast("string")))
@@ -32,10 +35,16 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place", start: int
     return parts.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, (F.col("_before") + within + start).cast("long")).drop("_at", "_part", "_before")
 
 
+def _of_groups(groups: DataFrame) -> DataFrame:
+    """A table of one row for each group, broadcast if it is small: a join by few groups would bring each of them, whole, to one task."""
+    groups = settled(groups, "groups")
+    return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
+
+
 def group_ranks(df: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
     """Ranks from 1 within groups, of which none has to fit a task."""
     rows = numbered(df, [F.col(by), *order], "_place")
-    first = rows.groupBy(F.col(by).alias("_by")).agg(F.min("_place").alias("_first"))
+    first = _of_groups(rows.groupBy(F.col(by).alias("_by")).agg(F.min("_place").alias("_first")))
     return rows.join(first, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", "_by")
 
 
@@ -88,7 +97,7 @@ def mixed_by_ratio(df: DataFrame, by: str, ratios: dict[str, float], key: str, s
     from ..functions.text import lookup
 
     rows = group_ranks(df, by, [draw(seed, key), F.col(key)], "_rank")
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = _of_groups(rows.groupBy(by).agg(F.count("*").alias("_n")))
     ratio = lookup(F.col(by), ratios, F.lit(1.0)) if ratios else F.lit(1.0)
     counts = counts.withColumn("_take", F.floor(F.col("_n") * ratio).cast("long"))
     plain = rows.join(counts.filter("_take <= _n").select(by, "_take"), by).filter(F.col("_rank") <= F.col("_take")).select(*df.columns, F.lit(1).alias("copy"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -270,3 +271,16 @@ def test_similar_rows_meet_by_parts(spark, monkeypatch):
     assert sum(near) > 100 and [got[i] for i in range(len(texts))] == near
     assert not any("array" in t for _, df in tables for _, t in df.dtypes)
     assert sum(df.count() for label, df in tables if label == "near") <= sum(near)
+
+
+def test_group_ranks_do_not_deal_rows_by_group(spark):
+    """A join by a few groups brought each of them, whole, to one task where Spark had not broadcast the other side."""
+    rows = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("g"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (sampling.group_ranks(rows, "g", [F.col("id")], "rank"), sampling.mixed_by_ratio(rows, "g", {}, "id", 1)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\(g#\d+, \d+\)", plan) and made.count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
