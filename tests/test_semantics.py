@@ -8,12 +8,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from polycurate.functions import overlap as O
 from polycurate.functions import scores as S
 from polycurate.functions import text as T
+from polycurate.functions import udfs
 from polycurate.operators import cascade, profile, sampling, similarity
 from polycurate.plans import views
 from polycurate.sources import io
@@ -284,3 +286,15 @@ def test_group_ranks_do_not_deal_rows_by_group(spark):
             assert not re.search(r"hashpartitioning\(g#\d+, \d+\)", plan) and made.count() == 300
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_only_changed_texts_come_back(spark, monkeypatch):
+    """Texts in normal form already were built a second time in the worker and sent back."""
+    seen = []
+    monkeypatch.setattr(udfs.F, "arrow_udf", lambda f, kind: seen.append(f) or (lambda c: c))
+    udfs.nfc("text")
+    assert seen[0](pa.array(["é", "é", None, "ü"])).to_pylist() == [None, "é", None, None]
+    monkeypatch.undo()
+    texts = ["é", "é", None, "plain", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", udfs.nfc("text").alias("t"))
+    assert [r.t for r in rows.orderBy("i").collect()] == ["é", "é", None, "plain", ""]
