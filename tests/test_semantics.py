@@ -298,3 +298,42 @@ def test_only_changed_texts_come_back(spark, monkeypatch):
     texts = ["é", "é", None, "plain", ""]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", udfs.nfc("text").alias("t"))
     assert [r.t for r in rows.orderBy("i").collect()] == ["é", "é", None, "plain", ""]
+
+
+def _near_copies(n, seed=5):
+    """(id, language, text) of near copies of two long lines, other lines between them, some short, some equal, some blank."""
+    draw, words = random.Random(seed), [f"w{i}ord{i * 7 % 11}" for i in range(300)]
+    bases, rows = [[draw.choice(words) for _ in range(40)] for _ in range(2)], []
+    for i in range(n):
+        base = list(bases[draw.random() < 0.2]) if draw.random() < 0.8 else [draw.choice(words) for _ in range(draw.choice([1, 2, 3, 30]))]
+        for _ in range(draw.choice([0, 1, 2, 3])):
+            base[draw.randrange(len(base))] = draw.choice(words)
+        rows.append((i, draw.choice(["en", "en", "en", "de", None]), draw.choice([" ".join(base)] * 20 + ["", None])))
+    return rows
+
+
+@pytest.mark.parametrize(("crowd", "block", "open_pairs"), [(4, 16, 0), (4, 16, 10**9), (8, 1024, 500), (10**9, 1024, 0)])
+def test_families_of_near_copies(spark, monkeypatch, crowd, block, open_pairs):
+    rows = _near_copies(260)
+    grams = {i: {" ".join((t or "").split())[j : j + 5] for j in range(len(" ".join((t or "").split())) - 4)} for i, _, t in rows}
+    like = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b]) if grams[a] and grams[b] else 0
+    links, gone = {i: [like(i, j) for j, h, _ in rows if j != i and h == g and g and like(i, j) >= 0.85] for i, g, _ in rows}, set()
+    for b, g, _ in rows:
+        if any(h == g and g and a < b and a not in gone and like(a, b) >= 0.85 for a, h, _ in rows):
+            gone.add(b)
+    tables, settled = [], similarity.settled
+    monkeypatch.setattr(similarity, "settled", lambda df, label: tables.append((label, settled(df, label))) or tables[-1][1])
+    for name, value in (("CROWD", crowd), ("BLOCK", block), ("OPEN_PAIRS", open_pairs)):
+        monkeypatch.setattr(similarity, name, value)
+    frame = spark.createDataFrame(rows, "id int, g string, t string").repartition(3)
+    found = {r.key: (r.n_links, r.nearest) for r in similarity.linked_classes(frame, "id", "g", F.col("t"), 0.85).collect()}
+    with_grams = [i for i, g, _ in rows if grams[i] and g]
+    assert {i: found[i][0] for i in with_grams} == {i: len(links[i]) for i in with_grams}
+    other = {i: max((x for x in links[i] if x < 1), default=None) for i in with_grams}
+    assert {i: found[i][1] for i in with_grams} == other
+    if crowd < 10:  # pairs of a family are not written
+        assert next(t for label, t in tables if label == "members").count() > 100
+        assert next(t for label, t in tables if label == "near").count() < 100 < sum(map(len, links.values())) / 20
+    blank = {i for i, g, _ in rows if not grams[i] or g is None}
+    dropped = {r.key for r in similarity.near_duplicates(frame, "id", "g", F.col("t"), 0.85).filter("not kept").collect()}
+    assert dropped - blank == gone - blank
