@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import time
 import uuid
 
 import pytest
@@ -104,3 +105,19 @@ def test_counts_come_from_the_writing_job(spark, tmp_path):
     assert (expected.n, expected.kept, expected.dropped) == (20, 5, 15)
     _, counts = io.written_clean(rows.limit(0), f"{tmp_path}/none")
     assert counts == {"n": 0, "kept": 0, "dropped": 0}
+
+
+def test_settled_leaves_no_shuffles(spark):
+    from polycurate.sources import scratch
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if "/shuffle_" in f}
+
+    was, before = spark.conf.get(scratch.SHUFFLE_CLEANUP), shuffled()
+    made = scratch.settled(spark.range(20_000).selectExpr("id % 1009 as k", "sha2(string(id), 256) as t").groupBy("k").agg(F.max("t").alias("t")), "test")
+    end = time.monotonic() + 10
+    while shuffled() - before and time.monotonic() < end:  # deleted in the background
+        time.sleep(0.1)
+    assert not shuffled() - before and made.count() == 1009
+    assert spark.conf.get(scratch.SHUFFLE_CLEANUP) == was
