@@ -60,3 +60,21 @@ def test_stream_equals_table(spark, tmp_path):
     assert len(got) == len(expected) == 600 and dict(got) == expected
     assert not all(expected.values())
     assert sum(s["numRowsTotal"] for s in json.loads(query.lastProgress.json)["stateOperators"]) < 20  # clients whose windows ran empty are gone
+
+
+@pytest.mark.parametrize("limit", [1, 2, 5])
+def test_a_bucket_is_judged_in_few_calls(spark, tmp_path, limit):
+    """Python was called and the state asked for each client: now for each bucket, whatever clients it holds, an unnamed one and an empty name apart."""
+    pytest.importorskip("google.protobuf")
+    rows = [(f"c{i % 150}" if i % 5 else [None, ""][i // 5 % 2], f"r{i}", START + timedelta(seconds=i // 40, milliseconds=i % 3)) for i in range(600)]
+    for part in (rows, [("end", "end", START + timedelta(hours=2))]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with limits.state_store(spark):
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        made = limits.decided_stream(stream, "client", "request", limit, seconds=10, lateness="1 minute", buckets=3)
+        query = made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {(r.client, r.request): r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.request != "end"}
+    assert got == {(r.client, r.request): r.admitted for r in limits.decided(spark.createDataFrame(rows, SCHEMA), "client", "request", limit, seconds=10).collect()}
+    most = max(s["numRowsTotal"] for p in query.recentProgress for s in json.loads(p.json)["stateOperators"])
+    assert len(got) == 600 and most < 50  # a state row for each bucket, its length and its timer
