@@ -337,3 +337,35 @@ def test_families_of_near_copies(spark, monkeypatch, crowd, block, open_pairs):
     blank = {i for i, g, _ in rows if not grams[i] or g is None}
     dropped = {r.key for r in similarity.near_duplicates(frame, "id", "g", F.col("t"), 0.85).filter("not kept").collect()}
     assert dropped - blank == gone - blank
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages up to now have written to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_pairs_travel_once(spark, monkeypatch):
+    """Each pair of near copies brought the sets of both its texts; now a text goes to its cells, about as often as there are rows."""
+    draw, copies = random.Random(8), 30
+    rows = []
+    for g in range(6):
+        base = "".join(draw.choice("abcdefghij klmnopq") for _ in range(600)).strip()
+        for _ in range(copies):
+            at = draw.randrange(600)
+            rows.append((len(rows), "ab"[len(rows) % 7 == 0], base[:at] + draw.choice("rstuv") + base[at:]))
+    frame = similarity.settled(spark.createDataFrame(rows, "key int, group string, text string"), "rows")
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if a // copies == b // copies or (a + b) % 50 == 0]
+    met = similarity.settled(spark.createDataFrame(pairs, "a int, b int"), "pairs")
+    monkeypatch.setattr(similarity, "BROADCAST_PAIRS", 0)
+    before, limit = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.a, r.b): r.jaccard for r in similarity._scored(met, frame, frame, 0.85, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert _shuffled(spark) - before < 6 * sum(len(t) for _, _, t in rows)
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (t for _, _, t in rows)]
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs if rows[a][1] == rows[b][1]}
+    assert got == {p: x for p, x in like.items() if x >= 0.85} and len(got) > 1500
