@@ -339,11 +339,11 @@ def test_families_of_near_copies(spark, monkeypatch, crowd, block, open_pairs):
     assert dropped - blank == gone - blank
 
 
-def _shuffled(spark) -> int:
-    """Bytes that all stages up to now have written to shuffles."""
+def _shuffled(spark, kind="Bytes") -> int:
+    """Bytes, or Records, that all stages up to now have written to shuffles."""
     store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
     stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), f"shuffleWrite{kind}")() for i in range(stages.size()))
 
 
 def test_texts_of_pairs_travel_once(spark, monkeypatch):
@@ -369,3 +369,21 @@ def test_texts_of_pairs_travel_once(spark, monkeypatch):
     sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in (t for _, _, t in rows)]
     like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs if rows[a][1] == rows[b][1]}
     assert got == {p: x for p, x in like.items() if x >= 0.85} and len(got) > 1500
+
+
+def test_texts_of_a_large_family_travel_a_bounded_number_of_times(spark, monkeypatch):
+    """A family's texts travelled once for each BLOCK of its rows, so that what was shuffled grew with the square of a family."""
+    draw = random.Random(4)
+    base = "".join(draw.choice("abcdefghij klmnopq") for _ in range(300))
+    rows = [(i, "ab"[i % 9 == 0], base[:at] + draw.choice("rstuv") + base[at + draw.randrange(9) :]) for i in range(400) for at in [draw.randrange(290)]]
+    frame = similarity.settled(spark.createDataFrame(rows, "key int, group string, text string").withColumns({"family": F.lit(1), "tag": F.lit(1)}), "rows")
+    beside = spark.createDataFrame([(1, 1)], "family int, other int")
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    before = _shuffled(spark, "Records")
+    got = {r.a: r.n for r in similarity._links_in_families(frame, beside, 0.85, 5).groupBy("a").agg(F.sum("others").alias("n")).collect()}
+    assert _shuffled(spark, "Records") - before < 20 * len(rows)
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for _, _, t in rows]
+    links = {i: sum(j != i and rows[j][1] == rows[i][1] and len(s & o) / len(s | o) >= 0.85 for j, o in enumerate(sets)) for i, s in enumerate(sets)}
+    assert got == {i: n for i, n in links.items() if n} and sum(links.values()) > 20_000
+    later = {r.key for r in similarity._later_in_families(frame, beside, 0.85, 5).distinct().collect()}
+    assert later == {i for i, s in enumerate(sets) if any(rows[j][1] == rows[i][1] and len(s & sets[j]) / len(s | sets[j]) >= 0.85 for j in range(i))}
